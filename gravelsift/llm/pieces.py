@@ -3,7 +3,8 @@
 A text becomes U+2581 + text with every space as U+2581, cut where such a mark follows another character: no piece
 of a merge-type vocabulary reaches over that border (checked when the model is read), so each run is merged alone and
 the result of a run can be reused. A run is a linked list of symbols; an agenda holds each adjacent pair that forms a
-piece, ordered by score and then from the left; the best one is merged and its new neighbours are added. A symbol
+piece, ordered by score and then from the left; the best one is merged and its new neighbours are added. Short runs of an
+Arrow batch are worked off side by side, long ones on a heap. A symbol
 that is no piece ends as its UTF-8 bytes.
 
 Null text: as an empty one (the end id alone). Empty table: no rows. Repeated rows and ids: a row each. Further columns
@@ -13,19 +14,26 @@ of the input, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: A worker keeps at most so many runs; it then starts anew.
-KEPT_RUNS = 400_000
+#: A run's number of ids, its ids as decimals joined by a space, its ids, and what they spell.
+Run = tuple[int, str, tuple[int, ...], str]
+#: A worker keeps at most so many runs; it then starts anew. Runs over SHORT characters aren't kept.
+KEPT_RUNS, SHORT = 600_000, 32
+#: So many texts are cut into runs at a time.
+TEXTS = 1000
+NEVER = np.iinfo(np.int32).max
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -42,64 +50,136 @@ class PieceModel:
         self.silent = {i for i in range(n) if sp.is_control(i)}
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
+        self.order = {self.pieces[i]: -sp.get_score(i) for i in plain}
+        self.digits = [str(i) for i in range(n)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds the space mark after another character: runs can't be merged alone")
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no byte pieces")
-        self.cache: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self.cache: dict[str, Run] = {}
+        ranks = {o: k for k, o in enumerate(sorted(set(self.order.values())))}
+        pairs = {
+            self.ids[p[:k]] * n + self.ids[p[k:]]: (ranks[self.order[p]], i)
+            for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids
+        }
+        self.n = n
+        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_rank = np.array([pairs[k][0] for k in self.pair_keys.tolist()], dtype=np.int32)
+        self.pair_piece = np.array([pairs[k][1] for k in self.pair_keys.tolist()], dtype=np.int64)
 
     def merge(self, run: str) -> list[int]:
-        """The ids of one run, by the agenda."""
-        score, symbols, n = self.score, list(run), len(run)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        right[-1] = -1
-        agenda: list[tuple[float, int, str]] = []
-
-        def propose(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (s := score.get(pair := symbols[i] + symbols[j])) is not None:
-                heapq.heappush(agenda, (-s, i, pair))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        """The ids of one run, by the agenda. A symbol is its start and its length; the length is 0 once merged away."""
+        get, n = self.order.get, len(run)
+        size, left, right = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [(s, i, 2) for i in range(n - 1) if (s := get(run[i : i + 2])) is not None]
+        heapify(agenda)
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            j = right[i]
-            if not symbols[i] or j < 0 or len(symbols[i]) + len(symbols[j]) != len(pair):
+            _, i, length = heappop(agenda)
+            j, own = right[i], size[i]
+            if not own or j >= n or own + size[j] != length:
                 continue  # one side has been merged since
-            symbols[i], symbols[j] = pair, ""
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            propose(left[i], i)
-            propose(i, right[i])
+            size[i], size[j] = length, 0
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if (s := get(run[i : i + length + size[k]])) is not None:
+                    heappush(agenda, (s, i, length + size[k]))
+            if (h := left[i]) >= 0 and (s := get(run[h : i + length])) is not None:
+                heappush(agenda, (s, h, i + length - h))
         out: list[int] = []
-        for s in symbols:
-            if s:
-                out += [self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode()]
+        ids, i = self.ids, 0
+        while i < n:
+            symbol = run[i : i + size[i]]
+            if (got := ids.get(symbol)) is not None:
+                out.append(got)
+            else:
+                out += [self.bytes[b] for b in symbol.encode()]
+            i += size[i]
+        return out
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NEVER: no piece) and piece of the pairs of symbols a, b; a symbol below 0 is in no pair."""
+        key = a * self.n + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        found = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(found, self.pair_rank[at], NEVER), self.pair_piece[at]
+
+    def merge_many(self, runs: list[str]) -> list[list[int]]:
+        """The ids of runs of one length: the agendas of all of them, as rows of ranks, are worked off side by side."""
+        length = len(runs[0])
+        points = np.frombuffer("".join(runs).encode("utf-32-le"), dtype=np.uint32).reshape(-1, length)
+        chars, back = np.unique(points, return_inverse=True)
+        own = np.array([self.ids.get(chr(c), -1 - int(c)) for c in chars.tolist()], dtype=np.int64)
+        symbols = own[back.reshape(points.shape)]
+        left = np.full(len(runs), length)
+        if length > 1:
+            rank, _ = self._pairs(symbols[:, :-1], symbols[:, 1:])
+            rank = np.concatenate([rank, np.full((len(runs), 1), NEVER, dtype=np.int32)], axis=1)
+            places = np.arange(length)
+            live = np.flatnonzero(rank.min(axis=1) < NEVER)
+            while len(live):
+                r, s = rank[live], symbols[live]
+                row, at = np.arange(len(live)), r.argmin(axis=1)
+                s[row, at] = self._pairs(s[row, at], s[row, at + 1])[1]
+                gone = places[None, :-1] > at[:, None]
+                s[:, :-1] = np.where(gone, s[:, 1:], s[:, :-1])
+                s[:, -1] = np.iinfo(np.int64).min
+                r[:, :-1] = np.where(gone | (places[None, :-1] == at[:, None]), r[:, 1:], r[:, :-1])
+                r[:, -1] = NEVER
+                more = at + 1 < left[live] - 1
+                r[row, at] = np.where(more, self._pairs(s[row, at], s[row, np.minimum(at + 1, length - 1)])[0], NEVER)
+                some = np.flatnonzero(at > 0)
+                r[some, at[some] - 1] = self._pairs(s[some, at[some] - 1], s[some, at[some]])[0]
+                left[live] -= 1
+                rank[live], symbols[live] = r, s
+                live = live[r.min(axis=1) < NEVER]
+        out = [row[:n] for row, n in zip(symbols.tolist(), left.tolist(), strict=True)]
+        if (own < 0).any():
+            out = [[x for i in row for x in ([i] if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode()])] for row in out]
         return out
 
-    def known(self, run: str) -> tuple[int, str, tuple[int, ...]]:
-        if (got := self.cache.get(run)) is None:
-            ids = self.merge(run)
-            got = (len(ids), " ".join(map(str, ids)), tuple(ids))
-            if len(run) <= 64:
-                if len(self.cache) >= KEPT_RUNS:
-                    self.cache.clear()
-                self.cache[run] = got
-        return got
+    def learn(self, runs: set[str]) -> None:
+        """Merge the runs that aren't known yet: short ones side by side, by length, long ones one by one."""
+        fresh = runs - self.cache.keys()
+        if len(self.cache) + len(fresh) > KEPT_RUNS:
+            self.cache, fresh = {}, runs
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for run in fresh:
+            if len(run) <= SHORT:
+                by_length[len(run)].append(run)
+        for group in by_length.values():
+            for run, ids in zip(group, self.merge_many(group), strict=True):
+                self.cache[run] = self.entry(ids)
+
+    def entry(self, ids: list[int]) -> Run:
+        digits, pieces = self.digits, self.pieces
+        plain = self.byte_of.keys().isdisjoint(ids)
+        text = "".join([pieces[i] for i in ids]).replace(MARK, " ") if plain else self.spelled(ids)
+        return len(ids), " ".join([digits[i] for i in ids]), tuple(ids), text
 
     def runs(self, text: str) -> list[str]:
         if not text:
             return []
         return _RUN.findall(MARK + text.replace(" ", MARK))
 
-    def encode(self, text: str) -> list[int]:
-        """All ids of a text, the end id last."""
-        return [*(i for run in self.runs(text) for i in self.known(run)[2]), self.end]
+    def encode(self, texts: list[str]) -> Iterator[list[Run]]:
+        """The runs of each text; the end id isn't among their ids."""
+        for k in range(0, len(texts), TEXTS):
+            cut = [self.runs(t) for t in texts[k : k + TEXTS]]
+            self.learn(set().union(*cut))
+            for runs in cut:
+                got = list(map(self.cache.get, runs))
+                if None in got:
+                    got = [g or self.entry(self.merge(r)) for g, r in zip(got, runs, strict=True)]
+                yield got
 
     def decode(self, ids: list[int]) -> str:
-        """Pieces joined, bytes read as UTF-8 (a wrong byte: U+FFFD), marks as spaces, without the leading one."""
+        """The text of ids: what they spell, without the leading space."""
+        text = self.spelled(ids)
+        return text[1:] if text.startswith(" ") else text
+
+    def spelled(self, ids: list[int]) -> str:
+        """Pieces joined, bytes read as UTF-8 (a wrong byte: U+FFFD), marks as spaces."""
         out: list[str] = []
         held = bytearray()
         for i in [*ids, None]:
@@ -112,8 +192,7 @@ class PieceModel:
             if i is None or i in self.silent:
                 continue
             out.append(" ⁇ " if i == self.unknown else self.pieces[i].replace(MARK, " "))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out)
 
 
 _RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -155,7 +234,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         model = piece_model(model_path)
         library = sentencepiece.SentencePieceProcessor(model_file=model_path) if check else None
         for frame in frames:
-            ids = [model.encode(t) for t in frame.text]
+            ids = [[*(i for g in got for i in g[2]), model.end] for got in model.encode(frame.text.tolist())]
             if library and ids != library.encode(frame.text.tolist(), add_eos=True, num_threads=1):
                 raise ValueError("these ids are not the library's")
             yield pd.DataFrame({"doc_id": frame.doc_id, "ids": ids})
@@ -183,24 +262,13 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = piece_model(model_path)
         library = sentencepiece.SentencePieceProcessor(model_file=model_path) if check else None
-        plain: dict[str, str] = {}
         for frame in frames:
             counts, ids_hash, text_hash = [], [], []
-            for text in frame.text:
-                got = [model.known(r) for r in model.runs(text)]
+            for text, got in zip(frame.text, model.encode(frame.text.tolist()), strict=True):
                 counts.append(sum(g[0] for g in got) + 1)
                 digits = " ".join([*(g[1] for g in got), str(model.end)])
                 ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
-                parts = []
-                for g in got:
-                    if (p := plain.get(g[1])) is None:
-                        p = " " * (g[2][0] not in model.byte_of and model.pieces[g[2][0]].startswith(MARK)) + model.decode(g[2])
-                        if len(plain) >= KEPT_RUNS:
-                            plain.clear()
-                        if len(g[1]) <= 256:
-                            plain[g[1]] = p
-                    parts.append(p)
-                decoded = "".join(parts)
+                decoded = "".join([g[3] for g in got])
                 decoded = decoded[1:] if decoded.startswith(" ") else decoded
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if library:
