@@ -55,8 +55,10 @@ def split_documents(
 def number_sequences(pieces: DataFrame) -> DataFrame:
     """Add sequence_id (from 0, gapless, ordered by length from the longest, document, start) and offset (0) to pieces.
 
-    Pieces are sorted by ranges over all tasks and written once; only the number of rows of each range is gathered.
+    Pieces are written before they are sorted by ranges over all tasks, as the ranges are found from a pass of their own,
+    which would cut all texts again; the sorted ones are written too, and only the rows of each range are counted.
     """
+    pieces, _ = materialize(pieces, "pieces-cut")
     ordered = pieces.repartitionByRange(F.desc("length"), "doc_id", "start").sortWithinPartitions(F.desc("length"), "doc_id", "start")
     written, _ = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     at = written.withColumn("_range", F.shiftright("_at", 33))
