@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.llm import forest, knn, packing, pieces, token_files
+from gravelsift.llm import forest, knn, packing, pieces, token_files, toxicity
 from gravelsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,18 @@ def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def held_out() -> Column:
+    """The rows that no toxicity model learns from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -40,6 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_voronoi_knn": op1_voronoi_knn,
+        "op2_toxicity": op2_toxicity,
         "op3_forest": op3_forest,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_packing": op5_packing,
