@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.llm import forest, knn, packing, pieces, token_files, toxicity
+from gravelsift.llm import forest, knn, packing, pieces, quality, token_files, toxicity
 from gravelsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number_sequences(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit_evidence(docs, table(spark, sf_dir, "labels"))
+    found = quality.decide(docs, model, F.col("source"), F.col("lang"))
+    names = {"_gq_evidence": "evidence", "_gq_host_mean": "host_mean", "_gq_path_mean": "path_mean", "_gq_score": "score", "_gq_keep": "keep"}
+    return found.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     read = token_files.read_token_files(spark, manifest)
@@ -56,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op3_forest": op3_forest,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_packing": op5_packing,
+        "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
     }
 
