@@ -58,9 +58,12 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     Register e holds, as bits, the diagonals (place in a less place in b, from -edits to edits) that e edits reach.
     """
     width, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    left, right = F.split(a, ""), F.split(b, "")
 
-    def closed(registers: list[Column]) -> list[Column]:  # skip characters of a
+    def once(value: Column, use) -> Column:
+        """use(value), with the value computed once although the lambda names it often."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def closed(registers: list[Column]) -> list[Column]:  # fewer edits are allowed too; skip characters of a
         for e in range(1, edits + 1):
             fewer = registers[e - 1]
             registers[e] = registers[e].bitwiseOR(fewer).bitwiseOR(F.shiftleft(fewer, 1)).bitwiseAND(F.lit(full))
@@ -69,20 +72,31 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     def packed(registers: list[Column]) -> Column:
         return F.struct(*(r.alias(f"r{e}") for e, r in enumerate(registers)))
 
-    def step(state: Column, j: Column) -> Column:
-        c = F.element_at(right, j + 1)
-        match = F.lit(0)
-        for d in range(width):
-            match = match + F.when(F.get(left, j + (d - edits)) == c, F.lit(1 << d)).otherwise(F.lit(0))
-        old = [state[f"r{e}"] for e in range(edits + 1)]
-        new = [old[0].bitwiseAND(match)]
-        for e in range(1, edits + 1):  # match, substitute, or take a character of b alone
-            new.append(old[e].bitwiseAND(match).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)))
-        return packed(closed(new))
-
-    start = packed(closed([F.lit(1 << edits)] + [F.lit(0)] * edits))
-    places = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(places, start, step, lambda s: s[f"r{edits}"])
+    def run(cut: Column) -> Column:
+        left, right = cut["left"], cut["right"]
+
+        def step(state: Column, j: Column) -> Column:
+            def match(c: Column) -> Column:
+                bits = [F.when(F.get(left, j + (d - edits)) == c, F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)]
+                return sum(bits[1:], bits[0])
+
+            def move(m: Column) -> Column:
+                old = [state[f"r{e}"] for e in range(edits + 1)]
+                new = [old[0].bitwiseAND(m)]
+                for e in range(1, edits + 1):  # match, substitute, or take a character of b alone
+                    new.append(old[e].bitwiseAND(m).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)))
+                return packed(closed(new))
+
+            return once(once(F.element_at(right, j + 1), match), move)
+
+        start = packed(closed([F.lit(1 << edits)] + [F.lit(0)] * edits))
+        places = F.when(F.size(right) > 0, F.sequence(F.lit(0), F.size(right) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step, lambda s: s[f"r{edits}"])
+
+    def chars(text: Column) -> Column:
+        return F.filter(F.split(text, ""), lambda c: c != "")
+
+    end = once(F.struct(chars(a).alias("left"), chars(b).alias("right")), run)
     diagonal = F.length(a) - F.length(b) + edits
     near = (diagonal >= 0) & (diagonal < width)
     return near & (F.getbit(end, F.when(near, diagonal).otherwise(0)) == 1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.llm import chosen_path, forest, knn, packing, pieces, quality, token_files, toxicity
+from gravelsift.llm import chosen_path, forest, knn, line_dedup, packing, pieces, quality, token_files, toxicity
 from gravelsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number_sequences(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.drop_repeated_lines(docs, max_edits=2, min_chars=24)
+    return found.select("doc_id", "text", F.col("_gl_lines").alias("n_lines"), F.col("_gl_dropped").alias("n_dropped"))
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op3_forest": op3_forest,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_packing": op5_packing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_chosen_path": op7_chosen_path,
         "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
