@@ -4,9 +4,9 @@
    bytes and, for each of RUNS runs, the paths of length 1 that it takes: a token is chosen if a hash of it is below
    1 / (least * size of the set), so sets that share enough tokens meet in some bucket. Equal sets are collapsed.
 2. Buckets of one set are dropped. A bucket of more than SMALL sets is split again: its members read their tokens once
-   more and choose the next token of the path, and so on down to DEPTH tokens.
-3. Small buckets, and those that are still large at DEPTH (dealt to pairs of blocks), are compared by brute force on
-   sketches, whose estimate must reach `least` less SLACK; only a spanning set of candidate links leaves a task.
+   more and choose the next token of the path, and so on down to DEPTH tokens, or until a split leaves over half of a
+   bucket together (copies of each other, which no token parts).
+3. Small buckets, and those that are large still (dealt to pairs of blocks), are compared by brute force on sketches, whose estimate must reach `least` less SLACK; only a spanning set of candidate links leaves a task.
 4. Candidates are united to clusters; a cluster's texts meet in tasks of at most two blocks of BLOCK texts, where the
    exact similarity of every pair is computed. A task returns counts of links and a spanning set of them.
 5. The verified links are united to components.
@@ -96,8 +96,9 @@ def describe(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
 
 
 def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The next buckets of documents in large buckets: doc_id, f1, sketch, bucket."""
-    own = nodes.groupBy("doc_id", "f1").agg(F.collect_set("bucket").alias("paths"), F.first("sketch").alias("sketch"))  # at most a document's paths
+    """The next buckets of documents in large buckets: doc_id, f1, sketch, bucket, parent (that bucket's size)."""
+    paths = F.collect_set(F.struct("bucket", "cnt")).alias("paths")  # at most a document's paths
+    own = nodes.groupBy("doc_id", "f1").agg(paths, F.first("sketch").alias("sketch"))
     own, _ = materialize(own, "paths-split")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -108,12 +109,12 @@ def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text
                 _, token = token_sets([text])
                 limit = _limits(np.array([len(token)]), least)
                 for path in paths:
-                    _, b = _choose(np.zeros(len(token), np.int64), token, limit, _seed(np.array([path])))
-                    out += [(doc_id, f1, sketch, x) for x in b.tolist()]
-            yield pd.DataFrame(out, columns=["doc_id", "f1", "sketch", "bucket"])
+                    _, b = _choose(np.zeros(len(token), np.int64), token, limit, _seed(np.array([path["bucket"]])))
+                    out += [(doc_id, f1, sketch, x, path["cnt"]) for x in b.tolist()]
+            yield pd.DataFrame(out, columns=["doc_id", "f1", "sketch", "bucket", "parent"])
 
     joined = texts.join(broadcast_if_small(own, own.count(), 300_000), "doc_id")
-    return joined.mapInPandas(run, "doc_id long, f1 long, sketch binary, bucket long")
+    return joined.mapInPandas(run, "doc_id long, f1 long, sketch binary, bucket long, parent long")
 
 
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -232,17 +233,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     classes, _ = materialize(classes, "paths-classes")
     reps = one.join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id")
 
-    level = reps.select("doc_id", "f1", "sketch", F.explode("buckets").alias("bucket"))
+    level = reps.select("doc_id", "f1", "sketch", F.explode("buckets").alias("bucket"), F.lit(None).cast("long").alias("parent"))
     edges = None
     for depth in range(1, DEPTH + 1):
         counted = level.withColumn("cnt", F.count("*").over(Window.partitionBy("bucket"))).where("cnt > 1")
-        counted, _ = materialize(counted, f"paths-{depth}")
-        last = depth == DEPTH or not counted.where(F.col("cnt") > SMALL).limit(1).count()
-        found = _candidates(counted if last else counted.where(F.col("cnt") <= SMALL), least)
+        together = F.coalesce(F.col("cnt") > 0.5 * F.col("parent"), F.lit(False))
+        counted, _ = materialize(counted.withColumn("split", (F.col("cnt") > SMALL) & ~together & F.lit(depth < DEPTH)), f"paths-{depth}")
+        found = _candidates(counted.where("not split"), least)
         edges = found if edges is None else edges.unionByName(found)
-        if last:
+        if counted.where("split").isEmpty():
             break
-        level = _children(docs, counted.where(F.col("cnt") > SMALL), least, id_col, text_col)
+        level = _children(docs, counted.where("split"), least, id_col, text_col)
 
     clusters, _ = components(edges, "paths-clusters")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
