@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.llm import chosen_path, forest, knn, line_dedup, packing, pieces, quality, token_files, toxicity
+from gravelsift.llm import chosen_path, forest, knn, licenses, line_dedup, packing, pieces, quality, token_files, toxicity
 from gravelsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality.fit_evidence(docs, table(spark, sf_dir, "labels"))
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op6_line_dedup": op6_line_dedup,
         "op7_chosen_path": op7_chosen_path,
+        "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
     }
