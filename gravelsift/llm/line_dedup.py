@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from gravelsift.llm.common import broadcast_if_small, components, materialize
 
 MAX_EDITS, MIN_CHARS = 2, 24
+#: Characters that the automaton reads after the common beginning of two lines before it reads them whole.
+AHEAD = 24
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,27 +37,39 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.col("line").rlike(r"\S")).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g"))
 
 
-def _signatures(line: Column, n: Column, edits: int, min_chars: int) -> Column:
-    """array<struct<sig, role>>: role 1 for a line's own index entry (which also probes), 0 for a probe."""
-    k, made = edits + 1, []
+def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """h, sig, role of lines (h, line): role 1 for a line's own index entry (which also probes), 0 for a probe."""
+    k, made, cut = edits + 1, [], {}
     for short in range(edits + 1):
-        length = n - short
-        base, extra = F.floor(length / k).cast("int"), (length % k).cast("int")
+        length = F.col("n") - short
+        cut |= {f"n{short}": length, f"b{short}": F.floor(length / k).cast("int"), f"x{short}": (length % k).cast("int")}
+        base, extra = F.col(f"b{short}"), F.col(f"x{short}")
         for i in range(k):
             start = base * i + F.greatest(extra + i - k, F.lit(0))
             size = base + F.when(extra + i >= k, 1).otherwise(0)
             for shift in range(max(-i, short - (k - 1 - i)), min(i, short + (k - 1 - i)) + 1):
                 place = start + shift
-                sig = F.xxhash64(length, F.lit(i), F.substring(line, place + 1, size))
-                fits = (length >= min_chars) & (place >= 0) & (place + size <= n)
-                made.append(F.when(fits, F.struct(sig.alias("sig"), F.lit(int(short == 0 and shift == 0)).alias("role"))))
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
+                sig = F.xxhash64(f"n{short}", F.lit(i), F.substring(F.col("line"), place + 1, size))
+                fits = (F.col(f"n{short}") >= min_chars) & (place >= 0) & (place + size <= F.col("n"))
+                made.append(F.struct(F.when(fits, sig).alias("sig"), F.lit(int(short == 0 and shift == 0)).alias("role")))
+    # lengths are columns of their own, so that they are counted once for a line and not for each signature
+    sized = lines.select("h", "line", F.length("line").alias("n")).withColumns(cut)
+    return sized.select("h", F.explode(F.array(*made)).alias("s")).select("h", "s.sig", "s.role").where("sig is not null")
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
+def common_prefix(a: Column, b: Column) -> Column:
+    """The number of characters that a and b begin with alike, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    n = F.least(F.length(a), F.length(b))
+    longer = lambda at, step: (at + step <= n) & (F.substring(a, at + 1, step) == F.substring(b, at + 1, step))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(longer(at, step), at + step).otherwise(at))
+
+
+def within_edits(a: Column, b: Column, edits: int, begin: bool = False) -> Column:
     """Whether b can be made from a by at most so many edits: a banded bit-parallel automaton over b's characters.
 
     Register e holds, as bits, the diagonals (place in a less place in b, from -edits to edits) that e edits reach.
+    begin: whether b can be the beginning of such a text, that is whether any diagonal is left.
     """
     width, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
 
@@ -97,6 +111,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         return F.filter(F.split(text, ""), lambda c: c != "")
 
     end = once(F.struct(chars(a).alias("left"), chars(b).alias("right")), run)
+    if begin:
+        return end != 0
     diagonal = F.length(a) - F.length(b) + edits
     near = (diagonal >= 0) & (diagonal < width)
     return near & (F.getbit(end, F.when(near, diagonal).otherwise(0)) == 1)
@@ -107,8 +123,7 @@ def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     rows = _lines(docs, id_col, text_col)
     long = rows.where(F.length("line") >= min_chars)
     distinct = long.groupBy("h", "g").agg(F.min("line").alias("line"))
-    made = distinct.select("h", F.explode(_signatures(F.col("line"), F.length("line"), max_edits, min_chars)).alias("s"))
-    made = made.select("h", "s.sig", "s.role")
+    made = _signatures(distinct, max_edits, min_chars)
     met = made.withColumn("cnt", F.count("*").over(Window.partitionBy("sig"))).where("cnt > 1").drop("cnt")
     met, _ = materialize(met, "lines-signatures")
     left = met.where("role = 1").select("sig", F.col("h").alias("x"))
@@ -121,7 +136,12 @@ def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     texts, _ = materialize(texts.select("h", "line"), "lines-texts")
     named = pairs.join(texts.withColumnRenamed("line", "left"), F.col("a") == F.col("h")).drop("h")
     named = named.join(texts.withColumnRenamed("line", "right"), F.col("b") == F.col("h")).drop("h")
-    return named.where(within_edits(F.col("left"), F.col("right"), max_edits)).select("a", "b").distinct()
+    # most candidates part soon after their common beginning: the automaton reads a few characters there first
+    at = F.col("same")
+    named = named.withColumn("same", common_prefix(F.col("left"), F.col("right")))
+    begun = within_edits(F.substring("left", at + 1, F.lit(AHEAD + max_edits)), F.substring("right", at + 1, F.lit(AHEAD)), max_edits, begin=True)
+    alive, _ = materialize(named.where(begun).select("a", "b", "left", "right"), "lines-alive")
+    return alive.where(within_edits(F.col("left"), F.col("right"), max_edits)).select("a", "b").distinct()
 
 
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
