@@ -9,7 +9,9 @@ first line stays, by document id and line number, and the others are dropped fro
 2. Segment-partition join: a line of length n is cut into max_edits + 1 even segments; two lines within max_edits edits
    share one of them, shifted by no more than the edits allow. Each distinct line is indexed under (n, segment number,
    segment) and probes the indexes of lengths n - max_edits to n at the few places that the multi-match-aware selection
-   leaves: 12 signatures a line for two edits. Signatures of one line only are dropped before lines are paired.
+   leaves: 12 signatures a line for two edits. Signatures of one line only are dropped before lines are paired, and of
+   lines under one signature only those are paired whose counts of LETTERS differ by no more than the edits allow (an
+   edit changes them by two at most), so that the many variants of one line aren't all paired with each other.
 3. Candidates are verified by a banded bit-parallel automaton: one integer for each number of edits, one bit for each
    diagonal of the band, moved forward by one character at a time.
 4. Links are united to components.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from gravelsift.llm.common import broadcast_if_small, components, materialize
 
 MAX_EDITS, MIN_CHARS = 2, 24
+#: Letters that are counted, seven at most (common ones part most lines; any are right).
+LETTERS = "entiaor"
 #: Characters that the automaton reads after the common beginning of two lines before it reads them whole.
 AHEAD = 24
 
@@ -38,7 +42,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """h, sig, role of lines (h, line): role 1 for a line's own index entry (which also probes), 0 for a probe."""
+    """h, sig, code of lines (h, line): twice the packed counts of letters, plus 1 for a line's own index entry (which also
+    probes) and 0 for a probe."""
     k, made, cut = edits + 1, [], {}
     for short in range(edits + 1):
         length = F.col("n") - short
@@ -53,8 +58,26 @@ def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 fits = (F.col(f"n{short}") >= min_chars) & (place >= 0) & (place + size <= F.col("n"))
                 made.append(F.struct(F.when(fits, sig).alias("sig"), F.lit(int(short == 0 and shift == 0)).alias("role")))
     # lengths are columns of their own, so that they are counted once for a line and not for each signature
-    sized = lines.select("h", "line", F.length("line").alias("n")).withColumns(cut)
-    return sized.select("h", F.explode(F.array(*made)).alias("s")).select("h", "s.sig", "s.role").where("sig is not null")
+    sized = lines.select("h", "line", F.length("line").alias("n"), _letter_counts(F.col("line")).alias("c")).withColumns(cut)
+    made = sized.select("h", "c", F.explode(F.array(*made)).alias("s")).select("h", "s.sig", (F.col("c") * 2 + F.col("s.role")).alias("code"))
+    return made.where("sig is not null")
+
+
+def _letter_counts(line: Column) -> Column:
+    """The counts of LETTERS modulo 256, a byte for each, in a long."""
+    size, packed = F.octet_length(line), F.lit(0).cast("long")
+    for letter in LETTERS:
+        packed = packed * 256 + (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 256
+    return packed
+
+
+def _counts_apart(a: Column, b: Column) -> Column:
+    """How far two packed counts are apart at least."""
+    out = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(255)))
+        out = out + F.least(d, 256 - d)
+    return out
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -126,9 +149,10 @@ def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     made = _signatures(distinct, max_edits, min_chars)
     met = made.withColumn("cnt", F.count("*").over(Window.partitionBy("sig"))).where("cnt > 1").drop("cnt")
     met, _ = materialize(met, "lines-signatures")
-    left = met.where("role = 1").select("sig", F.col("h").alias("x"))
-    right = met.select("sig", F.col("h").alias("y"))
-    pairs = left.join(right, "sig").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = met.where("code % 2 = 1").select("sig", F.col("h").alias("x"), F.shiftright("code", 1).alias("p"))
+    right = met.select("sig", F.col("h").alias("y"), F.shiftright("code", 1).alias("q"))
+    close = _counts_apart(F.col("p"), F.col("q")) <= 2 * max_edits
+    pairs = left.join(right, "sig").where((F.col("x") != F.col("y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs, _ = materialize(pairs, "lines-candidates")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     wanted, _ = materialize(wanted, "lines-wanted")
