@@ -25,8 +25,8 @@ def distance(a, b):
 
 def edited(text, n, alphabet):
     out = list(text)
-    for _ in range(n):
-        k = random.randrange(len(out))
+    for _ in range(n if out else 0):
+        k = random.randrange(len(out) or 1)
         out[k : k + random.randint(0, 1)] = random.choice(alphabet) * random.randint(0, 1)
     return "".join(out)
 
