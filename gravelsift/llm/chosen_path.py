@@ -33,6 +33,8 @@ from gravelsift.llm.shingles import mix, parts, shingles, token_sets
 
 RUNS, SMALL, DEPTH, BINS, SLACK, BLOCK, TILE = 10, 512, 5, 64, 0.2, 256, 1024
 TOP = float(2**64 - 2**11)
+#: A task compares so many pairs of sketches at a time.
+PAIRS = 100_000
 #: Bits of a hash in the sorted keys of the sketches.
 TOKEN = 40
 
@@ -133,25 +135,28 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
             k = frame[keys].to_numpy()
             group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(axis=1))])
             sketch = np.frombuffer(b"".join(frame.sketch), dtype=np.uint8).reshape(len(frame), BINS)
-            at, a, b = np.arange(len(frame)), [], []
+            ids, root, at, a, b, held = frame.doc_id.to_numpy(), np.arange(len(frame)), np.arange(len(frame)), [], [], 0
             for shift in range(1, len(frame)):
                 at = at[at + shift < len(frame)]
                 at = at[group[at] == group[at + shift]]
                 if not len(at):
                     break
-                for s in range(0, len(at), 200_000):
-                    i = at[s : s + 200_000]
+                for s in range(0, len(at), PAIRS):
+                    i = at[s : s + PAIRS]
                     x, y = sketch[i], sketch[i + shift]
                     some = (x != 0) | (y != 0)
                     same = ((x == y) & some).sum(axis=1)
-                    hit = same >= (least - SLACK) * some.sum(axis=1)
+                    hit = (same >= (least - SLACK) * some.sum(axis=1)) & (root[i] != root[i + shift])
                     a.append(i[hit])
                     b.append(i[hit] + shift)
+                    held += len(a[-1])
+                    if held > PAIRS:  # only what isn't yet connected is kept
+                        root = local_roots(len(frame), np.concatenate([*a, np.arange(len(frame))]), np.concatenate([*b, root]))
+                        a, b, held = [], [], 0
             if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                root = local_roots(len(frame), a, b)
-                far = np.flatnonzero(root != np.arange(len(frame)))
-                ids = frame.doc_id.to_numpy()
+                root = local_roots(len(frame), np.concatenate([*a, np.arange(len(frame))]), np.concatenate([*b, root]))
+            far = np.flatnonzero(root != np.arange(len(frame)))
+            if len(far):
                 yield pd.DataFrame({"a": ids[far], "b": ids[root[far]]}).drop_duplicates()
 
     return tiled.repartition(2 * parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
