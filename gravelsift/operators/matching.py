@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelsift.functions.text import LETTER, compact_normalize
+
 #: Which list counts if several hold a word.
 PRECEDENCE = {"WHITELIST": 0, "USER_BLACKLIST": 1, "SYSTEM_KEYWORD": 2}
 #: A lexicon of at most so many words is sent to every task; beyond, matching goes by hashed prefixes and a join.
@@ -56,6 +58,30 @@ def match_substrings(docs: DataFrame, lexicon: DataFrame, text_col: str = "text"
     return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, s int, e int, word string, wtype string")
 
 
+def match_evasions(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """Occurrences in the compact form of texts that it changes (filler between letters left out), at their places in the
+    text itself. The lexicon's size is checked as in match_substrings; a larger one must be cut first.
+    """
+    words = resolve(lexicon)
+    if words.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
+        raise ValueError(f"more than {LEXICON_ROWS} words: match the compact text with match_substrings instead")
+    shared = docs.sparkSession.sparkContext.broadcast([(r.word, r.wtype) for r in words.collect()])  # at most LEXICON_ROWS rows
+    filler = f"(?<=[{LETTER}])[^{LETTER}\\s]{{1,2}}(?=[{LETTER}])"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, cut = _finder(shared.value), re.compile(filler)
+        for frame in frames:
+            rows = []
+            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
+                gone = [m.span() for m in cut.finditer(text)]
+                kept = [i for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True) for i in range(a, b)]
+                rows += [(doc_id, kept[s], kept[e], word, wtype) for s, e, word, wtype in find("".join(text[i] for i in kept))]
+            yield pd.DataFrame(rows, columns=["doc_id", "s", "e", "word", "wtype"])
+
+    changed = docs.select("doc_id", F.col(text_col).alias("text")).where(F.col("text") != compact_normalize(F.col("text")))
+    return changed.mapInPandas(run, "doc_id long, s int, e int, word string, wtype string")
+
+
 def _finder(table: list[tuple[str, str]]):
     """text -> (s, e, word, wtype) of all occurrences."""
     if not table:

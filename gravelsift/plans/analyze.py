@@ -12,9 +12,12 @@ LEVELS = ("LOW", "MEDIUM", "HIGH")
 
 
 def first_pass(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, s, e, word, wtype of what counts: forms and substrings, on nouns, unshadowed, longest."""
+    """doc_id, s, e, word, wtype of what counts: forms, substrings and evasions, unshadowed, longest.
+
+    The built-in tokenizer calls every token a noun; with a morphology adapter's tokens put on_nouns on the substrings.
+    """
     toks = tokens.tokenize(docs)
-    found = matching.match_forms(toks, lexicon).unionByName(matching.match_substrings(docs, lexicon))
+    found = matching.match_forms(toks, lexicon).unionByName(matching.match_substrings(docs, lexicon)).unionByName(matching.match_evasions(docs, lexicon))
     return matching.longest(matching.drop_shadowed(found))
 
 

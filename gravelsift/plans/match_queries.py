@@ -27,9 +27,20 @@ OCC_SQL = """occ AS (
     UNION ALL
     SELECT doc_id, word, wtype, text, position(word IN substring(text, off + p + 1)) AS p, off + p AS off FROM occ WHERE p > 0
 ), sub AS (SELECT doc_id, off + p - 1 AS s, off + p - 2 + length(word) AS e, word, wtype FROM occ WHERE p > 0)"""
-FIRST_SQL = f"""WITH RECURSIVE {LEX_SQL}, {TOK_SQL}, {OCC_SQL}, form AS (
+EVASION_SQL = r"""kind AS (
+    SELECT doc_id, c, list_transform(c, lambda x: CASE WHEN regexp_matches(x, '^[가-힣A-Za-z]') THEN 2 WHEN regexp_matches(x, '^\s') THEN 1 ELSE 0 END) AS k
+    FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)
+), kept AS (
+    SELECT doc_id, c, list_filter(range(1, len(c) + 1), lambda i: NOT coalesce(k[i] = 0 AND ((k[i - 1] = 2 AND k[i + 1] = 2)
+        OR (k[i - 1] = 2 AND k[i + 1] = 0 AND k[i + 2] = 2) OR (k[i - 1] = 0 AND k[i - 2] = 2 AND k[i + 1] = 2)), false)) AS places FROM kind
+), norm AS (SELECT doc_id, places, array_to_string(list_transform(places, lambda i: c[i]), '') AS text FROM kept WHERE len(places) < len(c)), occ2 AS (
+    SELECT doc_id, word, wtype, text, places, position(word IN text) AS p, CAST(0 AS BIGINT) AS off FROM norm, lex WHERE position(word IN text) > 0
+    UNION ALL
+    SELECT doc_id, word, wtype, text, places, position(word IN substring(text, off + p + 1)) AS p, off + p AS off FROM occ2 WHERE p > 0
+), ev AS (SELECT doc_id, places[off + p] - 1 AS s, places[off + p + length(word) - 1] - 1 AS e, word, wtype FROM occ2 WHERE p > 0)"""
+FIRST_SQL = f"""WITH RECURSIVE {LEX_SQL}, {TOK_SQL}, {OCC_SQL}, {EVASION_SQL}, form AS (
     SELECT doc_id, start AS s, start + len - 1 AS e, word.form AS word, wtype FROM word JOIN lex ON word.form = lex.word
-), every AS (SELECT * FROM sub UNION ALL SELECT * FROM form
+), every AS (SELECT * FROM sub UNION ALL SELECT * FROM form UNION ALL SELECT * FROM ev
 ), clear AS (
     SELECT * FROM every m WHERE wtype <> 'WHITELIST' AND NOT EXISTS (SELECT 1 FROM every w WHERE w.wtype = 'WHITELIST' AND w.doc_id = m.doc_id AND w.s <= m.s AND m.e <= w.e)
 ), one AS (
@@ -94,10 +105,16 @@ def compact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(matching.match_substrings(docs, lexicon(spark), "norm"), "doc_id", "word", "wtype")
 
 
+@query(f"WITH RECURSIVE {LEX_SQL}, {EVASION_SQL} SELECT doc_id, word, wtype, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM ev GROUP BY doc_id, word, wtype")
+def evasion_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(matching.match_evasions(table(spark, sf_dir, "documents"), lexicon(spark)), "doc_id", "word", "wtype")
+
+
 @query(f"{FIRST_SQL} SELECT doc_id, word, wtype, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM clear GROUP BY doc_id, word, wtype")
 def whitelist_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = matching.match_forms(tokens.tokenize(docs), lexicon(spark)).unionByName(matching.match_substrings(docs, lexicon(spark)))
+    words = lexicon(spark)
+    found = matching.match_forms(tokens.tokenize(docs), words).unionByName(matching.match_substrings(docs, words)).unionByName(matching.match_evasions(docs, words))
     return _sums(matching.drop_shadowed(found), "doc_id", "word", "wtype")
 
 
