@@ -43,6 +43,8 @@ def test_analyze(spark):
     lex = spark.createDataFrame([("idiot", "USER_BLACKLIST"), ("tion", "SYSTEM_KEYWORD"), ("nation", "WHITELIST")], "word string, wtype string")
     got = {(r.doc_id, r.level): (r.action, r.processed_text) for r in analyze(docs, lex).collect()}
     assert got[1, "HIGH"] == ("NORMAL", "clean text") and got[3, "HIGH"] == ("NORMAL", "nation")
+    tricky = spark.createDataFrame([(1, "an id1iot"), (2, "an id!!!iot")], "doc_id long, text string")
+    assert [r.processed_text for r in analyze(tricky, lex, levels=("LOW",)).orderBy("doc_id").collect()] == ["an ******", "an id!!!iot"]
     assert got[2, "LOW"] == ("PARTIAL_MASK", "an ***** here") and got[2, "MEDIUM"] == ("FULL_BLOCK", "")
 
 
