@@ -64,14 +64,12 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     points, owner, space = points[keep], owner[keep], space[keep]
     gaps = np.concatenate([[0], np.cumsum(space)])
     rolled = points.copy()
-    n = 1
     for order in range(2, max(ORDERS) + 1):
         rolled = rolled[:-1] * np.uint64(1_000_003) + points[order - 1 :] if len(rolled) > 1 else rolled[:0]
-        n = order
         if order in ORDERS and len(rolled):
             inner = gaps[order - 1 : order - 1 + len(rolled)] - gaps[1 : 1 + len(rolled)]
             ok = np.flatnonzero(inner == 0)
-            mixed = (rolled[ok] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (rolled[ok] ^ np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
             yield owner[ok + 1], (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -165,8 +163,6 @@ def _regress(own: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray,
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` and the score (0 to 1) of every whole text."""
     spark = docs.sparkSession
-    weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[model.features] = model.weights
     shared = spark.sparkContext.broadcast((model.features, model.weights))  # at most 2^BITS numbers
     intercept = model.intercept
     plain = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_scored_text"))
