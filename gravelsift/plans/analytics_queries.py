@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravelsift.functions import scoring, text
-from gravelsift.operators import analytics, matching, tokens
+from gravelsift.operators import ai, analytics, matching, tokens
 from gravelsift.plans.match_queries import LEX_SQL, TOK_SQL, lexicon
 from gravelsift.plans.registry import query, table
+from gravelsift.sources.readers import topic
 
 _TREND = "t AS (SELECT form AS word, count(*) AS n FROM word WHERE length(form) >= 2 GROUP BY form ORDER BY n DESC, form LIMIT 20)"
 _LEVEL = "['LOW', 'MEDIUM', 'HIGH'][event_id % 3 + 1]"
@@ -140,3 +141,34 @@ SELECT l.toxic, count(*) AS n, count(*) FILTER (WHERE h) AS flagged FROM (SELECT
 def label_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = table(spark, sf_dir, "documents").select("doc_id", text.any_contains(F.col("text"), ["idiot", "trash"]).alias("h"))
     return flagged.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.count_if("h").alias("flagged"))
+
+
+@query("""
+SELECT page_id, replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/*$', 1), '_', ' ') AS topic FROM pages
+""")
+def url_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", topic(F.col("url")).alias("topic"))
+
+
+@query("SELECT lang, source, count(*) AS subscribers, count(*) FILTER (WHERE doc_id % 5 = 0) AS locked FROM documents GROUP BY lang, source")
+def hub_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = F.count("*").alias("subscribers"), F.count_if(F.col("doc_id") % 5 == 0).alias("locked")
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(*counts)
+
+
+@query("""
+SELECT p_brand, array_to_string(list_slice(t, 1, 15), ',') AS shown, greatest(len(t) - 15, 0) AS more FROM (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part GROUP BY p_brand)
+""")
+def tag_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("t"))
+    return tags.select("p_brand", F.array_join(F.slice("t", 1, 15), ",").alias("shown"), F.greatest(F.size("t") - 15, F.lit(0)).cast("long").alias("more"))
+
+
+@query("""
+SELECT event_id, 'e' || user_id AS word, 1 / (1 + exp(-l)) AS score, a * greatest(l, 0.0::DOUBLE) AS evidence
+FROM (SELECT *, (event_id % 21 - 10) / 4.0::DOUBLE AS l, (user_id % 10) / 10.0::DOUBLE AS a FROM events)
+""")
+def module_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logit, attention = (F.col("event_id") % 21 - 10) / F.lit(4.0), (F.col("user_id") % 10) / F.lit(10.0)
+    word = F.concat(F.lit("e"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", word.alias("word"), ai.sigmoid(logit).alias("score"), ai.token_evidence(attention, logit).alias("evidence"))

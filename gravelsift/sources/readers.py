@@ -60,3 +60,27 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
 
 def write_latency(samples: DataFrame, path: str) -> None:
     samples.select("id", "action", "filter_ms", "fetcher_to_filter_ms", "server_to_client_ms", "e2e_render_ms", "total_ms").write.mode("overwrite").option("header", True).csv(path)
+
+
+def topic(url):
+    """A topic's name: the last part of a URL's path, underscores as spaces."""
+    return F.replace(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]+)/*$", 1), F.lit("_"), F.lit(" "))
+
+
+def video_metadata(raw: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """raw (title, channelId, description, tags, categoryId, commentCount, topicUrls) with category, topics and a count of 0 for none.
+
+    categories: the service's few dozen names by number.
+    """
+    names = F.create_map(*(F.lit(x) for kv in categories.items() for x in kv)) if categories else F.create_map().cast("map<string,string>")
+    return raw.withColumns({
+        "category": F.coalesce(names[F.col("categoryId").cast("string")], F.lit("")),
+        "topics": F.transform(F.coalesce("topicUrls", F.array().cast("array<string>")), topic),
+        "commentCount": F.coalesce(F.col("commentCount").cast("int"), F.lit(0)),
+        "tags": F.coalesce("tags", F.array().cast("array<string>")),
+    }).drop("topicUrls")
+
+
+def of_owner(videos: DataFrame, channel_id: str) -> DataFrame:
+    """The videos of the channel that a user has shown to be theirs."""
+    return videos.where(F.col("channelId") == channel_id)
