@@ -23,14 +23,17 @@ begin with _gl_. Lines are named by a 64-bit hash where they are paired and by 1
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravelsift.llm.common import broadcast_if_small, components, materialize
 
 MAX_EDITS, MIN_CHARS = 2, 24
-#: Letters that are counted, seven at most (common ones part most lines; any are right).
-LETTERS = "entiaor"
+#: Letters that are counted (common ones part most lines; any are right).
+LETTERS = "entiaorshlducgm"
 #: Characters that the automaton reads after the common beginning of two lines before it reads them whole.
 AHEAD = 24
 
@@ -42,8 +45,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """h, sig, code of lines (h, line): twice the packed counts of letters, plus 1 for a line's own index entry (which also
-    probes) and 0 for a probe."""
+    """h, sig, role of lines (h, line): role 1 for a line's own index entry (which also probes), 0 for a probe."""
     k, made, cut = edits + 1, [], {}
     for short in range(edits + 1):
         length = F.col("n") - short
@@ -58,26 +60,14 @@ def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 fits = (F.col(f"n{short}") >= min_chars) & (place >= 0) & (place + size <= F.col("n"))
                 made.append(F.struct(F.when(fits, sig).alias("sig"), F.lit(int(short == 0 and shift == 0)).alias("role")))
     # lengths are columns of their own, so that they are counted once for a line and not for each signature
-    sized = lines.select("h", "line", F.length("line").alias("n"), _letter_counts(F.col("line")).alias("c")).withColumns(cut)
-    made = sized.select("h", "c", F.explode(F.array(*made)).alias("s")).select("h", "s.sig", (F.col("c") * 2 + F.col("s.role")).alias("code"))
-    return made.where("sig is not null")
-
+    sized = lines.select("h", "line", F.length("line").alias("n")).withColumns(cut)
+    return sized.select("h", F.explode(F.array(*made)).alias("s")).select("h", "s.sig", "s.role").where("sig is not null")
 
-def _letter_counts(line: Column) -> Column:
-    """The counts of LETTERS modulo 256, a byte for each, in a long."""
-    size, packed = F.octet_length(line), F.lit(0).cast("long")
-    for letter in LETTERS:
-        packed = packed * 256 + (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 256
-    return packed
 
-
-def _counts_apart(a: Column, b: Column) -> Column:
-    """How far two packed counts are apart at least."""
-    out = F.lit(0)
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(255)))
-        out = out + F.least(d, 256 - d)
-    return out
+def _letter_counts(line: Column, name: str) -> list[Column]:
+    """The counts of LETTERS, a column for each."""
+    size = F.octet_length(line)
+    return [(size - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).cast("int").alias(f"{name}{k}") for k, x in enumerate(LETTERS)]
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -149,15 +139,16 @@ def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     made = _signatures(distinct, max_edits, min_chars)
     met = made.withColumn("cnt", F.count("*").over(Window.partitionBy("sig"))).where("cnt > 1").drop("cnt")
     met, _ = materialize(met, "lines-signatures")
-    left = met.where("code % 2 = 1").select("sig", F.col("h").alias("x"), F.shiftright("code", 1).alias("p"))
-    right = met.select("sig", F.col("h").alias("y"), F.shiftright("code", 1).alias("q"))
-    close = _counts_apart(F.col("p"), F.col("q")) <= 2 * max_edits
-    pairs = left.join(right, "sig").where((F.col("x") != F.col("y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs, _ = materialize(pairs, "lines-candidates")
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted, _ = materialize(wanted, "lines-wanted")
+    wanted, _ = materialize(met.select("h").distinct(), "lines-wanted")
     texts = long.join(broadcast_if_small(wanted, wanted.count()), "h").groupBy("h", "g").agg(F.min("line").alias("line"))
     texts, _ = materialize(texts.select("h", "line"), "lines-texts")
+    left = met.where("role = 1").join(texts.select("h", *_letter_counts(F.col("line"), "p")), "h").withColumnRenamed("h", "x").drop("role")
+    right = met.join(texts.select("h", *_letter_counts(F.col("line"), "q")), "h").withColumnRenamed("h", "y")
+    apart = reduce(add, (F.abs(F.col(f"p{k}") - F.col(f"q{k}")) for k in range(len(LETTERS))))
+    # lines of one length index and probe alike, so their pairs are taken from one side only
+    once = (F.col("x") != F.col("y")) & ((F.col("role") == 0) | (F.col("x") < F.col("y"))) & (apart <= 2 * max_edits)
+    pairs = left.join(right, "sig").where(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs, _ = materialize(pairs, "lines-candidates")
     named = pairs.join(texts.withColumnRenamed("line", "left"), F.col("a") == F.col("h")).drop("h")
     named = named.join(texts.withColumnRenamed("line", "right"), F.col("b") == F.col("h")).drop("h")
     # most candidates part soon after their common beginning: the automaton reads a few characters there first
@@ -191,8 +182,14 @@ def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars:
     gone, _ = materialize(repeated_lines(docs, max_edits, min_chars, id_col, text_col), "lines-gone")
     gone = gone.select(F.col("doc_id").alias("_gl_id"), F.col("lines").alias("_gl_gone"))
     joined = docs.join(broadcast_if_small(gone, gone.count(), 500_000), F.col(id_col).cast("long") == F.col("_gl_id"), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gl_gone"))
-    text = F.when(F.col("_gl_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    out = joined.withColumns({"_gl_lines": F.size(lines), "_gl_dropped": F.coalesce(F.size("_gl_gone"), F.lit(0))})
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    lines, gone = F.struct(F.split(whole, "\n").alias("all")), F.col("_gl_gone")
+
+    def rest(cut: Column) -> Column:  # the lines are cut once, not for each that stays
+        left = F.array_except(F.sequence(F.lit(0), F.size(cut["all"]) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.element_at(cut["all"], i + 1)), "\n")
+
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), rest), 1))
+    count = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    out = joined.withColumns({"_gl_lines": count, "_gl_dropped": F.coalesce(F.size("_gl_gone"), F.lit(0))})
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), "_gl_lines", "_gl_dropped")
