@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import duckdb
+import pytest
 
 from gravelsift.llm import registry
 from gravelsift.llm.common import table
@@ -24,8 +25,11 @@ def test_pipeline_of_odd_documents(spark, odd_docs, no_docs):
             assert stage(spark, docs, DATA).count() >= 0
 
 
-def test_top_k_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-    want = sorted(con.execute(registry.oracle_sql()["op1_voronoi_knn"]).fetchall())
-    assert sorted(map(tuple, registry.op1_voronoi_knn(spark, DATA).collect())) == want
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, registry.queries()[name](spark, DATA).select(*columns).collect())) == sorted(want.fetchall())
