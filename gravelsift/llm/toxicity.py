@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ MAX_ROWS, MIN_DOCS, MIN_RATIO = 16_000, 4, 1.0
 #: Values are counts * UNIT / (characters + HALF).
 UNIT, HALF = 200.0, 240
 #: Texts are featurised so many characters at a time.
-CHARS = 2_000_000
+CHARS = 300_000
 
 
 @dataclass
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_c
                     "f": [own[a:b] for a, b in spans], "tf": [tf[a:b].astype(np.int32) for a, b in spans],
                 })
 
-    sample = rows.select("text", "y").mapInPandas(featurise, "y int, chars long, f array<int>, tf array<int>").persist()
+    sample = rows.select("text", "y").mapInPandas(featurise, "y int, chars long, f array<int>, tf array<int>").persist(StorageLevel.DISK_ONLY)
     n = dict(sample.groupBy("y").count().collect())
     if len(n) < 2:
         share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
