@@ -1,8 +1,9 @@
 """Token ids of whole texts, as the tokenizers library gives them, at the speed that whole corpora need.
 
 The library spends most of its time on offsets that nobody here reads. A merge vocabulary file is therefore turned
-into byte ranks for tiktoken, whose merges are the same; texts that hold a special token's string, or whose white
-space or normal form needs the library's own rules, go to the library itself. Tests compare both.
+into byte ranks for tiktoken, whose merges are the same; texts that hold a special token's string or a run of white
+space too long for tiktoken, or whose white space or normal form needs the library's own rules, go to the library
+itself. Tests compare both.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tokenizers import Tokenizer
 
 #: The pattern by which byte-level vocabularies of this kind cut a text (fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken's pattern gives up on runs of about a million white-space characters; longer runs than this go to the library.
+LONG_RUN = 100_000
 #: White space on which Python and the library differ.
 ODD_SPACE = re.compile("[\x00\x1c-\x1f\x85᠎​﻿]")
 #: A worker keeps the ids of so many words; it then starts anew. Longer words than SHORT aren't kept.
@@ -32,6 +35,11 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def has_long_run(text: str) -> bool:
+    """Whether text holds more than LONG_RUN white-space characters on end."""
+    return len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in re.finditer(r"\s+", text))
+
+
 class ByteTokenizer:
     """A byte-level merge vocabulary without word ends."""
 
@@ -45,7 +53,7 @@ class ByteTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids as unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or has_long_run(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 

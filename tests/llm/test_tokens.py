@@ -48,6 +48,13 @@ def test_byte_and_word_ids_equal_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(rows)] == [e.ids for e in word.encode_batch(rows, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u00a0", " \n"])
+def test_long_runs_of_white_space(space):
+    run = space * (2_000_000 // len(space))
+    for text in (f"a{run}b", run):
+        assert tokens.byte_tokenizer(BYTE).encode(text).tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+
+
 def test_cut():
     assert packing.cut(5000, 2048) == [2048, 2048, 512, 256, 128, 8] and packing.cut(1, 2048) == [1] and packing.cut(0, 2048) == []
     with pytest.raises(ValueError):
