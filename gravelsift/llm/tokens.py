@@ -104,7 +104,8 @@ class WordTokenizer:
         cut: list[list[str] | None] = []
         for text in texts:
             odd = ODD_SPACE.search(text) or not unicodedata.is_normalized("NFC", text) or any(s in text for s in self.special)
-            cut.append(None if odd else text.lower().split())
+            # character by character, as the library does: lower() alone writes a capital sigma at a word's end as another letter
+            cut.append(None if odd else text.replace("Σ", "σ").lower().split())
         self.learn(set().union(*(c for c in cut if c)))
         out = []
         for text, chunks in zip(texts, cut, strict=True):

@@ -55,6 +55,12 @@ def test_long_runs_of_white_space(space):
         assert tokens.byte_tokenizer(BYTE).encode(text).tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
 
 
+def test_capital_sigma():
+    rows = ["ΟΔΟΣ", "ΟΔΟΣ ΣΑΣ Σ, Σ.", "aΣ İΣ", "ὈΔΥΣΣΕΎΣ", "οδός ΟΔΟΣ's", "ΣΣ1Σ"]
+    got = tokens.word_tokenizer(WORD).encode(rows)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids for t in rows]
+
+
 def test_cut():
     assert packing.cut(5000, 2048) == [2048, 2048, 512, 256, 128, 8] and packing.cut(1, 2048) == [1] and packing.cut(0, 2048) == []
     with pytest.raises(ValueError):
