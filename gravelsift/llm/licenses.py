@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Every rule and base phrase holds one of these strings.
-GATE = ("licen", "gpl", "cc", "creative commons", "public domain", "copyright", "rights reserved")
+#: Every rule and base phrase holds one of these strings within a word, so that it doesn't matter what stands between words.
+GATE = ("licen", "gpl", "cc", "creative", "domain", "copyright", "reserved")
 
 #: Label, keyword, names as regular expressions over words, versions (with a space for each dot).
 FAMILIES = (

@@ -120,6 +120,14 @@ def test_licenses(spark, odd_docs, no_docs):
     assert len(licenses.rules()) > 300 and licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_licenses_across_breaks(spark):
+    phrases = {"released into the public domain": "public-domain", "Creative Commons Attribution 4.0": "cc-by-4.0", "all rights reserved": "all-rights-reserved"}
+    rows = [(want, phrase.replace(" ", gap)) for phrase, want in phrases.items() for gap in (" ", "\n", "-", "  ", ",\r\n\t")]
+    df = spark.createDataFrame(rows, "want string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [(got[r.doc_id].labels, got[r.doc_id].score > 0) for r in df.collect()] == [(want, True) for want, _ in rows]
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     model = toxicity.fit(docs, labels, ~registry.held_out())
