@@ -8,7 +8,8 @@ holds one of the gate's strings, and then only for the rules of the keywords amo
 the rule table, which is of fixed size. A detection that lies within another one of at least its priority is suppressed
 (of equal ones the first rule's stays), found in one pass over a document's detections sorted by their starts.
 
-Null or empty text: no words, no labels, score 0. Empty table: no rows. Repeated rows or ids: a row each. Long texts:
+Null or empty text: no words, no labels, score 0. Empty table: no rows. Null ids are found like others. Repeated rows or
+ids: a row each, with the labels of its text. Long texts:
 whole. Further columns of the input are ignored.
 """
 
@@ -134,11 +135,12 @@ def detections(spark: SparkSession, joined: DataFrame, keys: list[str]) -> DataF
     marked = gated.where(F.rlike("joined", F.col("pattern"))).select(
         *keys, "rule", "label", "priority", "score", F.posexplode(F.split(F.regexp_replace("joined", F.col("pattern"), F.lit("\x01$0\x02")), "\x01")).alias("k", "piece")
     )
+    # repeated rows have the same pieces, of which one set is placed
+    sized = marked.select(
+        *keys, "rule", "label", "priority", "score", "k", _spaces(F.col("piece")).alias("size"), _spaces(F.substring_index("piece", "\x02", 1)).alias("inner")
+    ).distinct()
     so_far = Window.partitionBy(*keys, "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        marked.withColumn("start", F.sum(_spaces(F.col("piece"))).over(so_far) - 1).where("k > 0")
-        .withColumn("end", F.col("start") + _spaces(F.substring_index("piece", "\x02", 1)))
-    )
+    placed = sized.withColumn("start", F.sum("size").over(so_far) - 1).where("k > 0").withColumn("end", F.col("start") + F.col("inner"))
     earlier = Window.partitionBy(*keys).orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = {f"_r{p}": F.max(F.when(F.col("priority") >= p, F.col("end"))).over(earlier) for p in sorted({f[0] for f in FORMS})}
     held = reduce(or_, ((F.col("priority") == p) & (F.coalesce(F.col(f"_r{p}"), F.lit(-1)) >= F.col("end")) for p in sorted({f[0] for f in FORMS})))
@@ -157,7 +159,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kept = detections(docs.sparkSession, searched, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     base = _base(F.col("joined"))
     out = rows.select("doc_id", "hash", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), joined.alias("joined"))
-    out = out.select("doc_id", "hash", "n_words", *(c.alias(n) for n, c in base.items())).join(kept, ["doc_id", "hash"], "left")
+    out = out.select("doc_id", "hash", "n_words", *(c.alias(n) for n, c in base.items()))
+    kept = kept.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.6).otherwise(0.0))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))

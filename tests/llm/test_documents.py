@@ -128,6 +128,21 @@ def test_licenses_across_breaks(spark):
     assert [(got[r.doc_id].labels, got[r.doc_id].score > 0) for r in df.collect()] == [(want, True) for want, _ in rows]
 
 
+def test_licenses_of_null_ids_and_repeated_rows(spark):
+    text = "one two three the MIT License, four Apache License 2.0 or later; five: licensed under the Apache License 2.0 and the MIT License"
+    other = "released into the public domain"
+    rows = [(1, text), (2, text), (2, text), (2, text), (2, other), (None, text), (None, text), (None, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    alone = {t: licenses.scan(df.where(F.col("text") == t).limit(1)).first() for t in (text, other)}
+    assert alone[text].labels == "apache,apache-2.0,mit" and alone[other].labels == "public-domain"
+    want = sorted((str(i), alone[t].labels, alone[t].score) for i, t in rows)
+    assert sorted((str(r.doc_id), r.labels, r.score) for r in got) == want
+    keyed = df.where("doc_id = 2").select("doc_id", F.xxhash64("text").alias("hash"), F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("joined"))
+    placed = [sorted((r.start, r.end, r.label) for r in licenses.detections(spark, k, ["doc_id", "hash"]).collect()) for k in (keyed, keyed.distinct())]
+    assert placed[0] == placed[1] != []
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     model = toxicity.fit(docs, labels, ~registry.held_out())
