@@ -3,6 +3,8 @@
 Lines (texts cut at newlines) are alike if they are equal, or if both have at least min_chars characters and differ by
 at most max_edits insertions, deletions and substitutions. Alike lines form classes (transitively); of each class the
 first line stays, by document id and line number, and the others are dropped from their documents. Blank lines stay.
+So does a line of fewer than min_chars characters, unless its document's whole text is that of an earlier document, or
+the line just before or after it is a dropped one of at least min_chars: short lines are found everywhere by chance.
 
 1. Lines become (hash, hash, length); equal lines are collapsed with a partial aggregation, so a line that a third of
    all rows hold is a row of each task.
@@ -44,6 +46,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.col("line").rlike(r"\S")).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g"))
 
 
+def _copied_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """copy: the documents of which a whole text is that of an earlier document."""
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).cast("long").alias("copy"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(5), text_col).alias("g"))
+    met = rows.groupBy("h", "g").agg(F.min("copy").alias("original"), F.max("copy").alias("last")).where("last > original")
+    met, _ = materialize(met.select("h", "g", "original"), "lines-copied-texts")
+    return rows.join(broadcast_if_small(met, met.count(), 1_000_000), ["h", "g"]).where("copy > original").select("copy").distinct()
+
+
 def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """h, sig, role of lines (h, line): role 1 for a line's own index entry (which also probes), 0 for a probe."""
     k, made, cut = edits + 1, [], {}
@@ -172,8 +183,11 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     leaders = linked.groupBy("root").agg(F.min("first").alias("leader"))
     repeated = alone.unionByName(linked.drop("first").join(leaders, "root").select("h", "g", F.col("leader").alias("first")))
     repeated, _ = materialize(repeated, "lines-repeated")
-    spots = _lines(docs, id_col, text_col).select("doc", "no", "h", "g").join(broadcast_if_small(repeated, repeated.count(), 1_000_000), ["h", "g"])
-    gone = spots.where("first.doc <> doc or first.no <> no")
+    spots = _lines(docs, id_col, text_col).select("doc", "no", "h", "g", (F.length("line") >= min_chars).alias("long"))
+    spots = spots.join(broadcast_if_small(repeated, repeated.count(), 1_000_000), ["h", "g"]).where("first.doc <> doc or first.no <> no")
+    copies, _ = materialize(_copied_texts(docs, id_col, text_col), "lines-copies")
+    beside = F.max("long").over(Window.partitionBy("doc").orderBy("no").rangeBetween(-1, 1))
+    gone = spots.select("doc", "no", beside.alias("beside")).join(broadcast_if_small(copies, copies.count()), F.col("doc") == F.col("copy"), "left").where("beside or copy is not null")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("lines")).select(F.col("doc").alias("doc_id"), "lines")  # at most a text's lines
 
 

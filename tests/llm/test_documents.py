@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,19 @@ def test_lines_of_odd_documents(odd_docs, no_docs):
     assert got[8]._gl_lines == 4 and got[8]._gl_dropped == 0
 
 
+def test_short_lines_of_clean_documents_stay(spark):
+    long = "a line of more than twenty-four characters"
+    rows = [
+        (1, f"Re.\n{long}\nA.\nUn.\nDe."), (2, "Re."), (3, "A.\nDe."), (4, f"Un.\n{long}\nRe.\nA.\nits own"), (5, "A.\nDe."), (6, f"new\n{long}"), (7, "Re.\n\nRe."), (7, "Re.\n\nRe."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: rows[0][1], 2: "Re.", 3: "A.\nDe.", 4: "A.\nits own", 5: "", 6: "new", 7: "Re.\n\nRe."}
+    got = line_dedup.drop_repeated_lines(df).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
+    left = corpus_pipeline.drop_lines(spark, df, DATA)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 6, 7, 7]
+
+
 def shingle_sets(rows):
     out = {}
     for i, t in rows:
