@@ -12,20 +12,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches of texts hold so many bytes at most.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, an own temporary folder in local mode (tests, one machine); on a cluster an error, as executors
+    wouldn't see each other's files there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="gravelsift-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gravelsift-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches, which else hold 10,000 rows, hold at most BATCH_BYTES of whole texts (or one row)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut and survives a lost executor."""
     spark = df.sparkSession
@@ -40,9 +57,52 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
-    """Hint a broadcast only for a counted table of at most `limit` narrow rows; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def hashed_sample(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The `most` rows that come first by the hash of a column (then by the column): the same at every run.
+
+    Of a large table only rows below a hash that leaves a few more than `most` are sorted, so that no task merges
+    `most` rows of each of many others.
+    """
+    n, h = rows.count(), F.xxhash64(column)
+    if n > 2 * most:
+        rows = rows.where(h < int(-(2**63) + 2**64 * (1.2 * most + 1000) / n) if 1.2 * most + 1000 < n else F.lit(True))
+    return rows.orderBy(h, column).limit(most)
+
+
+def agreed_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """doc_id, y (0 or 1) of the ids whose rows of labels all agree; ids with conflicting labels, null ids and labels go."""
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    return marked.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_other")).where("y = _other").drop("_other")
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, y, text of a bounded table of labels: a row for each id, of repeated ids the smallest text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 for a number and for each number in an array, the length of strings and binaries."""
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        kind, column = field.dataType, F.col(field.name)
+        if kind.typeName() in ("string", "binary"):
+            size = 8 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.typeName() == "array":
+            size = 8 + 8 * len(getattr(kind.elementType, "fields", "x")) * F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0))
+        else:
+            size = F.lit(8 * len(getattr(kind, "fields", "x")))
+        total = total + size
+    return total
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 48 << 20) -> DataFrame:
+    """Hint a broadcast only for a table whose measured size is at most `limit` bytes; beyond it the join shuffles.
+
+    df should be a written table: it is read once more to be measured.
+    """
+    measured = df.agg(F.sum(_width(df))).first()[0] or 0
+    return F.broadcast(df) if measured <= limit else df
 
 
 def parallelism(spark: SparkSession) -> int:

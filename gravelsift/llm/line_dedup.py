@@ -6,21 +6,24 @@ first line stays, by document id and line number, and the others are dropped fro
 So does a line of fewer than min_chars characters, unless its document's whole text is that of an earlier document, or
 the line just before or after it is a dropped one of at least min_chars: short lines are found everywhere by chance.
 
-1. Lines become (hash, hash, length); equal lines are collapsed with a partial aggregation, so a line that a third of
-   all rows hold is a row of each task.
+1. Lines are cut once to (document, number, hash, hash, whether long); equal lines are collapsed with a partial
+   aggregation, so a line that a third of all rows hold is a row of each task.
 2. Segment-partition join: a line of length n is cut into max_edits + 1 even segments; two lines within max_edits edits
    share one of them, shifted by no more than the edits allow. Each distinct line is indexed under (n, segment number,
    segment) and probes the indexes of lengths n - max_edits to n at the few places that the multi-match-aware selection
    leaves: 12 signatures a line for two edits. Signatures of one line only are dropped before lines are paired, and of
    lines under one signature only those are paired whose counts of LETTERS differ by no more than the edits allow (an
-   edit changes them by two at most), so that the many variants of one line aren't all paired with each other.
+   edit changes them by two at most), so that the many variants of one line aren't all paired with each other. A
+   signature of more than BLOCK lines is dealt to pairs of blocks, so that no task pairs all its lines.
 3. Candidates are verified by a banded bit-parallel automaton: one integer for each number of edits, one bit for each
    diagonal of the band, moved forward by one character at a time.
 4. Links are united to components.
 
 Null or empty text: one blank line, nothing dropped. Empty table: no rows. Rows of one id are one document: what is
-dropped from it is dropped from each of them. Long texts: whole. Columns of the input pass through, but for those that
-begin with _gl_. Lines are named by a 64-bit hash where they are paired and by 128 bits where they count as equal.
+dropped from it is dropped from each of them. Rows with a null id are no documents: their lines repeat nothing, nothing
+repeats them, and they are returned as they are. Long texts and long lines: whole. Columns of the input pass through, but
+for those that begin with _gl_. Lines are named by a 64-bit hash where they are paired, and by 128 bits where they count
+as equal and where classes are attached to them.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.llm.common import broadcast_if_small, components, materialize
+from gravelsift.llm.common import broadcast_if_small, components, materialize, stable_bucket
 
 MAX_EDITS, MIN_CHARS = 2, 24
 #: Letters that are counted (common ones part most lines; any are right).
 LETTERS = "entiaorshlducgm"
 #: Characters that the automaton reads after the common beginning of two lines before it reads them whole.
 AHEAD = 24
+#: Lines of one signature that are paired in one block.
+BLOCK = 2048
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,11 +57,12 @@ def _copied_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select(F.col(id_col).cast("long").alias("copy"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(5), text_col).alias("g"))
     met = rows.groupBy("h", "g").agg(F.min("copy").alias("original"), F.max("copy").alias("last")).where("last > original")
     met, _ = materialize(met.select("h", "g", "original"), "lines-copied-texts")
-    return rows.join(broadcast_if_small(met, met.count(), 1_000_000), ["h", "g"]).where("copy > original").select("copy").distinct()
+    return rows.join(broadcast_if_small(met), ["h", "g"]).where("copy > original").select("copy").distinct()
 
 
 def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """h, sig, role of lines (h, line): role 1 for a line's own index entry (which also probes), 0 for a probe."""
+    """h, entry of lines (h, line): a signature in all bits but the last, which is 1 for a line's own index entry (which
+    also probes) and 0 for a probe."""
     k, made, cut = edits + 1, [], {}
     for short in range(edits + 1):
         length = F.col("n") - short
@@ -67,12 +73,12 @@ def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
             size = base + F.when(extra + i >= k, 1).otherwise(0)
             for shift in range(max(-i, short - (k - 1 - i)), min(i, short + (k - 1 - i)) + 1):
                 place = start + shift
-                sig = F.xxhash64(f"n{short}", F.lit(i), F.substring(F.col("line"), place + 1, size))
+                sig = F.xxhash64(f"n{short}", F.lit(i), F.substring(F.col("line"), place + 1, size)).bitwiseAND(F.lit(-2))
                 fits = (F.col(f"n{short}") >= min_chars) & (place >= 0) & (place + size <= F.col("n"))
-                made.append(F.struct(F.when(fits, sig).alias("sig"), F.lit(int(short == 0 and shift == 0)).alias("role")))
+                made.append(F.when(fits, sig.bitwiseOR(F.lit(1)) if short == 0 and shift == 0 else sig))
     # lengths are columns of their own, so that they are counted once for a line and not for each signature
     sized = lines.select("h", "line", F.length("line").alias("n")).withColumns(cut)
-    return sized.select("h", F.explode(F.array(*made)).alias("s")).select("h", "s.sig", "s.role").where("sig is not null")
+    return sized.select("h", F.explode(F.array(*made)).alias("entry")).where("entry is not null")
 
 
 def _letter_counts(line: Column, name: str) -> list[Column]:
@@ -143,51 +149,54 @@ def within_edits(a: Column, b: Column, edits: int, begin: bool = False) -> Colum
 
 
 def similar_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): hashes of the pairs of different lines within max_edits edits, a < b."""
-    rows = _lines(docs, id_col, text_col)
-    long = rows.where(F.length("line") >= min_chars)
-    distinct = long.groupBy("h", "g").agg(F.min("line").alias("line"))
-    made = _signatures(distinct, max_edits, min_chars)
-    met = made.withColumn("cnt", F.count("*").over(Window.partitionBy("sig"))).where("cnt > 1").drop("cnt")
-    met, _ = materialize(met, "lines-signatures")
+    """(a, ga, b, gb): hashes of the pairs of different lines within max_edits edits."""
+    long = _lines(docs, id_col, text_col).where(F.length("line") >= min_chars).select("h", "g", "line")
+    made = _signatures(long.distinct(), max_edits, min_chars)
+    alike = F.shiftright("entry", 1)
+    met = made.withColumn("cnt", F.count("*").over(Window.partitionBy(alike))).where("cnt > 1")
+    met, _ = materialize(met.select("h", alike.alias("sig"), F.col("entry").bitwiseAND(F.lit(1)).cast("int").alias("role"), "cnt"), "lines-signatures")
     wanted, _ = materialize(met.select("h").distinct(), "lines-wanted")
-    texts = long.join(broadcast_if_small(wanted, wanted.count()), "h").groupBy("h", "g").agg(F.min("line").alias("line"))
-    texts, _ = materialize(texts.select("h", "line"), "lines-texts")
-    left = met.where("role = 1").join(texts.select("h", *_letter_counts(F.col("line"), "p")), "h").withColumnRenamed("h", "x").drop("role")
-    right = met.join(texts.select("h", *_letter_counts(F.col("line"), "q")), "h").withColumnRenamed("h", "y")
+    texts, _ = materialize(long.join(broadcast_if_small(wanted), "h").distinct(), "lines-texts")
+    dealt = met.withColumn("blocks", F.ceil(F.col("cnt") / BLOCK).cast("int")).withColumn("own", stable_bucket("h", F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.where("role = 1").join(texts.select("h", *_letter_counts(F.col("line"), "p")), "h").withColumn("to", other)
+    left = left.select("sig", F.col("own").alias("i"), F.col("to").alias("j"), F.col("h").alias("x"), *(f"p{k}" for k in range(len(LETTERS))))
+    right = dealt.join(texts.select("h", *_letter_counts(F.col("line"), "q")), "h").withColumn("to", other)
+    right = right.select("sig", F.col("to").alias("i"), F.col("own").alias("j"), F.col("h").alias("y"), "role", *(f"q{k}" for k in range(len(LETTERS))))
     apart = reduce(add, (F.abs(F.col(f"p{k}") - F.col(f"q{k}")) for k in range(len(LETTERS))))
     # lines of one length index and probe alike, so their pairs are taken from one side only
     once = (F.col("x") != F.col("y")) & ((F.col("role") == 0) | (F.col("x") < F.col("y"))) & (apart <= 2 * max_edits)
-    pairs = left.join(right, "sig").where(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = left.join(right, ["sig", "i", "j"]).where(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs, _ = materialize(pairs, "lines-candidates")
-    named = pairs.join(texts.withColumnRenamed("line", "left"), F.col("a") == F.col("h")).drop("h")
-    named = named.join(texts.withColumnRenamed("line", "right"), F.col("b") == F.col("h")).drop("h")
+    named = pairs.join(texts.select(F.col("h").alias("a"), F.col("g").alias("ga"), F.col("line").alias("left")), "a")
+    named = named.join(texts.select(F.col("h").alias("b"), F.col("g").alias("gb"), F.col("line").alias("right")), "b")
     # most candidates part soon after their common beginning: the automaton reads a few characters there first
     at = F.col("same")
     named = named.withColumn("same", common_prefix(F.col("left"), F.col("right")))
     begun = within_edits(F.substring("left", at + 1, F.lit(AHEAD + max_edits)), F.substring("right", at + 1, F.lit(AHEAD)), max_edits, begin=True)
-    alive, _ = materialize(named.where(begun).select("a", "b", "left", "right"), "lines-alive")
-    return alive.where(within_edits(F.col("left"), F.col("right"), max_edits)).select("a", "b").distinct()
+    alive, _ = materialize(named.where(begun).select("a", "ga", "b", "gb", "left", "right"), "lines-alive")
+    return alive.where(within_edits(F.col("left"), F.col("right"), max_edits)).select("a", "ga", "b", "gb").distinct()
 
 
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lines: the numbers (from 0) of the lines of a document that repeat an earlier one."""
     links, _ = materialize(similar_lines(docs, max_edits, min_chars, id_col, text_col), "lines-links")
-    roots, _ = components(links, "lines-cc")
+    roots, _ = components(links.select("a", "b"), "lines-cc")
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    seen = _lines(docs, id_col, text_col).groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n"))
-    seen, _ = materialize(seen, "lines-seen")
-    classed = seen.join(broadcast_if_small(roots, roots.count()), F.col("h") == F.col("node"), "left").drop("node")
-    alone = classed.where("root is null and n > 1").select("h", "g", "first")
+    linked_lines = links.select(F.col("a").alias("h"), F.col("ga").alias("g")).union(links.select("b", "gb")).distinct()
+    classes, _ = materialize(linked_lines.join(roots, F.col("h") == F.col("node")).select("h", "g", "root"), "lines-classes")
+    spots, _ = materialize(_lines(docs, id_col, text_col).select("doc", "no", "h", "g", (F.length("line") >= min_chars).alias("long")), "lines-spots")
+    seen = spots.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n"))
+    classed, _ = materialize(seen.join(broadcast_if_small(classes), ["h", "g"], "left").where("root is not null or n > 1"), "lines-seen")
+    alone = classed.where("root is null").select("h", "g", "first")
     linked = classed.where("root is not null")
     leaders = linked.groupBy("root").agg(F.min("first").alias("leader"))
     repeated = alone.unionByName(linked.drop("first").join(leaders, "root").select("h", "g", F.col("leader").alias("first")))
     repeated, _ = materialize(repeated, "lines-repeated")
-    spots = _lines(docs, id_col, text_col).select("doc", "no", "h", "g", (F.length("line") >= min_chars).alias("long"))
-    spots = spots.join(broadcast_if_small(repeated, repeated.count(), 1_000_000), ["h", "g"]).where("first.doc <> doc or first.no <> no")
+    spots = spots.join(broadcast_if_small(repeated), ["h", "g"]).where("first.doc <> doc or first.no <> no")
     copies, _ = materialize(_copied_texts(docs, id_col, text_col), "lines-copies")
     beside = F.max("long").over(Window.partitionBy("doc").orderBy("no").rangeBetween(-1, 1))
-    gone = spots.select("doc", "no", beside.alias("beside")).join(broadcast_if_small(copies, copies.count()), F.col("doc") == F.col("copy"), "left").where("beside or copy is not null")
+    gone = spots.select("doc", "no", beside.alias("beside")).join(broadcast_if_small(copies), F.col("doc") == F.col("copy"), "left").where("beside or copy is not null")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("lines")).select(F.col("doc").alias("doc_id"), "lines")  # at most a text's lines
 
 
@@ -195,7 +204,7 @@ def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars:
     """The columns of docs, its texts without repeated lines, with _gl_lines and _gl_dropped (numbers of lines)."""
     gone, _ = materialize(repeated_lines(docs, max_edits, min_chars, id_col, text_col), "lines-gone")
     gone = gone.select(F.col("doc_id").alias("_gl_id"), F.col("lines").alias("_gl_gone"))
-    joined = docs.join(broadcast_if_small(gone, gone.count(), 500_000), F.col(id_col).cast("long") == F.col("_gl_id"), "left")
+    joined = docs.join(broadcast_if_small(gone), F.col(id_col).cast("long") == F.col("_gl_id"), "left")
     whole = F.coalesce(F.col(text_col), F.lit(""))
     lines, gone = F.struct(F.split(whole, "\n").alias("all")), F.col("_gl_gone")
 
