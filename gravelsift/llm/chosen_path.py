@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.llm.common import broadcast_if_small, components, group_slices, local_roots, materialize, parallelism, stable_bucket, whole_groups
+from gravelsift.llm.common import bounded_batches, broadcast_if_small, components, group_slices, local_roots, materialize, parallelism, stable_bucket, whole_groups
 from gravelsift.llm.shingles import mix, parts, shingles, token_sets
 
 RUNS, SMALL, DEPTH, BINS, SLACK, BLOCK, TILE = 10, 512, 5, 64, 0.2, 256, 1024
@@ -115,7 +115,7 @@ def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text
                     out += [(doc_id, f1, sketch, x, path["cnt"]) for x in b.tolist()]
             yield pd.DataFrame(out, columns=["doc_id", "f1", "sketch", "bucket", "parent"])
 
-    joined = texts.join(broadcast_if_small(own, own.count(), 300_000), "doc_id")
+    joined = texts.join(broadcast_if_small(own), "doc_id")
     return joined.mapInPandas(run, "doc_id long, f1 long, sketch binary, bucket long, parent long")
 
 
@@ -172,7 +172,7 @@ def _verify(docs: DataFrame, members: DataFrame, least: float, id_col: str, text
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = (
-        texts.join(broadcast_if_small(tiled, members.count(), 1_000_000), "doc_id")
+        texts.join(broadcast_if_small(tiled), "doc_id")
         .withColumn("other", F.explode("others"))
         .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "f1", "w", "text")
     )
@@ -230,6 +230,7 @@ def _compare(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_links (other documents of at least that similarity), component_id (smallest id reachable), kept."""
+    bounded_batches(docs.sparkSession)
     described, _ = materialize(describe(docs, least, id_col, text_col), "paths-sets")
     least_row = F.min(F.struct("f1", "f2", "n", "sketch", "buckets")).alias("x")
     one = described.groupBy("doc_id").agg(least_row).select("doc_id", "x.*")

@@ -5,8 +5,8 @@ fit, then the binary digits of the rest, longest first. Each piece is a sequence
 documents and none holds padding; a batch takes sequences of one length. Sequences are numbered by length (longest
 first), document and start, so equal lengths lie together.
 
-Null text: as an empty one (the end id alone: one piece of length 1). Empty table: no rows. Repeated rows or ids: each
-row is packed. Long texts: whole. Further columns of the input are ignored, whatever their names.
+Null text: as an empty one (the end id alone: one piece of length 1). Empty table: no rows. Null ids: packed like
+others. Repeated rows or ids: each row is packed; the pieces of one id, length and start are numbered by what they hold. Long texts: whole. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravelsift.llm.common import materialize
+from gravelsift.llm.common import bounded_batches, materialize
 from gravelsift.llm.tokens import byte_tokenizer
 
 
@@ -48,6 +48,7 @@ def split_documents(
                         start += length
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
@@ -59,7 +60,9 @@ def number_sequences(pieces: DataFrame) -> DataFrame:
     which would cut all texts again; the sorted ones are written too, and only the rows of each range are counted.
     """
     pieces, _ = materialize(pieces, "pieces-cut")
-    ordered = pieces.repartitionByRange(F.desc("length"), "doc_id", "start").sortWithinPartitions(F.desc("length"), "doc_id", "start")
+    ties = [c for c in ("ids_crc32", "ids") if c in pieces.columns][:1]  # rows of one id with different texts
+    order = [F.desc("length"), "doc_id", "start", *ties]
+    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
     written, _ = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     at = written.withColumn("_range", F.shiftright("_at", 33))
     counts = sorted(at.groupBy("_range").count().collect())

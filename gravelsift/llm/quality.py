@@ -1,17 +1,18 @@
 """Document quality by hierarchical empirical Bayes.
 
 1. Evidence: a logistic regression over plain shape features of the whole text, counted in Arrow batches, fitted on a bounded
-   sample of labelled rows (max_rows, in the order of a hash of the id).
+   sample of labelled rows (max_rows, in the order of a hash of the id). It is computed once for each row and written.
 2. Sites: for each path (host and section) and each host, the number of documents and the sum of their probabilities,
    by grouped aggregation over all documents (partial sums before the shuffle, so a hot host costs nothing more).
 3. Shrinkage: a host's mean is drawn to the global one, a path's to its host's, each with the strength that the
    variance between sites suggests (method of moments), so sparse sites follow their prior.
 4. Score: the evidence's log-odds plus how much the path's log-odds, without the document itself, exceed the global ones.
 
-Null or empty text: features of an empty text. Null host or section: a site of their own. Labels null or other than 0
-and 1: not trained on. No labelled rows, or one class only: the evidence is that class's share. Repeated rows or ids: a
-row each. Empty table: no rows. Columns of the input pass through `decide` whatever their names, but for those that
-begin with _gq_.
+Null or empty text: features of an empty text. Null host or section: a site of their own. Null ids: decided on like
+others, never trained on. Labels null or other than 0 and 1, and ids whose labels conflict: not trained on. No labelled
+rows, or one class only: the evidence is that class's share. Repeated rows or ids: a row each (an id is trained on once,
+with its smallest text). Very long texts: whole. Equal scores: decided on alike. Empty table: no rows. Columns of the
+input pass through `decide` whatever their names, but for those that begin with _gq_.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravelsift.llm.common import broadcast_if_small
+from gravelsift.llm.common import agreed_labels, bounded_batches, broadcast_if_small, hashed_sample, labelled_texts, materialize
 
 MAX_ROWS = 20_000
 #: Documents of a score below this go.
@@ -83,15 +84,15 @@ def shape_features(texts: list[str]) -> np.ndarray:
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Evidence:
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    chosen = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded by max_rows
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    bounded_batches(docs.sparkSession)
+    chosen = hashed_sample(agreed_labels(labels, id_col, label_col), "doc_id", max_rows)
+    own = labelled_texts(docs, chosen, id_col, text_col)
 
     def shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"y": frame.y, "x": list(shape_features(frame.text.fillna("").tolist()))})
+            yield pd.DataFrame({"y": frame.y, "x": list(shape_features(frame.text.tolist()))})
 
-    rows = own.mapInPandas(shape, "y int, x array<double>").toPandas()  # max_rows rows of numbers (more only if ids repeat)
+    rows = own.select("y", "text").mapInPandas(shape, "y int, x array<double>").toPandas()  # at most max_rows rows of numbers
     n, y = FEATURES, rows.y.to_numpy(float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
@@ -143,27 +144,32 @@ def sites(evidence: DataFrame) -> tuple[DataFrame, float, float, int]:
 
     evidence: _gq_host, _gq_section, _gq_p.
     """
-    paths = evidence.groupBy("_gq_host", "_gq_section").agg(F.sum("_gq_p").alias("s"), F.count("*").alias("n")).persist()
+    paths, _ = materialize(evidence.groupBy("_gq_host", "_gq_section").agg(F.sum("_gq_p").alias("s"), F.count("*").alias("n")), "quality-paths")
     hosts = paths.groupBy("_gq_host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     whole = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
     mean = whole.s / whole.n if whole.n else 0.5
     host_strength, path_strength = _strength(hosts, "hs", "hn"), _strength(paths)
     named = hosts.select("_gq_host", ((F.col("hs") + host_strength * mean) / (F.col("hn") + host_strength)).alias("_gq_host_mean"))
-    rows = paths.count()
-    out = paths.join(broadcast_if_small(named, rows), "_gq_host").select("_gq_host", "_gq_section", F.col("s").alias("_gq_s"), F.col("n").alias("_gq_n"), "_gq_host_mean")
-    return out, path_strength, float(mean), rows
-
-
-def decide(docs: DataFrame, model: Evidence, host: Column, section: Column, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of docs with _gq_evidence, _gq_host_mean, _gq_path_mean (without the row itself), _gq_score, _gq_keep."""
-    keys = docs.withColumns({
-        "_gq_host": F.coalesce(host.cast("string"), F.lit("")), "_gq_section": F.coalesce(section.cast("string"), F.lit("")),
-        "_gq_z": evidence_logit(F.col(text_col), model),
-    })
-    keys = keys.withColumn("_gq_p", 1 / (1 + F.exp(-F.col("_gq_z"))))
-    paths, strength, mean, rows = sites(keys.select("_gq_host", "_gq_section", "_gq_p"))
-    joined = keys.join(broadcast_if_small(paths, rows), ["_gq_host", "_gq_section"])
+    out = paths.join(named, "_gq_host").select("_gq_host", "_gq_section", F.col("s").alias("_gq_s"), F.col("n").alias("_gq_n"), "_gq_host_mean")
+    out, _ = materialize(out, "quality-sites")
+    return out, path_strength, float(mean), paths.count()
+
+
+def decide(
+    docs: DataFrame, model: Evidence, host: Column, section: Column, text_col: str = "text", least: float = LEAST, keep: list[str] | None = None
+) -> DataFrame:
+    """The columns `keep` of docs (by default all) with _gq_evidence, _gq_host_mean, _gq_path_mean (without the row itself), _gq_score, _gq_keep."""
+    bounded_batches(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    found = docs.select(
+        *keep, F.coalesce(host.cast("string"), F.lit("")).alias("_gq_host"), F.coalesce(section.cast("string"), F.lit("")).alias("_gq_section"),
+        evidence_logit(F.col(text_col), model).alias("_gq_z"),
+    )
+    found, _ = materialize(found, "quality-evidence")  # the classifier reads each text once
+    found = found.withColumn("_gq_p", 1 / (1 + F.exp(-F.col("_gq_z"))))
+    paths, strength, mean, _ = sites(found.select("_gq_host", "_gq_section", "_gq_p"))
+    joined = found.join(broadcast_if_small(paths), ["_gq_host", "_gq_section"])
     alone = (F.col("_gq_s") - F.col("_gq_p") + strength * F.col("_gq_host_mean")) / (F.col("_gq_n") - 1 + strength)
     z = F.col("_gq_z") + _logit(alone) - _logit(F.lit(mean))
     out = joined.withColumns({"_gq_path_mean": alone, "_gq_score": 1 / (1 + F.exp(-z))}).withColumn("_gq_keep", F.col("_gq_score") >= least)
-    return out.select(*docs.columns, F.col("_gq_p").alias("_gq_evidence"), "_gq_host_mean", "_gq_path_mean", "_gq_score", "_gq_keep")
+    return out.select(*keep, F.col("_gq_p").alias("_gq_evidence"), "_gq_host_mean", "_gq_path_mean", "_gq_score", "_gq_keep")

@@ -60,7 +60,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality.fit_evidence(docs, table(spark, sf_dir, "labels"))
-    found = quality.decide(docs, model, F.col("source"), F.col("lang"))
+    found = quality.decide(docs, model, F.col("source"), F.col("lang"), keep=["doc_id"])
     names = {"_gq_evidence": "evidence", "_gq_host_mean": "host_mean", "_gq_path_mean": "path_mean", "_gq_score": "score", "_gq_keep": "keep"}
     return found.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 

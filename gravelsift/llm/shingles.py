@@ -8,7 +8,9 @@ import numpy as np
 
 WORDS = 5
 #: Texts are read so many characters at a time.
-CHARS = 1_000_000
+CHARS = 300_000
+#: Powers that a worker keeps; those for longer texts are made anew.
+KEPT = 1 << 20
 #: Bits of a token in the sorted keys of `token_sets`; the rest number the text.
 TOKEN_BITS = 44
 
@@ -30,16 +32,17 @@ def _word_table() -> np.ndarray:
 
 
 _WORD = _word_table()
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
+_kept: list[np.ndarray] = []
 
 
-def _grow(n: int) -> None:
+def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base, and their inverses, for texts of n characters."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        steps = np.full(2 * n, _BASE, dtype=np.uint64), np.full(2 * n, _INVERSE, dtype=np.uint64)
-        _powers, _inverses = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), s])) for s in steps)
+    if _kept and len(_kept[0]) >= n:
+        return _kept
+    made = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, x, dtype=np.uint64)])) for x in (_BASE, _INVERSE)]
+    if len(made[0]) <= KEPT:
+        _kept[:] = made
+    return made
 
 
 def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -60,14 +63,14 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if not len(points):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    _grow(len(points) + 1)
+    powers, inverses = _powers(len(points) + 1)
     word = np.where(points < 1 << 16, _WORD[np.minimum(points, 0xFFFF)], True)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points.astype(np.uint64) * _powers[: len(points)], dtype=np.uint64)])
-    hashed = mix((total[end] - total[start]) * _inverses[start])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points.astype(np.uint64) * powers[: len(points)], dtype=np.uint64)])
+    hashed = mix((total[end] - total[start]) * inverses[start])
     begins = np.cumsum([0, *(len(t) + 1 for t in lower)])
     owner = np.searchsorted(begins, start, side="right") - 1
     n = np.bincount(owner, minlength=len(texts))

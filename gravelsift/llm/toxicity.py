@@ -1,16 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features: the n-grams of 3 to 6 characters of the lower-case text that lie in one word, a space standing for each of its
-ends, hashed to 2^22 numbers; their values are their counts by the text's length (plus HALF characters, so that a short
+Features: the n-grams of 3 to 6 characters of the text that lie in one word, a space standing for each of its ends, hashed to 2^22 numbers; their values are their counts by the text's length (plus HALF characters, so that a short
 text isn't judged by one n-gram). Training, on a bounded sample of labelled rows (max_rows, taken in the order of a hash
 of the id, so that the sample is the same at every run): r = log of the ratio of a feature's smoothed shares of all
 n-grams of the two classes; features seen in fewer than MIN_DOCS rows or with |r| < MIN_RATIO drop out; logistic
 regression with an L2 penalty over the features scaled by r. The sample is featurised in tasks, the fit on its reduced
 matrix runs on the driver; scoring sums weights from one bounded table over every n-gram of the whole text.
 
-Null or empty text: no features; its score is that of the intercept. Labels null: not trained on. No labelled row, or
-only one class: every score is that class's share. Repeated rows or ids: a row each. Empty table: no rows. Further
-columns of the input are ignored; columns named keep pass through `score` unchanged.
+Null or empty text: no features; its score is that of the intercept. Labels null or other than 0 and 1, ids whose
+labels conflict, and null ids: not trained on. No labelled row, or only one class: every score is that class's share.
+Repeated rows or ids: a row each (an id is trained on once, with its smallest text). Very long texts: whole, read in
+parts cut at spaces. Empty table: no rows. Further columns of the input are ignored; columns named keep pass through
+`score` unchanged.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gravelsift.llm.common import agreed_labels, bounded_batches, hashed_sample, labelled_texts
+
 BITS = 22
 ORDERS = (3, 4, 5, 6)
 MAX_ROWS, MIN_DOCS, MIN_RATIO = 16_000, 4, 1.0
@@ -74,38 +77,57 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield owner[ok + 1], (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHARS characters, each with its first place."""
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars > CHARS:
-            yield start, texts[start : i + 1]
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+def _cut(text: str) -> Iterator[str]:
+    """A long text in parts of at most CHARS characters, cut at spaces (a longer word stays whole): the n-grams are the same."""
+    start = 0
+    while len(text) - start > CHARS:
+        at = max(text.rfind(" ", start + 1, start + CHARS), text.rfind("\n", start + 1, start + CHARS))
+        if at < 0:
+            at = min((x for x in (text.find(" ", start + CHARS), text.find("\n", start + CHARS)) if x >= 0), default=len(text))
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(numbers of texts, their parts) of about CHARS characters at a time; a text's parts follow each other."""
+    own: list[int] = []
+    parts: list[str] = []
+    chars = 0
+    for i, text in enumerate(texts):
+        for part in [text] if len(text) <= CHARS else _cut(text):
+            if chars + len(part) > CHARS and parts:
+                yield np.array(own), parts
+                own, parts, chars = [], [], 0
+            own.append(i)
+            parts.append(part)
+            chars += len(part)
+    if parts:
+        yield np.array(own), parts
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learn from labelled rows; train_on: a condition on the id column that rows must meet."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    bounded_batches(docs.sparkSession)
+    marked = agreed_labels(labels, id_col, label_col)
     if train_on is not None:
         marked = marked.where(train_on)
-    chosen = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded by max_rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = labelled_texts(docs, hashed_sample(marked, "doc_id", max_rows), id_col, text_col)  # at most max_rows rows
 
     def featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start, texts in _parts(frame.text.tolist()):
-                pairs = [o << BITS | f for o, f in features(texts)]
-                both, tf = np.unique(np.concatenate(pairs) if pairs else np.empty(0, np.int64), return_counts=True)
-                cut = np.searchsorted(both >> BITS, np.arange(len(texts) + 1)).tolist()
-                own = (both & ((1 << BITS) - 1)).astype(np.int32)
-                spans = list(zip(cut, cut[1:], strict=False))
-                yield pd.DataFrame({
-                    "y": frame.y.to_numpy()[start : start + len(texts)], "chars": [len(t) for t in texts],
-                    "f": [own[a:b] for a, b in spans], "tf": [tf[a:b].astype(np.int32) for a, b in spans],
-                })
+            texts, y = frame.text.tolist(), frame.y.to_numpy()
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for own, parts in _parts(texts):
+                pairs = [own[o] << BITS | f for o, f in features(parts)]
+                held.append(np.unique(np.concatenate(pairs) if pairs else np.empty(0, np.int64), return_counts=True))
+            keys, counts = (np.concatenate(x) if held else np.empty(0, np.int64) for x in (zip(*held, strict=True) if held else ((), ())))
+            both, back = np.unique(keys, return_inverse=True)  # a text that was cut has its n-grams in several parts
+            tf = np.bincount(back, counts, minlength=len(both)).astype(np.int32)
+            cut = np.searchsorted(both >> BITS, np.arange(len(texts) + 1)).tolist()
+            names = (both & ((1 << BITS) - 1)).astype(np.int32)
+            spans = list(zip(cut, cut[1:], strict=False))
+            yield pd.DataFrame({"y": y, "chars": [len(t) for t in texts], "f": [names[a:b] for a, b in spans], "tf": [tf[a:b] for a, b in spans]})
 
     sample = rows.select("text", "y").mapInPandas(featurise, "y int, chars long, f array<int>, tf array<int>").persist(StorageLevel.DISK_ONLY)
     n = dict(sample.groupBy("y").count().collect())
@@ -164,6 +186,7 @@ def _regress(own: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray,
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` and the score (0 to 1) of every whole text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.features, model.weights))  # at most 2^BITS numbers
     intercept = model.intercept
     plain = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_scored_text"))
@@ -172,12 +195,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         table = np.zeros(1 << BITS, dtype=np.float32)
         table[shared.value[0]] = shared.value[1]
         for frame in frames:
-            z = np.full(len(frame), intercept)
-            for start, texts in _parts(frame._scored_text.tolist()):
-                sums = np.zeros(len(texts))
-                for o, f in features(texts):
-                    sums += np.bincount(o, table[f], minlength=len(texts))
-                z[start : start + len(texts)] += sums * UNIT / (np.array([len(t) for t in texts]) + HALF)
+            texts = frame._scored_text.tolist()
+            sums = np.zeros(len(texts))
+            for own, parts in _parts(texts):
+                for o, f in features(parts):
+                    sums += np.bincount(own[o], table[f], minlength=len(texts))
+            z = intercept + sums * UNIT / (np.array([len(t) for t in texts]) + HALF)
             frame = frame.drop(columns="_scored_text")
             frame[name] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield frame
