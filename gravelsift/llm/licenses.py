@@ -1,11 +1,11 @@
 """License scans by ordered signature rules, in built-in functions only.
 
 Words are runs of characters other than ASCII control characters, spaces and punctuation, with A-Z in lower case. Base
-places are those where a base phrase's words stand consecutively. The rules, some hundreds of regular expressions over
-the words joined by spaces, are made from a table of license families (names, versions, identifiers) and of the ways in
-which a license is invoked (FORMS); each has a keyword, a label, a priority and a score. A text is searched only if it
-holds one of the gate's strings, and then only for the rules of the keywords among its words, by an equality join with
-the rule table, which is of fixed size. A detection that lies within another one of at least its priority is suppressed
+places are those where a base phrase's words stand consecutively. The rules are some hundreds of regular expressions over
+the words joined by spaces: written notices, exceptions, identifiers and short names (license_rules.py), and the names of
+license families (FAMILIES) in the ways in which a license is invoked (FORMS). Each has a keyword, a label, a priority
+and a score. A text is searched only if it holds one of the gate's strings, and then only for the rules of the keywords
+among its words, by an equality join with the rule table, which is of fixed size. A detection that lies within another one of at least its priority is suppressed
 (of equal ones the first rule's stays), found in one pass over a document's detections sorted by their starts.
 
 Null or empty text: no words, no labels, score 0. Empty table: no rows. Null ids are found like others. Repeated rows or
@@ -15,17 +15,26 @@ whole. Further columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gravelsift.llm import license_rules
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Every rule and base phrase holds one of these strings within a word, so that it doesn't matter what stands between words.
-GATE = ("licen", "gpl", "cc", "creative", "domain", "copyright", "reserved")
+#: Every rule and base phrase holds one of these strings within a word, so that it doesn't matter what stands between words,
+#: or one of the short identifiers as a word before a version.
+GATE = (
+    "licen", "gpl", "cc", "creative", "domain", "copyright", "reserved", "spdx", "hereby", "redistribut", "warrant", "noninfring", "misrepresented", "wtfpl", "beer", "bsd",
+    "perl", "ruby", "openssl", "confidential", "prohibited", "permission", "vorbehalten", "reservados", "droits", "exception", "syscall", "advertis", "endorse",
+    "consequential", "unencumbered", "mulan", "0bsd", "cecill", "sspl", "odbl", "pddl", "ncsa", "hpnd", "zlib", "postgresql", "artistic", "blueoak", "invariant", "waived",
+)
+SHORT_GATE = r"(?i)(?<![a-z0-9])(?:mpl(?![a-z0-9])|(?:afl|mpl|epl|eupl|cddl|cpl|ecl|gfdl|bsl|busl|osl|ofl|ms|php|psf|python|apache|upl|zpl|mit)[\x00-/:-@\x5b-\x60{-\x7f]+(?:[0-9]|pl|rl))"
 
 #: Label, keyword, names as regular expressions over words, versions (with a space for each dot).
 FAMILIES = (
@@ -94,13 +103,35 @@ FORMS = (
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(number, keyword, pattern over words between spaces, label, priority, score) of every rule, in order."""
-    out = []
+    out: list[tuple[int, str, str, str, int, float]] = []
+
+    def add(keyword: str, pattern: str, label: str, priority: int, score: float) -> None:
+        out.append((len(out), keyword, f"(?<= ){pattern}(?= )", label, priority, score))
+
+    for block, priority, score in ((license_rules.NOTICES, 6, 0.98), (license_rules.EXCEPTIONS, 2, 0.7)):
+        for line in block.strip().splitlines():
+            label, keyword, pattern = line.split(" | ")
+            add(keyword, pattern, label, priority, score)
+    for line in license_rules.IDENTIFIERS.strip().splitlines():
+        label, name = line.split(" ")
+        words = re.findall(WORD, name.lower())
+        add("spdx", f"spdx license identifier {' '.join(words)}", label, 7, 1.0)
+        add("spdx", f"(?:or|and|with) {' '.join(words)}", label, 7, 1.0)  # further parts of an expression
+        if len(words) > 1:  # a bare word is no identifier
+            add(words[0], " ".join(words), label, 3, 0.85)
+            add(words[0], f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{' '.join(words)}", label, 4, 0.95)
+        else:
+            add(words[0], f"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{words[0]}", label, 4, 0.95)
+        add(words[0], f"licen[cs]es? {' '.join(words)}", label, 3, 0.85)
+    for line in license_rules.SHORT_NAMES.strip().splitlines():
+        label, word = line.split(" ")
+        add(word, word, label, 2, 0.8)
     for label, keyword, name, versions in FAMILIES:
         for priority, score, form in FORMS:
             for version in versions if "VERSION" in form else ("",):
                 pattern = form.replace("NAME", name).replace("VERSION", version.replace(" 0", "(?: 0)?") if version.endswith(" 0") else version)
                 named = f"{label}-{version.replace(' ', '.')}" if version else label
-                out.append((len(out), keyword, f"(?<= ){pattern}(?= )", named, priority, score))
+                add(keyword, pattern, named, priority, score)
     return out
 
 
@@ -142,8 +173,9 @@ def detections(spark: SparkSession, joined: DataFrame, keys: list[str]) -> DataF
     so_far = Window.partitionBy(*keys, "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.sum("size").over(so_far) - 1).where("k > 0").withColumn("end", F.col("start") + F.col("inner"))
     earlier = Window.partitionBy(*keys).orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    reach = {f"_r{p}": F.max(F.when(F.col("priority") >= p, F.col("end"))).over(earlier) for p in sorted({f[0] for f in FORMS})}
-    held = reduce(or_, ((F.col("priority") == p) & (F.coalesce(F.col(f"_r{p}"), F.lit(-1)) >= F.col("end")) for p in sorted({f[0] for f in FORMS})))
+    ranks = sorted({r[4] for r in rules()})
+    reach = {f"_r{p}": F.max(F.when(F.col("priority") >= p, F.col("end"))).over(earlier) for p in ranks}
+    held = reduce(or_, ((F.col("priority") == p) & (F.coalesce(F.col(f"_r{p}"), F.lit(-1)) >= F.col("end")) for p in ranks))
     return placed.withColumns(reach).where(~held).select(*keys, "start", "end", "label", "priority", "score")
 
 
@@ -152,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     plain = F.lower("text")
-    gate = reduce(or_, (F.contains(plain, F.lit(g)) for g in GATE))
+    gate = reduce(or_, (F.contains(plain, F.lit(g)) for g in GATE)) | F.col("text").rlike(SHORT_GATE)
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     joined = F.when(gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), " "), F.lit(" ")))
     searched = rows.where(gate).select("doc_id", "hash", joined.alias("joined"))
