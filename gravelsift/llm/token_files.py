@@ -6,11 +6,14 @@ skippable frame lists the documents (id, first id in the file, number of ids, fr
 seek table: compressed size, size and checksum (the low 32 bits of XXH64 of the content) of each frame, and the footer.
 A reader takes the table from the end of the file, decompresses only the frames it needs and checks each of them.
 
-Files are written by tasks to temporary names and renamed when whole; only those that a finished task reports are in
-the manifest, so a lost executor or a second attempt leaves no wrong file behind.
-
-Null text: as an empty one (the end id alone). Empty table: no files and no rows. Repeated ids: each row is stored, by
-id and then text. Long texts: whole, in a frame of their own. Further columns of the input are ignored.
+Files are written by tasks to temporary names and renamed when whole; a task begins another file when one holds
+FILE_BYTES of ids, so files don't grow with the table. Only files that a finished task reports are in the manifest, so a
+lost executor or a second attempt leaves no wrong file behind. The manifest has each file's first and last document, by
+which wanted documents are looked up: only files that may hold one are opened, and only frames that do are decompressed.
+
+Null text: as an empty one (the end id alone). Empty table: no files and no rows. Null ids: stored first. Repeated ids:
+each row is stored, by id and then text. Long texts: whole, in a frame of their own (of 4 GB of ids at most, as frame
+headers count in 32 bits; longer ones raise). Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +30,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.llm.common import materialize, parallelism, shared_dir
+from gravelsift.llm.common import BATCH_BYTES, bounded_batches, materialize, parallelism, shared_dir, whole_groups
 from gravelsift.llm.tokens import word_tokenizer
 
 #: Fixed values of the file format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_FOOTER, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: A frame is closed when it holds so many bytes of ids.
 FRAME_BYTES = 1 << 18
+#: A file is closed when it holds so many bytes of ids.
+FILE_BYTES = 1 << 29
 LEVEL = 3
+#: What a null id is stored as.
+NULL_ID = -(2**63)
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("n", "<i8"), ("frame", "<i8")])
 
 
@@ -48,6 +55,8 @@ class FrameWriter:
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
 
     def add(self, doc_id: int, data: bytes) -> None:
+        if len(data) >= 1 << 32:
+            raise ValueError(f"document {doc_id} has more ids than a frame can hold")
         if self.held and self.held_bytes + len(data) > FRAME_BYTES:
             self.flush()
         self.index.append((doc_id, self.ids, len(data) // 4, len(self.sizes)))
@@ -111,67 +120,119 @@ class FrameReader:
             yield doc_id, start, content[4 * (start - base) : 4 * (start - base + n)]
 
 
+MANIFEST = "file string, part long, n_docs long, n_ids long, first_doc long, last_doc long, first_id long"
+
+
 def write_token_files(
     docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    files: int | None = None,
+    files: int | None = None, file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Write the ids of all documents, in ascending order of ids, and return the manifest.
 
-    Manifest: file, part (the files' order), n_docs, n_ids, first_id (ids in all files before it). path: a folder that
-    the whole cluster reaches; by default one in the shared folder.
+    Manifest: file, part (the files' order), n_docs, n_ids, first_doc, last_doc, first_id (ids in all files before it).
+    path: a folder that the whole cluster reaches; by default one in the shared folder. files: how many tasks write.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(files or parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part = context.partitionId()
+        part, count = context.partitionId(), 0
         tokenizer, end = word_tokenizer(tokenizer_path), int(end_id).to_bytes(4, "little")
         store, folder = pafs.FileSystem.from_uri(path)
-        name, writer, sink = f"{folder}/part-{part:06d}-{context.taskAttemptId()}.zst", None, None
+        name, writer, sink = "", None, None
+
+        def finish() -> pd.DataFrame:
+            writer.close()
+            sink.close()
+            store.move(f"{name}.tmp", name)
+            return pd.DataFrame({
+                "file": [name.rpartition("/")[2]], "part": [(part << 32) + count], "n_docs": [len(writer.index)], "n_ids": [writer.ids],
+                "first_doc": [writer.index[0][0]], "last_doc": [writer.index[-1][0]],
+            })
+
         for frame in frames:
             for k in range(0, len(frame), 1000):
                 some = frame.iloc[k : k + 1000]
-                if writer is None:
-                    store.create_dir(folder, recursive=True)
-                    sink = store.open_output_stream(f"{name}.tmp", compression=None)
-                    writer = FrameWriter(sink)
                 for doc_id, data in zip(some.doc_id.tolist(), tokenizer.encode(some.text.tolist()), strict=True):
+                    if writer is None:
+                        store.create_dir(folder, recursive=True)
+                        name = f"{folder}/part-{part:06d}-{count:05d}-{context.taskAttemptId()}.zst"
+                        sink = store.open_output_stream(f"{name}.tmp", compression=None)
+                        writer = FrameWriter(sink)
                     writer.add(doc_id, data + end)
+                    if 4 * writer.ids >= file_bytes:
+                        yield finish()
+                        writer, count = None, count + 1
         if writer:
-            writer.close()
-            sink.close()
-            store.move(f"{name}.tmp", name)
-            yield pd.DataFrame({"file": [name.rpartition("/")[2]], "part": [part], "n_docs": [len(writer.index)], "n_ids": [writer.ids]})
+            yield finish()
 
-    manifest, _ = materialize(ordered.mapInPandas(run, "file string, part long, n_docs long, n_ids long"), "manifest")
+    manifest, _ = materialize(ordered.mapInPandas(run, MANIFEST.rpartition(",")[0]), "manifest")
     rows, total = [], 0
     for r in manifest.orderBy("part").collect():  # a row for each file
-        rows.append((f"{path}/{r.file}", r.part, r.n_docs, r.n_ids, total))
+        rows.append((f"{path}/{r.file}", r.part, r.n_docs, r.n_ids, r.first_doc, r.last_doc, total))
         total += r.n_ids
-    return spark.createDataFrame(rows, "file string, part long, n_docs long, n_ids long, first_id long")
+    return spark.createDataFrame(rows, MANIFEST)
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Per document of the manifest's files: doc_id, start (ids of all documents before it), ids (binary)."""
+def read_token_files(spark: SparkSession, manifest: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Per document of the manifest's files: doc_id, start (ids of all documents before it), ids (binary).
+
+    wanted: a table of doc_id; only those documents are read, each row that is stored of them once. Ids that no file
+    holds give no row.
+    """
+    ids = "doc_id long, start long, ids binary"
+
+    def rows_of(file: str, first: int, some: set[int] | None) -> Iterator[pd.DataFrame]:
+        store, name = pafs.FileSystem.from_uri(file)
+        with store.open_input_file(name) as source:
+            rows, held = [], 0
+            for doc_id, start, data in FrameReader(source).documents(some):
+                rows.append((None if doc_id == NULL_ID else doc_id, first + start, data))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield _frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _frame(rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, first in zip(frame.file, frame.first_id.tolist(), strict=True):
-                store, name = pafs.FileSystem.from_uri(file)
-                with store.open_input_file(name) as source:
-                    rows = []
-                    for doc_id, start, data in FrameReader(source).documents():
-                        rows.append((doc_id, first + start, data))
-                        if len(rows) >= 2000:
-                            yield pd.DataFrame(rows, columns=["doc_id", "start", "ids"])
-                            rows = []
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "ids"])
-
-    files = manifest.select("file", "first_id").repartition(parallelism(spark), "file")
-    return files.mapInPandas(run, "doc_id long, start long, ids binary")
+                yield from rows_of(file, first, None)
+
+    if wanted is None:
+        return manifest.select("file", "first_id").repartition(parallelism(spark), "file").mapInPandas(run, ids)
+
+    listed = manifest.select("file", "first_id", "first_doc", "last_doc").orderBy("part").toPandas()  # a row for each file
+    shared = spark.sparkContext.broadcast(listed)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last = shared.value.first_doc.to_numpy(), shared.value.last_doc.to_numpy()
+        for frame in frames:
+            doc_id = frame.doc_id.to_numpy()
+            low, high = np.searchsorted(last, doc_id, side="left"), np.searchsorted(first, doc_id, side="right")
+            n = np.maximum(high - low, 0)  # several files only for an id that reaches over their borders
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame({"file": np.repeat(low, n) + within, "doc_id": np.repeat(doc_id, n)})
+
+    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["file"]):
+            for file, own in frame.groupby("file"):
+                at = shared.value.iloc[int(file)]
+                yield from rows_of(at.file, int(at.first_id), set(own.doc_id.tolist()))
+
+    asked = wanted.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")).distinct()
+    placed = asked.mapInPandas(place, "file long, doc_id long").repartition(parallelism(spark), "file").sortWithinPartitions("file")
+    return placed.mapInPandas(look_up, ids)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    doc_id, start, data = zip(*rows, strict=True)
+    return pd.DataFrame({"doc_id": pd.array(doc_id, dtype="Int64"), "start": start, "ids": data})
