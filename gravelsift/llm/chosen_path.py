@@ -3,7 +3,7 @@
 1. Each document becomes the set of its distinct five-word shingles, and gets a fingerprint of the set, a sketch of BINS
    bytes and, for each of RUNS runs, the paths of length 1 that it takes: a token is chosen if a hash of it is below
    1 / (least * size of the set), so sets that share enough tokens meet in some bucket. Equal sets are collapsed.
-2. Buckets of one set are dropped. A bucket of more than SMALL sets is split again: its members read their tokens once
+2. Buckets are counted with a partial aggregation and those of one set dropped. A bucket of more than SMALL sets is split again: its members read their tokens once
    more and choose the next token of the path, and so on down to DEPTH tokens, or until a split leaves over half of a
    bucket together (copies of each other, which no token parts).
 3. Small buckets, and those that are large still (dealt to pairs of blocks), are compared by brute force on sketches, whose estimate must reach `least` less SLACK; only a spanning set of candidate links leaves a task.
@@ -15,8 +15,8 @@ A pair of similarity s meets in a run on the first level with probability 1 - ex
 so ten runs miss one in 60,000; on the third level it is 0.44, and ten runs miss one in 300. No bucket is capped.
 
 Words are runs of letters and digits in lower case. A text of one to four words has one shingle of them all; a text
-without words (null, empty) links with nothing. Rows of one id are one document (that of the smallest fingerprint).
-Empty table: no rows. Ties: a component is named by its smallest id. Further columns are ignored.
+without words (null, empty) links with nothing. Rows of one id are one document (that of the smallest fingerprint), with
+one row in the result. Rows with a null id are no documents and have no row. Long texts: whole. Empty table: no rows. Ties: a component is named by its smallest id. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gravelsift.llm.common import bounded_batches, broadcast_if_small, components, group_slices, local_roots, materialize, parallelism, stable_bucket, whole_groups
@@ -106,14 +106,17 @@ def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for text, doc_id, f1, sketch, paths in zip(frame.text, frame.doc_id, frame.f1, frame.sketch, frame.paths, strict=True):
-                _, token = token_sets([text])
-                limit = _limits(np.array([len(token)]), least)
-                for path in paths:
-                    _, b = _choose(np.zeros(len(token), np.int64), token, limit, _seed(np.array([path["bucket"]])))
-                    out += [(doc_id, f1, sketch, x, path["cnt"]) for x in b.tolist()]
-            yield pd.DataFrame(out, columns=["doc_id", "f1", "sketch", "bucket", "parent"])
+            for first, texts in parts(frame.text.tolist()):
+                some, out = frame.iloc[first : first + len(texts)], []
+                owner, tokens = token_sets(texts)
+                cut = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+                limits = _limits(np.diff(cut), least)
+                for k, (doc_id, f1, sketch, paths) in enumerate(zip(some.doc_id, some.f1, some.sketch, some.paths, strict=True)):
+                    token = tokens[cut[k] : cut[k + 1]]
+                    for path in paths:
+                        _, b = _choose(np.zeros(len(token), np.int64), token, limits[k : k + 1], _seed(np.array([path["bucket"]])))
+                        out += [(doc_id, f1, sketch, x, path["cnt"]) for x in b.tolist()]
+                yield pd.DataFrame(out, columns=["doc_id", "f1", "sketch", "bucket", "parent"])
 
     joined = texts.join(broadcast_if_small(own), "doc_id")
     return joined.mapInPandas(run, "doc_id long, f1 long, sketch binary, bucket long, parent long")
@@ -237,19 +240,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     one, _ = materialize(one, "paths-docs")
     classes = one.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"))
     classes, _ = materialize(classes, "paths-classes")
-    reps = one.join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id")
+    reps, _ = materialize(one.join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id"), "paths-reps")
 
     level = reps.select("doc_id", "f1", "sketch", F.explode("buckets").alias("bucket"), F.lit(None).cast("long").alias("parent"))
     edges = None
     for depth in range(1, DEPTH + 1):
-        counted = level.withColumn("cnt", F.count("*").over(Window.partitionBy("bucket"))).where("cnt > 1")
+        counts, _ = materialize(level.groupBy("bucket").agg(F.count("*").alias("cnt")).where("cnt > 1"), f"paths-counts-{depth}")
+        counted = level.join(broadcast_if_small(counts), "bucket")
         together = F.coalesce(F.col("cnt") > 0.5 * F.col("parent"), F.lit(False))
         counted, _ = materialize(counted.withColumn("split", (F.col("cnt") > SMALL) & ~together & F.lit(depth < DEPTH)), f"paths-{depth}")
         found = _candidates(counted.where("not split"), least)
         edges = found if edges is None else edges.unionByName(found)
         if counted.where("split").isEmpty():
             break
-        level = _children(docs, counted.where("split"), least, id_col, text_col)
+        level, _ = materialize(_children(docs, counted.where("split"), least, id_col, text_col), f"paths-level-{depth}")
 
     clusters, _ = components(edges, "paths-clusters")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
