@@ -4,21 +4,23 @@ Inner products are turned into distances: with M at least every candidate's norm
 (x, sqrt(M^2 - |x|^2)) and a query q becomes (q, 0), so |q' - x'|^2 = |q|^2 + M^2 - 2 q.x: the k largest products are the
 k nearest neighbours. Then, as in the Voronoi kNN join:
 
-1. pivots: a bounded number of candidates, taken in the order of a hash;
+1. pivots: about the square root of the number of candidates, at most PIVOTS, taken in the order of a hash;
 2. every vector goes to its nearest pivot's cell, with its distance to that pivot;
 3. summaries by cell: queries' count and radius; candidates' k smallest distances to the pivot;
 4. bounds: a query cell's k-th neighbour is no further than theta = the k-th smallest of
    radius + |pivot, pivot'| + |pivot', candidate| over all cells' summaries;
 5. a candidate is needed by a query cell only if its distance to its own pivot is at least
    |pivot, pivot'| - radius - theta (triangle inequality), and is sent only to groups of query cells that need it;
-6. each block of queries meets each block of the candidates sent to its group; a block's k best are merged.
+6. candidates lie in blocks of whole cells, and a query goes only to blocks of cells that its group's bound reaches; a
+   block's k best are merged.
 
-Queries are taken in blocks of at most QUERIES_A_BLOCK rows; candidates are dealt to blocks by a hash of their id, so a
-cell that holds a third of all rows is as even as any other. Scores are exact integer products; distances only prune,
-with a slack for rounding.
+Queries are taken in blocks of at most QUERIES_A_BLOCK rows, candidates in blocks of about ROWS_A_BLOCK; a cell of more
+rows is dealt to blocks of its own by a hash of the id, so one that holds a third of all rows is as even as any other.
+Scores are exact integer products; distances only prune, with a slack for rounding.
 
 Vectors that are null, empty or hold null or non-finite components take no part; vectors of other lengths than a query's
-aren't its candidates. A row isn't its own candidate (same id); of rows with one id the smallest vector counts. Ties go to the smaller id.
+aren't its candidates. A row isn't its own candidate (same id); of rows with one id the smallest vector counts. Rows with
+a null id take no part. Ties go to the smaller id.
 Fewer candidates than k: all of them. Empty table: no rows. Further columns are ignored. Scores must fit a long.
 """
 
@@ -32,10 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.llm.common import materialize, parallelism, stable_bucket
+from gravelsift.llm.common import hashed_sample, materialize, parallelism, stable_bucket
 
-QUERIES_A_BLOCK = 1024
-ROWS_A_BLOCK = 8192
+PIVOTS = 512
+QUERIES_A_BLOCK = 4096
+ROWS_A_BLOCK = 32_768
+#: Scores are held for so many queries at a time.
+SCORED = 128
 #: Relative slack of the pruning bounds.
 SLACK = 1e-9
 
@@ -62,11 +67,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole_components(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.where("v is not null and id is not null").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    rows = rows.where("v is not null and id is not null")
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():  # vectors move only if ids do repeat
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     rows = rows.withColumn("dim", F.size("v"))
     rows, _ = materialize(rows, "knn-rows")
     found = None
@@ -79,12 +86,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 64, i
     return found
 
 
-def _one_length(rows: DataFrame, k: int, n_pivots: int) -> DataFrame:
+def _one_length(rows: DataFrame, k: int, n_pivots: int | None) -> DataFrame:
     spark = rows.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     size = rows.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("nq"), F.max(norm).alias("top")).first()
     top = size.top * (1 + SLACK)
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()  # bounded by n_pivots
+    n_pivots = n_pivots or min(PIVOTS, max(16, int(size.n**0.5)))
+    chosen = hashed_sample(rows.select("id", "v"), "id", n_pivots).select("v").collect()  # bounded by PIVOTS
     centers = _lifted(np.array([r.v for r in chosen]), top, False)
     between = _distances(centers, centers)
 
@@ -125,11 +133,22 @@ def _one_length(rows: DataFrame, k: int, n_pivots: int) -> DataFrame:
     cells = sorted((r.cell, r.n, r.far) for r in by if r.q)
     if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    near = [(r.cell, np.array(r.near)) for r in by if not r.q]
+    own = sorted((r.cell, r.n, r.far, np.array(r.near)) for r in by if not r.q)
     slack = SLACK * (1 + np.sqrt(top)) + 1e-6
 
+    # blocks of candidates, filled cell by cell; a cell of more rows than a block has several of its own
+    wished = min(ROWS_A_BLOCK, max(128, ceil(size.n / parallelism(spark))))
+    block, held, places = 0, 0, {}
+    for cell, n, _, _ in own:
+        if held and held + n > wished:
+            block, held = block + 1, 0
+        places[cell] = (block, ceil(n / wished))
+        held += n
+        if n > wished:
+            block, held = block + ceil(n / wished), 0
+
     # groups of query cells, filled one after the other; a cell that is larger than a block has several blocks
-    needed, blocks, groups = [], {}, {}
+    blocks, groups, low = {}, {}, {}
     group, held = 0, 0
     for cell, n, far in cells:
         if held and held + n > QUERIES_A_BLOCK:
@@ -137,45 +156,52 @@ def _one_length(rows: DataFrame, k: int, n_pivots: int) -> DataFrame:
         held += n
         groups[cell] = group
         blocks[group] = ceil(held / QUERIES_A_BLOCK)
-        bound = np.sort(np.concatenate([far + between[cell, c] + x for c, x in near]))
+        bound = np.sort(np.concatenate([far + between[cell, c] + x for c, _, _, x in own]))
         theta = bound[k] if len(bound) > k else np.inf
-        needed += [(group, c, max(0.0, float(between[cell, c] - far - theta - slack))) for c, _ in near]
-    low: dict[tuple[int, int], float] = {}
-    for g, c, least in needed:
-        low[g, c] = min(least, low.get((g, c), np.inf))
-
-    pairs = F.broadcast(spark.createDataFrame([(g, c, v, blocks[g]) for (g, c), v in low.items()], "grp int, cell int, least double, blks int"))
+        for c, _, reach, _ in own:
+            least = max(0.0, float(between[cell, c] - far - theta - slack))
+            if least <= reach:  # else no candidate of that cell is needed
+                low[group, c] = min(least, low.get((group, c), np.inf))
+
+    sent = [(g, c, v, blocks[g], *places[c]) for (g, c), v in low.items()]  # at most a row for each pair of pivots
+    pairs = F.broadcast(spark.createDataFrame(pd.DataFrame(sent, columns=["grp", "cell", "least", "blks", "first", "parts"]), "grp int, cell int, least double, blks int, first int, parts int"))
+    visits = sorted({(g, *places[c]) for g, c in low})
+    visits = F.broadcast(spark.createDataFrame(pd.DataFrame(visits, columns=["grp", "first", "parts"]), "grp int, first int, parts int"))
     of_cell = F.broadcast(spark.createDataFrame([(c, g, blocks[g]) for c, g in groups.items()], "cell int, grp int, blks int"))
-    n_blocks = max(ceil(size.n / ROWS_A_BLOCK), min(ceil(size.n / 128), parallelism(spark)))
     queries = (
-        celled.where("q").join(of_cell, "cell").withColumn("blk", stable_bucket("id", F.col("blks")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("grp", "blk", "part", "id", "v")
+        celled.where("q").join(of_cell, "cell").withColumn("blk", stable_bucket("id", F.col("blks")).cast("int")).join(visits, "grp")
+        .withColumn("part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))).select("grp", "blk", "part", "id", "v")
     )
     candidates = (
-        celled.where("not q").withColumn("part", stable_bucket("id", n_blocks).cast("int"))
-        .join(pairs, "cell").where("d >= least")
+        celled.where("not q").join(pairs, "cell").where("d >= least")
+        .withColumn("part", (F.col("first") + stable_bucket("id", F.col("parts"))).cast("int"))
         .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
         .select("grp", "blk", "part", F.col("id").alias("cid"), F.col("v").alias("cv"))
     )
 
     def solve(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(cs):
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if len(qs) and len(cs):
+            ids, b = cs.cid.to_numpy(), _matrix(cs.cv, np.int64)
+            top_b = float(np.abs(b).max())
+            real = b.astype(float)
+            for at in range(0, len(qs), SCORED):
+                a = _matrix(qs.v.iloc[at : at + SCORED], np.int64)
+                small = float(np.abs(a).max()) * top_b * a.shape[1] < 2**52
+                scores = (a.astype(float) @ real.T).astype(np.int64) if small else a @ b.T
+                for q, s in zip(qs.id.iloc[at : at + SCORED].tolist(), scores, strict=True):
+                    names = ids
+                    if (same := ids == q).any():
+                        s, names = s[~same], ids[~same]
+                    keep = np.arange(len(s))
+                    if len(s) > k:  # all that reach the k-th score, so that ties are settled by id
+                        keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                        keep = keep[np.lexsort((names[keep], -s[keep]))][:k]
+                    out.append((q, names[keep], s[keep]))
+        if not out:
             return pd.DataFrame(columns=["query_id", "vec_id", "score"])
-        ids, a, b = cs.cid.to_numpy(), _matrix(qs.v, np.int64), _matrix(cs.cv, np.int64)
-        small = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**52
-        score = (a.astype(float) @ b.T.astype(float)).astype(np.int64) if small else a @ b.T
-        own = qs.id.to_numpy()[:, None] == ids[None]
-        out = []
-        for q, s, o in zip(qs.id.tolist(), score, own, strict=True):
-            s = np.delete(s, np.flatnonzero(o)) if o.any() else s
-            names = ids[~o] if o.any() else ids
-            if len(s) > k:  # all that reach the k-th score, so that ties are settled by id
-                keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                keep = keep[np.lexsort((names[keep], -s[keep]))][:k]
-            else:
-                keep = np.arange(len(s))
-            out.append(pd.DataFrame({"query_id": q, "vec_id": names[keep], "score": s[keep]}))
-        return pd.concat(out)
+        query, names, scores = zip(*out, strict=True)
+        return pd.DataFrame({"query_id": np.repeat(query, [len(n) for n in names]), "vec_id": np.concatenate(names), "score": np.concatenate(scores)})
 
     best = queries.groupBy("grp", "blk", "part").cogroup(candidates.groupBy("grp", "blk", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
