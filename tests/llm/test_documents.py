@@ -134,6 +134,55 @@ def test_licenses(spark, odd_docs, no_docs):
     assert len(licenses.rules()) > 300 and licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
 
 
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+    "in the Software without restriction"
+)
+BSD = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (MIT, "mit"), (BSD, "bsd"), ("# SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("Licensed under the EPL-2.0", "epl-2.0"), ("GPLv3", "gpl-3"), ("WTFPL", "wtfpl"),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"), ("GPL-2.0 WITH Classpath-exception-2.0", "classpath-exception,gpl-2"), ("licensed under the MIT", "mit"),
+    ("Tous droits r\u00e9serv\u00e9s", "all-rights-reserved"), ("same terms as Perl itself", ""), ("under the same terms as Perl itself", "perl"), ("er kam mit dem Zug, das Apache Zelt", ""),
+])
+def test_signatures(spark, text, want):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == want
+
+
+def test_every_rule_passes_the_gate():
+    """No rule can match a text that the gate turns away: each holds one of its strings, or a short identifier."""
+    for _, keyword, pattern, label, *_ in licenses.rules():
+        literal = re.sub(r"\(\?[^)]*\)\??|\[[^\]]*\]|\.\{[^}]*\}\??", " ", pattern)
+        assert any(g in literal or g in keyword for g in licenses.GATE) or re.search(licenses.SHORT_GATE, literal), (label, pattern)
+
+
+def test_licenses_against_brute_force(spark):
+    """Base columns of whole documents, and which detections stay, by plain loops."""
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    rows += [(10**9, f"{MIT} MIT License. {BSD} apache license 2.0 or later, CC-BY-SA 4.0 cc by 4.0 mit license mit license")]
+    rules = [(n, k, re.compile(p), *x) for n, k, p, *x in licenses.rules()]
+    want = {}
+    for i, text in rows:
+        words = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = {m: [k for k in range(len(words)) if words[k : k + len(p.split())] == p.split()] for p, m in licenses.BASE.items()}
+        flat = [k for ks in places.values() for k in ks]
+        joined, present, found = f" {' '.join(words)} ", set(words), []
+        for n, keyword, pattern, label, priority, score in rules if flat or "licen" in joined or "copyright" in joined or i == 10**9 or i % 7 == 0 else []:
+            if keyword in present:
+                for m in pattern.finditer(joined):
+                    found.append((joined.count(" ", 0, m.start()) - 1, -(joined.count(" ", 0, m.end()) - 1), -priority, n, label, score))
+        kept = [x for x in found if not any(y[:4] < x[:4] and y[1] <= x[1] and y[2] <= x[2] for y in found)]
+        base = sorted(m for m, ks in places.items() if ks)
+        more = {x[4] for x in kept}
+        scored = max([x[5] for x in kept] + [0.6 if flat else 0.0])
+        want[i] = (len(words), len(flat), min(flat, default=None), max(flat, default=None), ",".join(base), *((",".join(sorted({*base, *more})), scored) if found or flat else ("", 0.0)))
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    looked = {i for i, t in rows if i % 7 == 0 or want[i][1] or i == 10**9}
+    assert {i: g[:5] for i, g in got.items()} == {i: w[:5] for i, w in want.items()}
+    assert {i: got[i] for i in looked} == {i: want[i] for i in looked}
+
+
 def test_licenses_across_breaks(spark):
     phrases = {"released into the public domain": "public-domain", "Creative Commons Attribution 4.0": "cc-by-4.0", "all rights reserved": "all-rights-reserved"}
     rows = [(want, phrase.replace(" ", gap)) for phrase, want in phrases.items() for gap in (" ", "\n", "-", "  ", ",\r\n\t")]

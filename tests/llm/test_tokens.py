@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -61,6 +62,34 @@ def test_capital_sigma():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids for t in rows]
 
 
+def test_every_character():
+    """Each character of Unicode, alone and between others; Greek words in capitals; combining marks."""
+    own, library = tokens.word_tokenizer(WORD), Tokenizer.from_file(WORD)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [" ".join(f"{chr(c)} A{chr(c)}b 7{chr(c)}" for c in points[k : k + 64]) for k in range(0, 0x3400, 64)]
+    rows += [f"x{chr(c)}Y" for c in points[0x3400:0xAC00:41] + points[0xF900:0x20000:7]] + ["ΟΔΟΣ ΑΘΗΝΑΣ", "e\u0301 Z\u0301", "\u0558\u208f \ua7cb\U00010940"]
+    got = own.encode(rows)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    for kind, path in ((tokens.ByteTokenizer, WORD), (tokens.WordTokenizer, BYTE)):
+        with pytest.raises(ValueError):
+            kind(path)
+    data = json.load(open(BYTE))
+    data["model"]["merges"][:2] = data["model"]["merges"][1::-1]
+    (tmp_path / "v.json").write_text(json.dumps(data))
+    with pytest.raises(ValueError):
+        tokens.ByteTokenizer(str(tmp_path / "v.json"))
+
+
+def test_a_word_of_a_million_characters():
+    for word in ("ab" * 500_000, "é" * 1_000_000):
+        assert tokens.byte_tokenizer(BYTE).encode(word).tolist() == Tokenizer.from_file(BYTE).encode(word, add_special_tokens=False).ids
+        got = np.frombuffer(tokens.word_tokenizer(WORD).encode([word])[0], "<u4").tolist()
+        assert got == Tokenizer.from_file(WORD).encode(word, add_special_tokens=False).ids
+
+
 def test_cut():
     assert packing.cut(5000, 2048) == [2048, 2048, 512, 256, 128, 8] and packing.cut(1, 2048) == [1] and packing.cut(0, 2048) == []
     with pytest.raises(ValueError):
@@ -89,6 +118,13 @@ def test_files(spark, odd_docs, no_docs):
     assert [r.doc_id for r in got] == [i for i, _ in want]
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == ids
     assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    small = token_files.write_token_files(odd_docs, WORD, 2, files=2, file_bytes=1000)
+    assert small.count() > 3 and [(r.doc_id, r.start, r.ids) for r in token_files.read_token_files(spark, small).orderBy("start").collect()] == [(r.doc_id, r.start, r.ids) for r in got]
+    asked = spark.createDataFrame([(1,), (7,), (7,), (99,)], "doc_id long")
+    some = token_files.read_token_files(spark, small, asked).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.ids) for r in some] == [(r.doc_id, r.start, r.ids) for r in got if r.doc_id in (1, 7)]
+    unnamed = token_files.write_token_files(odd_docs.selectExpr("cast(null as long) doc_id", "text"), WORD, 2)
+    assert {r.doc_id for r in token_files.read_token_files(spark, unnamed).collect()} == {None} and unnamed.first().n_docs > 0
     empty = token_files.write_token_files(no_docs, WORD, 2)
     assert empty.count() == 0 and token_files.read_token_files(spark, empty).count() == 0
 
@@ -102,7 +138,11 @@ def test_frames_are_checked_and_read_alone():
     writer.close()
     reader = token_files.FrameReader(io.BytesIO(sink.getvalue()))
     assert {i: d for i, _, d in reader.documents()} == data
+    opened = []
+    whole, reader.frame = reader.frame, lambda k: opened.append(k) or whole(k)
     assert [(i, zlib.crc32(d)) for i, _, d in reader.documents({5})] == [(5, zlib.crc32(data[5]))]
+    assert opened == [reader.index["frame"][5]]  # the frame that holds it, and no other
+    reader.frame = whole
     broken = bytearray(sink.getvalue())
     broken[reader.places[2] + 40] ^= 1
     bad = token_files.FrameReader(io.BytesIO(bytes(broken)))
