@@ -65,16 +65,30 @@ def matrix_action(level: Column, kind: Column) -> Column:
     return out
 
 
-def decide(level: Column, found: Column, blacklist: Column, trigger: Column) -> Column:
-    return F.when(~found, "NORMAL").otherwise(matrix_action(level, category(blacklist, trigger)))
+def decide(level: Column, found: Column, blacklist: Column, trigger: Column, override: Column | None = None) -> Column:
+    """The action of a level; an override (null: none) comes before all else."""
+    action = F.when(~found, "NORMAL").otherwise(matrix_action(level, category(blacklist, trigger)))
+    return action if override is None else F.coalesce(override, action)
 
 
 def ai_action(level: Column) -> Column:
     return F.when(level == "LOW", AI_ACTION["LOW"]).when(level == "MEDIUM", AI_ACTION["MEDIUM"]).otherwise(AI_ACTION["HIGH"])
 
 
-def render(action: Column, text: Column, masked: Column) -> Column:
-    return F.when(action == "FULL_BLOCK", "").when(action == "PARTIAL_MASK", masked).otherwise(text)
+def render(action: Column, text: Column, masked: Column, override: Column | None = None) -> Column:
+    """What is shown: nothing of a blocked text, but the masked one where the action was overridden."""
+    shown = F.when(action == "FULL_BLOCK", "").when(action == "PARTIAL_MASK", masked).otherwise(text)
+    return shown if override is None else F.when(override.isNotNull(), masked).otherwise(shown)
+
+
+def derive_policy(level: Column, score: Column, text: Column, masked: Column, found: Column, ai: Column, blacklist: Column, trigger: Column, general: Column) -> Column:
+    """struct<action, processed_text, score> as a client derives it from an analysed comment for its own level.
+
+    ai: whether module names are attached; they come before words. found: whether words were detected.
+    """
+    action = F.when(ai, ai_action(level)).otherwise(decide(level, found, blacklist, trigger))
+    raised = F.when(found | ai, client_score(score, level, ai, blacklist, general)).otherwise(score)
+    return F.struct(action.alias("action"), render(action, text, masked).alias("processed_text"), raised.alias("score"))
 
 
 def client_score(score: Column, level: Column, ai: Column, blacklist: Column, general: Column) -> Column:

@@ -1,9 +1,10 @@
-"""Text functions: Column in, Column out, built-in expressions only. Offsets count Unicode code points."""
+"""Text functions: Column in, Column out, built-in expressions but for nfkc and span_mask. Offsets count Unicode code points."""
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +50,18 @@ def legacy_normalize(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^가-힣a-zA-Z0-9\s]", "")
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode form NFKC, which has no built-in function: ASCII texts pass as they are, others go to Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return run(text)
+
+
 def text_key(text: Column) -> Column:
-    """Lower case without spaces, zero-width characters, punctuation and symbols; the input should be in NFKC."""
+    """Lower case without spaces, zero-width characters, punctuation and symbols; for other input than NFKC put nfkc first."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "(?U)[\\s​-‏⁠︎️﻿]", ""), r"[\p{P}\p{S}]", "")
 
 
@@ -65,6 +76,12 @@ def decompose(ch: Column) -> Column:
     return F.when((code >= 0) & (code < 11172), parts).otherwise(ch)
 
 
+def code_point(code: Column) -> Column:
+    """The character of a code point from U+0800 to U+FFFF, by its UTF-8 bytes (the built-in chr stops at 255)."""
+    parts = (F.lit(0xE0) + F.floor(code / 4096), F.lit(0x80) + F.floor(code / 64) % 64, F.lit(0x80) + code % 64)
+    return F.decode(F.unhex(F.concat(*(F.lpad(F.hex(x), 2, "0") for x in parts))), "UTF-8")
+
+
 def fold_tense(text: Column) -> Column:
     return F.translate(text, TENSE, PLAIN)
 
@@ -93,18 +110,31 @@ def token_mask(text: Column, tokens: Column) -> Column:
 
 
 def span_mask(text: Column, spans: Column, keep_spaces: bool = False) -> Column:
-    """Stars over spans (array<struct<s, e>>, e inclusive), which are sorted by s and don't overlap.
+    """Stars over spans (array<struct<s, e>>, e inclusive), which are sorted by s; they may overlap.
 
-    The text is put together from the pieces between the spans, so the work grows with the text, not text times spans.
+    Cutting a string at a place reads it from its beginning, so built-in expressions would read a text once for each span;
+    here it is cut once, in Arrow batches.
     """
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def add(acc: Column, span: Column) -> Column:
-        inner = F.substring(text, span["s"] + 1, span["e"] - span["s"] + 1)
-        stars = F.regexp_replace(inner, r"\S" if keep_spaces else "(?s).", "*")
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, span["s"] - acc["at"]), stars).alias("out"), (span["e"] + 1).cast("int").alias("at"))
-
-    return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        masked = []
+        for whole, s, e in zip(texts, starts, ends, strict=True):
+            if whole is None or s is None:
+                masked.append(whole)
+                continue
+            out, at = [], 0
+            for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                a = max(a, at)
+                if b >= a:
+                    inner = whole[a : b + 1]
+                    out += [whole[at:a], "".join([c if c.isspace() else "*" for c in inner]) if keep_spaces else "*" * len(inner)]
+                    at = b + 1
+            out.append(whole[at:])
+            masked.append("".join(out))
+        return pd.Series(masked, dtype=object)
+
+    return run(text, spans["s"], spans["e"])
 
 
 def keyword_ratio(masked: Column, text: Column) -> Column:
@@ -145,8 +175,18 @@ def query_parameter(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def clean_word(word: Column, lower: bool = True) -> Column:
-    return F.lower(F.trim(word)) if lower else F.trim(word)
+    return F.lower(strip(word)) if lower else strip(word)
+
+
+def star_all(text: Column) -> Column:
+    """Every character but white space as a star."""
+    return F.regexp_replace(text, f"(?U)[^{SPACE}]", "*")
 
 
 def signature(**lists: Column) -> Column:
@@ -155,5 +195,6 @@ def signature(**lists: Column) -> Column:
 
 
 def any_contains(text: Column, words: list[str]) -> Column:
-    """Whether any non-empty word is in the text, upper and lower case apart."""
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words if w), F.lit(False))
+    """Whether any non-empty word is in the text, upper and lower case apart: one condition over an array, for any number."""
+    real = [w for w in words if w]
+    return F.exists(F.array(*map(F.lit, real)), lambda w: F.contains(text, w)) if real else F.lit(False)

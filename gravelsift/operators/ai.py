@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelsift.functions.text import keyword_ratio, span_mask, star_all, strip
+
 #: The modules and their thresholds.
 MODULES = ("basic", "criticism", "family", "pii", "politics", "sexual", "spam")
 HIT = {"spam": 0.70, "pii": 0.80}
 MASK = {"basic": 0.15, "sexual": 0.20, "criticism": 0.40, "politics": 0.20, "family": 1.50}
 BLOCKING = ("spam", "pii")
 GATE, UNSURE = 0.3, (0.3, 0.7)
+#: The share of stars from which the first pass stands alone, and what a blocked message shows.
+RATIO, BLOCK_TEXT = 0.30, "[안전 정책에 따라 차단된 메시지]"
 
 
 def should_run(masked_ratio: Column, text: Column) -> Column:
     """The second pass reads texts whose first-pass stars cover less than 0.3 of them."""
-    return (masked_ratio < 0.30) & (F.length(F.trim(text)) > 0)
+    return (masked_ratio < RATIO) & (F.length(strip(text)) > 0)
 
 
 def service_should_run(opted_in: Column, modules: Column, blacklist: Column, trigger: Column) -> Column:
-    return opted_in & (F.length(F.trim(F.coalesce(modules, F.lit("")))) > 0) & ~blacklist & ~trigger
+    return opted_in & (F.length(strip(F.coalesce(modules, F.lit("")))) > 0) & ~blacklist & ~trigger
 
 
 def hits(scores: Column, threshold: float = 0.8) -> Column:
@@ -49,18 +53,35 @@ def resolve(found: Column, scores: Column) -> Column:
     return F.array_compact(F.array(*(F.when(on[m], F.lit(m)) for m in MODULES)))
 
 
+def left_scores(scores: Column, found: Column, resolved: Column) -> Column:
+    """The score map without the modules that the conflict rules dropped."""
+    dropped = F.array_except(found, resolved)
+    return F.map_filter(scores, lambda k, v: ~F.array_contains(dropped, k))
+
+
+def mean_over(scores: Column, threshold: float = 0.8) -> Column:
+    """The mean of the scores that reach the threshold; null if none does."""
+    over = F.filter(F.map_values(scores), lambda x: x >= threshold)
+    return F.when(F.size(over) > 0, F.aggregate(over, F.lit(0.0), lambda a, x: a + x) / F.size(over))
+
+
 def apply_second_pass(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Rows (text, masked, detected array<string>, scores map) with ai_modules, override and what is detected after all.
+    """Rows with ai_modules (null: the second pass didn't count), override, what is detected and masked after all, ai_mean.
 
-    Null scores keep the first pass; no hit clears it; a blocking module blocks the whole text.
+    rows: text, masked, detected array<string>, scores map, spans (evidence, e inclusive, sorted), has_details. Null or empty
+    scores, blank texts and texts whose stars reach RATIO keep the first pass; no hit clears it; a blocking module blocks the
+    whole text; else the evidence is masked, white space apart, or the whole text if a model gave no details.
     """
-    found = resolve(hits(F.col("scores"), threshold), F.col("scores"))
-    out = rows.withColumn("ai_modules", F.when(F.col("scores").isNotNull(), found))
+    counts = should_run(keyword_ratio(F.col("masked"), F.col("text")), F.col("text")) & F.col("scores").isNotNull() & (F.size("scores") > 0)
+    every = hits(F.col("scores"), threshold)
+    out = rows.withColumn("ai_modules", F.when(counts, resolve(every, F.col("scores"))))
     block = F.arrays_overlap("ai_modules", F.array(*map(F.lit, BLOCKING)))
+    evidence = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, span_mask(F.col("text"), F.col("spans"), keep_spaces=True)).otherwise(F.col("text"))
+    mask = F.when(F.col("ai_modules").isNull(), F.col("masked")).when(F.size("ai_modules") == 0, F.col("text")).when(block, F.lit(BLOCK_TEXT))
+    mask = mask.when(~F.coalesce("has_details", F.lit(False)), star_all(F.col("text"))).otherwise(evidence)
+    left = F.when(F.size("ai_modules") == 0, left_scores(F.col("scores"), every, F.col("ai_modules")))
     return out.withColumns({
-        "detected": F.coalesce("ai_modules", "detected"),
-        "override": F.when(block, F.lit("FULL_BLOCK")),
-        "masked": F.when(F.size("ai_modules") == 0, F.col("text")).otherwise(F.col("masked")),
+        "detected": F.coalesce("ai_modules", "detected"), "override": F.when(block, F.lit("FULL_BLOCK")), "masked": mask, "ai_mean": mean_over(left),
     })
 
 
@@ -69,8 +90,10 @@ def uncertain(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("score").between(*UNSURE)).withColumn("review_status", F.lit("PENDING"))
 
 
-def gate(scores: DataFrame) -> DataFrame:
-    return scores.where(F.col("score") >= GATE)
+def gate(scores: DataFrame, enabled: DataFrame | None = None) -> DataFrame:
+    """Rows of modules that the gate selects; enabled (module): of those only."""
+    found = scores.where(F.col("score") >= GATE)
+    return found if enabled is None else found.join(enabled.select("module").distinct(), "module", "left_semi")
 
 
 def attribution_share(tokens: DataFrame, top: int = 10, least: float = 0.15) -> DataFrame:

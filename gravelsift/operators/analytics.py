@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravelsift.functions.scoring import latency_grade
+from gravelsift.functions.text import text_key
 
 
 def trending(units: DataFrame, top: int = 20, least: int = 2, min_length: int = 2) -> DataFrame:
@@ -15,9 +16,20 @@ def trending(units: DataFrame, top: int = 20, least: int = 2, min_length: int =
 
 
 def filtered_keywords(detected: DataFrame, trend: DataFrame) -> DataFrame:
-    """word, wtype, n of detected words that don't trend; the trend is a top list, so it is small."""
+    """word, wtype, n of detected words that don't trend, the most frequent first; the trend is a top list, so it is small."""
     counted = detected.groupBy("word", "wtype").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(trend.select("word")), "word", "left_anti")
+    return counted.join(F.broadcast(trend.select("word")), "word", "left_anti").orderBy(F.desc("n"), "word", "wtype")
+
+
+def push_entries(decided: DataFrame) -> DataFrame:
+    """id, action, key, masked (and what else decided has) of blocked and masked rows: the key finds a text on a page."""
+    return decided.where(F.col("action").isin("FULL_BLOCK", "PARTIAL_MASK")).withColumn("key", text_key(F.col("text")))
+
+
+def newest_first(sessions: DataFrame, owner: str | None = None) -> DataFrame:
+    """The sessions (of one owner), the last begun first."""
+    own = sessions if owner is None else sessions.where(F.col("owner") == owner)
+    return own.orderBy(F.desc("started_at"), *(c for c in ("source", "channel_id") if c in sessions.columns))
 
 
 def action_distribution(decisions: DataFrame, *by: str) -> DataFrame:
@@ -30,13 +42,19 @@ def action_distribution(decisions: DataFrame, *by: str) -> DataFrame:
 def latency_stats(samples: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, min, max and the sorted values at floor(n p), counted from 0, for 0.5, 0.95 and 0.99; the grade of the first.
 
-    The positions are picked from a window's row numbers, never from a list of a group's values.
+    Without keys and samples: one row of zeros. Values are counted first, so that a key with a third of all rows is as many
+    rows as it has different values; positions come from running counts, never from a list or a sort of a group's rows.
     """
-    rows = samples.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    points = {name: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value))) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *(c.alias(k) for k, c in points.items()))
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    totals = counted.groupBy(*by).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))
+    ranked = counted.withColumn("_upto", upto)
+    ranked = ranked.crossJoin(totals.select("n")) if not by else ranked.join(totals.select(*by, "n"), list(by))  # one row beside each
+    at = {name: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    points = ranked.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > place, F.col("_v"))).alias(name) for name, place in at.items()))
+    out = totals.crossJoin(points) if not by else totals.join(points, list(by))
+    if not by:
+        out = out.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "mean", "min", "max", "p50", "p95", "p99")))
     return out.withColumn("grade", latency_grade(F.col("p50")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravelsift.functions.text import CHO, JONG, JUNG
+from gravelsift.functions.text import CHO, JONG, JUNG, code_point
 
 
 def flat_words(entries: DataFrame) -> DataFrame:
@@ -29,9 +29,7 @@ def variants(rules: DataFrame) -> DataFrame:
     index = lambda table, x: F.array_position(F.array(*map(F.lit, table)), x) - 1
     syllables = rules.select("root", "place", F.explode("cho").alias("c"), "jung", "jong").select("root", "place", "c", F.explode("jung").alias("v"), "jong").select("root", "place", "c", "v", F.explode("jong").alias("f"))
     code = F.lit(0xAC00) + index(list(CHO), F.col("c")) * 588 + index(list(JUNG), F.col("v")) * 28 + index(JONG, F.col("f"))
-    # a code point from U+0800 to U+FFFF in UTF-8
-    utf8 = F.concat(*(F.lpad(F.hex(x), 2, "0") for x in (F.lit(0xE0) + F.floor(code / 4096), F.lit(0x80) + F.floor(code / 64) % 64, F.lit(0x80) + code % 64)))
-    syllables = syllables.select("root", "place", F.decode(F.unhex(utf8), "UTF-8").alias("s")).distinct()
+    syllables = syllables.select("root", "place", code_point(code).alias("s")).distinct()
     longest = rules.agg(F.max("place")).first()[0]
     words = syllables.where("place = 0").select("root", F.col("s").alias("word"), F.lit(1).alias("n"))
     for place in range(1, (longest or 0) + 1):  # as many as a word has syllables

@@ -1,6 +1,8 @@
-"""Dictionary matches: equality joins of forms, substring search, shadowing, masks.
+"""Dictionary matches: equality joins of forms, substring search, shadowing, longest matches.
 
-A lexicon is (word, wtype) with one row for each word. Matches are (doc_id, s, e, word, wtype), e inclusive.
+A lexicon is (word, wtype) with one row for each word. Matches are (doc_id, s, e, word, wtype), e inclusive. Texts are
+read once for all channels; what follows are windows over one document's matches in one order, so a document's matches
+are shuffled and sorted once.
 """
 
 from __future__ import annotations
@@ -9,15 +11,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.functions.text import LETTER, compact_normalize
+from gravelsift.functions.text import LETTER
 
 #: Which list counts if several hold a word.
 PRECEDENCE = {"WHITELIST": 0, "USER_BLACKLIST": 1, "SYSTEM_KEYWORD": 2}
-#: A lexicon of at most so many words is sent to every task; beyond, matching goes by hashed prefixes and a join.
-LEXICON_ROWS = 200_000
+#: A lexicon of at most so many characters is sent whole to every task. Of a larger one only the beginnings of its words
+#: (PREFIX characters, with the lengths of the words that begin so) are sent, and what may be a word is joined with it.
+LEXICON_CHARS, PREFIX = 4_000_000, 2
+CHANNELS = ("form", "substring", "evasion")
+TOKEN = r"\p{L}+"
+_FILLER = re.compile(f"(?<=[{LETTER}])[^{LETTER}\\s]{{1,2}}(?=[{LETTER}])")
 
 
 def rank(column: str = "wtype"):
@@ -35,106 +42,137 @@ def match_forms(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("len") - 1).alias("e"), "word", "wtype")
 
 
-def match_substrings(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every occurrence, overlapping ones too, of every word in the text.
-
-    The lexicon, whose size is checked, becomes an automaton in each worker, which reads Arrow batches of texts. A larger
-    one is joined by the first characters of its words.
+class Search:
+    """Finds words of a whole lexicon (word -> wtype), or what may be a word by the beginnings of words (-> lengths)."""
+
+    def __init__(self, words: dict[str, str] | None, beginnings: dict[str, list[int]]):
+        self.words, self.beginnings, self.automaton = words, beginnings, None
+        if words:
+            try:
+                import ahocorasick
+            except ImportError:  # the beginnings find the same
+                return
+            self.automaton = ahocorasick.Automaton()
+            for word in words:
+                self.automaton.add_word(word, (len(word), word))
+            self.automaton.make_automaton()
+
+    def may_be(self, form: str) -> bool:
+        if self.words is not None:
+            return form in self.words
+        return len(form) in self.beginnings.get(form[:PREFIX], ())
+
+    def find(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(s, e, word) of all occurrences, overlapping ones too."""
+        if self.automaton is not None:
+            for e, (n, word) in self.automaton.iter(text):
+                yield e - n + 1, e, word
+            return
+        for s in range(len(text)):
+            for k in range(1, PREFIX + 1):
+                for n in self.beginnings.get(text[s : s + k], ()) if s + k <= len(text) else ():
+                    word = text[s : s + n]
+                    # a beginning shorter than PREFIX is a whole word
+                    if len(word) == n and (n == k or k == PREFIX) and (self.words is None or word in self.words):
+                        yield s, s + n - 1, word
+
+
+def compact(text: str) -> tuple[str, list[int]]:
+    """A text without filler between letters, and the place of each of its characters in the text."""
+    gone = [m.span() for m in _FILLER.finditer(text)]
+    kept = [i for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True) for i in range(a, b)]
+    return "".join([text[i] for i in kept]) if gone else text, kept
+
+
+def match_texts(docs: DataFrame, lexicon: DataFrame, channels: tuple[str, ...] = CHANNELS, text_col: str = "text", pattern: str = TOKEN) -> DataFrame:
+    """Matches of the given channels, found in one pass over the texts.
+
+    form: runs of the text that match `pattern` and are a word. substring: every occurrence of every word. evasion: every
+    occurrence in the compact form of a text that has one, at its places in the text itself. The result is the same for a
+    lexicon of any size: a small one is an automaton in each worker, of a large one what may be a word is joined with it.
     """
     words = resolve(lexicon)
-    if words.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
-        return _match_by_prefix(docs, words, text_col)
-    table = [(r.word, r.wtype) for r in words.collect()]  # at most LEXICON_ROWS rows
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    chars = words.agg(F.sum(F.length("word"))).first()[0] or 0
+    begin = words.select(F.left("word", F.lit(PREFIX)).alias("b"), F.length("word").alias("n")).groupBy("b").agg(F.collect_set("n").alias("n"))
+    whole = {r.word: r.wtype for r in words.collect()} if chars <= LEXICON_CHARS else None  # of at most LEXICON_CHARS characters
+    beginnings = {r.b: sorted(r.n) for r in begin.collect()}  # at most a row for each pair of characters
+    shared = docs.sparkSession.sparkContext.broadcast((whole, beginnings))
+    forms, substrings, evasions = (c in channels for c in CHANNELS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _finder(shared.value)
+        search, token = Search(*shared.value), regex.compile(pattern)
         for frame in frames:
             for k in range(0, len(frame), 500):
                 part = frame.iloc[k : k + 500]
-                rows = [(doc_id, *m) for doc_id, text in zip(part.doc_id, part.text, strict=True) if text for m in find(text)]
-                yield pd.DataFrame(rows, columns=["doc_id", "s", "e", "word", "wtype"])
+                ids, starts, ends, found = [], [], [], []
+                for doc_id, text in zip(part.doc_id, part.text, strict=True):
+                    rows = []
+                    if forms:
+                        rows += [(m.start(), m.end() - 1, m.group()) for m in token.finditer(text) if search.may_be(m.group())]
+                    if substrings:
+                        rows += search.find(text)
+                    if evasions and _FILLER.search(text):
+                        short, kept = compact(text)
+                        rows += [(kept[s], kept[e], w) for s, e, w in search.find(short)]
+                    ids += [doc_id] * len(rows)
+                    for s, e, w in rows:
+                        starts.append(s)
+                        ends.append(e)
+                        found.append(w)
+                if ids:
+                    made = {"doc_id": ids, "s": starts, "e": ends, "word": found}
+                    yield pd.DataFrame(made if whole is None else made | {"wtype": [search.words[w] for w in found]}, dtype=object)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col(text_col).alias("text")).where("text is not null")
+    if whole is not None:
+        return texts.mapInPandas(run, f"doc_id {kind}, s int, e int, word string, wtype string")
+    return texts.mapInPandas(run, f"doc_id {kind}, s int, e int, word string").join(words, "word").select("doc_id", "s", "e", "word", "wtype")
 
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, s int, e int, word string, wtype string")
 
+def match_substrings(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every occurrence, overlapping ones too, of every word in the text."""
+    return match_texts(docs, lexicon, ("substring",), text_col)
 
-def match_evasions(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
-    """Occurrences in the compact form of texts that it changes (filler between letters left out), at their places in the
-    text itself. The lexicon's size is checked as in match_substrings; a larger one must be cut first.
-    """
-    words = resolve(lexicon)
-    if words.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
-        raise ValueError(f"more than {LEXICON_ROWS} words: match the compact text with match_substrings instead")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.word, r.wtype) for r in words.collect()])  # at most LEXICON_ROWS rows
-    filler = f"(?<=[{LETTER}])[^{LETTER}\\s]{{1,2}}(?=[{LETTER}])"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, cut = _finder(shared.value), re.compile(filler)
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
-                gone = [m.span() for m in cut.finditer(text)]
-                kept = [i for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True) for i in range(a, b)]
-                rows += [(doc_id, kept[s], kept[e], word, wtype) for s, e, word, wtype in find("".join(text[i] for i in kept))]
-            yield pd.DataFrame(rows, columns=["doc_id", "s", "e", "word", "wtype"])
-
-    changed = docs.select("doc_id", F.col(text_col).alias("text")).where(F.col("text") != compact_normalize(F.col("text")))
-    return changed.mapInPandas(run, "doc_id long, s int, e int, word string, wtype string")
-
-
-def _finder(table: list[tuple[str, str]]):
-    """text -> (s, e, word, wtype) of all occurrences."""
-    if not table:
-        return lambda text: []
-    try:
-        import ahocorasick
-    except ImportError:  # one look-ahead search for each length and first character would be faster, but this is plain
-        found = [(re.compile(f"(?={re.escape(w)})"), w, t) for w, t in table]
-        return lambda text: [(m.start(), m.start() + len(w) - 1, w, t) for p, w, t in found for m in p.finditer(text)]
-    automaton = ahocorasick.Automaton()
-    for word, wtype in table:
-        automaton.add_word(word, (len(word), word, wtype))
-    automaton.make_automaton()
-    return lambda text: [(e - n + 1, e, word, wtype) for e, (n, word, wtype) in automaton.iter(text)]
-
-
-def _match_by_prefix(docs: DataFrame, words: DataFrame, text_col: str, n: int = 3) -> DataFrame:
-    """Words of at least n characters by their first n, shorter ones whole: an equality join, then a comparison."""
-    keyed = words.select("word", "wtype", F.left("word", F.lit(n)).alias("key"))
-    places = docs.select("doc_id", F.col(text_col).alias("text"), F.explode(F.sequence(F.lit(1), F.greatest(F.length(text_col), F.lit(1)))).alias("p"))
-    pieces = places.select("doc_id", "p", F.substr("text", F.col("p"), F.lit(256)).alias("rest"))
-    keys = pieces.withColumn("key", F.explode(F.array_distinct(F.array(*(F.left("rest", F.lit(k)) for k in range(1, n + 1))))))
-    hit = keys.join(keyed, "key").where(F.col("rest").startswith(F.col("word")))
-    return hit.select("doc_id", (F.col("p") - 1).alias("s"), (F.col("p") + F.length("word") - 2).cast("int").alias("e"), "word", "wtype")
+def match_evasions(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """Occurrences in the compact form of texts that it changes (filler between letters left out), at their places in the text."""
+    return match_texts(docs, lexicon, ("evasion",), text_col)
 
 
 def drop_shadowed(matches: DataFrame) -> DataFrame:
-    """Matches that no white match contains; white matches themselves go too."""
-    white = matches.where("wtype = 'WHITELIST'").select("doc_id", F.col("s").alias("ws"), F.col("e").alias("we")).distinct()
-    inside = (F.col("m.doc_id") == F.col("w.doc_id")) & (F.col("ws") <= F.col("m.s")) & (F.col("m.e") <= F.col("we"))
-    return matches.where("wtype <> 'WHITELIST'").alias("m").join(white.alias("w"), inside, "left_anti")
+    """Matches that no white match contains; white matches themselves go too.
+
+    A running maximum of white ends over a document's matches by their starts: the work grows with the matches.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("wtype") == "WHITELIST", F.col("e"))).over(so_far)
+    return matches.withColumn("_reach", reach).where("wtype <> 'WHITELIST' and (_reach is null or _reach < e)").drop("_reach")
 
 
 def on_nouns(matches: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Matches that share a character with a noun or unknown token."""
-    nouns = tokens.where("tag like 'NN%' or tag like 'UN%'").select(F.col("doc_id").alias("d"), "start", (F.col("start") + F.col("len") - 1).alias("stop"))
-    return matches.join(nouns, (F.col("doc_id") == F.col("d")) & (F.col("start") <= F.col("e")) & (F.col("s") <= F.col("stop")), "left_semi")
+    """Matches that share a character with a noun or unknown token: one that begins by the match's end and ends after its start."""
+    nouns = tokens.where("tag like 'NN%' or tag like 'UN%'").select("doc_id", F.col("start").alias("at"), (F.col("start") + F.col("len") - 1).alias("stop"))
+    both = matches.withColumns({"at": F.col("e"), "stop": F.lit(None).cast("int")}).unionByName(nouns, allowMissingColumns=True)
+    by_place = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("_reach", F.max("stop").over(by_place)).where("s is not null and _reach >= s").select(*matches.columns)
 
 
 def longest(matches: DataFrame) -> DataFrame:
     """Matches whose span lies in no other span; of equal (span, word) the blacklisted one."""
-    w = Window.partitionBy("doc_id").orderBy("s", F.desc("e"))
-    spans = matches.select("doc_id", "s", "e").distinct()
-    inside = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("e")
-    outer = spans.withColumn("inside", F.coalesce(inside, F.lit(False))).where("not inside").drop("inside")
-    one = matches.groupBy("doc_id", "s", "e", "word").agg(F.min_by("wtype", rank()).alias("wtype"))
-    return one.join(outer, ["doc_id", "s", "e"])
+    w = Window.partitionBy("doc_id").orderBy("s")
+    before = F.max("e").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    upto = F.max("e").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    outer = matches.withColumns({"_before": before, "_upto": upto}).where("coalesce(_before, -1) < e and _upto <= e")
+    one = outer.groupBy("doc_id", "s", "e", "word").agg(F.min(rank()).alias("rank"))
+    return one.select("doc_id", "s", "e", "word", F.when(F.col("rank") == 1, "USER_BLACKLIST").when(F.col("rank") == 0, "WHITELIST").otherwise("SYSTEM_KEYWORD").alias("wtype"))
+
+
+def spans_of(s: str = "s", e: str = "e"):
+    """A document's spans, sorted, as an aggregate for span_mask."""
+    return F.array_sort(F.collect_set(F.struct(F.col(s).cast("int").alias("s"), F.col(e).cast("int").alias("e"))))
 
 
 def merged_spans(matches: DataFrame) -> DataFrame:
-    """doc_id, spans: sorted, united, non-overlapping spans of each document, for span_mask."""
-    w = Window.partitionBy("doc_id").orderBy("s", F.desc("e"))
-    fresh = F.coalesce(F.col("s") > F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    runs = matches.select("doc_id", "s", "e").distinct().withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    united = runs.groupBy("doc_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return united.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
+    """doc_id, spans: the sorted spans of each document, for span_mask."""
+    return matches.groupBy("doc_id").agg(spans_of().alias("spans"))

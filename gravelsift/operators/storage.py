@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelsift.functions.text import clean_word, strip
+
+#: What a new overlay begins with, and what its columns may hold.
+OVERLAY = {
+    "name": "더미테스트", "channel_id": None, "source": "DUMMY", "security_level": "MEDIUM", "block_display_mode": "MASK", "placeholder_text": "[안전 정책에 따라 차단된 메시지]",
+    "show_score": False, "use_ai_filter": True,
+}
+CHOICES = {"source": ("DUMMY", "CHZZK", "YOUTUBE"), "security_level": ("LOW", "MEDIUM", "HIGH"), "block_display_mode": ("MASK", "HIDE", "PLACEHOLDER")}
+LONGEST = {"name": 100, "channel_id": 100, "placeholder_text": 50}
+
 
 def cache_hits(requests: DataFrame, cache: DataFrame, keys: list[str], now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits with the cache's columns, misses). Entries that expire at or before `now` don't count; now is a parameter."""
@@ -22,14 +32,14 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], seen: str = "last
 
 def add_words(table: DataFrame, words: DataFrame) -> DataFrame:
     """user_id, word, list_type; a word that the user has already stays as it is. Words are trimmed and lower-cased."""
-    clean = words.select("user_id", F.lower(F.trim("word")).alias("word"), "list_type").where("word <> ''")
+    clean = words.select("user_id", clean_word(F.col("word")).alias("word"), "list_type").where("word <> ''")
     fresh = clean.groupBy("user_id", "word").agg(F.min("list_type").alias("list_type")).join(table, ["user_id", "word"], "left_anti")
     return table.select("user_id", "word", "list_type").unionByName(fresh)
 
 
 def remove_words(table: DataFrame, words: DataFrame) -> DataFrame:
     """Without (user_id, word), whichever list they are on."""
-    return table.join(words.select("user_id", F.lower(F.trim("word")).alias("word")), ["user_id", "word"], "left_anti")
+    return table.join(words.select("user_id", clean_word(F.col("word")).alias("word")), ["user_id", "word"], "left_anti")
 
 
 def net_change(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -57,3 +67,38 @@ def mark(table: DataFrame, selected: DataFrame, key: str, flag: str) -> DataFram
     """A flag that is set where the key is selected and never unset."""
     chosen = selected.select(key).distinct().withColumn("_on", F.lit(True))
     return table.join(chosen, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | F.coalesce("_on", F.lit(False))).select(*table.columns)
+
+
+def of_user(users: DataFrame, user_id: int | None = None, name: str | None = None) -> DataFrame:
+    """The user of an id, or else of a name."""
+    return users.where(F.col("user_id") == user_id) if user_id is not None else users.where(F.col("username") == name)
+
+
+def get_or_create(owners: DataFrame, configs: DataFrame) -> DataFrame:
+    """owner_user_id and the columns of OVERLAY of every owner: the config of its smallest id, or a new one."""
+    least = configs.groupBy("owner_user_id").agg(F.min_by(F.struct(*OVERLAY), "id").alias("c"))
+    joined = owners.select("owner_user_id").distinct().join(least, "owner_user_id", "left")
+    types = {f.name: f.dataType for f in configs.schema}
+    return joined.select("owner_user_id", *(F.when(F.col("c").isNull(), F.lit(v).cast(types[k])).otherwise(F.col(f"c.{k}")).alias(k) for k, v in OVERLAY.items()))
+
+
+def update_overlay(configs: DataFrame, requests: DataFrame) -> DataFrame:
+    """configs (owner_user_id, OVERLAY, whitelist, blacklist) after requests of the same columns: null leaves a column as it
+    is, but a request that gives either list replaces both, the other by an empty one. Words are stripped, blank ones go."""
+    asked = requests.select("owner_user_id", *(F.col(c).alias(f"_{c}") for c in (*OVERLAY, "whitelist", "blacklist")))
+    joined = configs.join(asked, "owner_user_id", "left")
+    given = F.col("_whitelist").isNotNull() | F.col("_blacklist").isNotNull()
+
+    def words(c: str) -> Column:
+        clean = F.transform(F.coalesce(F.col(f"_{c}"), F.array().cast("array<string>")), lambda w: clean_word(w, lower=False))
+        return F.when(given, F.array_distinct(F.filter(clean, lambda w: w != ""))).otherwise(F.col(c))
+
+    return joined.withColumns({**{c: F.coalesce(f"_{c}", c) for c in OVERLAY}, "whitelist": words("whitelist"), "blacklist": words("blacklist")}).select(*configs.columns)
+
+
+def faults(requests: DataFrame) -> DataFrame:
+    """requests with `faults`, the sorted columns of values that aren't among CHOICES, are too long, or of blank or long words."""
+    wrong = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), F.lit(c)) for c, values in CHOICES.items()]
+    wrong += [F.when(F.length(c) > most, F.lit(c)) for c, most in LONGEST.items()]
+    wrong += [F.when(F.exists(c, lambda w: w.isNull() | (F.length(strip(w)) == 0) | (F.length(w) > 100)), F.lit(c)) for c in ("whitelist", "blacklist")]
+    return requests.withColumn("faults", F.array_sort(F.array_compact(F.array(*wrong))))

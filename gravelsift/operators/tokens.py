@@ -2,50 +2,112 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelsift.functions.text import is_laughter
+
 #: Tag prefixes that carry meaning, those that join into compounds, and a compound's most tokens.
 MEANINGFUL = ("NN", "VV", "VA", "XR", "SL", "MAG", "UN")
 JOINING = ("NN", "XR", "UN")
 LONGEST = 6
 
 
+def forms(docs: DataFrame, pattern: str = r"\p{L}+") -> DataFrame:
+    """doc_id, form of every run of a text that matches the pattern, without places: built-in expressions only."""
+    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"))).alias("form"))
+
+
 def tokenize(docs: DataFrame, pattern: str = r"\p{L}+", tag: str = "NNG") -> DataFrame:
     """doc_id, pos, form, tag, start, len: the runs of a text that match the pattern; a stand-in for a morphology adapter.
 
-    The text is cut completely into matches and what lies between, so that a running sum gives offsets in linear work.
+    Offsets are local to a text, so one Arrow pass finds them without a shuffle.
     """
-    cut = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", f"({pattern})", "\x01$1\x02"), "[\x01\x02]")).alias("k", "form"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("start", F.coalesce(F.sum(F.length("form")).over(before), F.lit(0)))
-    return placed.where("k % 2 = 1").select(
-        "doc_id", (F.col("k") / 2).cast("int").alias("pos"), "form", F.lit(tag).alias("tag"), F.col("start").cast("int").alias("start"), F.length("form").alias("len")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).finditer
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
+                found = [list(find(text)) for text in part.column(1).to_pylist()]
+                n = np.array([len(f) for f in found])
+                flat = [m for f in found for m in f]
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                doc_id = part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                starts = pa.array([m.start() for m in flat], pa.int32())
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(at, pa.int32()), pa.array([m.group() for m in flat], pa.string()), starts], ["doc_id", "pos", "form", "start"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, pos int, form string, start int")
+    return found.select("doc_id", "pos", "form", F.lit(tag).alias("tag"), "start", F.length("form").alias("len"))
+
+
+def joined_units(found: list[tuple[str, str, int]]) -> Iterator[tuple[str, int, bool]]:
+    """(form, start, is_compound) of one text's tokens (form, tag, start), as meaningful_units has them."""
+    held: list[str] = []
+    first = end = 0
+    joins = False
+    for form, tag, start in found:
+        if not tag.startswith(MEANINGFUL):
+            continue
+        noun = tag.startswith(JOINING)
+        if held and not (noun and joins and start == end and tag != "NNP" and len(held) < LONGEST):
+            yield "".join(held), first, len(held) > 1
+            held = []
+        if not held:
+            first = start
+        held.append(form)
+        end, joins = start + len(form), noun
+    if held:
+        yield "".join(held), first, len(held) > 1
+
+
+def units_of_texts(docs: DataFrame, tokenizer: Callable[[str], list[tuple[str, str, int]]]) -> DataFrame:
+    """doc_id, form, s, e, is_compound of texts whose tokens a function gives: joined in one Arrow pass, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
+                made = [list(joined_units(tokenizer(text))) for text in part.column(1).to_pylist()]
+                doc_id = part.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made])))
+                form, start, compound = ([x[i] for m in made for x in m] for i in range(3))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(form, pa.string()), pa.array(start, pa.int32()), pa.array(compound, pa.bool_())], ["doc_id", "form", "s", "is_compound"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, form string, s int, is_compound boolean")
+    return found.select("doc_id", "form", "s", (F.col("s") + F.length("form") - 1).alias("e"), "is_compound")
 
 
 def meaningful_units(tokens: DataFrame) -> DataFrame:
     """doc_id, form, s, e (inclusive), is_compound: meaningful tokens, adjoining nouns joined by at most LONGEST.
 
-    A proper noun (NNP) may begin a compound but doesn't extend one.
+    A proper noun (NNP) may begin a compound but doesn't extend one. One window order serves all steps, and units are
+    grouped where their document's tokens lie already.
     """
     has = lambda prefixes: F.substring("tag", 1, 1).isNotNull() & F.col("tag").rlike("^(?:" + "|".join(prefixes) + ")")
     kept = tokens.where(has(MEANINGFUL)).withColumn("joins", has(JOINING)).withColumn("end", F.col("start") + F.col("len"))
     w = Window.partitionBy("doc_id").orderBy("start", "pos")
+    rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fresh = ~(F.col("joins") & F.lag("joins").over(w) & (F.lag("end").over(w) == F.col("start")) & (F.col("tag") != "NNP"))
-    runs = kept.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(w))
-    within = Window.partitionBy("doc_id", "run").orderBy("start", "pos")
-    cut = runs.withColumn("part", F.floor((F.row_number().over(within) - 1) / LONGEST))
-    return cut.groupBy("doc_id", "run", "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "pos", "form"))), lambda x: x["form"]), "").alias("form"),
-        F.min("start").alias("s"), (F.max("end") - 1).alias("e"), (F.count("*") > 1).alias("is_compound"),
-    ).drop("run", "part")
+    runs = kept.withColumn("fresh", F.coalesce(fresh, F.lit(True))).withColumn("at", F.row_number().over(w))
+    runs = runs.withColumn("run", F.max(F.when(F.col("fresh"), F.col("at"))).over(rows))  # the place where the run begins
+    cut = runs.withColumn("part", F.floor((F.col("at") - F.col("run")) / LONGEST))
+    parts = F.array_sort(F.collect_list(F.struct("at", "form")))
+    made = cut.groupBy("doc_id", "run", "part").agg(parts.alias("parts"), F.min("start").alias("s"), (F.max("end") - 1).alias("e"))
+    return made.select("doc_id", F.array_join(F.col("parts.form"), "").alias("form"), "s", "e", (F.size("parts") > 1).alias("is_compound"))
 
 
-def evidence_spans(evidence: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+def evidence_spans(evidence: DataFrame, thresholds: dict[str, float], docs: DataFrame | None = None) -> DataFrame:
     """doc_id, module, s, e (exclusive), evidence of merged word pieces whose merged evidence reaches the module's threshold.
 
     evidence: doc_id, module, token, s, e, evidence. Pieces merge if one starts with ## or before the end reached so far.
+    Modules without a threshold have no spans. docs (doc_id, text): spans of laughter only are left out.
     """
     w = Window.partitionBy("doc_id", "module").orderBy("s", "e", "token")
     real = evidence.where("e > s")
@@ -56,7 +118,11 @@ def evidence_spans(evidence: DataFrame, thresholds: dict[str, float]) -> DataFra
     merged = grouped.groupBy("doc_id", "module", "run").agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.greatest(F.max("evidence"), F.sum("evidence") / F.pow(F.count("*"), F.lit(0.25))).alias("evidence")
     )
-    return merged.where(F.col("evidence") >= F.coalesce(least[F.col("module")], F.lit(0.15))).drop("run")
+    found = merged.where(F.col("evidence") >= least[F.col("module")]).drop("run")
+    if docs is None:
+        return found
+    inside = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
+    return found.join(docs.select("doc_id", "text"), "doc_id").where(~is_laughter(inside)).drop("text")
 
 
 def merge_word_pieces(tokens: DataFrame) -> DataFrame:

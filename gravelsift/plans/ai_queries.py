@@ -27,16 +27,16 @@ def score_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.create_map(*pairs).alias("scores"))
 
 
-_HIT = "score >= CASE module WHEN 'spam' THEN 0.70::DOUBLE ELSE 0.80::DOUBLE END"
+HIT_SQL = "score >= CASE module WHEN 'spam' THEN 0.70::DOUBLE ELSE 0.80::DOUBLE END"
 
 
-@query(f"WITH {SCORES_SQL} SELECT doc_id, coalesce(string_agg(module, ',' ORDER BY module) FILTER (WHERE {_HIT}), '') AS hits FROM sc GROUP BY doc_id")
+@query(f"WITH {SCORES_SQL} SELECT doc_id, coalesce(string_agg(module, ',' ORDER BY module) FILTER (WHERE {HIT_SQL}), '') AS hits FROM sc GROUP BY doc_id")
 def ai_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_map(spark, sf_dir).select("doc_id", F.array_join(ai.hits(F.col("scores")), ",").alias("hits"))
 
 
-_P = ", ".join(f"max(CASE WHEN module = '{m}' THEN {_HIT} END) AS {m}, max(score) FILTER (WHERE module = '{m}') AS s_{m}" for m in ai.MODULES)
-_CONFLICTS = f"""WITH {SCORES_SQL}, p AS (SELECT doc_id, {_P} FROM sc GROUP BY doc_id),
+_P = ", ".join(f"max(CASE WHEN module = '{m}' THEN {HIT_SQL} END) AS {m}, max(score) FILTER (WHERE module = '{m}') AS s_{m}" for m in ai.MODULES)
+CONFLICTS_SQL = f"""{SCORES_SQL}, p AS (SELECT doc_id, {_P} FROM sc GROUP BY doc_id),
 a AS (SELECT * REPLACE (criticism AND NOT x AS criticism, sexual AND NOT x AS sexual) FROM (SELECT *, basic AND (criticism OR sexual) AND NOT spam AND NOT pii AS x FROM p)),
 b AS (SELECT * REPLACE (criticism AND (NOT sexual OR s_criticism >= s_sexual) AS criticism, sexual AND (NOT criticism OR s_criticism < s_sexual) AS sexual) FROM a),
 c AS (SELECT * REPLACE (criticism AND NOT (basic OR family OR pii OR politics OR sexual OR spam) AS criticism) FROM b),
@@ -45,33 +45,21 @@ e AS (SELECT * REPLACE (politics AND (NOT family OR s_politics >= s_family) AS p
 r AS (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN {m} THEN '{m}' END" for m in ai.MODULES)}], lambda x: x IS NOT NULL) AS mods FROM e)"""
 
 
-@query(f"{_CONFLICTS} SELECT doc_id, array_to_string(mods, ',') AS modules FROM r")
+@query(f"WITH {CONFLICTS_SQL} SELECT doc_id, array_to_string(mods, ',') AS modules FROM r")
 def ai_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = score_map(spark, sf_dir)
     return rows.select("doc_id", F.array_join(ai.resolve(ai.hits(F.col("scores")), F.col("scores")), ",").alias("modules"))
 
 
-@query(f"""{_CONFLICTS}
-SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'kept' ELSE array_to_string(mods, ',') END AS detected,
-    CASE WHEN doc_id % 9 <> 0 AND (list_contains(mods, 'spam') OR list_contains(mods, 'pii')) THEN 'FULL_BLOCK' END AS override,
-    doc_id % 9 <> 0 AND len(mods) = 0 AS reset FROM r
-""")
-def ai_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = score_map(spark, sf_dir).withColumns({
-        "scores": F.when(F.col("doc_id") % 9 != 0, F.col("scores")), "text": F.lit("a b"), "masked": F.lit("a *"), "detected": F.array(F.lit("kept"))
-    })
-    out = ai.apply_second_pass(rows)
-    return out.select("doc_id", F.array_join("detected", ",").alias("detected"), "override", (F.col("masked") == F.col("text")).alias("reset"))
-
-
 @query(f"WITH {SCORES_SQL} SELECT doc_id, module, score, 'PENDING' AS review_status FROM sc WHERE score BETWEEN 0.3::DOUBLE AND 0.7::DOUBLE")
 def uncertainty_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ai.uncertain(score_rows(spark, sf_dir))
 
 
-@query(f"WITH {SCORES_SQL} SELECT doc_id, count(*) AS n, string_agg(module, ',' ORDER BY module) AS modules FROM sc WHERE score >= 0.3::DOUBLE GROUP BY doc_id")
+@query(f"WITH {SCORES_SQL} SELECT doc_id, count(*) AS n, string_agg(module, ',' ORDER BY module) AS modules FROM sc WHERE score >= 0.3::DOUBLE AND module <> 'spam' GROUP BY doc_id")
 def module_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ai.gate(score_rows(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules"))
+    enabled = spark.createDataFrame([(m,) for m in ai.MODULES if m != "spam"], "module string")
+    return ai.gate(score_rows(spark, sf_dir), enabled).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules"))
 
 
 _EV = """ev AS (

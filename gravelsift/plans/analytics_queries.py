@@ -27,14 +27,14 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOK_SQL}, {_TREND} SELECT word, n FROM t WHERE n >= 2")
 def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.trending(tokens.tokenize(table(spark, sf_dir, "documents")))
+    return analytics.trending(tokens.forms(table(spark, sf_dir, "documents")))
 
 
 @query(f"""WITH {LEX_SQL}, {TOK_SQL}, {_TREND}
 SELECT lex.word, wtype, count(*) AS n FROM word JOIN lex ON word.form = lex.word WHERE lex.word NOT IN (SELECT word FROM t) GROUP BY lex.word, wtype""")
 def filtered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = tokens.tokenize(table(spark, sf_dir, "documents"))
-    return analytics.filtered_keywords(matching.match_forms(toks, lexicon(spark)), analytics.trending(toks))
+    docs = table(spark, sf_dir, "documents")
+    return analytics.filtered_keywords(matching.match_texts(docs, lexicon(spark), ("form",)), analytics.trending(tokens.forms(docs)))
 
 
 @query(f"""

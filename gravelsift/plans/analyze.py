@@ -1,4 +1,4 @@
-"""Moderation of texts from end to end: match, shadow, mask, score, decide."""
+"""Moderation of texts from end to end: match, shadow, mask, module scores, score, decide."""
 
 from __future__ import annotations
 
@@ -6,44 +6,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gravelsift.functions import scoring, text
-from gravelsift.operators import matching, tokens
+from gravelsift.operators import ai, matching
+from gravelsift.operators import tokens as tok
 
 LEVELS = ("LOW", "MEDIUM", "HIGH")
 
 
-def first_pass(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+def first_pass(docs: DataFrame, lexicon: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """doc_id, s, e, word, wtype of what counts: forms, substrings and evasions, unshadowed, longest.
 
-    The built-in tokenizer calls every token a noun; with a morphology adapter's tokens put on_nouns on the substrings.
+    tokens: a morphology adapter's (doc_id, pos, form, tag, start, len). Then units and tokens are matched as forms, and
+    substrings count only where they touch a noun. The built-in tokenizer calls every token a noun.
     """
-    toks = tokens.tokenize(docs)
-    found = matching.match_forms(toks, lexicon).unionByName(matching.match_substrings(docs, lexicon)).unionByName(matching.match_evasions(docs, lexicon))
+    if tokens is None:
+        found = matching.match_texts(docs, lexicon)
+    else:
+        units = tok.meaningful_units(tokens).select("doc_id", "form", F.col("s").alias("start"), (F.col("e") - F.col("s") + 1).alias("len"))
+        forms = matching.match_forms(units.unionByName(tokens.select("doc_id", "form", "start", "len")), lexicon)
+        inner = matching.match_texts(docs, lexicon, ("substring", "evasion"))
+        on_nouns = matching.on_nouns(inner.where("wtype <> 'WHITELIST'"), tokens)
+        found = forms.unionByName(on_nouns).unionByName(inner.where("wtype = 'WHITELIST'"))
     return matching.longest(matching.drop_shadowed(found))
 
 
-def analyze(docs: DataFrame, lexicon: DataFrame, levels: tuple[str, ...] = LEVELS, triggers: tuple[str, ...] = (), profile: str = "sdk") -> DataFrame:
-    """doc_id, level, action, processed_text, score, has_blacklist, has_general, has_trigger, n_detected.
+def _evidence(docs: DataFrame, scores: DataFrame, evidence: DataFrame | None, threshold: float) -> DataFrame:
+    """doc_id, scores, has_details, spans of the evidence of modules that count."""
+    given = scores.select("doc_id", "scores")
+    if evidence is None:
+        return given.withColumns({"has_details": F.lit(False), "spans": F.lit(None).cast("array<struct<s:int,e:int>>")})
+    counted = given.select("doc_id", F.explode(ai.resolve(ai.hits(F.col("scores"), threshold), F.col("scores"))).alias("module"))
+    spans = tok.evidence_spans(evidence.join(counted, ["doc_id", "module"], "left_semi"), ai.MASK, docs)
+    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), (F.col("e") - 1).cast("int").alias("e")))).alias("spans"))
+    return given.join(spans, "doc_id", "left").withColumn("has_details", F.lit(True))
+
+
+def analyze(
+    docs: DataFrame, lexicon: DataFrame, levels: tuple[str, ...] = LEVELS, triggers: tuple[str, ...] = (), profile: str = "sdk", tokens: DataFrame | None = None,
+    scores: DataFrame | None = None, evidence: DataFrame | None = None, attribution: DataFrame | None = None, threshold: float = 0.8,
+) -> DataFrame:
+    """doc_id, level, action, processed_text, score, has_blacklist, has_general, has_trigger, n_detected, ai_modules.
 
-    All levels are decided in one pass. profile: "sdk" masks by position, "service" replaces words everywhere.
+    All levels are decided in one pass. scores: (doc_id, scores map) of the second pass; a missing, null or empty map is a
+    model that failed.
+
+    profile "sdk": spans are masked by position; module scores replace the first pass where they count (see
+    ai.apply_second_pass), with the evidence (doc_id, module, token, s, e, evidence) masked. profile "service": words are
+    replaced everywhere; scores count only for texts without a detected word, by their own matrix; of those that it masks
+    the attribution (doc_id, tokens) is masked, and without one they are reviewed.
     """
-    hits = first_pass(docs, lexicon)
-    per_doc = hits.groupBy("doc_id").agg(
-        F.sum(F.length("word")).alias("detected"), F.count("*").alias("n_detected"), F.bool_or(F.col("wtype") == "USER_BLACKLIST").alias("has_blacklist"),
-        F.bool_or(F.col("wtype") == "SYSTEM_KEYWORD").alias("has_general"), F.array_sort(F.collect_set("word")).alias("words"),
+    if profile not in ("sdk", "service"):
+        raise ValueError(f"no such profile: {profile}")
+    sdk = profile == "sdk"
+    per_doc = first_pass(docs, lexicon, tokens).groupBy("doc_id").agg(
+        F.sum(F.length("word")).alias("length"), F.count("*").alias("n_detected"), F.bool_or(F.col("wtype") == "USER_BLACKLIST").alias("has_blacklist"),
+        F.bool_or(F.col("wtype") == "SYSTEM_KEYWORD").alias("has_general"), F.array_sort(F.collect_set("word")).alias("detected"), matching.spans_of().alias("hits"),
     )
     rows = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
-    if profile == "sdk":
-        rows = rows.join(matching.merged_spans(hits), "doc_id", "left")
-        masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(text.span_mask(F.col("text"), F.col("spans")))
+    masked = text.span_mask(F.col("text"), F.col("hits")) if sdk else text.star_mask(F.col("text"), F.col("detected"))
+    rows = rows.withColumns({
+        "masked": F.when(F.col("hits").isNull(), F.col("text")).otherwise(masked), "detected": F.coalesce("detected", F.array().cast("array<string>")),
+        **{c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_blacklist", "has_general")}, **{c: F.coalesce(F.col(c), F.lit(0)) for c in ("length", "n_detected")},
+    }).drop("hits")
+    rows = rows.withColumn("contains", text.any_contains(F.col("text"), list(triggers)))
+    nothing = {"ai_modules": F.lit(None).cast("array<string>"), "override": F.lit(None).cast("string"), "ai_mean": F.lit(None).cast("double"), "by_ai": F.lit(False)}
+    if scores is None:
+        rows = rows.withColumns(nothing)
+    elif sdk:
+        rows = ai.apply_second_pass(rows.join(_evidence(docs, scores, evidence, threshold), "doc_id", "left"), threshold)
+        counts = F.col("ai_modules").isNotNull()  # what is detected are modules then, typed as such
+        names = F.aggregate("ai_modules", F.lit(0).cast("long"), lambda a, m: a + F.length(m))
+        rows = rows.withColumns({
+            "length": F.when(counts, names).otherwise(F.col("length")), "n_detected": F.when(counts, F.size("ai_modules")).otherwise(F.col("n_detected")),
+            **{c: F.when(counts, F.lit(False)).otherwise(F.col(c)) for c in ("has_blacklist", "has_general")}, "by_ai": counts & (F.size("ai_modules") > 0),
+        })
     else:
-        masked = F.when(F.col("words").isNull(), F.col("text")).otherwise(text.star_mask(F.col("text"), F.col("words")))
-    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_blacklist", "has_general")}
-    rows = rows.withColumns(flags | {"detected": F.coalesce("detected", F.lit(0)), "n_detected": F.coalesce("n_detected", F.lit(0)), "masked": masked})
-    rows = rows.withColumn("has_trigger", (F.col("has_blacklist") | F.col("has_general")) & text.any_contains(F.col("text"), list(triggers)))
-    points = scoring.risk_score(F.col("text"), F.col("detected"), F.col("has_blacklist"), F.col("has_general"), F.col("has_trigger"))
+        over = F.array_sort(F.map_keys(F.map_filter("scores", lambda k, v: v >= threshold)))
+        own = scores.select("doc_id", "scores")
+        if attribution is not None:
+            own = own.join(attribution.select("doc_id", "tokens"), "doc_id", "left")
+        else:
+            own = own.withColumn("tokens", F.lit(None).cast("array<string>"))
+        only = (F.col("n_detected") == 0) & (F.size(over) > 0)
+        rows = rows.join(own, "doc_id", "left").withColumns({"ai_modules": F.when(only, over), "ai_mean": F.when(only, ai.mean_over(F.col("scores"), threshold)), "override": F.lit(None).cast("string"), "by_ai": F.lit(False)})
+        rows = rows.withColumn("has_general", F.col("has_general") | F.coalesce(only, F.lit(False)))
+    rows = rows.withColumn("has_trigger", (F.col("has_blacklist") | F.col("has_general")) & (F.col("n_detected") > 0) & F.col("contains"))
+    found = F.col("has_general") & (F.col("n_detected") > 0) | F.col("by_ai")
+    points = scoring.risk_score(F.col("text"), F.col("length"), F.col("has_blacklist"), found, F.col("has_trigger"), F.col("ai_mean"))
     rows = rows.withColumn("score", scoring.pack_score(points)).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    action = scoring.decide(F.col("level"), F.col("n_detected") > 0, F.col("has_blacklist"), F.col("has_trigger"))
-    return rows.withColumn("action", action).select(
-        "doc_id", "level", "action", scoring.render(F.col("action"), F.col("text"), F.col("masked")).alias("processed_text"), "score",
-        "has_blacklist", "has_general", "has_trigger", "n_detected",
-    )
+    action = scoring.decide(F.col("level"), F.col("n_detected") > 0, F.col("has_blacklist"), F.col("has_trigger"), F.col("override"))
+    shown = scoring.render(F.col("action"), F.col("text"), F.col("masked"), F.col("override"))
+    if scores is not None and not sdk:
+        fails = (scoring.ai_action(F.col("level")) == "PARTIAL_MASK") & F.col("tokens").isNull()
+        action = F.when(F.col("ai_modules").isNotNull(), F.when(fails, "REVIEW").otherwise(scoring.ai_action(F.col("level")))).otherwise(action)
+        by_tokens = F.when(F.col("tokens").isNotNull(), text.token_mask(F.col("text"), F.col("tokens"))).otherwise(F.col("text"))
+        shown = F.when(F.col("ai_modules").isNotNull(), scoring.render(F.col("action"), F.col("text"), by_tokens)).otherwise(shown)
+    return rows.withColumn("action", action).select("doc_id", "level", "action", shown.alias("processed_text"), "score", "has_blacklist", "has_general", "has_trigger", "n_detected", "ai_modules")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravelsift.functions import scoring, text
-from gravelsift.operators import matching, tokens
+from gravelsift.operators import ai, analytics, matching, tokens
 from gravelsift.plans import analyze as plans
+from gravelsift.plans.ai_queries import CONFLICTS_SQL, HIT_SQL, score_map
 from gravelsift.plans.registry import query, table
 
 #: The tables hold no Hangul: words that occur in them stand in for a dictionary.
@@ -80,13 +82,14 @@ u AS (SELECT doc_id, string_agg(form, '' ORDER BY s) AS form, count(*) > 1 AS is
 SELECT form, is_compound, count(*) AS n FROM u GROUP BY form, is_compound
 """)
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.meaningful_units(tokens.tokenize(table(spark, sf_dir, "documents"), _PIECES))
+    find = regex.compile(_PIECES).finditer
+    found = tokens.units_of_texts(table(spark, sf_dir, "documents"), lambda t: [(m.group(), "NNG", m.start()) for m in find(t)])
     return found.groupBy("form", "is_compound").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LEX_SQL}, {TOK_SQL} SELECT doc_id, form AS word, wtype, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(start + len - 1) AS BIGINT) AS ends FROM word JOIN lex ON form = lex.word GROUP BY doc_id, form, wtype")
 def token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sums(matching.match_forms(tokens.tokenize(table(spark, sf_dir, "documents")), lexicon(spark)), "doc_id", "word", "wtype")
+    return _sums(matching.match_texts(table(spark, sf_dir, "documents"), lexicon(spark), ("form",)), "doc_id", "word", "wtype")
 
 
 @query(f"WITH RECURSIVE {LEX_SQL}, {OCC_SQL} SELECT doc_id, word, wtype, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM sub GROUP BY doc_id, word, wtype")
@@ -114,7 +117,7 @@ def evasion_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whitelist_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = lexicon(spark)
-    found = matching.match_forms(tokens.tokenize(docs), words).unionByName(matching.match_substrings(docs, words)).unionByName(matching.match_evasions(docs, words))
+    found = matching.match_texts(docs, words)
     return _sums(matching.drop_shadowed(found), "doc_id", "word", "wtype")
 
 
@@ -154,7 +157,7 @@ _ANALYZE_SQL = f"""{FIRST_SQL}, per AS (
 
 @query(f"{_ANALYZE_SQL} SELECT doc_id, level, action, score, bl AS has_blacklist, sy AS has_general, tr AS has_trigger, n_detected FROM res")
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.analyze(table(spark, sf_dir, "documents"), lexicon(spark), triggers=("moron",)).drop("processed_text")
+    return plans.analyze(table(spark, sf_dir, "documents"), lexicon(spark), triggers=("moron",)).drop("processed_text", "ai_modules")
 
 
 @query(f"{_ANALYZE_SQL} SELECT level, action, count(*) AS n, floor(avg(score) * 10000 + 0.5) / 10000 AS mean_score FROM res GROUP BY level, action")
@@ -190,6 +193,128 @@ def caution_warn_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", scoring.caution_bucket(d, n).alias("caution"), scoring.warn_bucket(d, n).alias("warn"))
 
 
+def _mask_sql(spans: str, name: str) -> str:
+    """name (doc_id, masked): texts with stars over the spans (doc_id, s, e) of a table."""
+    return f"""{name}_run AS (
+    SELECT doc_id, min(s) AS s, max(e) AS e FROM (
+        SELECT doc_id, s, e, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e DESC) AS run FROM (
+            SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+            FROM (SELECT DISTINCT doc_id, s, e FROM {spans}))) GROUP BY doc_id, run
+), {name}_piece AS (
+    SELECT d.doc_id, s, repeat('*', CAST(e - s + 1 AS BIGINT)) || substring(text, CAST(e + 2 AS BIGINT), CAST(coalesce(lead(s) OVER (PARTITION BY d.doc_id ORDER BY s), length(text)) - e - 1 AS BIGINT)) AS piece
+    FROM documents d JOIN {name}_run USING (doc_id)
+), {name} AS (
+    SELECT d.doc_id, coalesce(left(text, CAST(first_s AS BIGINT)) || tail, text) AS masked FROM documents d
+    LEFT JOIN (SELECT doc_id, min(s) AS first_s, string_agg(piece, '' ORDER BY s) AS tail FROM {name}_piece GROUP BY doc_id) p ON d.doc_id = p.doc_id
+)"""
+
+
+_SECOND_SQL = f"""{FIRST_SQL}, {_mask_sql("hit", "first_mask")}, {CONFLICTS_SQL}, evidence AS (
+    SELECT word.doc_id, start AS s, start + len - 1 AS e FROM word JOIN r ON r.doc_id = word.doc_id JOIN documents d ON d.doc_id = r.doc_id,
+        (VALUES ('basic', 0, 0.15::DOUBLE), ('criticism', 1, 0.40::DOUBLE), ('family', 2, 1.50::DOUBLE), ('politics', 3, 0.20::DOUBLE), ('sexual', 4, 0.20::DOUBLE)) m(module, k, least)
+    WHERE list_contains(mods, module) AND ((r.doc_id * 7 + start * 3 + m.k) % 40) / 100.0::DOUBLE >= least
+), {_mask_sql("evidence", "evidence_mask")}, per AS (
+    SELECT doc_id, CAST(sum(length(word)) AS DOUBLE) AS detected, count(*) AS n_detected, bool_or(wtype = 'USER_BLACKLIST') AS bl FROM hit GROUP BY doc_id
+), base AS (
+    SELECT d.doc_id, d.text, f.masked, v.masked AS by_evidence, coalesce(detected, 0) AS detected, coalesce(n_detected, 0) AS n_detected, coalesce(bl, false) AS bl, mods,
+        CAST(length(regexp_replace(d.text, '\\s', '', 'g')) AS DOUBLE) AS n,
+        CAST(len(regexp_extract_all(d.text, '[ㄱ-ㅎ]')) + len(regexp_extract_all(d.text, '[^\\s\\p{{L}}\\p{{N}}]')) AS DOUBLE) AS sp,
+        CAST(length(f.masked) - length(replace(f.masked, '*', '')) AS DOUBLE) AS stars
+    FROM documents d JOIN first_mask f USING (doc_id) JOIN evidence_mask v USING (doc_id) JOIN r USING (doc_id) LEFT JOIN per USING (doc_id)
+), ran AS (SELECT *, doc_id % 9 <> 0 AND n > 0 AND stars / n < 0.30::DOUBLE AS counts FROM base
+), whole AS (
+    SELECT doc_id, text, n, sp, counts, CASE WHEN counts THEN mods END AS ai, counts AND (list_contains(mods, 'spam') OR list_contains(mods, 'pii')) AS blocked,
+        CASE WHEN counts THEN len(mods) ELSE n_detected END AS n_detected, NOT counts AND bl AS bl,
+        CASE WHEN counts THEN coalesce(list_sum(list_transform(mods, lambda m: length(m))), 0) ELSE detected END AS detected, masked, by_evidence FROM ran
+), pt AS (
+    SELECT *, CASE WHEN n > 0 THEN greatest(least(detected / n, 1.0::DOUBLE), 0.10::DOUBLE) ELSE 0.10::DOUBLE END AS rt FROM whole
+), lv AS (
+    SELECT *, CASE WHEN bl THEN 51 + (rt - 0.10::DOUBLE) / 0.90::DOUBLE * 24 WHEN n_detected > 0 THEN 26 + (rt - 0.10::DOUBLE) / 0.90::DOUBLE * 24
+        WHEN counts AND mean IS NOT NULL THEN mean * 100 WHEN n > 0 THEN floor(least(sp / n, 0.33::DOUBLE) / 0.33::DOUBLE * 25 * 100 + 0.5) / 100 ELSE 0 END AS points
+    FROM pt LEFT JOIN (SELECT sc.doc_id, avg(score) AS mean FROM sc JOIN r USING (doc_id) WHERE score >= 0.8::DOUBLE AND (list_contains(mods, module) OR NOT ({HIT_SQL})) GROUP BY sc.doc_id) m USING (doc_id)
+), act AS (
+    SELECT *, CASE WHEN blocked THEN 'FULL_BLOCK' WHEN n_detected = 0 THEN 'NORMAL' WHEN bl THEN CASE level WHEN 'LOW' THEN 'PARTIAL_MASK' ELSE 'FULL_BLOCK' END
+        ELSE CASE level WHEN 'LOW' THEN 'REVIEW' ELSE 'PARTIAL_MASK' END END AS action FROM lv, (VALUES ('LOW'), ('MEDIUM'), ('HIGH')) l(level)
+)
+SELECT doc_id, level, action, n_detected, CASE WHEN counts THEN array_to_string(ai, ',') END AS ai_modules, floor(greatest(least(points, 100.0::DOUBLE), 0.0::DOUBLE) / 100 * 100 + 0.5) / 100 AS score,
+    md5(CASE WHEN blocked THEN '{ai.BLOCK_TEXT}' WHEN action = 'FULL_BLOCK' THEN '' WHEN action = 'PARTIAL_MASK' THEN CASE WHEN counts THEN by_evidence ELSE masked END ELSE text END) AS shown_md5
+FROM act"""
+
+
+@query(_SECOND_SQL)
+def analyze_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = score_map(spark, sf_dir).withColumn("scores", F.when(F.col("doc_id") % 9 != 0, F.col("scores")))
+    modules = F.array(*(F.struct(F.lit(m).alias("module"), F.lit(k).alias("k")) for k, m in enumerate(sorted(ai.MASK))))
+    evidence = tokens.tokenize(docs).withColumn("m", F.explode(modules)).select(
+        "doc_id", "m.module", F.col("form").alias("token"), F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e"),
+        ((F.col("doc_id") * 7 + F.col("start") * 3 + F.col("m.k")) % 40 / F.lit(100.0)).alias("evidence"),
+    )
+    found = plans.analyze(docs, lexicon(spark), scores=scores, evidence=evidence)
+    return found.select("doc_id", "level", "action", "n_detected", F.array_join("ai_modules", ",").alias("ai_modules"), "score", F.md5("processed_text").alias("shown_md5"))
+
+
+@query(f"""{FIRST_SQL}, {CONFLICTS_SQL}, kinds AS (SELECT doc_id, bool_or(wtype = 'USER_BLACKLIST') AS bl, bool_or(wtype = 'SYSTEM_KEYWORD') AS sy FROM hit GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN bl THEN 'blacklist' END, CASE WHEN len(mods) > 0 THEN 'AI:' || array_to_string(mods, ',') END, CASE WHEN sy THEN 'system' END], lambda x: x IS NOT NULL), '/') AS pills
+FROM r LEFT JOIN kinds USING (doc_id)
+""")
+def detected_pills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words found in documents and the modules that count, as a log writes them, read back."""
+    words = plans.first_pass(table(spark, sf_dir, "documents"), lexicon(spark)).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("word", F.lit("|"), "wtype"))), ",").alias("words"))
+    scored = score_map(spark, sf_dir)
+    modules = F.transform(ai.resolve(ai.hits(F.col("scores")), F.col("scores")), lambda m: F.concat(m, F.lit("|AI_BASIC")))
+    coded = F.concat_ws(",", "words", F.array_join(modules, ","))
+    return scored.join(words, "doc_id", "left").select("doc_id", F.array_join(text.pills(coded), "/").alias("pills"))
+
+
+@query(r"""
+WITH lex AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}{6,}')) AS word FROM benchmark)
+SELECT form AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS form FROM documents) JOIN lex ON form = word GROUP BY form
+""")
+def lexicon_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of one table, found in the texts of another."""
+    words = tokens.tokenize(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), r"\p{L}{6,}").select(F.col("form").alias("word"), F.lit("SYSTEM_KEYWORD").alias("wtype"))
+    return matching.match_texts(table(spark, sf_dir, "documents"), words, ("form",)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+_CLIENT_SQL = f"""{_ANALYZE_SQL}, hot AS (
+    SELECT doc_id, level, score, n_detected > 0 AS found, bl, sy, tr, doc_id % 4 = 0 AS by_ai FROM res
+), derived AS (
+    SELECT doc_id, level, CASE WHEN by_ai THEN CASE level WHEN 'LOW' THEN 'REVIEW' WHEN 'MEDIUM' THEN 'PARTIAL_MASK' ELSE 'FULL_BLOCK' END
+        WHEN NOT found THEN 'NORMAL' WHEN bl THEN CASE level WHEN 'LOW' THEN 'PARTIAL_MASK' ELSE 'FULL_BLOCK' END
+        WHEN tr THEN CASE level WHEN 'HIGH' THEN 'FULL_BLOCK' ELSE 'PARTIAL_MASK' END ELSE CASE level WHEN 'LOW' THEN 'REVIEW' ELSE 'PARTIAL_MASK' END END AS action,
+        least(1.0::DOUBLE, score + CASE WHEN by_ai THEN CASE level WHEN 'HIGH' THEN 0.25::DOUBLE ELSE 0 END WHEN (bl OR sy) AND level <> 'LOW' THEN 0.25::DOUBLE ELSE 0 END) AS score FROM hot)"""
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysed documents with what a client derives; every fourth one carries module names."""
+    docs = table(spark, sf_dir, "documents")
+    found = plans.analyze(docs, lexicon(spark), triggers=("moron",)).join(docs.select("doc_id", "text"), "doc_id")
+    derived = scoring.derive_policy(
+        F.col("level"), F.col("score"), F.col("text"), F.concat(F.lit("masked "), F.col("text")), F.col("n_detected") > 0, F.col("doc_id") % 4 == 0,
+        F.col("has_blacklist"), F.col("has_trigger"), F.col("has_general"),
+    )
+    return found.select("doc_id", "level", "text", derived.alias("x")).select("doc_id", "level", "text", "x.*")
+
+
+@query(f"""{_CLIENT_SQL}
+SELECT doc_id, level, action, floor(score * 100 + 0.5) / 100 AS score,
+    md5(CASE action WHEN 'FULL_BLOCK' THEN '' WHEN 'PARTIAL_MASK' THEN 'masked ' || text ELSE text END) AS shown_md5 FROM derived JOIN documents USING (doc_id)
+""")
+def derive_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir).select("doc_id", "level", "action", scoring.round2(F.col("score")).alias("score"), F.md5("processed_text").alias("shown_md5"))
+
+
+@query(f"""{_CLIENT_SQL}
+SELECT doc_id AS id, level, action, md5(regexp_replace(regexp_replace(lower(text), '[\\s\u200b-\u200f\u2060\ufe0e\ufe0f\ufeff]', '', 'g'), '[\\p{{P}}\\p{{S}}]', '', 'g')) AS key_md5, 'masked ' || left(text, 5) AS masked
+FROM derived JOIN documents USING (doc_id) WHERE action IN ('FULL_BLOCK', 'PARTIAL_MASK')
+""")
+def push_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _derived(spark, sf_dir).withColumn("masked", F.concat(F.lit("masked "), F.left("text", F.lit(5))))
+    made = analytics.push_entries(rows.withColumnRenamed("doc_id", "id"))
+    return made.select("id", "level", "action", F.md5("key").alias("key_md5"), "masked")
+
+
 @query("SELECT doc_id, position('idiot' IN text) > 0 OR position('clown' IN text) > 0 AS triggered FROM documents")
 def trigger_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.any_contains(F.col("text"), ["idiot", "", "clown"]).alias("triggered"))

@@ -108,3 +108,55 @@ def owners_and_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("m"))
     joined = owners.join(messages, "c_custkey", "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count("*").alias("owners"), F.coalesce(F.sum("m"), F.lit(0)).alias("messages"))
+
+
+def _overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    return rows.select(
+        F.col("c_custkey").alias("owner_user_id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("channel_id"), F.lit("DUMMY").alias("source"),
+        F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), (F.col("c_nationkey") % 3 + 1).cast("int")).alias("security_level"), F.lit("MASK").alias("block_display_mode"),
+        F.lit("-").alias("placeholder_text"), F.lit(False).alias("show_score"), F.lit(True).alias("use_ai_filter"),
+        F.array("c_mktsegment").alias("whitelist"), F.array(F.lit("x")).alias("blacklist"),
+    )
+
+
+@query("""
+SELECT c_custkey AS owner_user_id, CASE WHEN c_custkey % 3 = 0 THEN 'CHZZK' ELSE 'DUMMY' END AS source, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS channel_id,
+    CASE c_nationkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS security_level,
+    CASE WHEN c_custkey % 6 = 0 THEN 'a,B' ELSE c_mktsegment END AS white, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'x' END AS black FROM customer
+""")
+def overlay_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third owner changes source and channel; every sixth gives a white list, which replaces both."""
+    configs = _overlays(spark, sf_dir)
+    asked = configs.where("owner_user_id % 3 = 0").select(
+        "owner_user_id", *(F.lit(None).cast(configs.schema[c].dataType).alias(c) for c in storage.OVERLAY if c not in ("source", "channel_id")), F.lit("CHZZK").alias("source"),
+        F.element_at("whitelist", 1).alias("channel_id"), F.when(F.col("owner_user_id") % 6 == 0, F.array(F.lit(" a\t"), F.lit(" "), F.lit("B"), F.lit("a"))).alias("whitelist"), F.lit(None).cast("array<string>").alias("blacklist"),
+    )
+    made = storage.update_overlay(configs, asked)
+    return made.select("owner_user_id", "source", "channel_id", "security_level", F.array_join("whitelist", ",").alias("white"), F.array_join("blacklist", ",").alias("black"))
+
+
+@query("""
+SELECT n_nationkey AS owner_user_id, coalesce(c.name, '더미테스트') AS name, coalesce(c.level, 'MEDIUM') AS security_level FROM nation LEFT JOIN (
+    SELECT s_nationkey, arg_min(s_name, s_suppkey) AS name, arg_min(CASE WHEN s_acctbal < 0 THEN 'LOW' ELSE 'HIGH' END, s_suppkey) AS level FROM supplier GROUP BY s_nationkey) c ON s_nationkey = n_nationkey
+""")
+def overlay_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The config of each nation: that of its first supplier, or a new one."""
+    level = F.when(F.col("s_acctbal") < 0, "LOW").otherwise("HIGH")
+    values = {"name": F.col("s_name"), "security_level": level, "show_score": F.lit(True), "use_ai_filter": F.lit(True)}
+    configs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("owner_user_id"), *(values.get(c, F.lit("s")).alias(c) for c in storage.OVERLAY))
+    owners = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("owner_user_id"))
+    return storage.get_or_create(owners, configs).select("owner_user_id", "name", "security_level")
+
+
+@query("""
+SELECT c_custkey AS owner_user_id, array_to_string(list_filter([CASE WHEN c_custkey % 7 = 0 THEN 'blacklist' END, CASE WHEN length(c_name) > 18 THEN 'name' END,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 'security_level' END], lambda x: x IS NOT NULL), ',') AS faults FROM customer
+""")
+def overlay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segment = F.element_at("whitelist", 1)
+    asked = _overlays(spark, sf_dir).withColumns({
+        "security_level": F.when(segment == "BUILDING", "ULTRA").otherwise(F.col("security_level")), "name": F.when(F.length("name") > 18, F.repeat(F.col("name"), F.lit(9))).otherwise(F.col("name")),
+        "blacklist": F.when(F.col("owner_user_id") % 7 == 0, F.array(F.lit("\t"))).otherwise(F.col("blacklist")),
+    })
+    return storage.faults(asked).select("owner_user_id", F.array_join("faults", ",").alias("faults"))

@@ -54,6 +54,22 @@ def jamo_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.jamo_normalize(F.col("text"))).alias("jamo_md5"))
 
 
+_HANGUL = "[chr(CAST(44032 + doc_id * 37 % 11172 AS INTEGER)), 'ㅏ', chr(CAST(44032 + doc_id * 589 % 11172 AS INTEGER)), 'ㅣ', chr(CAST(44032 + doc_id * 11 % 11172 AS INTEGER))]"
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, unnest({_HANGUL}) AS ch, generate_subscripts({_HANGUL}, 1) AS k FROM documents),
+d AS (SELECT doc_id, k, CASE WHEN unicode(ch) BETWEEN 44032 AND 55203 THEN substring('{text.CHO}', (unicode(ch) - 44032) // 588 + 1, 1) || substring('{text.JUNG}', (unicode(ch) - 44032) % 588 // 28 + 1, 1)
+    || CASE WHEN (unicode(ch) - 44032) % 28 = 0 THEN '' ELSE substring('{"".join(text.JONG)}', (unicode(ch) - 44032) % 28, 1) END ELSE ch END AS jamo FROM c),
+j AS (SELECT doc_id, string_split(translate(string_agg(jamo, '' ORDER BY k), '{text.TENSE}', '{text.PLAIN}'), '') AS x FROM d GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_filter(x, lambda y, i: i = 1 OR y <> x[i - 1]), '') AS jamo FROM j
+""")
+def jamo_of_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllables made from ids, with Latin keys and filler between them."""
+    one = lambda k: text.code_point(F.lit(44032) + F.col("doc_id") * k % 11172)
+    return table(spark, sf_dir, "documents").select("doc_id", text.jamo_normalize(F.concat(one(37), F.lit("A"), one(589), F.lit("-1!"), one(11))).alias("jamo"))
+
+
 @query("""
 SELECT doc_id, md5(replace(replace(replace(text, 'idiot', '*****'), 'tion', '****'), 'th', '**')) AS masked_md5,
     length(replace(replace(replace(text, 'idiot', '*****'), 'tion', '****'), 'th', '**')) AS n FROM documents
@@ -112,15 +128,6 @@ def modules_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", parsed.alias("modules")).agg(F.count("*").alias("n"))
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'blacklist,AI:spam,system' WHEN 1 THEN 'system' WHEN 2 THEN 'AI:basic,pii' ELSE '' END AS pills FROM documents
-""")
-def detected_pills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = F.when(F.col("doc_id") % 4 == 0, "a|SYSTEM_KEYWORD,spam|AI_BASIC,b|USER_BLACKLIST").when(F.col("doc_id") % 4 == 1, "x|SYSTEM_KEYWORD,y|OTHER")
-    coded = coded.when(F.col("doc_id") % 4 == 2, "basic|AI_BASIC,pii|AI_BASIC,basic|AI_BASIC").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.pills(coded), ",").alias("pills"))
-
-
 @query("""
 SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM pages
 """)
@@ -162,8 +169,8 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", F.when(even, "json").otherwise("text").alias("kind"), line.alias("line"))
 
 
-@query("""
-SELECT doc_id, count(*) AS lines, sum(length(l)) AS chars FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents) WHERE length(l) > 0 GROUP BY doc_id
+@query(r"""
+SELECT doc_id, count(*) AS lines, sum(length(l)) AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS l FROM documents) WHERE length(l) > 0 GROUP BY doc_id
 """)
 def line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gravelsift.sources.readers import text_lines

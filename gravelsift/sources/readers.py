@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gravelsift.functions.text import strip
+
 ROOT_SCORE, VARIANT_SCORE, DEFAULT_POS = 5.0, 3.0, "NNG"
 
 
@@ -34,7 +36,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 def text_lines(rows: DataFrame, text_col: str = "value", *keep: str) -> DataFrame:
     """Stripped, non-blank lines of a text column, as `line`."""
     cut = rows.select(*keep, F.explode(F.split(text_col, "\n")).alias("line"))
-    return cut.withColumn("line", F.trim("line")).where("length(line) > 0")
+    return cut.withColumn("line", strip(F.col("line"))).where("length(line) > 0")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,9 +44,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_chat(raw: DataFrame) -> DataFrame:
-    """id, author, content, ts of received messages; those without content go, nameless authors become Anonymous."""
-    made = F.concat_ws("-", "source", F.col("ts_received_ms").cast("string"), F.coalesce("author", F.lit("anonymous")))
-    kept = raw.where("content is not null and trim(content) <> ''")
+    """id, author, content, ts of received messages; those with null or empty content go, nameless authors become Anonymous.
+
+    A message without an id gets one from its source, time and user id (of raw without user_id: its author).
+    """
+    user = F.col("user_id") if "user_id" in raw.columns else F.col("author")
+    made = F.concat_ws("-", F.lower("source"), F.col("ts_received_ms").cast("string"), F.coalesce(user.cast("string"), F.lit("anonymous")))
+    kept = raw.where("content is not null and content <> ''")
     return kept.select(F.coalesce("id", made).alias("id"), "source", "channel_id", F.coalesce("author", F.lit("Anonymous")).alias("author"), "content", F.timestamp_millis("ts_received_ms").alias("ts"))
 
 
@@ -54,7 +60,9 @@ def first_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
-    """Review candidates as CSV files with a header, a folder for each module."""
+    """Review candidates as CSV files with a header and an empty human_label, a folder for each module."""
+    if "human_label" not in candidates.columns:
+        candidates = candidates.withColumn("human_label", F.lit(""))
     candidates.write.mode("append").partitionBy("module").option("header", True).csv(path)
 
 

@@ -1,13 +1,14 @@
 """Matching, rules over scores, storage and lexicons on small tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gravelsift.operators import ai, analytics, lexicon, matching, storage, tokens
-from gravelsift.plans.analyze import analyze
-from gravelsift.sources.readers import normalize_chat, read_lexicon
+from gravelsift.plans.analyze import analyze, first_pass
+from gravelsift.sources.readers import normalize_chat, read_lexicon, text_lines
 
 
 def rows(df, *order):
@@ -19,6 +20,19 @@ def test_units_join_up_to_six(spark):
     assert rows(tokens.meaningful_units(toks), "doc_id", "s") == [(1, "abcdef", 0, 5, True), (1, "gh", 6, 7, True), (2, "x", 0, 0, False), (2, "y", 1, 1, False)]
 
 
+def test_units_of_texts_equal_the_windows(spark):
+    random.seed(3)
+    kinds, texts = ("NNG", "NNP", "XR", "VV", "JKS", "UN", "SL"), [(i, "".join(random.choice("abc  ") for _ in range(40))) for i in range(30)]
+
+    def cut(text):  # single letters, the tag by the letter and its place
+        return [(c, kinds[(ord(c) + k // 3) % 7], k) for k, c in enumerate(text) if c != " "]
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    toks = spark.createDataFrame([(i, p, f, g, k, 1) for i, t in texts for p, (f, g, k) in enumerate(cut(t))], "doc_id long, pos int, form string, tag string, start int, len int")
+    columns = ["doc_id", "form", "s", "e", "is_compound"]
+    assert rows(tokens.units_of_texts(docs, cut).select(columns), "doc_id", "s") == rows(tokens.meaningful_units(toks).select(columns), "doc_id", "s")
+
+
 def test_evidence(spark):
     ev = spark.createDataFrame([(1, "basic", t, i, i + 1, 0.10) for i, t in enumerate(("a", "##b", "##c", "##d"))], "doc_id long, module string, token string, s int, e int, evidence double")
     got = tokens.evidence_spans(ev, ai.MASK).first()
@@ -30,12 +44,33 @@ def test_longest_and_shadow(spark):
     assert rows(matching.longest(matching.drop_shadowed(m)).select("s", "e", "word", "wtype"), "s") == [(0, 3, "abcd", "USER_BLACKLIST")]
 
 
-def test_substrings_by_prefix_equal_the_automaton(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "abcabcd ab"), (2, ""), (3, None)], "doc_id long, text string")
-    lex = spark.createDataFrame([("abc", "A"), ("bc", "B"), ("abcd", "A"), ("zz", "B")], "word string, wtype string")
-    want = rows(matching.match_substrings(docs, lex), "doc_id", "s", "e", "word")
-    monkeypatch.setattr(matching, "LEXICON_ROWS", 1)
-    assert rows(matching.match_substrings(docs, lex), "doc_id", "s", "e", "word") == want and len(want) == 5
+@pytest.mark.parametrize("channel", matching.CHANNELS)
+def test_matches_are_the_same_for_lexicons_of_any_size(spark, monkeypatch, channel):
+    """Sent whole or joined by beginnings, with the automaton or without: long words, single characters, overlaps."""
+    long = "x" + "ab" * 300
+    docs = spark.createDataFrame([(1, f"abcabcd ab {long}y a.b!c a{long}"), (2, ""), (3, None), (4, "b1cd")], "doc_id long, text string")
+    lex = spark.createDataFrame([("abc", "A"), ("bc", "B"), ("abcd", "A"), ("zz", "B"), (long, "A"), (long + "y", "A"), ("a", "B"), ("bcd", "A"), ("ab", "A")], "word string, wtype string")
+    ways = [rows(matching.match_texts(docs, lex, (channel,)), "doc_id", "s", "e", "word")]
+    monkeypatch.setattr(matching, "LEXICON_CHARS", 1)
+    ways.append(rows(matching.match_texts(docs, lex, (channel,)), "doc_id", "s", "e", "word"))
+    words = {"abc": "A", "bc": "B", "a": "B", long: "A"}
+    search = matching.Search(None, {"ab": [3], "bc": [2], "a": [1], "xa": [len(long)]})
+    whole = matching.Search(words, {})
+    maybe = sorted(m for m in search.find(f"abcbca {long}") if m[2] in words)
+    assert maybe == sorted(whole.find(f"abcbca {long}"))
+    assert ways[0] == ways[1] and len(ways[0]) >= (3 if channel == "form" else 300) and (channel == "form" or any(len(r[3]) > 256 for r in ways[0]))
+
+
+def test_nouns_and_given_tokens(spark):
+    """A particle inside a longer token isn't a word of its own: substrings count on nouns only, forms everywhere."""
+    docs = spark.createDataFrame([(1, "badge is bad"), (2, "abad")], "doc_id long, text string")
+    toks = spark.createDataFrame(
+        [(1, 0, "badge", "VV", 0, 5), (1, 1, "is", "JX", 6, 2), (1, 2, "bad", "VA", 9, 3), (2, 0, "ab", "NNG", 0, 2), (2, 1, "ad", "NNG", 2, 2)],
+        "doc_id long, pos int, form string, tag string, start int, len int",
+    )
+    lex = spark.createDataFrame([("bad", "SYSTEM_KEYWORD"), ("abad", "USER_BLACKLIST")], "word string, wtype string")
+    got = rows(first_pass(docs, lex, toks).select("doc_id", "s", "e", "word"), "doc_id", "s")
+    assert got == [(1, 9, 11, "bad"), (2, 0, 3, "abad")]
 
 
 def test_analyze(spark):
@@ -48,23 +83,63 @@ def test_analyze(spark):
     assert got[2, "LOW"] == ("PARTIAL_MASK", "an ***** here") and got[2, "MEDIUM"] == ("FULL_BLOCK", "")
 
 
+BLOCK = ai.BLOCK_TEXT
+
+
+def second(spark, scores, text="a b", masked="a b", detected=(), spans=None, details=True, threshold=0.8):
+    kind = "text string, masked string, detected array<string>, scores map<string,double>, spans array<struct<s:int,e:int>>, has_details boolean"
+    return ai.apply_second_pass(spark.createDataFrame([(text, masked, list(detected), scores, spans, details)], kind), threshold).first()
+
+
 @pytest.mark.parametrize(("scores", "want"), [
     ({"criticism": 0.95, "basic": 0.91}, ["basic"]), ({"criticism": 0.95, "basic": 0.10}, ["criticism"]),
     ({"basic": 0.9, "criticism": 0.9, "sexual": 0.9, "politics": 0.9}, ["basic", "politics"]), ({"criticism": 0.92, "sexual": 0.96}, ["sexual"]),
     ({"sexual": 0.96, "politics": 0.91}, ["politics"]), ({"politics": 0.91, "family": 0.96}, ["family"]), ({"pii": 0.81}, ["pii"]), ({"spam": 0.71}, ["spam"]), ({"basic": 0.1}, []),
 ])
 def test_conflicts(spark, scores, want):
-    full = {m: 0.0 for m in ai.MODULES} | scores
-    df = spark.createDataFrame([("a b", "a *", ["w"], full)], "text string, masked string, detected array<string>, scores map<string,double>")
-    got = ai.apply_second_pass(df).first()
+    got = second(spark, {m: 0.0 for m in ai.MODULES} | scores, detected=["w"], spans=[(0, 0)])
     assert got.detected == want and got.override == ("FULL_BLOCK" if want in (["pii"], ["spam"]) else None)
-    assert got.masked == ("a *" if want else "a b")
+    assert got.masked == (BLOCK if got.override else "* b" if want else "a b")
+
+
+@pytest.mark.parametrize("scores", [None, {}])
+def test_failed_or_empty_scores_keep_the_first_pass(spark, scores):
+    got = second(spark, scores, text="long text", masked="l*ng text", detected=["w"])
+    assert got.detected == ["w"] and got.masked == "l*ng text" and got.override is None and got.ai_modules is None
+
+
+def test_second_pass_runs_only_below_the_ratio(spark):
+    assert second(spark, {"basic": 0.9}, text="abc defgh", masked="*** defgh", detected=["abc"]).detected == ["abc"]
+    assert second(spark, {"basic": 0.9}, text="abc defghijk", masked="*** defghijk", detected=["abc"], spans=[(4, 5)]).masked == "abc **fghijk"
+    assert second(spark, {"basic": 0.9}, text=" ", masked=" ").ai_modules is None
+    assert second(spark, {"basic": 0.9}, details=False).masked == "* *" and second(spark, {"basic": 0.9}, spans=None).masked == "a b"
 
 
-def test_failed_model_keeps_the_first_pass(spark):
-    df = spark.createDataFrame([("a b", "a *", ["w"], None)], "text string, masked string, detected array<string>, scores map<string,double>")
-    got = ai.apply_second_pass(df).first()
-    assert got.detected == ["w"] and got.masked == "a *" and got.override is None
+def test_analyze_with_scores(spark):
+    docs = spark.createDataFrame([(1, "so very calm a text"), (2, "call 555 now please"), (3, "an idiot is here and there"), (4, "half a bad word"), (5, "\u314b\u314b\u314b hello")], "doc_id long, text string")
+    lex = spark.createDataFrame([("idiot", "USER_BLACKLIST")], "word string, wtype string")
+    scores = spark.createDataFrame([(1, {"basic": 0.9}), (2, {"pii": 0.95}), (3, {"basic": 0.1}), (4, {"spam": 0.1, "basic": 0.85}), (5, {"basic": 0.9})], "doc_id long, scores map<string,double>")
+    evidence = spark.createDataFrame(
+        [(1, "basic", "very", 3, 7, 0.9), (4, "basic", "bad", 7, 10, 0.1), (4, "basic", "##x", 10, 11, 0.01), (5, "basic", "laugh", 0, 3, 0.9), (1, "spam", "so", 0, 2, 0.9)],
+        "doc_id long, module string, token string, s int, e int, evidence double",
+    )
+    found = analyze(docs, lex, levels=("MEDIUM",), scores=scores, evidence=evidence).orderBy("doc_id").collect()
+    assert [(r.action, r.processed_text, r.ai_modules) for r in found] == [
+        ("PARTIAL_MASK", "so **** calm a text", ["basic"]), ("FULL_BLOCK", BLOCK, ["pii"]), ("NORMAL", "an idiot is here and there", []),
+        ("PARTIAL_MASK", "half a bad word", ["basic"]), ("PARTIAL_MASK", "\u314b\u314b\u314b hello", ["basic"]),
+    ]
+    assert not any(r.has_blacklist for r in found) and found[0].score == 0.32  # a module's name counts as the detected word
+
+
+def test_analyze_service(spark):
+    docs = spark.createDataFrame([(1, "calm text"), (2, "an idiot here"), (3, "calm words")], "doc_id long, text string")
+    lex = spark.createDataFrame([("idiot", "USER_BLACKLIST")], "word string, wtype string")
+    scores = spark.createDataFrame([(i, {"basic": 0.9, "spam": 0.7}) for i in (1, 2, 3)], "doc_id long, scores map<string,double>")
+    tokens_ = spark.createDataFrame([(1, ["calm"])], "doc_id long, tokens array<string>")
+    got = {(r.doc_id, r.level): (r.action, r.processed_text, r.score) for r in analyze(docs, lex, profile="service", scores=scores, attribution=tokens_).collect()}
+    assert got[1, "LOW"] == ("REVIEW", "calm text", 0.9) and got[1, "MEDIUM"] == ("PARTIAL_MASK", "**** text", 0.9) and got[1, "HIGH"] == ("FULL_BLOCK", "", 0.9)
+    assert got[3, "MEDIUM"] == ("REVIEW", "calm words", 0.9)  # no attribution: the mask failed
+    assert got[2, "LOW"][:2] == ("PARTIAL_MASK", "an ***** here")  # words come first
 
 
 def test_latency(spark):
@@ -96,7 +171,7 @@ def test_read_lexicon(spark, tmp_path):
 
 
 def test_chat(spark):
-    raw = spark.createDataFrame([(None, None, "hi", 1000, "s", "c"), ("i", "a", " ", 1, "s", "c")], "id string, author string, content string, ts_received_ms long, source string, channel_id string")
+    raw = spark.createDataFrame([(None, None, "hi", 1000, "s", "c"), ("i", "a", "", 1, "s", "c"), ("j", "a", None, 1, "s", "c")], "id string, author string, content string, ts_received_ms long, source string, channel_id string")
     got = normalize_chat(raw).collect()
     assert len(got) == 1 and got[0].id == "s-1000-anonymous" and got[0].author == "Anonymous"
 
@@ -114,3 +189,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.table("moderated").select(*columns), *columns)
     want = rows(chat.moderate(messages.dropDuplicates(["id"]), config, ["bad"]).select(*columns), *columns)
     assert got == want and len(got) == 40
+
+
+def test_latency_of_nothing_and_of_keys(spark):
+    s = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("a", 1.0), ("b", 2.0), ("b", None)], "k string, v double")
+    assert rows(analytics.latency_stats(s, "v", "k").select("k", "n", "min", "max", "p50", "p99"), "k") == [("a", 3, 1.0, 5.0, 5.0, 5.0), ("b", 1, 2.0, 2.0, 2.0, 2.0)]
+    assert tuple(analytics.latency_stats(s.where("false"), "v").first())[:-1] == (0, 0, 0, 0, 0, 0, 0)
+
+
+def test_lines_are_stripped_of_all_white_space(spark):
+    df = spark.createDataFrame([("\t a \r\n\r\n \u3000b\x1f",)], "value string")
+    assert [r.line for r in text_lines(df).collect()] == ["a", "b"]
+
+
+def test_laughter_has_no_span(spark):
+    ev = spark.createDataFrame([(1, "basic", "x", 0, 3, 0.9), (1, "basic", "y", 5, 7, 0.9), (1, "spam", "z", 5, 7, 0.9)], "doc_id long, module string, token string, s int, e int, evidence double")
+    docs = spark.createDataFrame([(1, "\u314b\u314e\u314b  ab")], "doc_id long, text string")
+    assert [(r.s, r.e, r.module) for r in tokens.evidence_spans(ev, ai.MASK, docs).collect()] == [(5, 7, "basic")]
+
+
+def test_keys_in_normal_form(spark):
+    from gravelsift.functions import text
+
+    df = spark.createDataFrame([("\uff21\uff22 c!",), ("ab",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.text_key(text.nfkc(F.col("t")))).collect()] == ["abc", "ab", None]
