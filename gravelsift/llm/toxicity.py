@@ -58,6 +58,8 @@ _LETTERS = _letters()
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, feature) pairs of each order, not yet distinct; the texts are read as one row of code points."""
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(points):
+        return
     sizes = np.array([len(t) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)[: len(points)]
     points = np.where(points < 1 << 16, _LETTERS[np.minimum(points, 0xFFFF)], points)
@@ -86,7 +88,8 @@ def _cut(text: str) -> Iterator[str]:
             at = min((x for x in (text.find(" ", start + CHARS), text.find("\n", start + CHARS)) if x >= 0), default=len(text))
         yield text[start:at]
         start = at
-    yield text[start:]
+    if start < len(text):
+        yield text[start:]
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:

@@ -1,5 +1,6 @@
 """Operators 2, 6, 7, 8 and 9 on odd tables, against brute force and held-out labels."""
 
+import math
 import random
 import re
 from itertools import combinations
@@ -221,6 +222,8 @@ def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(0 <= r.toxicity <= 1 for r in got)
     assert toxicity.score(no_docs, toxicity.fit(no_docs, labels), ["doc_id"]).count() == 0
     assert 0 < toxicity.score(odd_docs, toxicity.fit(odd_docs, labels.where("toxic = 1")), ["doc_id"]).first().score <= 1
+    alone = toxicity.score(odd_docs.where("doc_id = 4"), model, ["doc_id"]).first().score  # a batch of one empty text
+    assert alone == {r.doc_id: r.toxicity for r in got if r.doc_id == 4}.get(4, alone) and 0 < alone < 1 and list(toxicity.features([""])) == []
 
 
 def test_quality_on_held_out_labels(spark):
@@ -239,6 +242,51 @@ def test_quality_shrinks_sparse_sites(spark):
     assert means["bad"] < 0.2 and means["good"] > 0.8 and 0.0 < means["rare"] < mean and n == 3
 
 
+def test_quality_against_plain_loops(spark):
+    """Posteriors and scores of a small table, recomputed in plain Python."""
+    random.seed(9)
+    rows = [(i, random.choice(("Good text here.", "BAD !!! | | |", "so so")), random.choice("xyz"), random.choice(("en", "de"))) for i in range(60)]
+    model = quality.Evidence([0.0] * 10, [1.0] * 10, [-3.0, 0.0, -1.0, -2.0, 0.0, 2.0, 0.0, 0.1, 0.0, 0.5], 0.2)
+    got = {r.doc_id: r for r in quality.decide(spark.createDataFrame(rows, "doc_id long, text string, h string, s string"), model, F.col("h"), F.col("s")).collect()}
+    z = {i: float(quality.shape_features([t])[0] @ model.weights + model.intercept) for i, t, *_ in rows}
+    p = {i: 1 / (1 + math.exp(-x)) for i, x in z.items()}
+    mean = sum(p.values()) / len(p)
+
+    def strength(groups):
+        n, total = [len(g) for g in groups], [sum(g) for g in groups]
+        within = max(mean * (1 - mean), 1e-6)
+        between = (sum(t * t / k for t, k in zip(total, n, strict=True)) - sum(n) * mean**2 - (len(n) - 1) * within) / (sum(n) - sum(k * k for k in n) / sum(n))
+        return min(1e6, max(1.0, within / max(between, 1e-9)))
+
+    hosts = {h: [p[i] for i, _, x, _ in rows if x == h] for h in "xyz"}
+    paths = {(h, s): [p[i] for i, _, x, y in rows if (x, y) == (h, s)] for _, _, h, s in rows}
+    kh, kp = strength(list(hosts.values())), strength(list(paths.values()))
+    for i, _, h, s in rows:
+        host = (sum(hosts[h]) + kh * mean) / (len(hosts[h]) + kh)
+        path = (sum(paths[h, s]) - p[i] + kp * host) / (len(paths[h, s]) - 1 + kp)
+        score = 1 / (1 + math.exp(-(z[i] + math.log(path / (1 - path)) - math.log(mean / (1 - mean)))))
+        assert got[i]._gq_host_mean == pytest.approx(host) and got[i]._gq_path_mean == pytest.approx(path) and got[i]._gq_score == pytest.approx(score)
+
+
+def test_conflicting_labels_are_not_learnt(spark):
+    rows = [(i, f"{'vile nasty' if i % 2 else 'kind calm'} words number{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    plain, torn = (toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels[2:], labels + [(0, 1), (1, 0)]))
+    assert (plain.features == torn.features).all() and (plain.weights == torn.weights).all()
+
+
+def test_long_words_and_lines(spark):
+    """One word and one line of a million characters, whole, in each operator that reads texts."""
+    rows = [(1, "ab" * 500_000, "a", "en"), (2, "word " * 200_000, "a", "en"), (3, "word " * 200_000 + "x", "b", "en"), (4, "short", "b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).count() == 4
+    assert {r.doc_id: r._gl_dropped for r in line_dedup.drop_repeated_lines(docs).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, least=0.3).collect()}[3] == 2
+    assert licenses.scan(docs).where("doc_id = 2").first().n_words == 200_000
+
+
 def test_quality_of_odd_documents(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (7, 0), (5, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit_evidence(odd_docs, labels)

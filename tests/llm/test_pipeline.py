@@ -4,7 +4,9 @@ import corpus_pipeline
 import duckdb
 import pytest
 
-from gravelsift.llm import registry
+from pyspark.sql import functions as F
+
+from gravelsift.llm import chosen_path, line_dedup, quality, registry, toxicity
 from gravelsift.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -19,6 +21,29 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_stages_take_their_operators_decisions(spark):
+    """Each stage on its own input against what its operator says of each row of that input."""
+    docs = table(spark, DATA, "documents")
+    labels = table(spark, DATA, "labels")
+    kept = corpus_pipeline.keep_quality(spark, docs, DATA)
+    found = quality.decide(docs, quality.fit_evidence(docs, labels), F.col("source"), F.col("lang"))
+    assert ids(kept) == ids(found.where("_gq_keep"))
+    clean = corpus_pipeline.drop_toxic(spark, docs, DATA)
+    said = toxicity.score(docs, toxicity.fit(docs, labels, ~registry.held_out()), ["doc_id"])
+    assert ids(clean) == ids(said.where("score < 0.3"))
+    lines = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, DATA).collect()}
+    assert all(lines[i] == t and n == len(t) for i, (t, n) in got.items()) and all(not lines[i].strip() for i in lines.keys() - got.keys())
+    near = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert ids(near) == ids(chosen_path.near_duplicates(docs).where("kept"))
+    pieces = corpus_pipeline.pack(spark, docs, DATA).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("tokens")).collect()
+    assert len(pieces) == docs.count() and all(r.n == r.tokens for r in pieces)
+
+
 def test_pipeline_of_odd_documents(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
