@@ -109,6 +109,18 @@ def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield np.array(own), parts
 
 
+def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about CHARS characters (or one longer text), each with its first place."""
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and chars + len(text) > CHARS:
+            yield start, texts[start:i]
+            start, chars = i, 0
+        chars += len(text)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learn from labelled rows; train_on: a condition on the id column that rows must meet."""
     bounded_batches(docs.sparkSession)
@@ -119,18 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_c
 
     def featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, y = frame.text.tolist(), frame.y.to_numpy()
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for own, parts in _parts(texts):
-                pairs = [own[o] << BITS | f for o, f in features(parts)]
-                held.append(np.unique(np.concatenate(pairs) if pairs else np.empty(0, np.int64), return_counts=True))
-            keys, counts = (np.concatenate(x) if held else np.empty(0, np.int64) for x in (zip(*held, strict=True) if held else ((), ())))
-            both, back = np.unique(keys, return_inverse=True)  # a text that was cut has its n-grams in several parts
-            tf = np.bincount(back, counts, minlength=len(both)).astype(np.int32)
-            cut = np.searchsorted(both >> BITS, np.arange(len(texts) + 1)).tolist()
-            names = (both & ((1 << BITS) - 1)).astype(np.int32)
-            spans = list(zip(cut, cut[1:], strict=False))
-            yield pd.DataFrame({"y": y, "chars": [len(t) for t in texts], "f": [names[a:b] for a, b in spans], "tf": [tf[a:b] for a, b in spans]})
+            for first, texts in _groups(frame.text.tolist()):
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                for own, parts in _parts(texts):
+                    pairs = [own[o] << BITS | f for o, f in features(parts)]
+                    held.append(np.unique(np.concatenate(pairs) if pairs else np.empty(0, np.int64), return_counts=True))
+                keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+                both, back = np.unique(keys, return_inverse=True)  # a text that was cut has its n-grams in several parts
+                tf = np.bincount(back, counts, minlength=len(both)).astype(np.int32)
+                cut = np.searchsorted(both >> BITS, np.arange(len(texts) + 1)).tolist()
+                names = (both & ((1 << BITS) - 1)).astype(np.int32)
+                spans = list(zip(cut, cut[1:], strict=False))
+                yield pd.DataFrame({
+                    "y": frame.y.to_numpy()[first : first + len(texts)], "chars": [len(t) for t in texts],
+                    "f": [names[a:b] for a, b in spans], "tf": [tf[a:b] for a, b in spans],
+                })
 
     sample = rows.select("text", "y").mapInPandas(featurise, "y int, chars long, f array<int>, tf array<int>").persist(StorageLevel.DISK_ONLY)
     n = dict(sample.groupBy("y").count().collect())
