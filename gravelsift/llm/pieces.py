@@ -26,9 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gravelsift.llm.common import bounded_batches
+
 MARK = "▁"
-#: A run's number of ids, its ids as decimals joined by a space, its ids, and what they spell.
-Run = tuple[int, str, tuple[int, ...], str]
+#: A run's number of ids, its ids as decimals joined by a space, and its ids.
+Run = tuple[int, str, tuple[int, ...]]
 #: A worker keeps at most so many runs; it then starts anew. Runs over SHORT characters aren't kept.
 KEPT_RUNS, SHORT = 600_000, 32
 #: So many texts are cut into runs at a time.
@@ -152,10 +154,8 @@ class PieceModel:
                 self.cache[run] = self.entry(ids)
 
     def entry(self, ids: list[int]) -> Run:
-        digits, pieces = self.digits, self.pieces
-        plain = self.byte_of.keys().isdisjoint(ids)
-        text = "".join([pieces[i] for i in ids]).replace(MARK, " ") if plain else self.spelled(ids)
-        return len(ids), " ".join([digits[i] for i in ids]), tuple(ids), text
+        digits = self.digits
+        return len(ids), " ".join([digits[i] for i in ids]), tuple(ids)
 
     def runs(self, text: str) -> list[str]:
         if not text:
@@ -253,28 +253,36 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+def hashed(frames: Iterator[pd.DataFrame], model: PieceModel, check_every: int) -> Iterator[pd.DataFrame]:
+    """The rows of round_trip for Arrow batches of doc_id and text."""
+    library = sentencepiece.SentencePieceProcessor(model_file=model.path)
+    for turn, frame in enumerate(frames):
+        counts, ids_hash, text_hash = [], [], []
+        texts = frame.text.tolist()
+        checked = turn % min(check_every, len(texts)) if check_every and texts else -1
+        for k, got in enumerate(model.encode(texts)):
+            ids = [i for g in got for i in g[2]]
+            ids.append(model.end)
+            if checked >= 0 and k % check_every == checked and ids != library.encode(texts[k], add_eos=True):
+                raise ValueError(f"these ids are not the library's: {texts[k][:80]!r}")
+            counts.append(len(ids))
+            digits = " ".join([*(g[1] for g in got), model.digits[model.end]])
+            ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
+            text_hash.append(hashlib.sha256(library.decode(ids).encode()).hexdigest())
+        yield pd.DataFrame({"doc_id": frame.doc_id, "n_tokens": counts, "ids_sha256": ids_hash, "decoded_sha256": text_hash})
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = 16) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Encodes and decodes in one pass, keeping no ids.
 
-    Decoding goes by the same runs: a run's bytes always form whole characters, so its text is its decoded ids.
+    The ids come from the agenda and go back to text through the library's decode(ids). In each Arrow batch one document in
+    `check_every`, from a place that differs from batch to batch, is encoded by the library too, and other ids than its own
+    raise an error; 1 checks every document, 0 none. The check guards against a model file that isn't read rightly; it
+    doesn't make the ids.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = piece_model(model_path)
-        library = sentencepiece.SentencePieceProcessor(model_file=model_path) if check else None
-        for frame in frames:
-            counts, ids_hash, text_hash = [], [], []
-            for text, got in zip(frame.text, model.encode(frame.text.tolist()), strict=True):
-                counts.append(sum(g[0] for g in got) + 1)
-                digits = " ".join([*(g[1] for g in got), str(model.end)])
-                ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
-                decoded = "".join([g[3] for g in got])
-                decoded = decoded[1:] if decoded.startswith(" ") else decoded
-                text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if library:
-                    want = library.encode(text, add_eos=True)
-                    if digits != " ".join(map(str, want)) or decoded != library.decode(want):
-                        raise ValueError(f"not as the library's: {text[:80]!r}")
-            yield pd.DataFrame({"doc_id": frame.doc_id, "n_tokens": counts, "ids_sha256": ids_hash, "decoded_sha256": text_hash})
+        return hashed(frames, piece_model(model_path), check_every)
 
     return _texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,9 +7,11 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gravelsift.llm import packing, pieces, token_files, tokens
@@ -33,7 +35,7 @@ def test_pieces_equal_the_library():
 
 
 def test_pieces_round_trip(spark, odd_docs, no_docs):
-    got = pieces.round_trip(odd_docs, PIECE, check=True).collect()
+    got = pieces.round_trip(odd_docs, PIECE, check_every=1).collect()
     assert len(got) == odd_docs.count() and pieces.round_trip(no_docs, PIECE).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
     assert {(r.n_tokens, r.decoded_sha256) for r in got if r.doc_id in (3, 4)} == {(1, empty)}
@@ -42,9 +44,24 @@ def test_pieces_round_trip(spark, odd_docs, no_docs):
 
 
 def test_pieces_of_whole_documents_equal_the_library(spark):
-    """Every document of sf0.01: ids and decoded texts, compared in each Arrow batch (a difference raises)."""
+    """Every document of sf0.01: ids compared in each Arrow batch (a difference raises), own decoding beside the library's."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    assert pieces.round_trip(docs, PIECE, check=True).count() == docs.count()
+    trip = pieces.round_trip(docs, PIECE, check_every=1)
+    back = pieces.decode_documents(pieces.encode_documents(docs, PIECE), PIECE)
+    own = back.select("doc_id", F.sha2("text", 256).alias("decoded_sha256"))
+    assert trip.count() == docs.count() and trip.select("doc_id", "decoded_sha256").exceptAll(own).isEmpty()
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_wrong_ids_are_found_in_each_batch(at):
+    """The check moves from batch to batch, so that no place of a batch is left out for ever."""
+    model = pieces.PieceModel(PIECE)
+    right = model.encode
+    frame = pd.DataFrame({"doc_id": range(5), "text": ["a b c"] * 5})
+    assert len(list(pieces.hashed(iter([frame] * 5), model, 16))) == 5
+    model.encode = lambda texts: [[*got, got[0]] if k == at else got for k, got in enumerate(right(texts))]
+    with pytest.raises(ValueError, match="not the library's"):
+        list(pieces.hashed(iter([frame] * 5), model, 16))
 
 
 def test_byte_and_word_ids_equal_the_library():
