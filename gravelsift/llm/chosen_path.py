@@ -3,16 +3,20 @@
 1. Each document becomes the set of its distinct five-word shingles, and gets a fingerprint of the set, a sketch of BINS
    bytes and, for each of RUNS runs, the paths of length 1 that it takes: a token is chosen if a hash of it is below
    1 / (least * size of the set), so sets that share enough tokens meet in some bucket. Equal sets are collapsed.
-2. Buckets are counted with a partial aggregation and those of one set dropped. A bucket of more than SMALL sets is split again: its members read their tokens once
-   more and choose the next token of the path, and so on down to DEPTH tokens, or until a split leaves over half of a
-   bucket together (copies of each other, which no token parts).
+2. Buckets are counted with a partial aggregation and those of one set dropped. A bucket of more than SMALL sets is split
+   again: its members read their tokens once more and choose the next token of the path, and so on down to DEPTH tokens, or
+   until a split leaves over half of a bucket together (copies of each other, which no token parts). Pairs meet less often
+   on deeper levels: sets of split buckets take further runs, until RECALL is reached on the deepest level used.
 3. Small buckets, and those that are large still (dealt to pairs of blocks), are compared by brute force on sketches, whose estimate must reach `least` less SLACK; only a spanning set of candidate links leaves a task.
 4. Candidates are united to clusters; a cluster's texts meet in tasks of at most two blocks of BLOCK texts, where the
    exact similarity of every pair is computed. A task returns counts of links and a spanning set of them.
 5. The verified links are united to components.
 
-A pair of similarity s meets in a run on the first level with probability 1 - exp(-2 s / ((1 + s) least)): 0.67 at 0.8,
-so ten runs miss one in 60,000; on the third level it is 0.44, and ten runs miss one in 300. No bucket is capped.
+A pair of sets meets in a run on level k with probability p(k) = 1 - exp(-m p(k - 1)), p(0) = 1, where m is the common tokens
+over `least` times the larger set. At a similarity of `least` m is at its least, 1, when one set lies in the other: p is 0.63
+on the first level (ten runs miss one in 22,000) and 0.27 on the fifth (23 runs miss one in 1,300). A pair of which one
+set was in no split bucket takes no further runs; that and no meeting in its other buckets happens once in 22,000 at most.
+No bucket is capped.
 
 Words are runs of letters and digits in lower case. A text of one to four words has one shingle of them all; a text
 without words (null, empty) links with nothing. Rows of one id are one document (that of the smallest fingerprint), with
@@ -21,6 +25,7 @@ one row in the result. Rows with a null id are no documents and have no row. Lon
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +37,8 @@ from gravelsift.llm.common import bounded_batches, broadcast_if_small, component
 from gravelsift.llm.shingles import mix, parts, shingles, token_sets
 
 RUNS, SMALL, DEPTH, BINS, SLACK, BLOCK, TILE = 10, 512, 5, 64, 0.2, 256, 1024
+#: A pair of the least similarity, of sets of any sizes, meets with this probability.
+RECALL = 0.999
 TOP = float(2**64 - 2**11)
 #: A task compares so many pairs of sketches at a time.
 PAIRS = 100_000
@@ -46,6 +53,14 @@ def _choose(owner: np.ndarray, token: np.ndarray, limit: np.ndarray, seed: np.nd
     return chosen, mix(h[chosen] + np.uint64(0x632BE59BD9B4E019)).astype(np.int64)
 
 
+def runs_needed(level: int, recall: float = RECALL) -> int:
+    """Runs after which a pair whose buckets are all split down to that level has met with probability `recall`."""
+    meet = 1.0
+    for _ in range(level):
+        meet = 1 - math.exp(-meet)
+    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
 def _limits(sizes: np.ndarray, least: float) -> np.ndarray:
     return (np.minimum(1.0, 1 / (least * np.maximum(sizes, 1))) * TOP).astype(np.uint64)
 
@@ -243,17 +258,30 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     reps, _ = materialize(one.join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id"), "paths-reps")
 
     level = reps.select("doc_id", "f1", "sketch", F.explode("buckets").alias("bucket"), F.lit(None).cast("long").alias("parent"))
-    edges = None
-    for depth in range(1, DEPTH + 1):
-        counts, _ = materialize(level.groupBy("bucket").agg(F.count("*").alias("cnt")).where("cnt > 1"), f"paths-counts-{depth}")
-        counted = level.join(broadcast_if_small(counts), "bucket")
-        together = F.coalesce(F.col("cnt") > 0.5 * F.col("parent"), F.lit(False))
-        counted, _ = materialize(counted.withColumn("split", (F.col("cnt") > SMALL) & ~together & F.lit(depth < DEPTH)), f"paths-{depth}")
-        found = _candidates(counted.where("not split"), least)
-        edges = found if edges is None else edges.unionByName(found)
-        if counted.where("split").isEmpty():
+    edges, runs, deepest, again = None, RUNS, 1, None
+    while True:
+        for depth in range(1, DEPTH + 1):
+            counts, _ = materialize(level.groupBy("bucket").agg(F.count("*").alias("cnt")).where("cnt > 1"), f"paths-counts-{depth}")
+            counted = level.join(broadcast_if_small(counts), "bucket")
+            together = F.coalesce(F.col("cnt") > 0.5 * F.col("parent"), F.lit(False))
+            counted, _ = materialize(counted.withColumn("split", (F.col("cnt") > SMALL) & ~together & F.lit(depth < DEPTH)), f"paths-{depth}")
+            found = _candidates(counted.where("not split"), least)
+            edges = found if edges is None else edges.unionByName(found)
+            split = counted.where("split")
+            if split.isEmpty():
+                break
+            deepest = max(deepest, depth + 1)
+            if depth == 1:
+                some = split.select("doc_id", "f1", "sketch")
+                again = some if again is None else again.unionByName(some)
+            level, _ = materialize(_children(docs, split, least, id_col, text_col), f"paths-level-{depth}")
+        if (wanted := runs_needed(deepest)) <= runs:
             break
-        level, _ = materialize(_children(docs, counted.where("split"), least, id_col, text_col), f"paths-level-{depth}")
+        again, _ = materialize(again.dropDuplicates(["doc_id"]), "paths-again")
+        seeds = F.explode(F.sequence(F.lit(runs).cast("long"), F.lit(wanted - 1).cast("long"))).alias("bucket")
+        nodes = again.select("doc_id", "f1", "sketch", seeds, F.lit(None).cast("long").alias("cnt"))
+        level, _ = materialize(_children(docs, nodes, least, id_col, text_col), f"paths-run-{runs}")
+        runs = wanted
 
     clusters, _ = components(edges, "paths-clusters")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())

@@ -120,6 +120,33 @@ def test_join_against_brute_force(spark, monkeypatch):
     assert {i: got[i].component_id for i in sets} == root
 
 
+def test_join_repeats_runs_until_its_recall(spark, monkeypatch):
+    """Texts made of passages that many share: their buckets are split, and pairs at 0.8, one in the other, need further runs."""
+    for name, value in (("SMALL", 4), ("RUNS", 5)):
+        monkeypatch.setattr(chosen_path, name, value)
+    random.seed(9)
+    passages = [[f"p{p}w{i}" for i in range(40)] for p in range(12)]
+    rows = []
+    for i in range(100):
+        text = [w for p in random.sample(passages, 5) for w in p]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:165]))]
+    sets = shingle_sets(rows)
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        return sum(r.n_links for r in chosen_path.near_duplicates(docs).collect()) / 2 / len(links)
+
+    assert found() > 0.99
+    monkeypatch.setattr(chosen_path, "runs_needed", lambda level: 5)
+    assert found() < 0.98
+
+
+@pytest.mark.parametrize(("level", "runs"), [(1, 7), (5, 23)])
+def test_runs_needed(level, runs):
+    assert chosen_path.runs_needed(level) == runs
+
+
 def test_join_of_odd_documents(odd_docs, no_docs):
     got = {r.doc_id: r for r in chosen_path.near_duplicates(odd_docs).collect()}
     assert (got[1].n_links, got[2].component_id, got[2].kept, got[5].component_id, got[6].component_id) == (1, 1, False, 5, 5)
