@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.llm import chosen_path, forest, knn, licenses, line_dedup, packing, pieces, quality, token_files, toxicity
+from gravelsift.llm import chosen_path, forest, knn, licenses, line_dedup, merkle, oracle, packing, pieces, quality, ranking, sharding, token_files, toxicity
 from gravelsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = {"text": F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))}
+    return merkle.manifest(table(spark, sf_dir, "documents"), found=found)
+
+
+def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), shards=8, seed=42)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    return placed.select("doc_id", size.alias("size"), F.crc32("text").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_voronoi_knn": op1_voronoi_knn,
@@ -83,6 +99,9 @@ def queries() -> dict[str, Query]:
         "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_stratified_shards": op12_stratified_shards,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -136,4 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_voronoi_knn": OP1_SQL,
         "op3_forest": OP3_SQL,
         "op7_chosen_path": OP7_SQL,
+        "op11_merkle_manifest": oracle.merkle(),
+        "op12_stratified_shards": oracle.shards(),
+        "op13_ranked_search": oracle.RANKED,
     }
