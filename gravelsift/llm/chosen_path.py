@@ -8,19 +8,20 @@
    until a split leaves over half of a bucket together (copies of each other, which no token parts). Pairs meet less often
    on deeper levels: sets of split buckets take further runs, until RECALL is reached on the deepest level used.
 3. Small buckets, and those that are large still (dealt to pairs of blocks), are compared by brute force on sketches, whose estimate must reach `least` less SLACK; only a spanning set of candidate links leaves a task.
-4. Candidates are united to clusters; a cluster's texts meet in tasks of at most two blocks of BLOCK texts, where the
-   exact similarity of every pair is computed. A task returns counts of links and a spanning set of them.
+4. Candidates are united to clusters; the sets of a cluster's classes meet in tasks of at most two blocks of BLOCK sets,
+   where the exact similarity of every pair is computed. A task returns counts of links and a spanning set of them.
 5. The verified links are united to components.
 
 A pair of sets meets in a run on level k with probability p(k) = 1 - exp(-m p(k - 1)), p(0) = 1, where m is the common tokens
 over `least` times the larger set. At a similarity of `least` m is at its least, 1, when one set lies in the other: p is 0.63
 on the first level (ten runs miss one in 22,000) and 0.27 on the fifth (23 runs miss one in 1,300). A pair of which one
 set was in no split bucket takes no further runs; that and no meeting in its other buckets happens once in 22,000 at most.
-No bucket is capped.
+A sketch loses a pair only if it reads SLACK below the similarity, over six standard deviations of BINS bins: one in some
+10 ** 7, which is less than the ten thousandth of what RECALL leaves. No bucket is capped.
 
 Words are runs of letters and digits in lower case. A text of one to four words has one shingle of them all; a text
-without words (null, empty) links with nothing. Rows of one id are one document (that of the smallest fingerprint), with
-one row in the result. Rows with a null id are no documents and have no row. Long texts: whole. Empty table: no rows. Ties: a component is named by its smallest id. Further columns are ignored.
+without words (null, empty) links with nothing. Rows of one id are one document: the text of the smallest fingerprint
+stands for it on every step, so the rows' order has no part in the result; it has one row. Rows with a null id are no documents and have no row. Long texts: whole. Empty table: no rows. Ties: a component is named by its smallest id. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gravelsift.llm.common import bounded_batches, broadcast_if_small, components, group_slices, local_roots, materialize, parallelism, stable_bucket, whole_groups
-from gravelsift.llm.shingles import mix, parts, shingles, token_sets
+from gravelsift.llm.shingles import compacted, fingerprints, mix, parts, shingles, token_sets
 
-RUNS, SMALL, DEPTH, BINS, SLACK, BLOCK, TILE = 10, 512, 5, 64, 0.2, 256, 1024
+RUNS, SMALL, DEPTH, BINS, SLACK, BLOCK, TILE = 10, 512, 5, 64, 0.3, 256, 1024
 #: A pair of the least similarity, of sets of any sizes, meets with this probability.
 RECALL = 0.999
 TOP = float(2**64 - 2**11)
@@ -91,8 +92,7 @@ def describe(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
                 cut = np.searchsorted(owner, np.arange(n + 1))
                 sizes = np.diff(cut)
                 limit = _limits(sizes, least)
-                added = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(11)), dtype=np.uint64)])
-                other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token ^ np.uint64(0xABCDEF0123456789)), dtype=np.uint64)])
+                f1, f2 = fingerprints(token, cut)
                 rows, buckets = [], []
                 for r in range(RUNS):
                     chosen, b = _choose(owner, token, limit, _seed(np.array([r])))
@@ -103,8 +103,7 @@ def describe(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
                 at = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
                 yield pd.DataFrame({
                     "doc_id": frame.doc_id.to_numpy()[start : start + n],
-                    "f1": (added[cut[1:]] - added[cut[:-1]]).astype(np.int64), "f2": (other[cut[1:]] - other[cut[:-1]]).astype(np.int64),
-                    "n": sizes, "sketch": [s.tobytes() for s in _sketches(owner, token, n)],
+                    "f1": f1, "f2": f2, "n": sizes, "sketch": [s.tobytes() for s in _sketches(owner, token, n)],
                     "buckets": [buckets[order[a:b]] for a, b in zip(at, at[1:], strict=False)],
                 })
 
@@ -112,29 +111,39 @@ def describe(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataF
     return texts.mapInPandas(run, "doc_id long, f1 long, f2 long, n long, sketch binary, buckets array<long>")
 
 
-def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The next buckets of documents in large buckets: doc_id, f1, sketch, bucket, parent (that bucket's size)."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """The next buckets of documents in large buckets: doc_id, f1, f2, sketch, bucket, parent (that bucket's size).
+
+    repeats: whether rows of one id may have to be told apart: only texts of the fingerprint go on, and once.
+    """
     paths = F.collect_set(F.struct("bucket", "cnt")).alias("paths")  # at most a document's paths
-    own = nodes.groupBy("doc_id", "f1").agg(paths, F.first("sketch").alias("sketch"))
+    own = nodes.groupBy("doc_id", "f1", "f2").agg(paths, F.first("sketch").alias("sketch"))
     own, _ = materialize(own, "paths-split")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for first, texts in parts(frame.text.tolist()):
                 some, out = frame.iloc[first : first + len(texts)], []
                 owner, tokens = token_sets(texts)
-                cut = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-                limits = _limits(np.diff(cut), least)
-                for k, (doc_id, f1, sketch, paths) in enumerate(zip(some.doc_id, some.f1, some.sketch, some.paths, strict=True)):
+                cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+                limits, (a, b) = _limits(np.diff(cut), least), fingerprints(tokens, cut)
+                real = ((a == some.f1) & (b == some.f2)).tolist()
+                for k, (doc_id, f1, f2, sketch, paths) in enumerate(zip(some.doc_id, some.f1, some.f2, some.sketch, some.paths, strict=True)):
+                    if not real[k]:
+                        continue
                     token = tokens[cut[k] : cut[k + 1]]
                     for path in paths:
                         _, b = _choose(np.zeros(len(token), np.int64), token, limits[k : k + 1], _seed(np.array([path["bucket"]])))
-                        out += [(doc_id, f1, sketch, x, path["cnt"]) for x in b.tolist()]
-                yield pd.DataFrame(out, columns=["doc_id", "f1", "sketch", "bucket", "parent"])
+                        out += [(doc_id, f1, f2, sketch, x, path["cnt"]) for x in b.tolist()]
+                yield pd.DataFrame(out, columns=["doc_id", "f1", "f2", "sketch", "bucket", "parent"])
 
-    joined = texts.join(broadcast_if_small(own), "doc_id")
-    return joined.mapInPandas(run, "doc_id long, f1 long, sketch binary, bucket long, parent long")
+    joined = _texts(docs, id_col, text_col).join(broadcast_if_small(own), "doc_id")
+    found = joined.mapInPandas(run, "doc_id long, f1 long, f2 long, sketch binary, bucket long, parent long")
+    return found.dropDuplicates(["doc_id", "bucket"]) if repeats else found
 
 
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -180,43 +189,54 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
     return tiled.repartition(2 * parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
-def _verify(docs: DataFrame, members: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, a, b): linked weights and spanning links of members (doc_id, f1, w, root, size), compared exactly."""
-    tiled = (
-        members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", stable_bucket("doc_id", F.col("blocks")).cast("int"))
-        .withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1))
-        .select("doc_id", "f1", "w", "root", "own", "others")
-    )
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """members with their tokens: the distinct shingles of the text that has the member's fingerprint, and once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first, texts in parts(frame.text.tolist()):
+                some = frame.iloc[first : first + len(texts)]
+                owner, made = shingles(texts)
+                short_owner, token = compacted(owner, made)
+                a, b = fingerprints(token, np.searchsorted(short_owner, np.arange(len(texts) + 1)))
+                order = np.lexsort((made, owner))
+                owner, made = owner[order], made[order]
+                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (made[1:] != made[:-1])])[: len(owner)]
+                owner, made = owner[new], made[new].view(np.int64)
+                cut = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+                held = some.drop(columns="text").assign(tokens=[made[x:y] for x, y in zip(cut, cut[1:], strict=False)])
+                yield held[((a == some.f1) & (b == some.f2)).to_numpy()]
+
+    joined = _texts(docs, id_col, text_col).join(broadcast_if_small(members), "doc_id")
+    columns = ["doc_id", "text", "f1", "f2", "w", "root", "size"]
+    found = joined.select(*columns).mapInPandas(run, "doc_id long, f1 long, f2 long, w long, root long, size long, tokens array<long>")
+    return found.dropDuplicates(["doc_id"]) if repeats else found
+
+
+def _verify(sets: DataFrame, least: float) -> DataFrame:
+    """(id, n, a, b): linked weights and spanning links of sets (doc_id, w, root, size, tokens), compared exactly."""
     rows = (
-        texts.join(broadcast_if_small(tiled), "doc_id")
-        .withColumn("other", F.explode("others"))
-        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "f1", "w", "text")
+        sets.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", stable_bucket("doc_id", F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "w", "tokens")
     )
     keys = ["root", "lo", "hi"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, keys):
-            out = []
-            for s in group_slices(frame, keys):
-                if (g := _compare(frame.iloc[s].drop_duplicates("doc_id"), least)) is not None:
-                    out.append(g)
+            out = [g for s in group_slices(frame, keys) if (g := _compare(frame.iloc[s], least)) is not None]
             if out:
                 yield pd.concat(out)
 
-    return rows.repartition(2 * parallelism(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, "id long, n long, a long, b long")
+    return rows.repartition(2 * parallelism(sets.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, "id long, n long, a long, b long")
 
 
 def _compare(g: pd.DataFrame, least: float) -> pd.DataFrame | None:
     if len(g) < 2:
         return None
     g = g.sort_values("doc_id", ignore_index=True)
-    owner, token = shingles(g.text.tolist())
-    order = np.lexsort((token, owner))
-    owner, token = owner[order], token[order]
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])])
-    owner, token = owner[new], token[new]
+    owner, token = np.repeat(np.arange(len(g)), g.tokens.map(len)), np.concatenate(g.tokens.to_list())
     m = len(g)
     sizes = np.bincount(owner, minlength=m)
     _, name, times = np.unique(token, return_inverse=True, return_counts=True)
@@ -250,6 +270,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     """doc_id, n_links (other documents of at least that similarity), component_id (smallest id reachable), kept."""
     bounded_batches(docs.sparkSession)
     described, _ = materialize(describe(docs, least, id_col, text_col), "paths-sets")
+    repeats = not described.groupBy("doc_id").count().where("count > 1").isEmpty()
     least_row = F.min(F.struct("f1", "f2", "n", "sketch", "buckets")).alias("x")
     one = described.groupBy("doc_id").agg(least_row).select("doc_id", "x.*")
     one, _ = materialize(one, "paths-docs")
@@ -257,7 +278,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     classes, _ = materialize(classes, "paths-classes")
     reps, _ = materialize(one.join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id"), "paths-reps")
 
-    level = reps.select("doc_id", "f1", "sketch", F.explode("buckets").alias("bucket"), F.lit(None).cast("long").alias("parent"))
+    level = reps.select("doc_id", "f1", "f2", "sketch", F.explode("buckets").alias("bucket"), F.lit(None).cast("long").alias("parent"))
     edges, runs, deepest, again = None, RUNS, 1, None
     while True:
         for depth in range(1, DEPTH + 1):
@@ -272,15 +293,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
                 break
             deepest = max(deepest, depth + 1)
             if depth == 1:
-                some = split.select("doc_id", "f1", "sketch")
+                some = split.select("doc_id", "f1", "f2", "sketch")
                 again = some if again is None else again.unionByName(some)
-            level, _ = materialize(_children(docs, split, least, id_col, text_col), f"paths-level-{depth}")
+            level, _ = materialize(_children(docs, split, least, id_col, text_col, repeats), f"paths-level-{depth}")
         if (wanted := runs_needed(deepest)) <= runs:
             break
         again, _ = materialize(again.dropDuplicates(["doc_id"]), "paths-again")
         seeds = F.explode(F.sequence(F.lit(runs).cast("long"), F.lit(wanted - 1).cast("long"))).alias("bucket")
-        nodes = again.select("doc_id", "f1", "sketch", seeds, F.lit(None).cast("long").alias("cnt"))
-        level, _ = materialize(_children(docs, nodes, least, id_col, text_col), f"paths-run-{runs}")
+        nodes = again.select("doc_id", "f1", "f2", "sketch", seeds, F.lit(None).cast("long").alias("cnt"))
+        level, _ = materialize(_children(docs, nodes, least, id_col, text_col, repeats), f"paths-run-{runs}")
         runs = wanted
 
     clusters, _ = components(edges, "paths-clusters")
@@ -288,11 +309,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     members = (
         clusters.join(sizes, "root").withColumnRenamed("node", "doc_id")
-        .join(one.select("doc_id", "f1"), "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id")
-        .select("doc_id", "f1", "w", "root", "size")
+        .join(reps.select("doc_id", "f1", "f2", "w"), "doc_id")
+        .select("doc_id", "f1", "f2", "w", "root", "size")
     )
     members, _ = materialize(members, "paths-members")
-    links, _ = materialize(_verify(docs, members, least, id_col, text_col), "paths-links")
+    links, _ = materialize(_verify(_member_sets(docs, members, id_col, text_col, repeats), least), "paths-links")
     roots, _ = components(links.where("a is not null").select("a", "b"), "paths-cc")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     named = (

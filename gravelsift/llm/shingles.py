@@ -88,7 +88,18 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def token_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, token) with each text's distinct shingles, sorted; tokens have TOKEN_BITS bits."""
-    owner, made = shingles(texts)
+    return compacted(*shingles(texts))
+
+
+def compacted(owner: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token) of shingles: distinct, sorted, of TOKEN_BITS bits."""
     keys = np.sort(owner.astype(np.uint64) << np.uint64(TOKEN_BITS) | made >> np.uint64(64 - TOKEN_BITS))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     return (keys >> np.uint64(TOKEN_BITS)).astype(np.int64), keys & np.uint64((1 << TOKEN_BITS) - 1)
+
+
+def fingerprints(token: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each text's distinct tokens, whose places are cut[k] to cut[k + 1]: equal for equal sets."""
+    added = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(11)), dtype=np.uint64)])
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token ^ np.uint64(0xABCDEF0123456789)), dtype=np.uint64)])
+    return (added[cut[1:]] - added[cut[:-1]]).astype(np.int64), (other[cut[1:]] - other[cut[:-1]]).astype(np.int64)

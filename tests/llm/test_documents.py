@@ -153,6 +153,21 @@ def test_join_of_odd_documents(odd_docs, no_docs):
     assert all((got[i].n_links, got[i].kept) == (0, True) for i in (3, 4, 7, 8)) and chosen_path.near_duplicates(no_docs).count() == 0
 
 
+def test_join_is_the_same_for_any_order_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id with different texts, in any order, also where buckets split: one of the texts stands for the id."""
+    monkeypatch.setattr(chosen_path, "SMALL", 2)
+    words = [f"w{i}" for i in range(40)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, one), (1, other), (2, one + " more"), (3, other + " more"), (4, one + " less"), (4, one + " less"), (5, other), (6, one)]
+    found = []
+    for k in range(4):
+        random.Random(k).shuffle(rows)
+        found.append(sorted(tuple(r) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 6
+    links = {r[0]: r[1] for r in found[0]}
+    assert (links[2], links[4], links[6]) in ((2, 2, 2), (3, 3, 3)) and links[1] in (2, 3) and links[5] == links[3]
+
+
 def test_licenses(spark, odd_docs, no_docs):
     rows = [(1, "MIT License mit license, CC-BY cc by-sa 4.0"), (2, "Licensed under the Apache License, Version 2.0"), (3, "GNU General Public License version 3 or any later version"), (4, "mit der licence; cc"), (5, None)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
