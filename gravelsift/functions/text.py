@@ -42,6 +42,10 @@ def specials(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"(?U)[^{SPACE}\\p{{L}}\\p{{N}}]"))
 
 
+#: The letters of laughter.
+LAUGHTER = frozenset("ㅋㅎ")
+
+
 def is_laughter(text: Column) -> Column:
     return F.regexp_replace(text, f"(?U)[{SPACE}]", "").rlike("^[ㅋㅎ]+$")
 
@@ -109,9 +113,11 @@ def token_mask(text: Column, tokens: Column) -> Column:
     return star_mask(text, ordered)
 
 
-def span_mask(text: Column, spans: Column, keep_spaces: bool = False) -> Column:
+def span_mask(text: Column, spans: Column, keep_spaces: bool = False, spare_laughter: bool = False) -> Column:
     """Stars over spans (array<struct<s, e>>, e inclusive), which are sorted by s; they may overlap.
 
+    keep_spaces: white space stays. spare_laughter: spans of nothing but laughter and white space (is_laughter) stay.
+
     Cutting a string at a place reads it from its beginning, so built-in expressions would read a text once for each span;
     here it is cut once, in Arrow batches.
     """
@@ -125,6 +131,8 @@ def span_mask(text: Column, spans: Column, keep_spaces: bool = False) -> Column:
                 continue
             out, at = [], 0
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                if spare_laughter and set("".join(whole[a : b + 1].split())) - LAUGHTER == set() != set(whole[a : b + 1].split()):
+                    continue
                 a = max(a, at)
                 if b >= a:
                     inner = whole[a : b + 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ def should_run(masked_ratio: Column, text: Column) -> Column:
 
 
 def service_should_run(opted_in: Column, modules: Column, blacklist: Column, trigger: Column) -> Column:
+    """Whether a user has asked for module scores, of some module, and the words found don't decide already."""
     return opted_in & (F.length(strip(F.coalesce(modules, F.lit("")))) > 0) & ~blacklist & ~trigger
 
 
@@ -32,8 +35,17 @@ def hits(scores: Column, threshold: float = 0.8) -> Column:
     return F.array_sort(F.map_keys(F.map_filter(F.coalesce(scores, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), lambda k, v: v >= F.coalesce(least[k], F.lit(threshold)))))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def resolve(found: Column, scores: Column) -> Column:
     """Drop modules by the conflict rules, in their order: a fixed row of conditions over seven flags."""
+    return once(F.struct(found.alias("found"), scores.alias("scores")), lambda x: _resolved(x["found"], x["scores"]))
+
+
+def _resolved(found: Column, scores: Column) -> Column:
     on = {m: F.array_contains(found, m) for m in MODULES}
 
     def others(m: str) -> Column:
@@ -76,7 +88,7 @@ def apply_second_pass(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     every = hits(F.col("scores"), threshold)
     out = rows.withColumn("ai_modules", F.when(counts, resolve(every, F.col("scores"))))
     block = F.arrays_overlap("ai_modules", F.array(*map(F.lit, BLOCKING)))
-    evidence = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, span_mask(F.col("text"), F.col("spans"), keep_spaces=True)).otherwise(F.col("text"))
+    evidence = F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, span_mask(F.col("text"), F.col("spans"), keep_spaces=True, spare_laughter=True)).otherwise(F.col("text"))
     mask = F.when(F.col("ai_modules").isNull(), F.col("masked")).when(F.size("ai_modules") == 0, F.col("text")).when(block, F.lit(BLOCK_TEXT))
     mask = mask.when(~F.coalesce("has_details", F.lit(False)), star_all(F.col("text"))).otherwise(evidence)
     left = F.when(F.size("ai_modules") == 0, left_scores(F.col("scores"), every, F.col("ai_modules")))
@@ -97,13 +109,19 @@ def gate(scores: DataFrame, enabled: DataFrame | None = None) -> DataFrame:
 
 
 def attribution_share(tokens: DataFrame, top: int = 10, least: float = 0.15) -> DataFrame:
-    """doc_id, module, pos, share, rank, selected: each token's share, the best `top`, selected from `least` on, else the first."""
+    """doc_id, module, pos, share, rank, selected (and token, if there is one): each token's share of its module's scores, the
+    best `top`, selected from `least` on, else the first."""
     group = Window.partitionBy("doc_id", "module")
     total = F.sum("score").over(group)
     shared = tokens.withColumn("share", F.when(total > 0, F.col("score") / total).otherwise(F.lit(0.0)))
     ranked = shared.withColumn("rank", F.row_number().over(group.orderBy(F.desc("share"), "pos"))).where(F.col("rank") <= top)
     some = F.max((F.col("share") >= least).cast("int")).over(group)
-    return ranked.withColumn("selected", F.when(some == 1, F.col("share") >= least).otherwise(F.col("rank") == 1)).select("doc_id", "module", "pos", "share", "rank", "selected")
+    return ranked.withColumn("selected", F.when(some == 1, F.col("share") >= least).otherwise(F.col("rank") == 1)).select("doc_id", "module", "pos", *(c for c in ("token",) if c in tokens.columns), "share", "rank", "selected")
+
+
+def selected_tokens(shares: DataFrame) -> DataFrame:
+    """doc_id, tokens: the distinct selected tokens of attribution_share (with token), as analyze(profile="service") masks them."""
+    return shares.where("selected").groupBy("doc_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
 
 
 def attention_pool(vectors: DataFrame, weights: list[float]) -> DataFrame:

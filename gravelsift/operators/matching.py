@@ -1,21 +1,29 @@
 """Dictionary matches: equality joins of forms, substring search, shadowing, longest matches.
 
-A lexicon is (word, wtype) with one row for each word. Matches are (doc_id, s, e, word, wtype), e inclusive. Texts are
-read once for all channels; what follows are windows over one document's matches in one order, so a document's matches
-are shuffled and sorted once.
+A lexicon is (word, wtype) with one row for each word. Matches are (doc_id, s, e, word, wtype), e inclusive.
+
+`matcher` and `with_hits` do all of it where the text is: found, shadowed, chosen and masked in one Arrow pass, a result for
+each row, without a shuffle and without ids, so also in streams. `match_texts` gives the matches themselves as rows;
+`drop_shadowed`, `on_nouns` and `longest` are windows over a document's matches in one order.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.functions.text import LETTER
+from gravelsift.functions.text import LETTER, span_mask, star_mask
+from gravelsift.operators.tokens import joined_units
 
 #: Which list counts if several hold a word.
 PRECEDENCE = {"WHITELIST": 0, "USER_BLACKLIST": 1, "SYSTEM_KEYWORD": 2}
@@ -84,6 +92,178 @@ def compact(text: str) -> tuple[str, list[int]]:
     return "".join([text[i] for i in kept]) if gone else text, kept
 
 
+def hits_of(text: str, search: Search, tokens: list[tuple[str, str, int]] | None = None) -> list[tuple[int, int, str, str]]:
+    """(s, e, word, wtype) of what counts in one text, by start, the longer one first.
+
+    Every occurrence of a word, in the text and in its compact form at its places in the text; without those that a white
+    one contains, and those that lie in another one. tokens (form, tag, start) of a morphology adapter: then words count
+    where they touch a noun or unknown token, and units and tokens that are a word count everywhere.
+    """
+    found: dict[tuple[int, int, str], str] = {}
+    white: list[tuple[int, int]] = []
+    nouns = None if tokens is None else sorted((t, t + len(f) - 1) for f, g, t in tokens if g.startswith(("NN", "UN")))
+
+    def add(s: int, e: int, word: str, anywhere: bool = False) -> None:
+        kind = search.words[word]
+        if kind == "WHITELIST":
+            white.append((s, e))
+        elif anywhere or nouns is None or touches(s, e):
+            found[s, e, word] = kind
+
+    if nouns is not None:
+        begins, reach = [s for s, _ in nouns], list(accumulate((e for _, e in nouns), max))
+
+        def touches(s: int, e: int) -> bool:
+            k = bisect_right(begins, e)
+            return k > 0 and reach[k - 1] >= s
+
+        for form, start in ((f, t) for f, t, *_ in [*joined_units(tokens), *((f, t) for f, _, t in tokens)]):
+            if form in search.words:
+                add(start, start + len(form) - 1, form, True)
+    for s, e, word in search.find(text):
+        add(s, e, word)
+    if gone := [m.span() for m in _FILLER.finditer(text)]:
+        short = "".join([text[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True)])
+        left, places = 0, []  # where a gap lies in the short text, and how much is left out up to it
+        for a, b in gone:
+            places.append(a - left)
+            left += b - a
+        sizes = list(accumulate(b - a for a, b in gone))
+        for s, e, word in search.find(short):
+            i, j = bisect_right(places, s), bisect_right(places, e)
+            if j > i:  # else it has been found in the text itself
+                add(s + (sizes[i - 1] if i else 0), e + sizes[j - 1], word)
+    if white:
+        white.sort()
+        begins, reach = [s for s, _ in white], list(accumulate((e for _, e in white), max))
+        found = {m: t for m, t in found.items() if not ((k := bisect_right(begins, m[0])) and reach[k - 1] >= m[1])}
+    out, before, at, far = [], -1, -1, -1
+    for (s, e, word), kind in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1], x[1] != "USER_BLACKLIST", x[0][2])):
+        if s != at:  # the first of a start is the longest one
+            before, at, far = max(before, far), s, e
+        if e == far and e > before:
+            out.append((s, e, word, kind))
+    return out
+
+
+def masked_by_place(text: str, hits: list[tuple[int, int, str, str]]) -> str:
+    out, at = [], 0
+    for s, e, *_ in hits:
+        s = max(s, at)
+        if e >= s:
+            out += [text[at:s], "*" * (e - s + 1)]
+            at = e + 1
+    return "".join([*out, text[at:]])
+
+
+def masked_by_word(text: str, hits: list[tuple[int, int, str, str]]) -> str:
+    """Each word replaced everywhere, in the order of detection."""
+    for word in dict.fromkeys(w for _, _, w, _ in hits):
+        text = text.replace(word, "*" * len(word))
+    return text
+
+
+HITS = "struct<s:array<int>,e:array<int>,word:array<string>,wtype:array<string>,masked:string>"
+MASKS = {"place": masked_by_place, "word": masked_by_word}
+
+
+@lru_cache(maxsize=4)
+def _search(name: str, shared) -> Search:
+    """A worker keeps the automaton of a lexicon from task to task."""
+    return Search(shared.value, {})
+
+
+def fits(lexicon: DataFrame) -> bool:
+    """Whether a lexicon is sent whole to every task."""
+    return (lexicon.agg(F.sum(F.length("word"))).first()[0] or 0) <= LEXICON_CHARS
+
+
+def matcher(lexicon: DataFrame, mask: str = "place") -> Callable[..., Column]:
+    """A function of a text column, and of tokens (array of form, tag, start) or none: HITS as `hits_of` has them.
+
+    The lexicon is read here, once; it must fit (`fits`). A null text has no hits and a null mask.
+    """
+    words = resolve(lexicon)
+    if not fits(words):
+        raise ValueError(f"the lexicon has over {LEXICON_CHARS} characters: match_texts joins it")
+    shared = lexicon.sparkSession.sparkContext.broadcast({r.word: r.wtype for r in words.collect()})  # at most LEXICON_CHARS characters
+    name, render = uuid.uuid4().hex, MASKS[mask]
+
+    def one(search: Search, text: str | None, tokens: list[dict] | None) -> tuple[list, str | None]:
+        if text is None:
+            return [], None
+        found = hits_of(text, search, None if tokens is None else [(t["form"], t["tag"], t["start"]) for t in tokens])
+        return found, render(text, found) if found else text
+
+    def made(texts: list, tokens: list) -> pa.Array:
+        search = _search(name, shared)
+        rows = [one(search, text, t) for text, t in zip(texts, tokens, strict=True)]
+        cuts, parts = [0], []
+        for found, _ in rows:
+            cuts.append(cuts[-1] + len(found))
+            parts += found
+        lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([p[k] for p in parts], t)) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+        return pa.StructArray.from_arrays([*lists, pa.array([m for _, m in rows], pa.string())], ["s", "e", "word", "wtype", "masked"])
+
+    @F.arrow_udf(HITS)
+    def plain(text: pa.Array) -> pa.Array:
+        return made(text.to_pylist(), [None] * len(text))
+
+    @F.arrow_udf(HITS)
+    def tagged(text: pa.Array, tokens: pa.Array) -> pa.Array:
+        return made(text.to_pylist(), [t or [] for t in tokens.to_pylist()])
+
+    return lambda text, tokens=None: plain(text) if tokens is None else tagged(text, tokens)
+
+
+def with_hits(docs: DataFrame, lexicon: DataFrame, tokens: DataFrame | None = None, mask: str = "place") -> DataFrame:
+    """docs (doc_id, text and others) with `hits` (HITS): a result for each row, whatever its id.
+
+    tokens: a morphology adapter's (doc_id, form, tag, start, len): rows of one id share them, rows of a null id have none.
+    A lexicon of any size: one that isn't sent whole is joined, by a key of id and text, so that rows of null and of
+    repeated ids keep to themselves there too.
+    """
+    if tokens is not None:
+        own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "form", "tag"))).alias("_tokens"))
+        docs = docs.join(own, "doc_id", "left")
+    if fits(resolve(lexicon)):
+        find = matcher(lexicon, mask)
+        return docs.withColumn("hits", find(F.col("text")) if tokens is None else find(F.col("text"), F.col("_tokens"))).drop("_tokens")
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")), 256)
+    keyed = docs.withColumn("_key", key)
+    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
+    if tokens is None:
+        found = match_texts(texts, lexicon, ("substring", "evasion"))
+    else:
+        given = keyed.select(F.col("_key").alias("doc_id"), F.explode("_tokens").alias("t")).distinct().select("doc_id", "t.*").withColumn("len", F.length("form"))
+
+        def units(t: list[dict]) -> list[tuple[str, int]]:
+            return [(form, start) for form, start, _ in joined_units([(x["form"], x["tag"], x["start"]) for x in t])]
+
+        @F.arrow_udf("array<struct<form:string,start:int>>")
+        def joined(column: pa.Array) -> pa.Array:
+            return pa.array([[{"form": f, "start": s} for f, s in units(t or [])] for t in column.to_pylist()], pa.list_(pa.struct([("form", pa.string()), ("start", pa.int32())])))
+
+        whole = keyed.select(F.col("_key").alias("doc_id"), F.explode(joined("_tokens")).alias("t")).select("doc_id", "t.*").withColumn("len", F.length("form"))
+        inner = match_texts(texts, lexicon, ("substring", "evasion"))
+        forms = match_forms(whole.unionByName(given.select("doc_id", "form", "start", "len")), lexicon)
+        found = forms.unionByName(on_nouns(inner.where("wtype <> 'WHITELIST'"), given)).unionByName(inner.where("wtype = 'WHITELIST'"))
+    rows = longest(drop_shadowed(found)).select("doc_id", F.struct("s", (-F.col("e")).alias("e"), rank().alias("r"), "word", "wtype").alias("m"))
+    rows = rows.groupBy(F.col("doc_id").alias("_key")).agg(F.array_sort(F.collect_set("m")).alias("_m"))
+    m = F.coalesce("_m", F.array().cast(rows.schema["_m"].dataType))
+    e = F.transform(m, lambda x: -x["e"])
+    spans = F.transform(m, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e")))
+    masked = span_mask(F.col("text"), spans) if mask == "place" else star_mask(F.col("text"), F.array_distinct(m["word"]))
+    hits = F.struct(m["s"].alias("s"), e.alias("e"), m["word"].alias("word"), m["wtype"].alias("wtype"), masked.alias("masked"))
+    return keyed.join(rows, "_key", "left").withColumn("hits", hits).drop("_key", "_m", "_tokens")
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """doc_id, s, e, word, wtype of rows with hits."""
+    each = F.explode(F.arrays_zip("hits.s", "hits.e", "hits.word", "hits.wtype")).alias("m")
+    return rows.select("doc_id", each).select("doc_id", "m.*")
+
+
 def match_texts(docs: DataFrame, lexicon: DataFrame, channels: tuple[str, ...] = CHANNELS, text_col: str = "text", pattern: str = TOKEN) -> DataFrame:
     """Matches of the given channels, found in one pass over the texts.
 

@@ -126,8 +126,14 @@ def evidence_spans(evidence: DataFrame, thresholds: dict[str, float], docs: Data
 
 
 def merge_word_pieces(tokens: DataFrame) -> DataFrame:
-    """doc_id, module, pos, token, score: pieces that begin with ## joined to the token before, their scores added."""
+    """doc_id, module, pos, token, score (raw_attr, attention): pieces that begin with ## joined to the token before, values added.
+
+    A piece without a token before it stays as it is.
+    """
     w = Window.partitionBy("doc_id", "module").orderBy("pos")
-    runs = tokens.withColumn("run", F.sum((~F.col("token").startswith("##")).cast("int")).over(w))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.regexp_replace(x["token"], "^##", ""))
-    return runs.groupBy("doc_id", "module", "run").agg(F.min("pos").alias("pos"), F.array_join(parts, "").alias("token"), F.sum("score").alias("score")).drop("run")
+    fresh = ~F.col("token").startswith("##") | (F.row_number().over(w) == 1)
+    runs = tokens.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(w))
+    piece = F.when(F.col("fresh"), F.col("token")).otherwise(F.substr("token", F.lit(3)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"])
+    values = [F.sum(c).alias(c) for c in ("score", "raw_attr", "attention") if c in tokens.columns]
+    return runs.groupBy("doc_id", "module", "run").agg(F.min("pos").alias("pos"), F.array_join(parts, "").alias("token"), *values).drop("run")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.operators import ai, tokens
+from gravelsift.operators import ai, attention, tokens
 from gravelsift.plans.registry import query, table
 
 _K = {m: k for k, m in enumerate(ai.MODULES)}
@@ -102,6 +103,71 @@ def attribution_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ai.attribution_share(toks)
 
 
+def _matrix(rows: int, columns: int, k: int) -> list[list[float]]:
+    """Weights by a rule: multiples of 1/64 between -1/4 and 1/4."""
+    return [[((7 * i + 13 * j + k * (i + 1)) % 33 - 16) / 64 for j in range(columns)] for i in range(rows)]
+
+
+_HEAD = dict(w1=_matrix(8, 64, 3), b1=_matrix(1, 8, 5)[0], w2=_matrix(1, 8, 11)[0], b2=0.125, c1=_matrix(8, 64, 17), d1=_matrix(1, 8, 19)[0], c2=_matrix(1, 8, 23)[0], d2=-0.25)
+
+
+def head() -> attention.Head:
+    return attention.Head(**{k: np.array(v) if isinstance(v, list) else v for k, v in _HEAD.items()})
+
+
+_DOT = "list_sum(list_transform(list_zip({}, {}), lambda p: p[1] * p[2]))"
+_TANH = "list_transform(list_zip(z, {b1}), lambda p: tanh(p[1] + p[2]))".format(**_HEAD)
+HEAD_SQL = f"""v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS h FROM embeddings WHERE vec_id % 11 <> 0),
+z AS (SELECT *, list_transform({_HEAD["w1"]}, lambda w: {_DOT.format("CAST(w AS DOUBLE[])", "h")}) AS z FROM v),
+a AS (SELECT *, {_DOT.format(_TANH, f"CAST({_HEAD['w2']} AS DOUBLE[])")} + {_HEAD["b2"]} AS a FROM z),
+w AS (SELECT *, exp(a - max(a) OVER (PARTITION BY label)) / sum(exp(a - m)) OVER (PARTITION BY label) AS w FROM (SELECT *, max(a) OVER (PARTITION BY label) AS m FROM a)),
+p AS (SELECT label, list(x ORDER BY j) AS pooled, max(n) AS n FROM (SELECT label, j, sum(w * h[j]) AS x, count(*) AS n FROM (SELECT label, w, h, unnest(range(1, 65)) AS j FROM w) GROUP BY label, j) GROUP BY label),
+y AS (SELECT *, list_transform(list_zip({_HEAD["c1"]}, {_HEAD["d1"]}), lambda c: {_DOT.format("CAST(c[1] AS DOUBLE[])", "pooled")} + c[2]) AS y FROM p),
+g AS (SELECT *, {_DOT.format("list_transform(y, lambda x: greatest(x, 0))", f"CAST({_HEAD['c2']} AS DOUBLE[])")} + {_HEAD["d2"]} AS logit FROM y)"""
+_SIX = "floor({} * 1e6 + 0.5) / 1e6"
+
+
+def _six(x: Column) -> Column:
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+@query(f"WITH {HEAD_SQL} SELECT label, n, {_SIX.format('logit')} AS logit, {_SIX.format('1 / (1 + exp(-logit))')} AS score, j AS dim, {_SIX.format('pooled[j]')} AS pooled FROM (SELECT *, unnest(range(1, 65)) AS j FROM g)")
+def attention_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of a label as the tokens of one text, every eleventh one masked: the pooled vector, a row for each of its numbers."""
+    found = attention.pool(table(spark, sf_dir, "embeddings"), head(), ["label"], mask=F.col("vec_id") % 11 != 0)
+    rows = found.select("label", "n", "logit", "score", F.posexplode("pooled").alias("dim", "pooled"))
+    return rows.select("label", "n", _six(F.col("logit")).alias("logit"), _six(F.col("score")).alias("score"), (F.col("dim") + 1).cast("long").alias("dim"), _six(F.col("pooled")).alias("pooled"))
+
+
+_BACK = f"""{HEAD_SQL},
+d AS (SELECT label, pooled, list_transform(range(1, 65), lambda j: list_sum(list_transform(range(1, 9), lambda k: CASE WHEN y[k] > 0 THEN CAST({_HEAD["c2"]} AS DOUBLE[])[k] * CAST({_HEAD["c1"]} AS DOUBLE[][])[k][j] ELSE 0 END))) AS grad FROM g),
+r AS (SELECT vec_id, label, w, {_DOT.format("grad", "h")} AS direct, {_DOT.format("grad", "pooled")} AS mean,
+    list_sum(list_transform(range(1, 9), lambda k: z[k] * CAST({_HEAD["w2"]} AS DOUBLE[])[k] * (1 - pow(tanh(z[k] + CAST({_HEAD["b1"]} AS DOUBLE[])[k]), 2)))) AS s FROM w JOIN d USING (label)),
+t AS (SELECT vec_id, label, w, w * (direct + (direct - mean) * s) AS raw FROM r)"""
+_NINE = "floor({} * 1e9 + 0.5) / 1e9"
+
+
+@query(f"WITH {_BACK} SELECT vec_id, label, {_NINE.format('w')} AS attention, {_NINE.format('raw')} AS raw_attr FROM t")
+def input_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = attention.attribute(table(spark, sf_dir, "embeddings"), head(), ["label"], mask=F.col("vec_id") % 11 != 0)
+    nine = lambda c: F.floor(F.col(c) * 1e9 + 0.5) / 1e9
+    return found.select("vec_id", "label", nine("attention").alias("attention"), nine("raw_attr").alias("raw_attr"))
+
+
+@query(f"""WITH {_BACK}, u AS (SELECT *, vec_id % 3 = 1 AND row_number() OVER (PARTITION BY label ORDER BY vec_id) > 1 AS joins, CASE WHEN vec_id % 3 = 1 THEN '##' ELSE '' END || 'v' || vec_id AS token FROM t),
+q AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS run FROM u),
+m AS (SELECT label, min(vec_id) AS pos, string_agg(CASE WHEN joins THEN token[3:] ELSE token END, '' ORDER BY vec_id) AS token, sum(abs(raw)) AS score FROM q GROUP BY label, run),
+s AS (SELECT *, score / sum(score) OVER (PARTITION BY label) AS share FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY share DESC, pos) AS rank FROM s)
+SELECT label, pos, token, {_NINE.format('share')} AS share, CAST(rank AS INTEGER) AS rank, CASE WHEN max(share) OVER (PARTITION BY label) >= 0.02::DOUBLE THEN share >= 0.02::DOUBLE ELSE rank = 1 END AS selected FROM k WHERE rank <= 10""")
+def attribution_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is attributed to word pieces, joined to words, and the words that a mask takes."""
+    found = attention.attribute(table(spark, sf_dir, "embeddings"), head(), ["label"], mask=F.col("vec_id") % 11 != 0)
+    piece = F.concat(F.when(F.col("vec_id") % 3 == 1, "##").otherwise(""), F.lit("v"), F.col("vec_id").cast("string"))
+    words = tokens.merge_word_pieces(found.select(F.col("label").alias("doc_id"), F.lit("basic").alias("module"), F.col("vec_id").alias("pos"), piece.alias("token"), "score"))
+    shares = ai.attribution_share(words, top=10, least=0.02)
+    return shares.select(F.col("doc_id").alias("label"), "pos", "token", (F.floor(F.col("share") * 1e9 + 0.5) / 1e9).alias("share"), "rank", "selected")
+
+
 _W = [round(0.5 - k / 64, 6) for k in range(64)]
 
 

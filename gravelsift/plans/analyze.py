@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravelsift.functions import scoring, text
@@ -13,29 +13,36 @@ LEVELS = ("LOW", "MEDIUM", "HIGH")
 
 
 def first_pass(docs: DataFrame, lexicon: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """doc_id, s, e, word, wtype of what counts: forms, substrings and evasions, unshadowed, longest.
+    """doc_id, s, e, word, wtype of what counts: words and evasions, unshadowed, longest (matching.hits_of)."""
+    return matching.exploded(matching.with_hits(docs.select("doc_id", "text"), lexicon, tokens))
 
-    tokens: a morphology adapter's (doc_id, pos, form, tag, start, len). Then units and tokens are matched as forms, and
-    substrings count only where they touch a noun. The built-in tokenizer calls every token a noun.
-    """
-    if tokens is None:
-        found = matching.match_texts(docs, lexicon)
-    else:
-        units = tok.meaningful_units(tokens).select("doc_id", "form", F.col("s").alias("start"), (F.col("e") - F.col("s") + 1).alias("len"))
-        forms = matching.match_forms(units.unionByName(tokens.select("doc_id", "form", "start", "len")), lexicon)
-        inner = matching.match_texts(docs, lexicon, ("substring", "evasion"))
-        on_nouns = matching.on_nouns(inner.where("wtype <> 'WHITELIST'"), tokens)
-        found = forms.unionByName(on_nouns).unionByName(inner.where("wtype = 'WHITELIST'"))
-    return matching.longest(matching.drop_shadowed(found))
-
-
-def _evidence(docs: DataFrame, scores: DataFrame, evidence: DataFrame | None, threshold: float) -> DataFrame:
+
+def judged(rows: DataFrame, triggers: tuple[str, ...]) -> DataFrame:
+    """rows (text, hits) with masked, detected, length, n_detected, has_blacklist, has_general and contains (a trigger word)."""
+    words, kinds = F.col("hits.word"), F.col("hits.wtype")
+    return rows.withColumns({
+        "masked": F.col("hits.masked"), "detected": words, "n_detected": F.size(words), "length": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+        "has_blacklist": F.array_contains(kinds, "USER_BLACKLIST"), "has_general": F.array_contains(kinds, "SYSTEM_KEYWORD"),
+        "contains": F.coalesce(text.any_contains(F.col("text"), list(triggers)), F.lit(False)),
+    }).drop("hits")
+
+
+def scored(rows: DataFrame, by_ai: Column | None = None, ai_mean: Column | None = None) -> DataFrame:
+    """judged rows with has_trigger and score."""
+    found = F.col("n_detected") > 0
+    rows = rows.withColumn("has_trigger", (F.col("has_blacklist") | F.col("has_general")) & found & F.col("contains"))
+    general = F.col("has_general") & found
+    points = scoring.risk_score(F.col("text"), F.col("length"), F.col("has_blacklist"), general if by_ai is None else general | by_ai, F.col("has_trigger"), ai_mean)
+    return rows.withColumn("score", F.coalesce(scoring.pack_score(points), F.lit(0.0)))
+
+
+def _evidence(scores: DataFrame, evidence: DataFrame | None, threshold: float) -> DataFrame:
     """doc_id, scores, has_details, spans of the evidence of modules that count."""
     given = scores.select("doc_id", "scores")
     if evidence is None:
         return given.withColumns({"has_details": F.lit(False), "spans": F.lit(None).cast("array<struct<s:int,e:int>>")})
     counted = given.select("doc_id", F.explode(ai.resolve(ai.hits(F.col("scores"), threshold), F.col("scores"))).alias("module"))
-    spans = tok.evidence_spans(evidence.join(counted, ["doc_id", "module"], "left_semi"), ai.MASK, docs)
+    spans = tok.evidence_spans(evidence.join(counted, ["doc_id", "module"], "left_semi"), ai.MASK)
     spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), (F.col("e") - 1).cast("int").alias("e")))).alias("spans"))
     return given.join(spans, "doc_id", "left").withColumn("has_details", F.lit(True))
 
@@ -43,56 +50,50 @@ def _evidence(docs: DataFrame, scores: DataFrame, evidence: DataFrame | None, th
 def analyze(
     docs: DataFrame, lexicon: DataFrame, levels: tuple[str, ...] = LEVELS, triggers: tuple[str, ...] = (), profile: str = "sdk", tokens: DataFrame | None = None,
     scores: DataFrame | None = None, evidence: DataFrame | None = None, attribution: DataFrame | None = None, threshold: float = 0.8,
+    opted_in: Column | None = None, modules: Column | None = None,
 ) -> DataFrame:
     """doc_id, level, action, processed_text, score, has_blacklist, has_general, has_trigger, n_detected, ai_modules.
 
-    All levels are decided in one pass. scores: (doc_id, scores map) of the second pass; a missing, null or empty map is a
-    model that failed.
+    A row for each row of docs and level: words are found, chosen and masked in one pass over the texts, without a shuffle,
+    so rows of null and of repeated ids are judged by their own texts. A null text has no words and scores 0. All levels
+    are decided in one pass. tokens: see matching.with_hits.
+
+    scores: (doc_id, scores map) of the second pass, a row for each id; a missing, null or empty map is a model that failed,
+    and so it is for a null id. They and what goes with them are joined by doc_id, the only shuffle of texts.
 
     profile "sdk": spans are masked by position; module scores replace the first pass where they count (see
     ai.apply_second_pass), with the evidence (doc_id, module, token, s, e, evidence) masked. profile "service": words are
-    replaced everywhere; scores count only for texts without a detected word, by their own matrix; of those that it masks
+    replaced everywhere, in the order in which they were found; scores count where ai.service_should_run (opted_in and
+    modules are columns of docs, by default true and ALL) and no word was found, by their own matrix; of those that it masks
     the attribution (doc_id, tokens) is masked, and without one they are reviewed.
     """
     if profile not in ("sdk", "service"):
         raise ValueError(f"no such profile: {profile}")
     sdk = profile == "sdk"
-    per_doc = first_pass(docs, lexicon, tokens).groupBy("doc_id").agg(
-        F.sum(F.length("word")).alias("length"), F.count("*").alias("n_detected"), F.bool_or(F.col("wtype") == "USER_BLACKLIST").alias("has_blacklist"),
-        F.bool_or(F.col("wtype") == "SYSTEM_KEYWORD").alias("has_general"), F.array_sort(F.collect_set("word")).alias("detected"), matching.spans_of().alias("hits"),
-    )
-    rows = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
-    masked = text.span_mask(F.col("text"), F.col("hits")) if sdk else text.star_mask(F.col("text"), F.col("detected"))
-    rows = rows.withColumns({
-        "masked": F.when(F.col("hits").isNull(), F.col("text")).otherwise(masked), "detected": F.coalesce("detected", F.array().cast("array<string>")),
-        **{c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_blacklist", "has_general")}, **{c: F.coalesce(F.col(c), F.lit(0)) for c in ("length", "n_detected")},
-    }).drop("hits")
-    rows = rows.withColumn("contains", text.any_contains(F.col("text"), list(triggers)))
-    nothing = {"ai_modules": F.lit(None).cast("array<string>"), "override": F.lit(None).cast("string"), "ai_mean": F.lit(None).cast("double"), "by_ai": F.lit(False)}
-    if scores is None:
-        rows = rows.withColumns(nothing)
-    elif sdk:
-        rows = ai.apply_second_pass(rows.join(_evidence(docs, scores, evidence, threshold), "doc_id", "left"), threshold)
+    rows = docs.select("doc_id", "text", *(() if sdk else ((F.lit(True) if opted_in is None else opted_in).alias("_opted"), (F.lit("ALL") if modules is None else modules).alias("_asked"))))
+    rows = judged(matching.with_hits(rows, lexicon, tokens, "place" if sdk else "word"), triggers)
+    rows = rows.withColumns({"ai_modules": F.lit(None).cast("array<string>"), "override": F.lit(None).cast("string"), "ai_mean": F.lit(None).cast("double"), "by_ai": F.lit(False)})
+    if scores is not None and sdk:
+        rows = ai.apply_second_pass(rows.join(_evidence(scores, evidence, threshold), "doc_id", "left"), threshold)
         counts = F.col("ai_modules").isNotNull()  # what is detected are modules then, typed as such
         names = F.aggregate("ai_modules", F.lit(0).cast("long"), lambda a, m: a + F.length(m))
         rows = rows.withColumns({
             "length": F.when(counts, names).otherwise(F.col("length")), "n_detected": F.when(counts, F.size("ai_modules")).otherwise(F.col("n_detected")),
             **{c: F.when(counts, F.lit(False)).otherwise(F.col(c)) for c in ("has_blacklist", "has_general")}, "by_ai": counts & (F.size("ai_modules") > 0),
         })
-    else:
-        over = F.array_sort(F.map_keys(F.map_filter("scores", lambda k, v: v >= threshold)))
+    elif scores is not None:
         own = scores.select("doc_id", "scores")
-        if attribution is not None:
-            own = own.join(attribution.select("doc_id", "tokens"), "doc_id", "left")
-        else:
-            own = own.withColumn("tokens", F.lit(None).cast("array<string>"))
-        only = (F.col("n_detected") == 0) & (F.size(over) > 0)
-        rows = rows.join(own, "doc_id", "left").withColumns({"ai_modules": F.when(only, over), "ai_mean": F.when(only, ai.mean_over(F.col("scores"), threshold)), "override": F.lit(None).cast("string"), "by_ai": F.lit(False)})
-        rows = rows.withColumn("has_general", F.col("has_general") | F.coalesce(only, F.lit(False)))
-    rows = rows.withColumn("has_trigger", (F.col("has_blacklist") | F.col("has_general")) & (F.col("n_detected") > 0) & F.col("contains"))
-    found = F.col("has_general") & (F.col("n_detected") > 0) | F.col("by_ai")
-    points = scoring.risk_score(F.col("text"), F.col("length"), F.col("has_blacklist"), found, F.col("has_trigger"), F.col("ai_mean"))
-    rows = rows.withColumn("score", scoring.pack_score(points)).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        own = own.withColumn("tokens", F.lit(None).cast("array<string>")) if attribution is None else own.join(attribution.select("doc_id", "tokens"), "doc_id", "left")
+        rows = rows.join(own, "doc_id", "left")
+        trigger = (F.col("has_blacklist") | F.col("has_general")) & F.col("contains")
+        runs = ai.service_should_run(F.coalesce("_opted", F.lit(False)), F.col("_asked"), F.col("has_blacklist"), trigger)
+        asked = text.parse_modules(F.col("_asked"), ai.MODULES)
+        over = F.map_filter("scores", lambda k, v: (v >= threshold) & F.array_contains(asked, k))
+        only = F.coalesce(runs & (F.col("n_detected") == 0) & (F.size(over) > 0), F.lit(False))
+        rows = rows.withColumns({
+            "ai_modules": F.when(only, F.array_sort(F.map_keys(over))), "ai_mean": F.when(only, ai.mean_over(over, threshold)), "has_general": F.col("has_general") | only,
+        })
+    rows = scored(rows, F.col("by_ai"), F.col("ai_mean")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     action = scoring.decide(F.col("level"), F.col("n_detected") > 0, F.col("has_blacklist"), F.col("has_trigger"), F.col("override"))
     shown = scoring.render(F.col("action"), F.col("text"), F.col("masked"), F.col("override"))
     if scores is not None and not sdk:

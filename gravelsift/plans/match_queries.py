@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gravelsift.functions import scoring, text
 from gravelsift.operators import ai, analytics, matching, tokens
 from gravelsift.plans import analyze as plans
-from gravelsift.plans.ai_queries import CONFLICTS_SQL, HIT_SQL, score_map
+from gravelsift.plans.ai_queries import CONFLICTS_SQL, HIT_SQL, SCORES_SQL, score_map
 from gravelsift.plans.registry import query, table
 
 #: The tables hold no Hangul: words that occur in them stand in for a dictionary.
@@ -177,10 +177,8 @@ SELECT d.doc_id, md5(coalesce(left(text, CAST(first_s AS BIGINT)) || tail, text)
 LEFT JOIN (SELECT doc_id, min(s) AS first_s, string_agg(piece, '' ORDER BY s) AS tail FROM pieces GROUP BY doc_id) p ON d.doc_id = p.doc_id
 """)
 def positional_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    spans = matching.merged_spans(plans.first_pass(docs, lexicon(spark)))
-    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(text.span_mask(F.col("text"), F.col("spans")))
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", F.md5(masked).alias("masked_md5"))
+    rows = matching.with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon(spark))
+    return rows.select("doc_id", F.md5("hits.masked").alias("masked_md5"))
 
 
 @query("""
@@ -254,6 +252,42 @@ def analyze_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "level", "action", "n_detected", F.array_join("ai_modules", ",").alias("ai_modules"), "score", F.md5("processed_text").alias("shown_md5"))
 
 
+_SERVICE_SQL = f"""{FIRST_SQL}, {SCORES_SQL}, per AS (
+    SELECT doc_id, list(word ORDER BY s, e DESC, wtype = 'SYSTEM_KEYWORD', word) AS words, CAST(sum(length(word)) AS DOUBLE) AS detected, bool_or(wtype = 'USER_BLACKLIST') AS bl, bool_or(wtype = 'SYSTEM_KEYWORD') AS sy FROM hit GROUP BY doc_id
+), over AS (
+    SELECT sc.doc_id, list(module ORDER BY module) AS mods, avg(score) AS mean FROM sc
+    WHERE score >= 0.8::DOUBLE AND doc_id % 9 <> 0 AND doc_id % 5 <> 1 AND (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND module IN ('spam', 'pii'))) GROUP BY sc.doc_id
+), attr AS (
+    SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(text, '\\p{{L}}+')[1:3]), lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w) AS toks FROM documents WHERE doc_id % 4 <> 2
+), base AS (
+    SELECT d.doc_id, d.text, coalesce(words, []) AS words, coalesce(detected, 0) AS detected, coalesce(bl, false) AS bl, coalesce(sy, false) AS sy, toks,
+        CASE WHEN words IS NULL THEN mods END AS ai, CASE WHEN words IS NULL THEN mean END AS mean, CAST(length(regexp_replace(d.text, '\\s', '', 'g')) AS DOUBLE) AS n,
+        CAST(len(regexp_extract_all(d.text, '[ㄱ-ㅎ]')) + len(regexp_extract_all(d.text, '[^\\s\\p{{L}}\\p{{N}}]')) AS DOUBLE) AS sp
+    FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN over USING (doc_id) LEFT JOIN attr USING (doc_id)
+), pt AS (
+    SELECT *, CASE WHEN n > 0 THEN greatest(least(detected / n, 1.0::DOUBLE), 0.10::DOUBLE) ELSE 0.10::DOUBLE END AS rt FROM base
+), lv AS (
+    SELECT *, CASE WHEN bl THEN 51 + (rt - 0.10::DOUBLE) / 0.90::DOUBLE * 24 WHEN sy THEN 26 + (rt - 0.10::DOUBLE) / 0.90::DOUBLE * 24 WHEN mean IS NOT NULL THEN mean * 100
+        WHEN n > 0 THEN floor(least(sp / n, 0.33::DOUBLE) / 0.33::DOUBLE * 25 * 100 + 0.5) / 100 ELSE 0 END AS points FROM pt, (VALUES ('LOW'), ('MEDIUM'), ('HIGH')) l(level)
+), act AS (
+    SELECT *, CASE WHEN ai IS NOT NULL THEN CASE level WHEN 'LOW' THEN 'REVIEW' WHEN 'MEDIUM' THEN CASE WHEN toks IS NULL THEN 'REVIEW' ELSE 'PARTIAL_MASK' END ELSE 'FULL_BLOCK' END
+        WHEN len(words) = 0 THEN 'NORMAL' WHEN bl THEN CASE level WHEN 'LOW' THEN 'PARTIAL_MASK' ELSE 'FULL_BLOCK' END ELSE CASE level WHEN 'LOW' THEN 'REVIEW' ELSE 'PARTIAL_MASK' END END AS action FROM lv
+)
+SELECT doc_id, level, action, floor(greatest(least(points, 100.0::DOUBLE), 0.0::DOUBLE) / 100 * 100 + 0.5) / 100 AS score, array_to_string(ai, ',') AS ai_modules, md5(CASE action WHEN 'FULL_BLOCK' THEN '' WHEN 'PARTIAL_MASK' THEN
+    list_reduce(list_prepend(text, CASE WHEN ai IS NULL THEN words ELSE toks END), lambda t, w: replace(t, w, repeat('*', length(w)))) ELSE text END) AS shown_md5 FROM act"""
+
+
+@query(_SERVICE_SQL)
+def analyze_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service profile: opt-in and modules by user, words masked in the order of detection, attribution of module hits."""
+    docs = table(spark, sf_dir, "documents")
+    scores = score_map(spark, sf_dir).where("doc_id % 9 <> 0")
+    attribution = docs.where("doc_id % 4 <> 2").select("doc_id", F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}+)")), 1, 3)).alias("tokens"))
+    asked = F.when(F.col("doc_id") % 3 == 0, "ALL").when(F.col("doc_id") % 3 == 1, " Spam, pii").otherwise(" ")
+    found = plans.analyze(docs, lexicon(spark), profile="service", scores=scores, attribution=attribution, opted_in=F.col("doc_id") % 5 != 1, modules=asked)
+    return found.select("doc_id", "level", "action", "score", F.array_join("ai_modules", ",").alias("ai_modules"), F.md5("processed_text").alias("shown_md5"))
+
+
 @query(f"""{FIRST_SQL}, {CONFLICTS_SQL}, kinds AS (SELECT doc_id, bool_or(wtype = 'USER_BLACKLIST') AS bl, bool_or(wtype = 'SYSTEM_KEYWORD') AS sy FROM hit GROUP BY doc_id)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN bl THEN 'blacklist' END, CASE WHEN len(mods) > 0 THEN 'AI:' || array_to_string(mods, ',') END, CASE WHEN sy THEN 'system' END], lambda x: x IS NOT NULL), '/') AS pills
 FROM r LEFT JOIN kinds USING (doc_id)

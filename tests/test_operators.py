@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,19 +177,148 @@ def test_chat(spark):
     assert len(got) == 1 and got[0].id == "s-1000-anonymous" and got[0].author == "Anonymous"
 
 
+def stream(df, tmp_path, name, output="append"):
+    """All rows that a streaming query of a landed folder gives."""
+    query = df.writeStream.format("memory").queryName(name).outputMode(output).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return query
+
+
 def test_stream_equals_batch(spark, tmp_path):
+    """The stream's analysis is that of plans.analyze on the same rows, evasions, shadows and lists included."""
     from gravelsift.streaming import chat
 
-    messages = spark.sql("select cast(id % 40 as string) id, 's' source, cast(id % 2 as string) channel_id, 'a' author, if(id % 40 % 3 = 0, 'bad word', 'fine') content, timestamp_seconds(1000 + id % 40 * 100) ts from range(80)")
+    texts = ["bad word", "b.a.d word", "badge", "fine", "so bad and worse", None, "a trigger: worse", ""]
+    messages = spark.createDataFrame([(str(k % 40), "s", str(k % 3), "a", texts[k % 8], 1000 + k % 40 * 100) for k in range(80)], "id string, source string, channel_id string, author string, content string, t long")
+    messages = messages.withColumn("ts", F.timestamp_seconds("t")).drop("t")
     messages.write.parquet(str(tmp_path / "in"))
-    config = spark.createDataFrame([("0", "HIGH", "PLACEHOLDER", "-")], "channel_id string, level string, mode string, placeholder string")
-    stream = chat.moderate(chat.once(chat.read_messages(spark, str(tmp_path / "in"))), config, ["bad"])
-    query = stream.writeStream.format("memory").queryName("moderated").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    columns = ["id", "channel_id", "action", "masked", "shown"]
-    got = rows(spark.table("moderated").select(*columns), *columns)
-    want = rows(chat.moderate(messages.dropDuplicates(["id"]), config, ["bad"]).select(*columns), *columns)
-    assert got == want and len(got) == 40
+    config = spark.createDataFrame([("0", "HIGH", "PLACEHOLDER", "-"), ("1", "LOW", "MASK", None)], "channel_id string, level string, mode string, placeholder string")
+    lex = spark.createDataFrame([("bad", "SYSTEM_KEYWORD"), ("badge", "WHITELIST"), ("worse", "USER_BLACKLIST")], "word string, wtype string")
+    moderated = chat.moderate(chat.once(chat.read_messages(spark, str(tmp_path / "in"))), config, lex, triggers=("trigger",))
+    stream(moderated, tmp_path, "moderated")
+    out = spark.table("moderated")
+    unique = messages.dropDuplicates(["id"]).withColumnRenamed("id", "doc_id").withColumn("text", F.col("content"))
+    judged = {(r.doc_id, r.level): (r.action, r.score) for r in analyze(unique, lex, triggers=("trigger",)).collect()}
+    got = out.collect()
+    assert len(got) == 40 and all((r.action, r.score) == judged[r.id, r.level] for r in got)
+    by = {(r.content, r.channel_id): r for r in got}
+    assert by["b.a.d word", "1"].masked == "***** word" and by["badge", "0"].action == "NORMAL" and by["so bad and worse", "0"].shown == "-"
+    assert [tuple(w) for w in by["so bad and worse", "1"].detected_words] == [("bad", "SYSTEM_KEYWORD"), ("worse", "USER_BLACKLIST")]
+    assert all(r.ts_generated <= r.ts_filter_start <= r.ts_filter_end <= r.ts_sent for r in got)
+    timed = chat.latency(out)
+    assert analytics.latency_stats(timed, "total_ms").first().n == 40 and timed.where("filter_ms < 0 or server_to_client_ms < 0").count() == 0
+
+
+def test_analysis_of_null_and_repeated_ids(spark, monkeypatch):
+    """Each row is judged by its own text, with a lexicon that is sent whole and with one that is joined."""
+    docs = spark.createDataFrame([(None, "an idiot"), (None, "clean"), (7, "an id.iot here"), (7, "clean"), (7, "clean"), (8, None), (9, "nation tion")], "doc_id long, text string")
+    lex = spark.createDataFrame([("idiot", "USER_BLACKLIST"), ("tion", "SYSTEM_KEYWORD"), ("nation", "WHITELIST")], "word string, wtype string")
+    ways = []
+    for most in (4_000_000, 3):
+        monkeypatch.setattr(matching, "LEXICON_CHARS", most)
+        for profile in ("sdk", "service"):
+            found = analyze(docs, lex, levels=("HIGH", "LOW"), profile=profile)
+            ways.append(sorted(tuple(r) for r in found.select(F.coalesce("doc_id", F.lit(0)), "level", "action", F.coalesce("processed_text", F.lit("null")), "n_detected", "score").collect()))
+    assert ways[0] == ways[2] and ways[1] == ways[3]
+    shown = [(r[0], r[1], r[2], r[3]) for r in ways[0]]
+    assert shown == [
+        (0, "HIGH", "FULL_BLOCK", ""), (0, "HIGH", "NORMAL", "clean"), (0, "LOW", "NORMAL", "clean"), (0, "LOW", "PARTIAL_MASK", "an *****"),
+        (7, "HIGH", "FULL_BLOCK", ""), (7, "HIGH", "NORMAL", "clean"), (7, "HIGH", "NORMAL", "clean"), (7, "LOW", "NORMAL", "clean"), (7, "LOW", "NORMAL", "clean"), (7, "LOW", "PARTIAL_MASK", "an ****** here"),
+        (8, "HIGH", "NORMAL", "null"), (8, "LOW", "NORMAL", "null"), (9, "HIGH", "PARTIAL_MASK", "nation ****"), (9, "LOW", "REVIEW", "nation tion"),
+    ]
+
+
+def test_service_masks_words_in_the_order_of_detection(spark):
+    docs = spark.createDataFrame([(1, "idiotic fool and idiot")], "doc_id long, text string")
+    lex = spark.createDataFrame([("idiotic", "USER_BLACKLIST"), ("idiot", "USER_BLACKLIST")], "word string, wtype string")
+    assert analyze(docs, lex, levels=("LOW",), profile="service").first().processed_text == "******* fool and *****"
+
+
+def test_service_runs_the_second_pass_where_it_is_asked_for(spark):
+    docs = spark.createDataFrame([(1, "calm", True, "ALL"), (2, "calm", False, "ALL"), (3, "calm", True, " "), (4, "calm", True, "Basic"), (5, "calm", True, "spam"), (6, "calm", True, None), (7, "calm", None, "ALL")], "doc_id long, text string, opted boolean, asked string")
+    lex = spark.createDataFrame([("idiot", "USER_BLACKLIST")], "word string, wtype string")
+    scores = docs.select("doc_id", F.create_map(F.lit("basic"), F.lit(0.9)).alias("scores"))
+    found = analyze(docs, lex, levels=("LOW",), profile="service", scores=scores, opted_in=F.col("opted"), modules=F.col("asked"))
+    assert {r.doc_id: r.action for r in found.collect()} == {1: "REVIEW", 2: "NORMAL", 3: "NORMAL", 4: "REVIEW", 5: "NORMAL", 6: "NORMAL", 7: "NORMAL"}
+
+
+def test_hits_equal_the_windows(spark):
+    """Shadows, nouns, evasions and longest matches of random texts: within a text, and by windows over all matches."""
+    random.seed(11)
+    texts = [(i, "".join(random.choice("ab- cd") for _ in range(random.randint(0, 60)))) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    lex = spark.createDataFrame([("ab", "SYSTEM_KEYWORD"), ("b", "USER_BLACKLIST"), ("abc", "WHITELIST"), ("bcd", "SYSTEM_KEYWORD"), ("dd", "WHITELIST"), ("cdda", "USER_BLACKLIST"), ("a", "SYSTEM_KEYWORD")], "word string, wtype string")
+    columns = ["doc_id", "s", "e", "word", "wtype"]
+    got = rows(first_pass(docs, lex).select(columns), *columns)
+    assert got == rows(matching.longest(matching.drop_shadowed(matching.match_texts(docs, lex))).select(columns), *columns) and len(got) > 300
+    toks = tokens.tokenize(docs, r"[a-d]{1,3}").withColumn("tag", F.when(F.col("start") % 3 == 0, "NNG").otherwise("VV"))
+    units = tokens.meaningful_units(toks).select("doc_id", "form", F.col("s").alias("start"), (F.col("e") - F.col("s") + 1).alias("len"))
+    inner = matching.match_texts(docs, lex, ("substring", "evasion"))
+    every = matching.match_forms(units.unionByName(toks.select("doc_id", "form", "start", "len")), lex)
+    every = every.unionByName(matching.on_nouns(inner.where("wtype <> 'WHITELIST'"), toks)).unionByName(inner.where("wtype = 'WHITELIST'"))
+    assert rows(first_pass(docs, lex, toks).select(columns), *columns) == rows(matching.longest(matching.drop_shadowed(every)).select(columns), *columns)
+
+
+def test_attention_head_and_attribution(spark):
+    """Softmax over any rows, with masked and odd ones; gradients against finite differences."""
+    from gravelsift.operators import attention
+
+    rng = np.random.default_rng(3)
+    head = attention.Head(rng.normal(size=(4, 5)), rng.normal(size=4), 200 * rng.normal(size=4), 0.3, rng.normal(size=(6, 5)), rng.normal(size=6), rng.normal(size=6), -0.1)
+    h = rng.normal(size=(60, 5))
+    group = [None if k < 10 else "one" if k == 10 else "x" for k in range(60)]
+    data = [(group[k], k, h[k].tolist(), k % 7 != 6) for k in range(60)]
+    data += [("odd", 100, None, True), ("odd", 101, [1.0], True), ("odd", 102, [1.0, None, 2.0, 3.0, 4.0], True), ("x", 103, [float("nan")] * 5, True), ("hidden", 104, h[0].tolist(), False)]
+    df = spark.createDataFrame(data, "g string, pos int, v array<double>, real boolean")
+
+    def logit(m):
+        a = np.tanh(m @ head.w1.T + head.b1) @ head.w2 + head.b2
+        w = np.exp(a - a.max())
+        w /= w.sum()
+        return float(np.maximum(w @ m @ head.c1.T + head.d1, 0) @ head.c2 + head.d2), w
+
+    want = {g: [k for k in range(60) if group[k] == g and k % 7 != 6] for g in (None, "one", "x")}
+    got = {r.g: r for r in attention.pool(df, head, ["g"], "v", F.col("real")).collect()}
+    assert set(got) == set(want)
+    found = {r.pos: r for r in attention.attribute(df, head, ["g"], "v", F.col("real")).collect()}
+    assert set(found) == {k for ks in want.values() for k in ks}
+    for g, ks in want.items():
+        whole, w = logit(h[ks])
+        assert got[g].n == len(ks) and got[g].logit == pytest.approx(whole) and got[g].pooled == pytest.approx((w @ h[ks]).tolist())
+        for i, k in enumerate(ks):
+            step = 1e-6
+            up, down = h[ks].copy(), h[ks].copy()
+            up[i] *= 1 + step
+            down[i] *= 1 - step
+            assert found[k].attention == pytest.approx(w[i], abs=1e-12)
+            assert found[k].raw_attr == pytest.approx((logit(up)[0] - logit(down)[0]) / (2 * step), abs=1e-4, rel=1e-4)
+    assert attention.pool(df.where("false"), head, ["g"], "v").count() == 0
+
+
+def test_a_group_of_many_batches_is_one_state(spark):
+    from gravelsift.operators import attention
+
+    head = attention.Head(np.eye(2), np.zeros(2), np.array([300.0, -300.0]), 0.0, np.eye(2), np.zeros(2), np.ones(2), 0.0)
+    many = spark.range(50_000).select(F.when(F.col("id") % 9 == 0, F.col("id")).otherwise(-1).alias("g"), F.array((F.col("id") % 7) / 7.0, (F.col("id") % 5) / 5.0).alias("v"))
+    top = attention.pool(many.repartition(13), head, ["g"], "v")
+    hot = top.where("g = -1").collect()
+    assert len(hot) == 1 and hot[0].n == many.where("g = -1").count() and hot[0].pooled == pytest.approx([6 / 7, 0.0], abs=1e-3) and top.count() == 1 + 5556
+
+
+def test_attributed_words_are_masked(spark):
+    """From word pieces to words, shares and the text that the service shows."""
+    pieces = spark.createDataFrame(
+        [(1, "basic", 0, "aw", 0.3), (1, "basic", 1, "##ful", 0.2), (1, "basic", 2, "day", 0.05), (1, "basic", 3, "now", 0.45), (2, "basic", 0, "##odd", 0.0), (2, "basic", 1, "x", 0.0)],
+        "doc_id long, module string, pos int, token string, score double",
+    )
+    words = tokens.merge_word_pieces(pieces)
+    assert rows(words.select("doc_id", "pos", "token"), "doc_id", "pos") == [(1, 0, "awful"), (1, 2, "day"), (1, 3, "now"), (2, 0, "##odd"), (2, 1, "x")]
+    chosen = ai.selected_tokens(ai.attribution_share(words))
+    assert rows(chosen, "doc_id") == [(1, ["awful", "now"]), (2, ["##odd"])]
+    docs = spark.createDataFrame([(1, "awful day, now")], "doc_id long, text string")
+    lex = spark.createDataFrame([("idiot", "USER_BLACKLIST")], "word string, wtype string")
+    scores = spark.createDataFrame([(1, {"basic": 0.9})], "doc_id long, scores map<string,double>")
+    assert analyze(docs, lex, levels=("MEDIUM",), profile="service", scores=scores, attribution=chosen).first().processed_text == "***** day, ***"
 
 
 def test_latency_of_nothing_and_of_keys(spark):
