@@ -63,22 +63,23 @@ def _copied_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _signatures(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """h, entry of lines (h, line): a signature in all bits but the last, which is 1 for a line's own index entry (which
     also probes) and 0 for a probe."""
-    k, made, cut = edits + 1, [], {}
-    for short in range(edits + 1):
-        length = F.col("n") - short
-        cut |= {f"n{short}": length, f"b{short}": F.floor(length / k).cast("int"), f"x{short}": (length % k).cast("int")}
-        base, extra = F.col(f"b{short}"), F.col(f"x{short}")
-        for i in range(k):
-            start = base * i + F.greatest(extra + i - k, F.lit(0))
-            size = base + F.when(extra + i >= k, 1).otherwise(0)
-            for shift in range(max(-i, short - (k - 1 - i)), min(i, short + (k - 1 - i)) + 1):
-                place = start + shift
-                sig = F.xxhash64(f"n{short}", F.lit(i), F.substring(F.col("line"), place + 1, size)).bitwiseAND(F.lit(-2))
-                fits = (F.col(f"n{short}") >= min_chars) & (place >= 0) & (place + size <= F.col("n"))
-                made.append(F.when(fits, sig.bitwiseOR(F.lit(1)) if short == 0 and shift == 0 else sig))
-    # lengths are columns of their own, so that they are counted once for a line and not for each signature
-    sized = lines.select("h", "line", F.length("line").alias("n")).withColumns(cut)
-    return sized.select("h", F.explode(F.array(*made)).alias("entry")).where("entry is not null")
+    k = edits + 1
+    kinds = [
+        (short, i, shift) for short in range(edits + 1) for i in range(k)
+        for shift in range(max(-i, short - (k - 1 - i)), min(i, short + (k - 1 - i)) + 1)
+    ]
+    # a row for each kind of signature before they are computed: one expression for all of them is small enough to be compiled
+    each = F.inline(F.array(*(F.struct(F.lit(short).alias("short"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for short, i, shift in kinds)))
+    rows = lines.select("h", "line", F.length("line").alias("n")).select("h", "line", "n", each)
+    rows = rows.select("h", "line", "n", "short", "i", "shift", (F.col("n") - F.col("short")).alias("size")).where(F.col("size") >= min_chars)
+    base, extra = F.floor(F.col("size") / k).cast("int"), (F.col("size") % k).cast("int")
+    longer = F.col("i") + extra - k
+    place = base * F.col("i") + F.greatest(longer, F.lit(0)) + F.col("shift")
+    rows = rows.select("h", "line", "n", "short", "i", "shift", "size", place.alias("place"), (base + F.when(longer >= 0, 1).otherwise(0)).alias("part"))
+    rows = rows.where((F.col("place") >= 0) & (F.col("place") + F.col("part") <= F.col("n")))
+    sig = F.xxhash64("size", "i", F.substring(F.col("line"), F.col("place") + 1, F.col("part"))).bitwiseAND(F.lit(-2))
+    own = (F.col("short") == 0) & (F.col("shift") == 0)
+    return rows.select("h", F.when(own, sig.bitwiseOR(F.lit(1))).otherwise(sig).alias("entry"))
 
 
 def _letter_counts(line: Column, name: str) -> list[Column]:
