@@ -2,7 +2,7 @@
 
 A text becomes U+2581 + text with every space as U+2581, cut where such a mark follows another character: no piece
 of a merge-type vocabulary reaches over that border (checked when the model is read), so each run is merged alone and
-the result of a run can be reused. A run is a linked list of symbols; an agenda holds each adjacent pair that forms a
+the result of a run can be reused, once it has been compared with the library's. A run is a linked list of symbols; an agenda holds each adjacent pair that forms a
 piece, ordered by score and then from the left; the best one is merged and its new neighbours are added. Short runs of an
 Arrow batch are worked off side by side, long ones on a heap. A symbol
 that is no piece ends as its UTF-8 bytes.
@@ -45,7 +45,7 @@ class PieceModel:
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        self.path, self.end, self.unknown = path, sp.eos_id(), sp.unk_id()
+        self.path, self.library, self.end, self.unknown = path, sp, sp.eos_id(), sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(m[1], 16): i for i in range(n) if sp.is_byte(i) and (m := _BYTE.match(self.pieces[i]))}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -150,9 +150,18 @@ class PieceModel:
             if len(run) <= SHORT:
                 by_length[len(run)].append(run)
         for group in by_length.values():
-            for run, ids in zip(group, self.merge_many(group), strict=True):
+            made = self.merge_many(group)
+            self.compare(group, made)
+            for run, ids in zip(group, made, strict=True):
                 self.cache[run] = self.entry(ids)
 
+    def compare(self, runs: list[str], made: list[list[int]]) -> None:
+        """Raise an error unless the library gives these runs the same ids: a text's ids are those of its runs."""
+        own = self.library.encode([run[1:].replace(MARK, " ") for run in runs], num_threads=1)  # it puts the first mark itself
+        for run, ids, other in zip(runs, made, own, strict=True):
+            if ids != (other if run != MARK else [self.library.piece_to_id(MARK)]):  # it puts no mark before an empty text
+                raise ValueError(f"these ids are not the library's: {run[:80]!r}")
+
     def entry(self, ids: list[int]) -> Run:
         digits = self.digits
         return len(ids), " ".join([digits[i] for i in ids]), tuple(ids)
@@ -170,7 +179,11 @@ class PieceModel:
             for runs in cut:
                 got = list(map(self.cache.get, runs))
                 if None in got:
-                    got = [g or self.entry(self.merge(r)) for g, r in zip(got, runs, strict=True)]
+                    long = [r for g, r in zip(got, runs, strict=True) if g is None]
+                    made = [self.merge(r) for r in long]
+                    self.compare(long, made)
+                    entries = map(self.entry, made)
+                    got = [g or next(entries) for g in got]
                 yield got
 
     def decode(self, ids: list[int]) -> str:
@@ -227,16 +240,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
-    """doc_id, ids (array<int>, the end id last) of every whole text. check: compare each Arrow batch with the library."""
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array<int>, the end id last) of every whole text; its runs are compared with the library as in round_trip."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = piece_model(model_path)
-        library = sentencepiece.SentencePieceProcessor(model_file=model_path) if check else None
         for frame in frames:
             ids = [[*(i for g in got for i in g[2]), model.end] for got in model.encode(frame.text.tolist())]
-            if library and ids != library.encode(frame.text.tolist(), add_eos=True, num_threads=1):
-                raise ValueError("these ids are not the library's")
             yield pd.DataFrame({"doc_id": frame.doc_id, "ids": ids})
 
     return _texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
@@ -253,36 +263,30 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def hashed(frames: Iterator[pd.DataFrame], model: PieceModel, check_every: int) -> Iterator[pd.DataFrame]:
+def hashed(frames: Iterator[pd.DataFrame], model: PieceModel) -> Iterator[pd.DataFrame]:
     """The rows of round_trip for Arrow batches of doc_id and text."""
-    library = sentencepiece.SentencePieceProcessor(model_file=model.path)
-    for turn, frame in enumerate(frames):
+    for frame in frames:
         counts, ids_hash, text_hash = [], [], []
-        texts = frame.text.tolist()
-        checked = turn % min(check_every, len(texts)) if check_every and texts else -1
-        for k, got in enumerate(model.encode(texts)):
+        for got in model.encode(frame.text.tolist()):
             ids = [i for g in got for i in g[2]]
             ids.append(model.end)
-            if checked >= 0 and k % check_every == checked and ids != library.encode(texts[k], add_eos=True):
-                raise ValueError(f"these ids are not the library's: {texts[k][:80]!r}")
             counts.append(len(ids))
             digits = " ".join([*(g[1] for g in got), model.digits[model.end]])
             ids_hash.append(hashlib.sha256(digits.encode()).hexdigest())
-            text_hash.append(hashlib.sha256(library.decode(ids).encode()).hexdigest())
+            text_hash.append(hashlib.sha256(model.library.decode(ids).encode()).hexdigest())
         yield pd.DataFrame({"doc_id": frame.doc_id, "n_tokens": counts, "ids_sha256": ids_hash, "decoded_sha256": text_hash})
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = 16) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Encodes and decodes in one pass, keeping no ids.
 
-    The ids come from the agenda and go back to text through the library's decode(ids). In each Arrow batch one document in
-    `check_every`, from a place that differs from batch to batch, is encoded by the library too, and other ids than its own
-    raise an error; 1 checks every document, 0 none. The check guards against a model file that isn't read rightly; it
-    doesn't make the ids.
+    The ids come from the agenda and go back to text through the library's decode(ids). Every run of every text is compared
+    with the library when a worker first merges it, all new ones of an Arrow batch at once, so all documents are checked for
+    the price of the different runs; other ids than the library's raise an error.
     """
     bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return hashed(frames, piece_model(model_path), check_every)
+        return hashed(frames, piece_model(model_path))
 
     return _texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
