@@ -22,6 +22,34 @@ def cache_hits(requests: DataFrame, cache: DataFrame, keys: list[str], now: Colu
     return requests.join(live, keys), requests.join(live, keys, "left_anti")
 
 
+def microseconds(duration: str) -> int:
+    """'5 minutes' and the like."""
+    n, unit = duration.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * 1_000_000
+
+
+def cache_lookup(rows: DataFrame, keys: list[str], ttl: str, refresh: str = "0 seconds") -> DataFrame:
+    """keys, at (microseconds), written, value, state (hit, refresh or miss) of each request among rows (keys, ts, value).
+
+    A row with a value is a write, one without is a request. A request meets the last write up to its time (of one time the
+    largest value) if it isn't older than ttl; with less than `refresh` left its entry is to be written anew.
+
+    No key is one task: time is cut into spans of ttl, so that a request can meet only the writes of its own span, in a
+    window by key and span, and the last write of the span before, which is joined.
+    """
+    life, spare = microseconds(ttl), microseconds(refresh)
+    timed = rows.select(*keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value").withColumn("_span", F.floor(F.col("at") / life))
+    write = F.when(F.col("value").isNotNull(), F.struct("at", "value"))
+    own = F.max(write).over(Window.partitionBy(*keys, "_span").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = timed.withColumn("_own", own).where("value is null").drop("value")
+    last = timed.where("value is not null").groupBy(*keys, (F.col("_span") + 1).alias("_span")).agg(F.max(F.struct("at", "value")).alias("_last"))
+    met = asked.join(last, [*keys, "_span"], "left").withColumn("_w", F.coalesce("_own", "_last"))
+    left = F.col("_w.at") + life - F.col("at")
+    live = F.col("_w").isNotNull() & (left > 0)
+    state = F.when(~live, "miss").when(left < spare, "refresh").otherwise("hit")
+    return met.select(*keys, "at", F.when(live, F.col("_w.at")).alias("written"), F.when(live, F.col("_w.value")).alias("value"), state.alias("state"))
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], seen: str = "last_seen_at", created: str = "created_at") -> DataFrame:
     """The newest row of each key (new rows win ties), with the oldest creation time."""
     both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))

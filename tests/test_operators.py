@@ -343,3 +343,50 @@ def test_keys_in_normal_form(spark):
 
     df = spark.createDataFrame([("\uff21\uff22 c!",), ("ab",), (None,)], "t string")
     assert [r[0] for r in df.select(text.text_key(text.nfkc(F.col("t")))).collect()] == ["abc", "ab", None]
+
+
+@pytest.fixture
+def rocks(spark):
+    """The state store that keyed timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_cache_stream_equals_batch(spark, tmp_path, rocks):
+    """Entries that expire, are written again, or are asked for before they are there; in three batches."""
+    from gravelsift.streaming import state
+
+    random.seed(2)
+    times = sorted(random.sample(range(0, 40_000), 240))
+    data = [(random.choice(["a", "b", "c"]), t, f"v{k % 17}" if random.random() < 0.15 else None) for k, t in enumerate(times)]
+    data += [("c", times[100], "tie"), ("c", times[100], "tid"), ("c", times[100], None)]
+    df = spark.createDataFrame(data, "k string, t long, value string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    for part in range(3):
+        low, high = times[part * 80], times[min(239, part * 80 + 79)]
+        df.where((F.unix_seconds("ts") >= low) & (F.unix_seconds("ts") <= high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "cache"))
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "cache"))
+    done = stream(state.live_cache(read, ["k"], "20 minutes", "5 minutes"), tmp_path, "cached")
+    want = storage.cache_lookup(df, ["k"], "20 minutes", "5 minutes")
+    columns = ["k", "at", "written", "value", "state"]
+    got = rows(spark.table("cached").select(columns), "k", "at")
+    assert got == rows(want.select(columns), "k", "at") and {r[4] for r in got} == {"hit", "refresh", "miss"}
+    assert sum(p["numRowsTotal"] for x in done.recentProgress[-1:] for p in x.stateOperators) < 20  # entries and timers of live keys only
+
+
+def test_closed_sessions_of_a_stream(spark, tmp_path):
+    """A session is given once the watermark has passed its end, and equals the batch's."""
+    from gravelsift.streaming import chat
+
+    data = [(str(i), "s", f"c{i % 2}", "a", "x", 60 * i if i < 20 else 6000 + 60 * i) for i in range(40)] + [("last", "s", "c9", "a", "x", 200_000)]
+    messages = spark.createDataFrame(data, "id string, source string, channel_id string, author string, content string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    messages.write.parquet(str(tmp_path / "chat"))
+    acted = lambda df: df.withColumn("action", F.when(F.col("channel_id") == "c1", "NORMAL").otherwise("FULL_BLOCK"))
+    live = acted(chat.read_messages(spark, str(tmp_path / "chat"))).withWatermark("ts", "10 minutes")
+    stream(chat.broadcast_sessions(live), tmp_path, "closed")
+    columns = ["source", "channel_id", "started_at", "last_message_at", "message_count", "filtered_count"]
+    want = analytics.sessions(acted(messages).where("channel_id <> 'c9'"), ["source", "channel_id"])
+    assert rows(spark.table("closed").select(columns), *columns[:3]) == rows(want.select(columns), *columns[:3])
+    assert [r.started_at for r in analytics.newest_first(want).limit(2).collect()] == [r.started_at for r in want.orderBy(F.desc("started_at")).limit(2).collect()]
