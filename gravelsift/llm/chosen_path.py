@@ -147,7 +147,7 @@ def _children(docs: DataFrame, nodes: DataFrame, least: float, id_col: str, text
 
 
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """Spanning candidate links (a, b) of rows (bucket, cnt, doc_id, sketch)."""
+    """Spanning candidate links (a, b) of rows (bucket, cnt, doc_id, sketch): the buckets of all levels in one shuffle."""
     blocks = F.ceil(F.col("cnt") / TILE).cast("int")
     tiled = (
         rows.withColumn("blocks", F.when(F.col("cnt") > TILE, blocks).otherwise(F.lit(1)))
@@ -279,15 +279,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     reps, _ = materialize(one.join(classes.select(F.col("rep").alias("doc_id"), "w"), "doc_id"), "paths-reps")
 
     level = reps.select("doc_id", "f1", "f2", "sketch", F.explode("buckets").alias("bucket"), F.lit(None).cast("long").alias("parent"))
-    edges, runs, deepest, again = None, RUNS, 1, None
+    leaves, runs, deepest, again = None, RUNS, 1, None
     while True:
         for depth in range(1, DEPTH + 1):
             counts, _ = materialize(level.groupBy("bucket").agg(F.count("*").alias("cnt")).where("cnt > 1"), f"paths-counts-{depth}")
             counted = level.join(broadcast_if_small(counts), "bucket")
             together = F.coalesce(F.col("cnt") > 0.5 * F.col("parent"), F.lit(False))
             counted, _ = materialize(counted.withColumn("split", (F.col("cnt") > SMALL) & ~together & F.lit(depth < DEPTH)), f"paths-{depth}")
-            found = _candidates(counted.where("not split"), least)
-            edges = found if edges is None else edges.unionByName(found)
+            found = counted.where("not split").select("bucket", "cnt", "doc_id", "sketch")
+            leaves = found if leaves is None else leaves.unionByName(found)
             split = counted.where("split")
             if split.isEmpty():
                 break
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
         level, _ = materialize(_children(docs, nodes, least, id_col, text_col, repeats), f"paths-run-{runs}")
         runs = wanted
 
-    clusters, _ = components(edges, "paths-clusters")
+    clusters, _ = components(_candidates(leaves, least), "paths-clusters")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     members = (
