@@ -1,10 +1,12 @@
-"""Text functions: Column in, Column out, built-in expressions but for nfkc and span_mask. Offsets count Unicode code points."""
+"""Text functions: Column in, Column out, built-in expressions but for nfkc, span_mask and jamo_places. Offsets count Unicode code points."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +104,36 @@ def jamo_normalize(text: Column, keyboard: tuple[str, str] = KEYBOARD) -> Column
     return F.regexp_replace(fold_tense(jamo), r"(.)\1+", "$1")
 
 
+_HANGUL, _KEPT = re.compile("[가-힣ㄱ-ㅣ]"), re.compile("[가-힣ㄱ-ㅣA-Za-z0-9]")
+_KEYS = str.maketrans(*KEYBOARD)
+_TENSE = str.maketrans(TENSE, PLAIN)
+
+
+def jamo_form(text: str) -> tuple[str, list[int]]:
+    """jamo_normalize of one text, and for each of its characters the place in the text."""
+    keys, out, places = _KEYS if _HANGUL.search(text) else {}, [], []
+    for m in _KEPT.finditer(text):
+        c = m.group().lower().translate(keys)
+        code = ord(c) - 0xAC00
+        parts = CHO[code // 588] + JUNG[code % 588 // 28] + JONG[code % 28] if 0 <= code < 11172 else c
+        for x in parts.translate(_TENSE):
+            if not out or out[-1] != x:
+                out.append(x)
+                places.append(m.start())
+    return "".join(out), places
+
+
+def jamo_places(text: Column) -> Column:
+    """struct<jamo, places> of jamo_form, in Arrow batches; null for null."""
+
+    @F.arrow_udf("struct<jamo:string,places:array<int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        made = [None if t is None else dict(zip(("jamo", "places"), jamo_form(t), strict=True)) for t in texts.to_pylist()]
+        return pa.array(made, pa.struct([("jamo", pa.string()), ("places", pa.list_(pa.int32()))]))
+
+    return run(text)
+
+
 def star_mask(text: Column, words: Column) -> Column:
     """Replace each word of an array everywhere by stars, in the array's order."""
     return F.aggregate(words, text, lambda t, w: F.when(F.length(w) > 0, F.replace(t, w, F.repeat(F.lit("*"), F.length(w)))).otherwise(t))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.functions.text import LETTER, span_mask, star_mask
+from gravelsift.functions.text import LETTER, jamo_form, span_mask, star_mask
 from gravelsift.operators.tokens import joined_units
 
 #: Which list counts if several hold a word.
@@ -320,6 +320,36 @@ def match_evasions(docs: DataFrame, lexicon: DataFrame, text_col: str = "text")
     return match_texts(docs, lexicon, ("evasion",), text_col)
 
 
+def match_jamo(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """Occurrences of the words' jamo forms in the texts' jamo forms, at their places in the texts: split, exchanged, doubled
+    and keyboard letters are seen through. Of words of one form the first that `resolve` would take counts, then the smallest.
+
+    A lexicon that isn't sent whole (`fits`) is refused: its forms have no beginnings to be joined by.
+    """
+    words = resolve(lexicon)
+    if not fits(words):
+        raise ValueError(f"the lexicon has over {LEXICON_CHARS} characters")
+    forms: dict[str, tuple[int, str, str]] = {}
+    for r in words.collect():  # at most LEXICON_CHARS characters
+        if form := jamo_form(r.word)[0]:
+            forms[form] = min(forms.get(form, (9, "", "")), (PRECEDENCE.get(r.wtype, 2), r.word, r.wtype))
+    shared, name = docs.sparkSession.sparkContext.broadcast({f: f for f in forms}), uuid.uuid4().hex
+    names = docs.sparkSession.sparkContext.broadcast(forms)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search, known = _search(name, shared), names.value
+        for frame in frames:
+            out = []
+            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
+                short, places = jamo_form(text)
+                out += [(doc_id, places[s], places[e], *known[form][1:]) for s, e, form in search.find(short)]
+            yield pd.DataFrame(out, columns=["doc_id", "s", "e", "word", "wtype"], dtype=object)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col(text_col).alias("text")).where("text is not null")
+    return texts.mapInPandas(run, f"doc_id {kind}, s int, e int, word string, wtype string")
+
+
 def drop_shadowed(matches: DataFrame) -> DataFrame:
     """Matches that no white match contains; white matches themselves go too.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gravelsift.functions import scoring, text
 from gravelsift.operators import ai, analytics, matching, tokens
+from gravelsift.operators import lexicon as lexicon_rules
 from gravelsift.plans import analyze as plans
 from gravelsift.plans.ai_queries import CONFLICTS_SQL, HIT_SQL, SCORES_SQL, score_map
 from gravelsift.plans.registry import query, table
@@ -352,3 +353,57 @@ def push_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, position('idiot' IN text) > 0 OR position('clown' IN text) > 0 AS triggered FROM documents")
 def trigger_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.any_contains(F.col("text"), ["idiot", "", "clown"]).alias("triggered"))
+
+
+#: The texts with some of their letters as Hangul, jamo and digits.
+MIXED = "aeiostrn", "시ㅔㅣ발ㅆ씨1끼"
+JAMO_LEXICON = (("시발", "SYSTEM_KEYWORD"), ("씨끼", "USER_BLACKLIST"), ("발ㅣ", "SYSTEM_KEYWORD"), ("ㅅㅅㅣ", "WHITELIST"), ("1씨", "SYSTEM_KEYWORD"), ("h시", "SYSTEM_KEYWORD"))
+_JAMO = f"""ch AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS i FROM (SELECT doc_id, string_split(translate(text, '{MIXED[0]}', '{MIXED[1]}'), '') AS c FROM documents)),
+kept AS (SELECT doc_id, i, CASE WHEN bool_or(regexp_matches(c, '[가-힣ㄱ-ㅣ]')) OVER (PARTITION BY doc_id) THEN translate(lower(c), '{text.KEYBOARD[0]}', '{text.KEYBOARD[1]}') ELSE lower(c) END AS c FROM ch
+    QUALIFY regexp_matches(c, '^[가-힣ㄱ-ㅣA-Za-z0-9]$')),
+code AS (SELECT *, unicode(c) - 44032 AS k FROM kept),
+jam AS (SELECT doc_id, i, CASE WHEN k BETWEEN 0 AND 11171 THEN array_extract('{text.CHO}', k // 588 + 1) || array_extract('{text.JUNG}', k % 588 // 28 + 1) || ({text.JONG!r})[k % 28 + 1] ELSE c END AS p FROM code),
+flat AS (SELECT doc_id, i, unnest(string_split(translate(p, '{text.TENSE}', '{text.PLAIN}'), '')) AS x, generate_subscripts(string_split(p, ''), 1) AS j FROM jam WHERE p <> ''),
+one AS (SELECT doc_id, i, j, x FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i, j) AS before FROM flat) WHERE before IS DISTINCT FROM x),
+jamo AS (SELECT doc_id, string_agg(x, '' ORDER BY i, j) AS text, list(i ORDER BY i, j) AS places FROM one GROUP BY doc_id)"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", *MIXED).alias("text"))
+
+
+@query(f"WITH {_JAMO} SELECT doc_id, length(text) AS n, md5(text) AS jamo_md5, CAST(list_sum(places) AS BIGINT) AS places FROM jamo")
+def jamo_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _mixed(spark, sf_dir).select("doc_id", text.jamo_places(F.col("text")).alias("x")).where("length(x.jamo) > 0")
+    total = F.aggregate("x.places", F.lit(0).cast("long"), lambda a, p: a + p)
+    return found.select("doc_id", F.length("x.jamo").cast("long").alias("n"), F.md5("x.jamo").alias("jamo_md5"), total.alias("places"))
+
+
+_FORMS = ", ".join(f"('{text.jamo_form(w)[0]}', '{w}', '{t}')" for w, t in JAMO_LEXICON)
+
+
+_AFTER = ", ".join(f"lead({c}, {k}) OVER w AS {c}{k}" for k in range(1, 5) for c in ("x", "i"))
+
+
+@query(f"""WITH {_JAMO}, lex AS (SELECT * FROM (VALUES {_FORMS}) v(form, word, wtype)), near AS (SELECT doc_id, i AS i0, x AS x0, {_AFTER} FROM one WINDOW w AS (PARTITION BY doc_id ORDER BY i, j)),
+occ AS (SELECT doc_id, word, wtype, i0 AS s, [i0, i1, i2, i3, i4][length(form)] AS e FROM near, lex WHERE left(x0 || coalesce(x1, '') || coalesce(x2, '') || coalesce(x3, '') || coalesce(x4, ''), length(form)) = form)
+SELECT doc_id, word, wtype, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM occ GROUP BY doc_id, word, wtype""")
+def jamo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame(list(JAMO_LEXICON), "word string, wtype string")
+    return _sums(matching.match_jamo(_mixed(spark, sf_dir), words), "doc_id", "word", "wtype")
+
+
+_DEFAULT = "', '".join(["시발", "씨발", "싀벌", "병신", "뼝신"])
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, translate(text, 'aeiostrn', '시병발ㅆ씨벌신끼') AS text FROM documents), w AS (SELECT unnest(['{_DEFAULT}']) AS word)
+SELECT word, CAST(sum((length(text) - length(replace(text, word, ''))) // 2) AS BIGINT) AS n FROM t, w GROUP BY word HAVING n > 0
+""")
+def default_dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of the default dictionary's words in texts with Hangul in them; words of two different letters can't overlap themselves."""
+    entries = lexicon_rules.default_lexicon(spark)
+    words = entries.select(F.explode(F.concat(F.array("root"), F.col("variants"))).alias("word"), F.lit("SYSTEM_KEYWORD").alias("wtype"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "aeiostrn", "시병발ㅆ씨벌신끼").alias("text"))
+    found = matching.match_substrings(docs, words.distinct()).where(F.col("word").isin("시발", "씨발", "싀벌", "병신", "뼝신"))
+    return found.groupBy("word").agg(F.count("*").alias("n"))

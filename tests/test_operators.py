@@ -165,6 +165,53 @@ def test_variants(spark):
     assert rows(lexicon.variants(rules), "root", "word") == [("가", "각"), ("가", "카"), ("가", "칵"), ("나다", "나타")]
 
 
+def test_default_dictionary(spark, tmp_path):
+    """As many words as the rules' products say, in their order, written and read again, and its variants are found."""
+    rules, extras = lexicon.parse_rules(spark)
+    entries = {r.root: r.variants for r in lexicon.default_lexicon(spark).collect()}
+    product = {}
+    for r in rules.collect():
+        product.setdefault((r.root, r.form), []).append(len(r.cho) * len(r.jung) * len(r.jong))
+    sizes = {}
+    for (root, _), counts in product.items():
+        sizes[root] = sizes.get(root, 0) + int(np.prod(counts))
+    more = {r.root: r["n"] for r in extras.groupBy("root").agg(F.count("*").alias("n")).collect()}
+    assert {k: len(v) for k, v in entries.items()} == {k: n - 1 + more.get(k, 0) for k, n in sizes.items() if k not in ("좆밥",)} | {"좆밥": len(entries["좆밥"])}
+    assert len(entries) == 53 and sum(1 + len(v) for v in entries.values()) == 7623
+    assert entries["시발"][:5] == ["시벌", "시볼", "시뱔", "싀발", "싀벌"] and entries["좆"] == [] and entries["시부랄"][-1] == "시붕알"
+    assert entries["니애미"][:4] == ["니얘미", "니에미", "니예미", "느그애미"] and entries["니애미"][-2:] == ["느금마", "느금"]
+    lexicon.write_lexicon(lexicon.default_lexicon(spark), str(tmp_path / "default"))
+    read = read_lexicon(spark, str(tmp_path / "default"))
+    assert read.count() == 7623 and read.where("is_root").count() == 53 and lexicon.flat_words(read).count() <= 7623
+    words = read.select("word", F.lit("SYSTEM_KEYWORD").alias("wtype")).distinct()
+    forms = ["씨발", "씌발", "쒸발", "시벌", "시볼", "쒸뱔", "씨발새끼", "시1발", "시.발"]
+    docs = spark.createDataFrame([(k, f) for k, f in enumerate(forms)] + [(99, "오늘 날씨가 좋네요")], "doc_id long, text string")
+    found = {r.doc_id: r.action for r in analyze(docs, words, levels=("MEDIUM",)).collect()}
+    assert found.pop(99) == "NORMAL" and set(found.values()) == {"PARTIAL_MASK"}
+
+
+def test_keywords_join_a_lexicon(spark):
+    lex = spark.createDataFrame([("a", "USER_BLACKLIST")], "word string, wtype string")
+    modes = spark.createDataFrame([("b", "FILTER"), ("c", "TRIGGER"), ("d", "IGNORE"), ("", "FILTER"), ("", "TRIGGER")], "word string, mode string")
+    more, triggers = lexicon.with_keywords(lex, modes)
+    assert rows(more, "word") == [("a", "USER_BLACKLIST"), ("b", "SYSTEM_KEYWORD")] and rows(triggers, "word") == [("c",)]
+
+
+def test_jamo_matches_at_their_places(spark):
+    """Split, doubled, exchanged and keyboard letters; the places are those of the text."""
+    from gravelsift.functions import text
+
+    samples = ["시이이발", "si발", "시8ㅏㄹ!", "ㅅ ㅣ-발", "씨 . 발", "pure s1bal", "Q시Q발", "", "끝"]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(samples)] + [(50, None)], "doc_id long, text string")
+    native = {r[0]: r[1] for r in df.select("doc_id", text.jamo_normalize(F.col("text"))).collect()}
+    placed = {r[0]: r[1] for r in df.select("doc_id", text.jamo_places(F.col("text"))).collect()}
+    assert all(placed[k].jamo == native[k] and len(placed[k].places) == len(native[k]) for k in range(len(samples))) and placed[50] is None
+    lex = spark.createDataFrame([("시발", "SYSTEM_KEYWORD"), ("씨발", "USER_BLACKLIST"), ("..", "SYSTEM_KEYWORD")], "word string, wtype string")
+    got = rows(matching.match_jamo(df, lex), "doc_id")
+    spans = {r[0]: (r[1], r[2]) for r in got}
+    assert spans == {1: (0, 2), 2: (0, 3), 3: (0, 4), 4: (0, 4)} and {r[4] for r in got} == {"USER_BLACKLIST"}
+
+
 def test_read_lexicon(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"_note": "x", "bad": {"r": {"pos": "VV", "variants": ["v", ""]}, "q": ["w"], "n": 3}, "odd": 1}))
     got = rows(read_lexicon(spark, str(tmp_path / "d.json")).select("word", "pos", "score", "is_root"), "word")
