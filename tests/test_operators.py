@@ -437,3 +437,50 @@ def test_closed_sessions_of_a_stream(spark, tmp_path):
     want = analytics.sessions(acted(messages).where("channel_id <> 'c9'"), ["source", "channel_id"])
     assert rows(spark.table("closed").select(columns), *columns[:3]) == rows(want.select(columns), *columns[:3])
     assert [r.started_at for r in analytics.newest_first(want).limit(2).collect()] == [r.started_at for r in want.orderBy(F.desc("started_at")).limit(2).collect()]
+
+
+def test_paged_comments_equal_the_landed_pages(spark, tmp_path, monkeypatch):
+    """The data source and the operator on the same pages: caps, stop rule, reply pages, ids that come again."""
+    from gravelsift.sources import paged
+
+    random.seed(6)
+    pages, replies = [], []
+    for video, n in (("v1", 60), ("v2", 7), ("v3", 1), ("v4", 12)):
+        for p in range(1, n + 1):
+            items = []
+            for k in range(3):
+                few = [{"id": f"r{random.randint(0, 90)}", "text": f"near {p} {k} {j}"} for j in range(random.randint(0, 2))]
+                again = video == "v4" and p > 4 or video == "v2" and p == 5
+                items.append({"id": f"c{p % 4 if again else p * 3 + k}", "text": f"top {p} {k}", "author": "a", "published_at": None, "total_replies": len(few) + random.choice([0, 0, 4]), "replies": [] if again else few})
+            pages.append((video, p, {"items": items, "next": str(p + 1) if p < n else None}))
+        for parent in {i["id"] for v, _, body in pages if v == video for i in body["items"]}:
+            m = random.choice([1, 2, 13])
+            replies += [(video, parent, p, {"items": [{"id": f"r{random.randint(0, 200)}", "text": f"more {parent} {p}"}], "next": str(p + 1) if p < m else None}) for p in range(1, m + 1)]
+    for video, p, body in pages:
+        (tmp_path / f"{video}-top-{p}.json").write_text(json.dumps(body))
+    for video, parent, p, body in replies:
+        (tmp_path / f"{video}-{parent}-{p}.json").write_text(json.dumps(body))
+    monkeypatch.setenv("LANDED_PAGES", str(tmp_path))
+    from tests import landed
+
+    live = [r for v in ("v1", "v2", "v3", "v4") for r in paged.fetched(v, landed.page, 50)]
+    top = spark.createDataFrame([(v, p, json.dumps(b)) for v, p, b in pages], "video_id string, page int, body string")
+    more = spark.createDataFrame([(v, c, p, json.dumps(b)) for v, c, p, b in replies], "video_id string, parent_id string, page int, body string")
+    key = lambda r: (r[0], r[1])
+    assert sorted(live, key=key) == sorted((tuple(r) for r in paged.threads(top, more).collect()), key=key)
+    seen = {v: {r[3] for r in live if r[0] == v} for v in ("v1", "v2", "v4")}
+    assert "top 50 0" in seen["v1"] and "top 51 0" not in seen["v1"] and "top 6 0" in seen["v2"] and len(live) == len({key(r) for r in live})
+    three = paged.threads(top, more, max_pages=3)
+    assert three.where("text like 'top 4%'").isEmpty() and not three.where("text like 'top 3%'").isEmpty()
+    reader = paged.PagedReader({"fetch": "tests.landed:page", "videos": json.dumps(["v2", "v3", "v2"]), "max_pages": "3"})
+    assert [p.video for p in reader.partitions()] == ["v2", "v3"]
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [r for v in ("v2", "v3") for r in paged.fetched(v, landed.page, 3)]
+
+
+def test_paged_source_runs_in_tasks(spark):
+    """The data source through spark.read: the fetch function makes its pages in the tasks."""
+    from gravelsift.sources import paged
+
+    got = paged.read_comments(spark, "gravelsift.sources.sample_pages:page", ["a", "b"], max_pages=4)
+    assert got.rdd.getNumPartitions() == 2 and got.count() == 2 * 4 * 2 and got.where("parent_id is not null").count() == 8
+    assert got.schema.simpleString() == "struct<" + paged.ROW.replace(" string", ":string").replace(", ", ",") + ">"
