@@ -102,6 +102,7 @@ class Tree:
 
 def _units(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of extreme numbers would overflow or vanish
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 

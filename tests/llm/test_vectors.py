@@ -98,3 +98,10 @@ def test_hard_pairs_meet_in_the_forest():
         held[rows, leaves] = True
         missed &= ~(held[: len(x)] & held[len(x) :]).any(axis=1)
     assert missed.mean() <= 0.01
+
+
+def test_vectors_of_extreme_numbers_link(spark):
+    """Doubles whose squares overflow or vanish have a cosine all the same."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.1e200]), (3, [1e-200, 1e-200]), (4, [-1e-200, 3e-200]), (5, [1.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
