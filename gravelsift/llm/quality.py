@@ -155,6 +155,11 @@ def sites(evidence: DataFrame) -> tuple[DataFrame, float, float, int]:
     return out, path_strength, float(mean), paths.count()
 
 
+def _name(x: Column) -> Column:
+    """A site's name: null is none that a string has, so null and the empty string are two sites."""
+    return F.when(x.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), x.cast("string")))
+
+
 def decide(
     docs: DataFrame, model: Evidence, host: Column, section: Column, text_col: str = "text", least: float = LEAST, keep: list[str] | None = None
 ) -> DataFrame:
@@ -162,7 +167,7 @@ def decide(
     bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     found = docs.select(
-        *keep, F.coalesce(host.cast("string"), F.lit("")).alias("_gq_host"), F.coalesce(section.cast("string"), F.lit("")).alias("_gq_section"),
+        *keep, _name(host).alias("_gq_host"), _name(section).alias("_gq_section"),
         evidence_logit(F.col(text_col), model).alias("_gq_z"),
     )
     found, _ = materialize(found, "quality-evidence")  # the classifier reads each text once

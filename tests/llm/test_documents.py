@@ -335,3 +335,11 @@ def test_quality_of_odd_documents(spark, odd_docs, no_docs):
     got = quality.decide(odd_docs, model, F.col("source"), F.col("lang"))
     assert got.count() == odd_docs.count() and got.where("_gq_score is null").count() == 0
     assert quality.decide(no_docs, quality.fit_evidence(no_docs, labels), F.col("source"), F.col("lang")).count() == 0
+
+
+def test_null_and_empty_hosts_are_two_sites(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i} " * 5, None if i % 2 else "") for i in range(40)], "doc_id long, text string, source string")
+    model = quality.fit_evidence(docs, spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, quality int"))
+    found = quality.decide(docs.withColumn("text", F.when(F.col("source").isNull(), F.col("text")).otherwise("x")), model, F.col("source"), F.lit("s"), keep=["doc_id", "source"])
+    means = {r.source: r._gq_host_mean for r in found.collect()}
+    assert means[None] != means[""]
