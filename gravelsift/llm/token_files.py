@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,17 +40,21 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_FOOTER, CHECKSUM_FLAG = 0x184D2A
 FRAME_BYTES = 1 << 18
 #: A file is closed when it holds so many bytes of ids.
 FILE_BYTES = 1 << 29
+#: And when it holds so many documents: their index is 32 MB in memory, however short they are.
+FILE_DOCS = 1_000_000
 LEVEL = 3
 #: What a null id is stored as.
 NULL_ID = -(2**63)
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("n", "<i8"), ("frame", "<i8")])
+FIELDS = len(INDEX)
 
 
 class FrameWriter:
     """Writes documents to an open binary stream; close() adds the index and the seek table."""
 
     def __init__(self, sink):
-        self.sink, self.sizes, self.index = sink, [], []
+        self.sink, self.sizes = sink, []
+        self.index = array("q")  # the numbers of INDEX, document after document
         self.held: list[bytes] = []
         self.held_bytes = self.ids = 0
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
@@ -59,11 +64,15 @@ class FrameWriter:
             raise ValueError(f"document {doc_id} has more ids than a frame can hold")
         if self.held and self.held_bytes + len(data) > FRAME_BYTES:
             self.flush()
-        self.index.append((doc_id, self.ids, len(data) // 4, len(self.sizes)))
+        self.index.extend((doc_id, self.ids, len(data) // 4, len(self.sizes)))
         self.held.append(data)
         self.held_bytes += len(data)
         self.ids += len(data) // 4
 
+    @property
+    def documents(self) -> int:
+        return len(self.index) // FIELDS
+
     def flush(self) -> None:
         if self.held:
             content = b"".join(self.held)
@@ -74,7 +83,7 @@ class FrameWriter:
 
     def close(self) -> None:
         self.flush()
-        listed = self.zstd.compress(np.array(self.index, dtype=INDEX).tobytes())
+        listed = self.zstd.compress(np.array(self.index, dtype="<i8").tobytes())
         self.sink.write(struct.pack("<II", SKIPPABLE_INDEX, len(listed)) + listed)
         sizes = [*self.sizes, (len(listed) + 8, 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)]
         body = b"".join(struct.pack("<III", *s) for s in sizes) + struct.pack("<IBI", len(sizes), CHECKSUM_FLAG, SEEKABLE_FOOTER)
@@ -125,7 +134,7 @@ MANIFEST = "file string, part long, n_docs long, n_ids long, first_doc long, las
 
 def write_token_files(
     docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    files: int | None = None, file_bytes: int = FILE_BYTES,
+    files: int | None = None, file_bytes: int = FILE_BYTES, file_docs: int = FILE_DOCS,
 ) -> DataFrame:
     """Write the ids of all documents, in ascending order of ids, and return the manifest.
 
@@ -153,8 +162,8 @@ def write_token_files(
             sink.close()
             store.move(f"{name}.tmp", name)
             return pd.DataFrame({
-                "file": [name.rpartition("/")[2]], "part": [(part << 32) + count], "n_docs": [len(writer.index)], "n_ids": [writer.ids],
-                "first_doc": [writer.index[0][0]], "last_doc": [writer.index[-1][0]],
+                "file": [name.rpartition("/")[2]], "part": [(part << 32) + count], "n_docs": [writer.documents], "n_ids": [writer.ids],
+                "first_doc": [writer.index[0]], "last_doc": [writer.index[-FIELDS]],
             })
 
         for frame in frames:
@@ -167,7 +176,7 @@ def write_token_files(
                         sink = store.open_output_stream(f"{name}.tmp", compression=None)
                         writer = FrameWriter(sink)
                     writer.add(doc_id, data + end)
-                    if 4 * writer.ids >= file_bytes:
+                    if 4 * writer.ids >= file_bytes or writer.documents >= file_docs:
                         yield finish()
                         writer, count = None, count + 1
         if writer:

@@ -177,3 +177,10 @@ def test_frames_are_checked_and_read_alone():
     with pytest.raises(Exception):  # noqa: B017  zstandard's or our own
         bad.frame(2)
     assert bad.frame(1) == reader.frame(1)
+
+
+def test_files_end_after_so_many_documents(spark):
+    docs = spark.range(25).selectExpr("id doc_id", "if(id % 3 = 0, '', 'a') text")
+    manifest = token_files.write_token_files(docs, WORD, end_id=2, files=1, file_docs=10)
+    assert [(r.n_docs, r.first_doc, r.last_doc) for r in manifest.orderBy("part").collect()] == [(10, 0, 9), (10, 10, 19), (5, 20, 24)]
+    assert [r.doc_id for r in token_files.read_token_files(spark, manifest).orderBy("start").collect()] == list(range(25))
