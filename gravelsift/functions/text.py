@@ -177,6 +177,18 @@ def span_mask(text: Column, spans: Column, keep_spaces: bool = False, spare_laug
     return run(text, spans["s"], spans["e"])
 
 
+def merge_mask(masked: Column, spans: Column) -> Column:
+    """A masked text with stars over further spans (array<struct<s, e>>, e inclusive) too, white space apart; a span that
+    holds a star already stays as it is."""
+    piece = lambda x: F.substring(masked, x["s"] + 1, x["e"] - x["s"] + 1)
+    return span_mask(masked, F.filter(spans, lambda x: ~F.contains(piece(x), F.lit("*"))), keep_spaces=True)
+
+
+def soften_mask(text: Column, words: Column) -> Column:
+    """What stands for a softened text until there is one: the words replaced by stars."""
+    return star_mask(text, words)
+
+
 def keyword_ratio(masked: Column, text: Column) -> Column:
     """Stars in the masked text by characters of the text that are no spaces; 0 for a text without any."""
     n = nonspace_length(text)

@@ -10,9 +10,11 @@ from gravelsift.functions.text import text_key
 
 
 def trending(units: DataFrame, top: int = 20, least: int = 2, min_length: int = 2) -> DataFrame:
-    """word, n: the most frequent units of at least min_length characters; ties by word."""
-    counted = units.where(F.length("form") >= min_length).groupBy(F.col("form").alias("word")).agg(F.count("*").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(top).where(F.col("n") >= least)
+    """word, n: the most frequent units (doc_id, pos or s, form) of at least min_length characters; of equally frequent ones
+    the one first seen, by document and place, comes first (of documents without an id the others, then by word)."""
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("pos" if "pos" in units.columns else "s"))
+    counted = units.where(F.length("form") >= min_length).groupBy(F.col("form").alias("word")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return counted.orderBy(F.desc("n"), "first", "word").limit(top).where(F.col("n") >= least).select("word", "n")
 
 
 def filtered_keywords(detected: DataFrame, trend: DataFrame) -> DataFrame:

@@ -216,6 +216,43 @@ def matcher(lexicon: DataFrame, mask: str = "place") -> Callable[..., Column]:
     return lambda text, tokens=None: plain(text) if tokens is None else tagged(text, tokens)
 
 
+#: What the words of a list are replaced by in the legacy form.
+PLACEHOLDERS = {"WHITELIST": "__W__", "USER_BLACKLIST": "__B__", "SYSTEM_KEYWORD": "__F__"}
+LEGACY = "struct<status:string,words:array<struct<word:string,wtype:string>>,text:string>"
+
+
+def legacy_matcher(lexicon: DataFrame, pattern: str = r"[가-힣a-z0-9]+") -> Callable[[Column], Column]:
+    """A function of a text in legacy form (functions.text.legacy_normalize): LEGACY, token after token.
+
+    A token that is a word is replaced everywhere in what is left of the text so far by its list's placeholder, whitelist
+    before blacklist before system; what isn't white is detected. The lexicon must fit (`fits`). Null: null.
+    """
+    words = resolve(lexicon)
+    if not fits(words):
+        raise ValueError(f"the lexicon has over {LEXICON_CHARS} characters")
+    shared = lexicon.sparkSession.sparkContext.broadcast({r.word: r.wtype for r in words.collect()})  # at most LEXICON_CHARS characters
+    kind = pa.struct([("status", pa.string()), ("words", pa.list_(pa.struct([("word", pa.string()), ("wtype", pa.string())]))), ("text", pa.string())])
+
+    @F.arrow_udf(LEGACY)
+    def run(texts: pa.Array) -> pa.Array:
+        known, find, out = shared.value, regex.compile(pattern).findall, []
+        for text in texts.to_pylist():
+            if text is None:
+                out.append(None)
+                continue
+            found = []
+            for token in find(text):
+                if (wtype := known.get(token.lower())) is None:
+                    continue
+                text = text.replace(token, PLACEHOLDERS[wtype])
+                if wtype != "WHITELIST":
+                    found.append({"word": token, "wtype": wtype})
+            out.append({"status": "FILTERED_BY_FIRST_PASS" if found else "PASSED", "words": found, "text": text})
+        return pa.array(out, kind)
+
+    return run
+
+
 def with_hits(docs: DataFrame, lexicon: DataFrame, tokens: DataFrame | None = None, mask: str = "place") -> DataFrame:
     """docs (doc_id, text and others) with `hits` (HITS): a result for each row, whatever its id.
 

@@ -58,6 +58,34 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], seen: str = "last
     return ranked.where("_n = 1").drop("_n", "_new")
 
 
+def bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def upsert_stored(rows: DataFrame, path: str, keys: list[str], buckets: int = 64, seen: str = "last_seen_at", created: str = "created_at") -> None:
+    """Upsert rows into the Parquet table at path, which is partitioned into buckets by a hash of the keys.
+
+    Only the partitions that rows touch are read, and only they are replaced (dynamic partition overwrite), so the work
+    follows the rows and not the table, and a partition is replaced as a whole or not at all. The same rows again change
+    nothing. Of several rows of a key the newest counts. buckets: the same number for the life of a table.
+    """
+    spark = rows.sparkSession
+    new = bucketed(rows, keys, buckets)
+    newest = upsert(new.where("false"), new, keys, seen, created)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        table = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        newest = upsert(table, newest, keys, seen, created)
+    newest.select(*new.columns).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 64, seen: str = "last_seen_at", created: str = "created_at"):
+    """A query that upserts each batch of a stream; a batch that is run again after a failure changes nothing."""
+    write = lambda batch, _: upsert_stored(batch, path, keys, buckets, seen, created)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def add_words(table: DataFrame, words: DataFrame) -> DataFrame:
     """user_id, word, list_type; a word that the user has already stays as it is. Words are trimmed and lower-cased."""
     clean = words.select("user_id", clean_word(F.col("word")).alias("word"), "list_type").where("word <> ''")
@@ -102,6 +130,16 @@ def of_user(users: DataFrame, user_id: int | None = None, name: str | None = Non
     return users.where(F.col("user_id") == user_id) if user_id is not None else users.where(F.col("username") == name)
 
 
+def session_list(sessions: DataFrame, owner: str = "owner_user_id") -> DataFrame:
+    """sessions with place (from 1) in their owner's list: the last begun first, of one time the larger session_id."""
+    return sessions.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("started_at"), F.desc("session_id"))))
+
+
+def messages_of(messages: DataFrame, sessions: DataFrame, owner_user_id: Column, owner: str = "owner_user_id") -> DataFrame:
+    """The messages (session_id, ...) of sessions that belong to the owner; those of others' sessions don't show."""
+    return messages.join(sessions.where(F.col(owner) == owner_user_id).select("session_id").distinct(), "session_id", "left_semi")
+
+
 def get_or_create(owners: DataFrame, configs: DataFrame) -> DataFrame:
     """owner_user_id and the columns of OVERLAY of every owner: the config of its smallest id, or a new one."""
     least = configs.groupBy("owner_user_id").agg(F.min_by(F.struct(*OVERLAY), "id").alias("c"))

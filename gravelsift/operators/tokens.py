@@ -19,8 +19,8 @@ LONGEST = 6
 
 
 def forms(docs: DataFrame, pattern: str = r"\p{L}+") -> DataFrame:
-    """doc_id, form of every run of a text that matches the pattern, without places: built-in expressions only."""
-    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"))).alias("form"))
+    """doc_id, pos, form of every run of a text that matches the pattern, without offsets: built-in expressions only."""
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"))).alias("pos", "form"))
 
 
 def tokenize(docs: DataFrame, pattern: str = r"\p{L}+", tag: str = "NNG") -> DataFrame:

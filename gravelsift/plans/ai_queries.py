@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelsift.operators import ai, attention, tokens
+from gravelsift.operators import ai, attention, gate, tokens
 from gravelsift.plans.registry import query, table
 
 _K = {m: k for k, m in enumerate(ai.MODULES)}
@@ -178,3 +178,13 @@ SELECT label, count(*) AS n, floor(sum(exp(tanh(d)) * d) / sum(exp(tanh(d))) * 1
 def attention_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = ai.attention_pool(table(spark, sf_dir, "embeddings"), _W)
     return pooled.select("label", "n", (F.floor(F.col("pooled") * 1e6 + 0.5) / 1e6).alias("pooled"))
+
+
+@query()
+def trained_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate trained on labels, one row in four held out, and the modules that it selects for every document."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    learnt = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    long = learnt.select("doc_id", F.explode(F.create_map(F.lit("basic"), F.col("toxic"), F.lit("spam"), 1 - F.col("quality"))).alias("module", "y"))
+    selected = ai.gate(gate.scores(docs, gate.fit(docs, long)))
+    return selected.select("doc_id", "module", "score")

@@ -12,7 +12,8 @@ from gravelsift.plans.registry import query, table
 from gravelsift.sources import paged
 from gravelsift.sources.readers import topic
 
-_TREND = "t AS (SELECT form AS word, count(*) AS n FROM word WHERE length(form) >= 2 GROUP BY form ORDER BY n DESC, form LIMIT 20)"
+#: Of equally frequent words the one first seen comes first.
+_TREND = "t AS (SELECT form AS word, count(*) AS n FROM word WHERE length(form) >= 2 GROUP BY form ORDER BY n DESC, min({'d': doc_id, 'k': k}) LIMIT 20)"
 _LEVEL = "['LOW', 'MEDIUM', 'HIGH'][event_id % 3 + 1]"
 _ACTION = "['NORMAL', 'REVIEW', 'PARTIAL_MASK', 'FULL_BLOCK', 'NORMAL'][event_id % 5 + 1]"
 

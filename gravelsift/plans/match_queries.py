@@ -407,3 +407,22 @@ def default_dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "aeiostrn", "시병발ㅆ씨벌신끼").alias("text"))
     found = matching.match_substrings(docs, words.distinct()).where(F.col("word").isin("시발", "씨발", "싀벌", "병신", "뼝신"))
     return found.groupBy("word").agg(F.count("*").alias("n"))
+
+
+_LEGACY_LEX = (("the", "SYSTEM_KEYWORD"), ("idiot", "USER_BLACKLIST"), ("der", "SYSTEM_KEYWORD"), ("la", "WHITELIST"), ("in", "SYSTEM_KEYWORD"), ("it", "USER_BLACKLIST"), ("it", "WHITELIST"))
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, regexp_replace(lower(text), '[^가-힣a-zA-Z0-9\\s]', '', 'g') AS text FROM documents),
+l AS (SELECT map_from_entries(list({{'k': word, 'v': wtype}})) AS m FROM (SELECT word, arg_min(wtype, CASE wtype WHEN 'WHITELIST' THEN 0 WHEN 'USER_BLACKLIST' THEN 1 ELSE 2 END) AS wtype FROM (VALUES {", ".join(map(repr, _LEGACY_LEX))}) v(word, wtype) GROUP BY word)),
+t AS (SELECT doc_id, text, m, list_filter(regexp_extract_all(text, '[가-힣a-z0-9]+'), lambda w: m[w] IS NOT NULL) AS w FROM n, l)
+SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: m[x] <> 'WHITELIST')) > 0 THEN 'FILTERED_BY_FIRST_PASS' ELSE 'PASSED' END AS status,
+    CAST(len(list_filter(w, lambda x: m[x] = 'USER_BLACKLIST')) AS BIGINT) AS n_black, CAST(len(list_filter(w, lambda x: m[x] = 'SYSTEM_KEYWORD')) AS BIGINT) AS n_system,
+    md5(list_reduce(list_prepend(text, w), lambda a, x: replace(a, x, CASE m[x] WHEN 'WHITELIST' THEN '__W__' WHEN 'USER_BLACKLIST' THEN '__B__' ELSE '__F__' END))) AS text_md5 FROM t
+""")
+def legacy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older first pass: tokens of the stripped text in order, each word's placeholder everywhere."""
+    find = matching.legacy_matcher(spark.createDataFrame(list(_LEGACY_LEX), "word string, wtype string"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", find(text.legacy_normalize(F.col("text"))).alias("x"))
+    count = lambda kind: F.size(F.filter("x.words", lambda w: w["wtype"] == kind)).cast("long")
+    return rows.select("doc_id", "x.status", count("USER_BLACKLIST").alias("n_black"), count("SYSTEM_KEYWORD").alias("n_system"), F.md5("x.text").alias("text_md5"))

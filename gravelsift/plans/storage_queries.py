@@ -173,3 +173,20 @@ def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third event of a user writes an entry that lives six hours; the others ask for it."""
     value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("v"), (F.col("event_id") % 50).cast("string")))
     return storage.cache_lookup(table(spark, sf_dir, "events").select("user_id", "ts", value.alias("value")), ["user_id"], "6 hours", "1 hour")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS session_id, o_custkey AS owner_user_id, CAST(o_orderdate AS DATE) AS started_at FROM orders),
+l AS (SELECT *, row_number() OVER (PARTITION BY owner_user_id ORDER BY started_at DESC, session_id DESC) AS place FROM s)
+SELECT owner_user_id, CAST(place AS INTEGER) AS place, session_id, started_at, count(l_orderkey) AS messages, count(*) FILTER (WHERE l_returnflag = 'R') AS filtered
+FROM l LEFT JOIN lineitem ON l_orderkey = session_id WHERE owner_user_id % 7 = 0 GROUP BY ALL
+""")
+def owner_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners' sessions, newest first, and the messages of each: orders and their items."""
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("owner_user_id"), F.col("o_orderdate").cast("date").alias("started_at"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), "l_returnflag")
+    mine = F.when(F.col("owner_user_id") % 7 == 0, F.col("owner_user_id"))
+    counts = storage.messages_of(items, sessions, mine).groupBy("session_id").agg(F.count("*").alias("messages"), F.count_if(F.col("l_returnflag") == "R").alias("filtered"))
+    listed = storage.session_list(sessions.where("owner_user_id % 7 = 0"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return listed.join(counts, "session_id", "left").select("owner_user_id", "place", "session_id", "started_at", zero("messages"), zero("filtered"))

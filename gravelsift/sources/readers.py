@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gravelsift.functions.text import strip
 
+BOM = "\ufeff"
 ROOT_SCORE, VARIANT_SCORE, DEFAULT_POS = 5.0, 3.0, "NNG"
 
 
@@ -60,10 +61,15 @@ def first_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
-    """Review candidates as CSV files with a header and an empty human_label, a folder for each module."""
+    """Review candidates as CSV files with a header and an empty human_label, a folder for each module; added to what is there.
+
+    Files begin with a byte order mark, which spreadsheets read as UTF-8: the first column's name carries it.
+    """
     if "human_label" not in candidates.columns:
         candidates = candidates.withColumn("human_label", F.lit(""))
-    candidates.write.mode("append").partitionBy("module").option("header", True).csv(path)
+    first = next(c for c in candidates.columns if c != "module")
+    marked = candidates.withColumnRenamed(first, f"{BOM}{first}")
+    marked.write.mode("append").partitionBy("module").option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_latency(samples: DataFrame, path: str) -> None:

@@ -30,6 +30,19 @@ def sample_messages(spark: SparkSession, rows_a_second: int, samples: list[str])
     return rate.select(F.concat(F.lit("dummy-"), F.col("value").cast("string")).alias("id"), F.lit("DUMMY").alias("source"), F.lit("test").alias("channel_id"), author.alias("author"), pick.alias("content"), F.col("timestamp").alias("ts"))
 
 
+def inject(spark: SparkSession, path: str, channel_id: str, content: str, author: str = "Tester", name: str | None = None) -> bool:
+    """Land one message in the folder that read_messages reads. False, and nothing landed, if no stream (of that name) runs."""
+    if not any(q.isActive and (name is None or q.name == name) for q in spark.streams.active):
+        return False
+    now = F.current_timestamp()
+    made = spark.range(1).select(
+        F.concat(F.lit("injected-"), F.uuid()).alias("id"), F.lit("DUMMY").alias("source"), F.lit(channel_id).alias("channel_id"),
+        F.lit(author).alias("author"), F.lit(content).alias("content"), now.alias("ts"),
+    )
+    made.write.mode("append").parquet(path)
+    return True
+
+
 def once(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each message id once within the watermark."""
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])

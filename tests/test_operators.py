@@ -484,3 +484,185 @@ def test_paged_source_runs_in_tasks(spark):
     got = paged.read_comments(spark, "gravelsift.sources.sample_pages:page", ["a", "b"], max_pages=4)
     assert got.rdd.getNumPartitions() == 2 and got.count() == 2 * 4 * 2 and got.where("parent_id is not null").count() == 8
     assert got.schema.simpleString() == "struct<" + paged.ROW.replace(" string", ":string").replace(", ", ",") + ">"
+
+
+def test_stored_upserts_touch_their_partitions_only(spark, tmp_path):
+    """The same batch twice changes nothing; files of other partitions stay as they are; newest rows and oldest creation win."""
+    path = str(tmp_path / "cache")
+    kind = "k long, v string, created_at long, last_seen_at long"
+    first = spark.createDataFrame([(i, f"v{i}", 1, 10) for i in range(200)], kind)
+    storage.upsert_stored(first, path, ["k"], buckets=16)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
+    batch = spark.createDataFrame([(3, "new", 9, 20), (3, "older", 5, 15), (7, "stale", 0, 5), (999, "fresh", 30, 30)], kind)
+    for _ in range(2):
+        storage.upsert_stored(batch, path, ["k"], buckets=16)
+        table = {r.k: (r.v, r.created_at, r.last_seen_at) for r in spark.read.parquet(path).collect()}
+        assert len(table) == 201 and table[3] == ("new", 1, 20) and table[7] == ("v7", 0, 10) and table[999] == ("fresh", 30, 30) and table[8] == ("v8", 1, 10)
+    after = set((tmp_path / "cache").rglob("*.parquet"))
+    touched = storage.bucketed(batch, ["k"], 16).select("bucket").distinct().count()
+    assert len({f.parent for f in before} - {f.parent for f in before if f in after}) == touched and all(f.stat().st_mtime_ns == before[f] for f in after & set(before))
+
+
+def test_upsert_stream_equals_batch(spark, tmp_path):
+    kind = "k long, v string, created_at long, last_seen_at long"
+    rows_ = [(random.Random(i).randint(0, 40), f"v{i}", i, i) for i in range(120)]
+    for part in range(3):
+        spark.createDataFrame(rows_[part * 40 : part * 40 + 40], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    storage.upsert_stream(live, str(tmp_path / "table"), ["k"], str(tmp_path / "cp"), buckets=4).trigger(availableNow=True).start().awaitTermination(120)
+    empty = spark.createDataFrame([], kind)
+    want = storage.upsert(empty, spark.createDataFrame(rows_, kind), ["k"])
+    columns = ["k", "v", "created_at", "last_seen_at"]
+    assert rows(spark.read.parquet(str(tmp_path / "table")).select(columns), "k") == rows(want.select(columns), "k")
+
+
+def test_legacy_tokens(spark):
+    lex = spark.createDataFrame([("bad", "USER_BLACKLIST"), ("badge", "WHITELIST"), ("xx", "SYSTEM_KEYWORD"), ("both", "SYSTEM_KEYWORD"), ("both", "WHITELIST")], "word string, wtype string")
+    find = matching.legacy_matcher(lex)
+    df = spark.createDataFrame([("bad badge xx bad",), ("badge badly bad",), ("both",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(find(F.col("t")).alias("x")).collect()]
+    assert [(g.status, [w.word for w in g.words], g.text) for g in got[:4]] == [
+        ("FILTERED_BY_FIRST_PASS", ["bad", "xx", "bad"], "__B__ __B__ge __F__ __B__"), ("FILTERED_BY_FIRST_PASS", ["bad"], "__W__ __B__ly __B__"), ("PASSED", [], "__W__"), ("PASSED", [], ""),
+    ]
+    assert got[4] is None
+
+
+def test_trained_gate(spark):
+    """Held-out figures on words that tell; two fits agree; odd labels aren't learnt."""
+    from gravelsift.operators import gate
+
+    rng = random.Random(1)
+    common = [f"w{i}" for i in range(40)]
+    data = []
+    for i in range(400):
+        y = i % 2
+        data.append((i, " ".join(rng.choices(common, k=12) + (["awful"] if y and rng.random() < 0.95 else [])), y))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(900, None), (None, "awful")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "m", y) for i, _, y in data if i % 4] + [(1, "other", 1), (5, "m", None), (7, "m", 0), (8, "nothing", 3)], "doc_id long, module string, y int")
+    model = gate.fit(docs, labels)
+    assert set(model) == {"m", "other"} and model["other"] == 1.0
+    found = gate.scores(docs, model)
+    own = {r.doc_id: r.score for r in found.where("module = 'm'").collect()}
+    held = [(own[i] >= 0.5) == bool(y) for i, _, y in data if i % 4 == 0]
+    assert sum(held) / len(held) > 0.9 and own[None] > 0.5 and 0 < own[900] < 1
+    again = {r.doc_id: r.score for r in gate.scores(docs, gate.fit(docs.repartition(5), labels)).where("module = 'm'").collect()}
+    assert own == again and gate.fit(docs, labels.where("false")) == {} and gate.scores(docs, {}).count() == 0
+
+
+def test_trending_ties_come_as_first_seen(spark):
+    units = spark.createDataFrame([(2, 0, "bb"), (2, 1, "aa"), (1, 5, "cc"), (1, 6, "aa"), (3, 0, "bb"), (3, 1, "cc"), (None, 0, "zz"), (4, 0, "zz"), (4, 1, "solo")], "doc_id long, pos int, form string")
+    assert [r.word for r in analytics.trending(units).collect()] == ["cc", "aa", "bb", "zz"]
+
+
+def test_tables_over_jdbc(spark):
+    """Written and read in parts through an embedded database in memory."""
+    from gravelsift.sources import tables
+
+    url, driver = "jdbc:derby:memory:gravel;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows_ = spark.range(100).selectExpr("cast(id as int) id", "concat('n', id) name")
+    tables.append_table(rows_, url, "people", driver=driver)
+    tables.append_table(rows_.selectExpr("id + 100 id", "name"), url, "people", driver=driver)
+    got = tables.read_table(spark, url, "people", key='"id"', parts=4, driver=driver)
+    assert got.count() == 200 and got.rdd.getNumPartitions() == 4 and tables.read_table(spark, url, "people", driver=driver).count() == 200
+    tables.append_table(rows_.where("false"), url, "nobody", driver=driver)
+    assert tables.read_table(spark, url, "nobody", key='"id"', driver=driver).count() == 0
+
+
+def test_encoder_feeds_the_head(spark):
+    """Texts to token vectors, pooled and attributed; long texts are cut, blank ones have no tokens, a failing model gives none."""
+    from gravelsift.operators import attention, encoder
+
+    docs = spark.createDataFrame([(1, "wonderful day"), (2, " "), (3, None), (4, "abcd " * 300), (5, "day")], "doc_id long, text string")
+    made = encoder.encode(docs, "gravelsift.operators.encoder:sample_model", batch=2)
+    own = [(r.token, r.s, r.e, r.real) for r in made.where("doc_id = 1").orderBy("pos").collect()]
+    assert own == [("[CLS]", 0, 0, False), ("wond", 0, 4, True), ("##erfu", 4, 8, True), ("##l", 8, 9, True), ("day", 10, 13, True)]
+    sizes = {r.doc_id: r["count"] for r in made.groupBy("doc_id").count().collect()}
+    assert sizes == {1: 5, 4: 128, 5: 2}
+    rng = np.random.default_rng(0)
+    head = attention.Head(rng.normal(size=(4, 8)), rng.normal(size=4), rng.normal(size=4), 0.0, rng.normal(size=(4, 8)), rng.normal(size=4), rng.normal(size=4), 0.0)
+    pooled = attention.pool(made, head, ["doc_id"], "vector", F.col("real"))
+    assert {r.doc_id: r.n for r in pooled.collect()} == {1: 4, 4: 127, 5: 1}
+    found = attention.attribute(made, head, ["doc_id"], "vector", F.col("real")).withColumn("module", F.lit("basic"))
+    words = tokens.merge_word_pieces(found.select("doc_id", "module", "pos", "token", "score", "raw_attr", "attention"))
+    assert [r.token for r in words.where("doc_id = 1").orderBy("pos").collect()] == ["wonderful", "day"]
+    assert encoder.encode(docs, "tests.landed:broken", batch=2).count() == 0
+
+
+def test_masks_merge(spark):
+    from gravelsift.functions import text
+
+    df = spark.createDataFrame([("a **** b cd e", [(0, 0), (3, 7), (9, 12)])], "m string, spans array<struct<s:int,e:int>>")
+    assert df.select(text.merge_mask(F.col("m"), F.col("spans"))).first()[0] == "* **** b ** *"
+    words = spark.createDataFrame([("bad day", ["bad"])], "t string, w array<string>")
+    assert words.select(text.soften_mask(F.col("t"), F.col("w"))).first()[0] == "*** day"
+
+
+def test_sinks(spark, tmp_path):
+    """Candidates as CSV with a byte order mark and one header a file, added to; latency rows; several sinks of one stream."""
+    from gravelsift.sources import readers
+    from gravelsift.streaming import chat
+
+    candidates = spark.createDataFrame([("t1", "basic", 0.5, "PENDING"), ("t2", "spam", 0.4, "PENDING")], "text string, module string, score double, review_status string")
+    for _ in range(2):
+        readers.write_candidates(candidates.coalesce(1), str(tmp_path / "csv"))
+    files = list((tmp_path / "csv" / "module=basic").glob("*.csv"))
+    assert len(files) == 2 and all(f.read_bytes() == "\ufefftext,score,review_status,human_label\nt1,0.5,PENDING,\n".encode() for f in files)
+    messages = spark.createDataFrame([(str(k), "s", "c", "a", "hello", k) for k in range(10)], "id string, source string, channel_id string, author string, content string, t long")
+    messages.withColumn("ts", F.timestamp_seconds("t")).drop("t").write.parquet(str(tmp_path / "in"))
+    config = spark.createDataFrame([], "channel_id string, level string, mode string, placeholder string")
+    lex = spark.createDataFrame([("hell", "SYSTEM_KEYWORD")], "word string, wtype string")
+    moderated = chat.moderate(chat.read_messages(spark, str(tmp_path / "in")), config, lex)
+    sinks = [lambda b: b.write.mode("append").parquet(str(tmp_path / "one")), lambda b: b.select("id").write.mode("append").parquet(str(tmp_path / "two"))]
+    chat.fan_out(moderated, sinks, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "one")).count() == spark.read.parquet(str(tmp_path / "two")).count() == 10
+    readers.write_latency(chat.latency(spark.read.parquet(str(tmp_path / "one"))), str(tmp_path / "latency"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "latency")).columns == ["id", "action", "filter_ms", "fetcher_to_filter_ms", "server_to_client_ms", "e2e_render_ms", "total_ms"]
+
+
+def test_injected_messages_and_sample_chat(spark, tmp_path):
+    from gravelsift.streaming import chat
+
+    path = str(tmp_path / "chat")
+    assert not chat.inject(spark, path, "c", "nobody listens", name="listening")
+    spark.createDataFrame([], chat.MESSAGE).write.parquet(path)
+    query = chat.read_messages(spark, path).writeStream.format("memory").queryName("listening").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert chat.inject(spark, path, "c", "hello", name="listening")
+        query.processAllAvailable()
+        assert [(r.channel_id, r.content, r.author) for r in spark.table("listening").collect()] == [("c", "hello", "Tester")]
+    finally:
+        query.stop()
+    sample = chat.sample_messages(spark, 50, ["a", "b"]).writeStream.format("memory").queryName("sampled").option("checkpointLocation", str(tmp_path / "cp2")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(40):
+            query_rows = spark.table("sampled").count()
+            if query_rows:
+                break
+            sample.awaitTermination(1)
+        got = spark.table("sampled").collect()
+        assert got and {r.content for r in got} <= {"a", "b"} and all(r.author.startswith("User") and r.id.startswith("dummy-") for r in got)
+    finally:
+        sample.stop()
+
+
+def test_lists_of_owners(spark):
+    sessions = spark.createDataFrame([(1, 7, 100), (2, 7, 300), (3, 8, 200), (4, 7, 300)], "session_id long, owner_user_id long, started_at long")
+    assert [(r.session_id, r.place) for r in storage.session_list(sessions).where("owner_user_id = 7").orderBy("place").collect()] == [(4, 1), (2, 2), (1, 3)]
+    messages = spark.createDataFrame([(1, "a"), (3, "b"), (2, "c"), (9, "d")], "session_id long, text string")
+    assert sorted(r.text for r in storage.messages_of(messages, sessions, F.lit(7)).collect()) == ["a", "c"]
+    owned = sessions.withColumnRenamed("owner_user_id", "owner")
+    assert [r.session_id for r in analytics.newest_first(owned, 7).collect()][-1] == 1 and analytics.newest_first(owned).count() == 4
+    users = spark.createDataFrame([(1, "x"), (2, "y")], "user_id long, username string")
+    assert storage.of_user(users, 2).first().username == "y" and storage.of_user(users, name="x").first().user_id == 1 and storage.of_user(users, 3).count() == 0
+
+
+def test_videos(spark):
+    from gravelsift.sources import readers
+
+    raw = spark.createDataFrame(
+        [("t", "c1", "d", None, 10, None, ["https://en.wikipedia.org/wiki/Hip_hop"]), ("u", "c2", "d", ["x"], 99, "7", None)],
+        "title string, channelId string, description string, tags array<string>, categoryId int, commentCount string, topicUrls array<string>",
+    )
+    videos = readers.video_metadata(raw, {"10": "Music"})
+    got = {r.title: (r.category, r.topics, r.commentCount, r.tags) for r in videos.collect()}
+    assert got == {"t": ("Music", ["Hip hop"], 0, []), "u": ("", [], 7, ["x"])} and readers.of_owner(videos, "c2").count() == 1
