@@ -4,8 +4,8 @@ Words are runs of characters other than ASCII control characters, spaces and pun
 places are those where a base phrase's words stand consecutively. The rules are some hundreds of regular expressions over
 the words joined by spaces: written notices, exceptions, identifiers and short names (license_rules.py), and the names of
 license families (FAMILIES) in the ways in which a license is invoked (FORMS). Each has a keyword, a label, a priority
-and a score. A text is searched only if it holds one of the gate's strings, and then only for the rules of the keywords
-among its words, by an equality join with the rule table, which is of fixed size. A detection that lies within another one of at least its priority is suppressed
+and a score. A text is cut into words once; it is searched only if one of them is a keyword and one holds one of the gate's
+strings, and then only for the rules of its own keywords, by an equality join with the rule table, which is of fixed size. A detection that lies within another one of at least its priority is suppressed
 (of equal ones the first rule's stays), found in one pass over a document's detections sorted by their starts.
 
 Null or empty text: no words, no labels, score 0. Empty table: no rows. Null ids are found like others. Repeated rows or
@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gravelsift.llm import license_rules
+from gravelsift.llm.common import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Every rule and base phrase holds one of these strings within a word, so that it doesn't matter what stands between words,
 #: or one of the short identifiers as a word before a version.
@@ -182,16 +182,17 @@ def detections(spark: SparkSession, joined: DataFrame, keys: list[str]) -> DataF
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
-    plain = F.lower("text")
-    gate = reduce(or_, (F.contains(plain, F.lit(g)) for g in GATE)) | F.col("text").rlike(SHORT_GATE)
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    joined = F.when(gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), " "), F.lit(" ")))
-    searched = rows.where(gate).select("doc_id", "hash", joined.alias("joined"))
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), words.alias("words"))
+    keywords = F.array(*map(F.lit, sorted({r[1] for r in rules()} | {p.split()[0] for p in BASE})))
+    cut = cut.select("doc_id", "hash", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", keywords), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("joined"))
+    gate = reduce(or_, (F.contains("joined", F.lit(g)) for g in GATE)) | F.col("joined").rlike(SHORT_GATE)
+    cut = cut.select("doc_id", "hash", "n_words", F.when(gate, F.col("joined")).alias("joined"))
+    out = cut.select("doc_id", "hash", "n_words", "joined", *(c.alias(n) for n, c in _base(F.col("joined")).items()))
+    out, _ = materialize(out, "license-texts")  # each text is read once; only those with a keyword are kept, as words
+    searched = out.where("joined is not null").select("doc_id", "hash", "joined")
     kept = detections(docs.sparkSession, searched, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    base = _base(F.col("joined"))
-    out = rows.select("doc_id", "hash", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), joined.alias("joined"))
-    out = out.select("doc_id", "hash", "n_words", *(c.alias(n) for n, c in base.items()))
     kept = kept.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
