@@ -30,6 +30,8 @@ PRECEDENCE = {"WHITELIST": 0, "USER_BLACKLIST": 1, "SYSTEM_KEYWORD": 2}
 #: A lexicon of at most so many characters is sent whole to every task. Of a larger one only the beginnings of its words
 #: (PREFIX characters, with the lengths of the words that begin so) are sent, and what may be a word is joined with it.
 LEXICON_CHARS, PREFIX = 4_000_000, 2
+#: If there are more beginnings than this, single characters are sent, of which there are at most as many as Unicode has.
+BEGINNINGS = 1_000_000
 CHANNELS = ("form", "substring", "evasion")
 TOKEN = r"\p{L}+"
 _FILLER = re.compile(f"(?<=[{LETTER}])[^{LETTER}\\s]{{1,2}}(?=[{LETTER}])")
@@ -53,8 +55,8 @@ def match_forms(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 class Search:
     """Finds words of a whole lexicon (word -> wtype), or what may be a word by the beginnings of words (-> lengths)."""
 
-    def __init__(self, words: dict[str, str] | None, beginnings: dict[str, list[int]]):
-        self.words, self.beginnings, self.automaton = words, beginnings, None
+    def __init__(self, words: dict[str, str] | None, beginnings: dict[str, list[int]], prefix: int = PREFIX):
+        self.words, self.beginnings, self.prefix, self.automaton = words, beginnings, prefix, None
         if words:
             try:
                 import ahocorasick
@@ -68,7 +70,7 @@ class Search:
     def may_be(self, form: str) -> bool:
         if self.words is not None:
             return form in self.words
-        return len(form) in self.beginnings.get(form[:PREFIX], ())
+        return len(form) in self.beginnings.get(form[: self.prefix], ())
 
     def find(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(s, e, word) of all occurrences, overlapping ones too."""
@@ -77,11 +79,11 @@ class Search:
                 yield e - n + 1, e, word
             return
         for s in range(len(text)):
-            for k in range(1, PREFIX + 1):
+            for k in range(1, self.prefix + 1):
                 for n in self.beginnings.get(text[s : s + k], ()) if s + k <= len(text) else ():
                     word = text[s : s + n]
-                    # a beginning shorter than PREFIX is a whole word
-                    if len(word) == n and (n == k or k == PREFIX) and (self.words is None or word in self.words):
+                    # a beginning shorter than the others is a whole word
+                    if len(word) == n and (n == k or k == self.prefix) and (self.words is None or word in self.words):
                         yield s, s + n - 1, word
 
 
@@ -309,11 +311,15 @@ def match_texts(docs: DataFrame, lexicon: DataFrame, channels: tuple[str, ...] =
     lexicon of any size: a small one is an automaton in each worker, of a large one what may be a word is joined with it.
     """
     words = resolve(lexicon)
-    chars = words.agg(F.sum(F.length("word"))).first()[0] or 0
-    begin = words.select(F.left("word", F.lit(PREFIX)).alias("b"), F.length("word").alias("n")).groupBy("b").agg(F.collect_set("n").alias("n"))
-    whole = {r.word: r.wtype for r in words.collect()} if chars <= LEXICON_CHARS else None  # of at most LEXICON_CHARS characters
-    beginnings = {r.b: sorted(r.n) for r in begin.collect()}  # at most a row for each pair of characters
-    shared = docs.sparkSession.sparkContext.broadcast((whole, beginnings))
+    whole, beginnings, prefix = None, {}, PREFIX
+    if fits(words):
+        whole = {r.word: r.wtype for r in words.collect()}  # of at most LEXICON_CHARS characters
+    else:
+        if words.select(F.left("word", F.lit(prefix))).distinct().count() > BEGINNINGS:
+            prefix = 1
+        begin = words.select(F.left("word", F.lit(prefix)).alias("b"), F.length("word").alias("n")).groupBy("b").agg(F.collect_set("n").alias("n"))
+        beginnings = {r.b: sorted(r.n) for r in begin.collect()}  # at most BEGINNINGS, or a row for each character
+    shared = docs.sparkSession.sparkContext.broadcast((whole, beginnings, prefix))
     forms, substrings, evasions = (c in channels for c in CHANNELS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -54,8 +54,12 @@ def test_matches_are_the_same_for_lexicons_of_any_size(spark, monkeypatch, chann
     ways = [rows(matching.match_texts(docs, lex, (channel,)), "doc_id", "s", "e", "word")]
     monkeypatch.setattr(matching, "LEXICON_CHARS", 1)
     ways.append(rows(matching.match_texts(docs, lex, (channel,)), "doc_id", "s", "e", "word"))
+    monkeypatch.setattr(matching, "BEGINNINGS", 1)
+    assert rows(matching.match_texts(docs, lex, (channel,)), "doc_id", "s", "e", "word") == ways[0]
     words = {"abc": "A", "bc": "B", "a": "B", long: "A"}
     search = matching.Search(None, {"ab": [3], "bc": [2], "a": [1], "xa": [len(long)]})
+    single = matching.Search(None, {"a": [1, 3], "b": [2], "x": [len(long)]}, 1)
+    assert sorted(m for m in single.find(f"abcbca {long}") if m[2] in words) == sorted(m for m in search.find(f"abcbca {long}") if m[2] in words)
     whole = matching.Search(words, {})
     maybe = sorted(m for m in search.find(f"abcbca {long}") if m[2] in words)
     assert maybe == sorted(whole.find(f"abcbca {long}"))
