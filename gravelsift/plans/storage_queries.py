@@ -167,12 +167,13 @@ WITH r AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN event_id % 3 =
 l AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN t END) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM r),
 w AS (SELECT user_id, t, max(value) AS value FROM r WHERE value IS NOT NULL GROUP BY user_id, t),
 m AS (SELECT l.user_id, l.t AS "at", w.t AS written, w.value FROM l LEFT JOIN w ON w.user_id = l.user_id AND w.t = l.last AND l.t - w.t < 21600000000 WHERE l.value IS NULL)
-SELECT user_id, "at", written, value, CASE WHEN written IS NULL THEN 'miss' WHEN written + 21600000000 - "at" < 3600000000 THEN 'refresh' ELSE 'hit' END AS state FROM m
+SELECT user_id, "at", coalesce(written, 0) AS written, value, CASE WHEN written IS NULL THEN 'miss' WHEN written + 21600000000 - "at" < 3600000000 THEN 'refresh' ELSE 'hit' END AS state FROM m
 """)
 def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third event of a user writes an entry that lives six hours; the others ask for it."""
     value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("v"), (F.col("event_id") % 50).cast("string")))
-    return storage.cache_lookup(table(spark, sf_dir, "events").select("user_id", "ts", value.alias("value")), ["user_id"], "6 hours", "1 hour")
+    found = storage.cache_lookup(table(spark, sf_dir, "events").select("user_id", "ts", value.alias("value")), ["user_id"], "6 hours", "1 hour")
+    return found.withColumn("written", F.coalesce("written", F.lit(0).cast("long")))
 
 
 @query("""
