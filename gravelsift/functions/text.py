@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gravelsift.functions import batches
+
 #: Letters, as opposed to filler, and the white space that Java's class misses.
 LETTER = "가-힣A-Za-z"
 SPACE = r"\s\x1c-\x1f"
@@ -123,13 +127,54 @@ def jamo_form(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+@cache
+def _jamo_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code up to U+FFFF: whether a character is kept, whether it is Hangul, and its plain jamo (0: none) without and with keys."""
+    kept, hangul, parts = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool), np.zeros((2, 1 << 16, 3), np.uint16)
+    for c in filter(_KEPT.match, map(chr, [*range(0x80), *range(0x3131, 0x3164), *range(0xAC00, 0xD7A4)])):
+        kept[ord(c)], hangul[ord(c)] = True, bool(_HANGUL.match(c))
+        for k, keys in enumerate(({}, _KEYS)):
+            x = c.lower().translate(keys)
+            code = ord(x) - 0xAC00
+            x = CHO[code // 588] + JUNG[code % 588 // 28] + JONG[code % 28] if 0 <= code < 11172 else x
+            parts[k, ord(c), : len(x)] = [ord(y) for y in x.translate(_TENSE)]
+    return kept, hangul, parts
+
+
+def jamo_forms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, places, cuts): jamo_form of many texts side by side; those of text k are at cuts[k] to cuts[k + 1]."""
+    kept, hangul, parts = _jamo_tables()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where(code < 1 << 16, code, 0).astype(np.uint16)
+    at = np.flatnonzero(kept[code])
+    code, row = code[at], np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[at]
+    keys = np.bincount(row[hangul[code]], minlength=len(texts)) > 0
+    place = (at - (np.cumsum(sizes) - sizes)[row]).astype(np.int32)
+    x = parts[keys[row].astype(np.int8), code]
+    there = x > 0
+    n = there.sum(axis=1)
+    x, place, row = x[there], np.repeat(place, n), np.repeat(row, n)
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    return x[first], place[first], np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(texts)))])
+
+
 def jamo_places(text: Column) -> Column:
     """struct<jamo, places> of jamo_form, in Arrow batches; null for null."""
+    batches.bounded()
+
+    def made(texts: pa.Array) -> pa.Array:
+        codes, places, cuts = jamo_forms(texts.fill_null("").to_pylist())
+        letters = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+        ends = np.concatenate([[0], np.cumsum(np.where(codes < 0x80, 1, 3))])[cuts].astype(np.int32)  # jamo have three bytes
+        jamo = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(letters))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places, pa.int32()))
+        return pa.StructArray.from_arrays([jamo, lists], ["jamo", "places"], mask=texts.is_null())
 
     @F.arrow_udf("struct<jamo:string,places:array<int>>")
     def run(texts: pa.Array) -> pa.Array:
-        made = [None if t is None else dict(zip(("jamo", "places"), jamo_form(t), strict=True)) for t in texts.to_pylist()]
-        return pa.array(made, pa.struct([("jamo", pa.string()), ("places", pa.list_(pa.int32()))]))
+        return batches.by_slices(made, texts)
 
     return run(text)
 

@@ -14,15 +14,17 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelsift.functions.text import LETTER, jamo_form, span_mask, star_mask
+from gravelsift.functions import batches
+from gravelsift.functions.text import LETTER, jamo_form, jamo_forms, span_mask, star_mask
 from gravelsift.operators.tokens import joined_units
 
 #: Which list counts if several hold a word.
@@ -72,11 +74,11 @@ class Search:
             return form in self.words
         return len(form) in self.beginnings.get(form[: self.prefix], ())
 
-    def find(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """(s, e, word) of all occurrences, overlapping ones too."""
+    def find(self, text: str, at: int = 0) -> Iterator[tuple[int, int, str]]:
+        """(s, e, word) of all occurrences, overlapping ones too; at: the place where the text begins."""
         if self.automaton is not None:
             for e, (n, word) in self.automaton.iter(text):
-                yield e - n + 1, e, word
+                yield at + e - n + 1, at + e, word
             return
         for s in range(len(text)):
             for k in range(1, self.prefix + 1):
@@ -84,7 +86,7 @@ class Search:
                     word = text[s : s + n]
                     # a beginning shorter than the others is a whole word
                     if len(word) == n and (n == k or k == self.prefix) and (self.words is None or word in self.words):
-                        yield s, s + n - 1, word
+                        yield at + s, at + s + n - 1, word
 
 
 def compact(text: str) -> tuple[str, list[int]]:
@@ -379,18 +381,22 @@ def match_jamo(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> D
     shared, name = docs.sparkSession.sparkContext.broadcast({f: f for f in forms}), uuid.uuid4().hex
     names = docs.sparkSession.sparkContext.broadcast(forms)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, known = _search(name, shared), names.value
-        for frame in frames:
-            out = []
-            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
-                short, places = jamo_form(text)
-                out += [(doc_id, places[s], places[e], *known[form][1:]) for s, e, form in search.find(short)]
-            yield pd.DataFrame(out, columns=["doc_id", "s", "e", "word", "wtype"], dtype=object)
-
+        for batch in arrived:
+            for k, n in batches.slices(batch.column(1)):
+                codes, places, cuts = jamo_forms(batch.column(1).slice(k, n).to_pylist())
+                short = codes.astype("<u4").tobytes().decode("utf-32-le")
+                found = [m for i, j in pairwise(cuts.tolist()) for m in search.find(short[i:j], i)]
+                s, e = (np.array([m[x] for m in found], np.int64) for x in (0, 1))
+                which = pa.array(np.searchsorted(cuts, s, side="right") - 1)
+                words, kinds = (pa.array([known[m[2]][x] for m in found], pa.string()) for x in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, n).take(which), pa.array(places[s]), pa.array(places[e]), words, kinds], ["doc_id", "s", "e", "word", "wtype"])
+
+    batches.bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col(text_col).alias("text")).where("text is not null")
-    return texts.mapInPandas(run, f"doc_id {kind}, s int, e int, word string, wtype string")
+    return texts.mapInArrow(run, f"doc_id {kind}, s int, e int, word string, wtype string")
 
 
 def drop_shadowed(matches: DataFrame) -> DataFrame:

@@ -670,3 +670,23 @@ def test_videos(spark):
     videos = readers.video_metadata(raw, {"10": "Music"})
     got = {r.title: (r.category, r.topics, r.commentCount, r.tags) for r in videos.collect()}
     assert got == {"t": ("Music", ["Hip hop"], 0, []), "u": ("", [], 7, ["x"])} and readers.of_owner(videos, "c2").count() == 1
+
+
+def test_jamo_of_many_texts_side_by_side(spark):
+    """Each text's jamo and places as the scalar form gives them, nulls and empty texts among them, over several slices; a worker holds one slice."""
+    from gravelsift.functions import batches, text
+
+    rng = random.Random(5)
+    letters = "시ㅔㅣ발ㅆ씨끼ㄳ값AbzQ018 -é😀힣가\x00"
+    texts = ["", "!", "aab", *("".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(300))]
+    codes, places, cuts = text.jamo_forms(texts)
+    assert [("".join(map(chr, codes[a:b])), places[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)] == [text.jamo_form(t) for t in texts]
+    import pyarrow as pa
+
+    sizes = [3, 1, None, 0, 9, 2, 2]
+    assert list(batches.slices(pa.array([None if n is None else "x" * n for n in sizes]), 4)) == [(0, 4), (4, 1), (5, 2)]
+    long = [(k, t * 4000) for k, t in enumerate(texts[:40])] + [(99, None)]
+    df = spark.createDataFrame(long, "doc_id long, text string")
+    got = {r.doc_id: r.x for r in df.select("doc_id", text.jamo_places(F.col("text")).alias("x")).collect()}
+    assert got[99] is None and all((got[k].jamo, got[k].places) == text.jamo_form(t) for k, t in long[:-1])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= batches.BATCH_BYTES
