@@ -199,15 +199,16 @@ def span_mask(text: Column, spans: Column, keep_spaces: bool = False, spare_laug
     here it is cut once, in Arrow batches.
     """
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    batches.bounded()
+
+    def made(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         masked = []
-        for whole, s, e in zip(texts, starts, ends, strict=True):
+        for whole, s, e in zip(*(x.to_pylist() for x in (texts, starts, ends)), strict=True):
             if whole is None or s is None:
                 masked.append(whole)
                 continue
             out, at = [], 0
-            for a, b in zip(s.tolist(), e.tolist(), strict=True):
+            for a, b in zip(s, e, strict=True):
                 if spare_laughter and set("".join(whole[a : b + 1].split())) - LAUGHTER == set() != set(whole[a : b + 1].split()):
                     continue
                 a = max(a, at)
@@ -217,7 +218,11 @@ def span_mask(text: Column, spans: Column, keep_spaces: bool = False, spare_laug
                     at = b + 1
             out.append(whole[at:])
             masked.append("".join(out))
-        return pd.Series(masked, dtype=object)
+        return pa.array(masked, pa.string())
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return batches.by_slices(made, texts, starts, ends)
 
     return run(text, spans["s"], spans["e"])
 

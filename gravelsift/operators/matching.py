@@ -17,7 +17,6 @@ from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -199,9 +198,10 @@ def matcher(lexicon: DataFrame, mask: str = "place") -> Callable[..., Column]:
         found = hits_of(text, search, None if tokens is None else [(t["form"], t["tag"], t["start"]) for t in tokens])
         return found, render(text, found) if found else text
 
-    def made(texts: list, tokens: list) -> pa.Array:
+    def made(texts: pa.Array, tokens: pa.Array | None = None) -> pa.Array:
         search = _search(name, shared)
-        rows = [one(search, text, t) for text, t in zip(texts, tokens, strict=True)]
+        given = [None] * len(texts) if tokens is None else [t or [] for t in tokens.to_pylist()]
+        rows = [one(search, text, t) for text, t in zip(texts.to_pylist(), given, strict=True)]
         cuts, parts = [0], []
         for found, _ in rows:
             cuts.append(cuts[-1] + len(found))
@@ -211,12 +211,13 @@ def matcher(lexicon: DataFrame, mask: str = "place") -> Callable[..., Column]:
 
     @F.arrow_udf(HITS)
     def plain(text: pa.Array) -> pa.Array:
-        return made(text.to_pylist(), [None] * len(text))
+        return batches.by_slices(made, text)
 
     @F.arrow_udf(HITS)
     def tagged(text: pa.Array, tokens: pa.Array) -> pa.Array:
-        return made(text.to_pylist(), [t or [] for t in tokens.to_pylist()])
+        return batches.by_slices(made, text, tokens)
 
+    batches.bounded(lexicon.sparkSession)
     return lambda text, tokens=None: plain(text) if tokens is None else tagged(text, tokens)
 
 
@@ -237,8 +238,7 @@ def legacy_matcher(lexicon: DataFrame, pattern: str = r"[가-힣a-z0-9]+") -> Ca
     shared = lexicon.sparkSession.sparkContext.broadcast({r.word: r.wtype for r in words.collect()})  # at most LEXICON_CHARS characters
     kind = pa.struct([("status", pa.string()), ("words", pa.list_(pa.struct([("word", pa.string()), ("wtype", pa.string())]))), ("text", pa.string())])
 
-    @F.arrow_udf(LEGACY)
-    def run(texts: pa.Array) -> pa.Array:
+    def made(texts: pa.Array) -> pa.Array:
         known, find, out = shared.value, regex.compile(pattern).findall, []
         for text in texts.to_pylist():
             if text is None:
@@ -254,6 +254,11 @@ def legacy_matcher(lexicon: DataFrame, pattern: str = r"[가-힣a-z0-9]+") -> Ca
             out.append({"status": "FILTERED_BY_FIRST_PASS" if found else "PASSED", "words": found, "text": text})
         return pa.array(out, kind)
 
+    @F.arrow_udf(LEGACY)
+    def run(texts: pa.Array) -> pa.Array:
+        return batches.by_slices(made, texts)
+
+    batches.bounded(lexicon.sparkSession)
     return run
 
 
@@ -324,13 +329,12 @@ def match_texts(docs: DataFrame, lexicon: DataFrame, channels: tuple[str, ...] =
     shared = docs.sparkSession.sparkContext.broadcast((whole, beginnings, prefix))
     forms, substrings, evasions = (c in channels for c in CHANNELS)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, token = Search(*shared.value), regex.compile(pattern)
-        for frame in frames:
-            for k in range(0, len(frame), 500):
-                part = frame.iloc[k : k + 500]
-                ids, starts, ends, found = [], [], [], []
-                for doc_id, text in zip(part.doc_id, part.text, strict=True):
+        for batch in arrived:
+            for k, n in batches.slices(batch.column(1)):
+                starts, ends, found, counts = [], [], [], []
+                for text in batch.column(1).slice(k, n).to_pylist():
                     rows = []
                     if forms:
                         rows += [(m.start(), m.end() - 1, m.group()) for m in token.finditer(text) if search.may_be(m.group())]
@@ -339,20 +343,23 @@ def match_texts(docs: DataFrame, lexicon: DataFrame, channels: tuple[str, ...] =
                     if evasions and _FILLER.search(text):
                         short, kept = compact(text)
                         rows += [(kept[s], kept[e], w) for s, e, w in search.find(short)]
-                    ids += [doc_id] * len(rows)
+                    counts.append(len(rows))
                     for s, e, w in rows:
                         starts.append(s)
                         ends.append(e)
                         found.append(w)
-                if ids:
-                    made = {"doc_id": ids, "s": starts, "e": ends, "word": found}
-                    yield pd.DataFrame(made if whole is None else made | {"wtype": [search.words[w] for w in found]}, dtype=object)
+                ids = batch.column(0).slice(k, n).take(pa.array(np.repeat(np.arange(n), counts)))
+                made = {"doc_id": ids, "s": pa.array(starts, pa.int32()), "e": pa.array(ends, pa.int32()), "word": pa.array(found, pa.string())}
+                if whole is not None:
+                    made["wtype"] = pa.array([search.words[w] for w in found], pa.string())
+                yield pa.RecordBatch.from_pydict(made)
 
+    batches.bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col(text_col).alias("text")).where("text is not null")
     if whole is not None:
-        return texts.mapInPandas(run, f"doc_id {kind}, s int, e int, word string, wtype string")
-    return texts.mapInPandas(run, f"doc_id {kind}, s int, e int, word string").join(words, "word").select("doc_id", "s", "e", "word", "wtype")
+        return texts.mapInArrow(run, f"doc_id {kind}, s int, e int, word string, wtype string")
+    return texts.mapInArrow(run, f"doc_id {kind}, s int, e int, word string").join(words, "word").select("doc_id", "s", "e", "word", "wtype")
 
 
 def match_substrings(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelsift.functions import batches
 from gravelsift.functions.text import is_laughter
 
 #: Tag prefixes that carry meaning, those that join into compounds, and a compound's most tokens.
@@ -29,11 +30,11 @@ def tokenize(docs: DataFrame, pattern: str = r"\p{L}+", tag: str = "NNG") -> Dat
     Offsets are local to a text, so one Arrow pass finds them without a shuffle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
+        for batch in arrived:
+            for k, rows in batches.slices(batch.column(1)):
+                part = batch.slice(k, rows)
                 found = [list(find(text)) for text in part.column(1).to_pylist()]
                 n = np.array([len(f) for f in found])
                 flat = [m for f in found for m in f]
@@ -42,6 +43,7 @@ def tokenize(docs: DataFrame, pattern: str = r"\p{L}+", tag: str = "NNG") -> Dat
                 starts = pa.array([m.start() for m in flat], pa.int32())
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(at, pa.int32()), pa.array([m.group() for m in flat], pa.string()), starts], ["doc_id", "pos", "form", "start"])
 
+    batches.bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, pos int, form string, start int")
     return found.select("doc_id", "pos", "form", F.lit(tag).alias("tag"), "start", F.length("form").alias("len"))
@@ -52,11 +54,14 @@ def joined_units(found: list[tuple[str, str, int]]) -> Iterator[tuple[str, int,
     held: list[str] = []
     first = end = 0
     joins = False
+    kinds: dict[str, tuple[bool, bool]] = {}
     for form, tag, start in found:
-        if not tag.startswith(MEANINGFUL):
+        if (kind := kinds.get(tag)) is None:
+            kind = kinds[tag] = tag.startswith(MEANINGFUL), tag.startswith(JOINING)
+        meant, noun = kind
+        if not meant:
             continue
-        noun = tag.startswith(JOINING)
-        if held and not (noun and joins and start == end and tag != "NNP" and len(held) < LONGEST):
+        if held and not (start == end and noun and joins and tag != "NNP" and len(held) < LONGEST):
             yield "".join(held), first, len(held) > 1
             held = []
         if not held:
@@ -70,15 +75,16 @@ def joined_units(found: list[tuple[str, str, int]]) -> Iterator[tuple[str, int,
 def units_of_texts(docs: DataFrame, tokenizer: Callable[[str], list[tuple[str, str, int]]]) -> DataFrame:
     """doc_id, form, s, e, is_compound of texts whose tokens a function gives: joined in one Arrow pass, without a shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrived:
+            for k, n in batches.slices(batch.column(1)):
+                part = batch.slice(k, n)
                 made = [list(joined_units(tokenizer(text))) for text in part.column(1).to_pylist()]
                 doc_id = part.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made])))
                 form, start, compound = ([x[i] for m in made for x in m] for i in range(3))
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(form, pa.string()), pa.array(start, pa.int32()), pa.array(compound, pa.bool_())], ["doc_id", "form", "s", "is_compound"])
 
+    batches.bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, form string, s int, is_compound boolean")
     return found.select("doc_id", "form", "s", (F.col("s") + F.length("form") - 1).alias("e"), "is_compound")

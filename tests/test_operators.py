@@ -690,3 +690,28 @@ def test_jamo_of_many_texts_side_by_side(spark):
     got = {r.doc_id: r.x for r in df.select("doc_id", text.jamo_places(F.col("text")).alias("x")).collect()}
     assert got[99] is None and all((got[k].jamo, got[k].places) == text.jamo_form(t) for k, t in long[:-1])
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= batches.BATCH_BYTES
+
+
+@pytest.mark.parametrize("name", ["matcher", "legacy_matcher", "match_texts", "tokenize", "units_of_texts", "span_mask"])
+def test_workers_hold_bounded_batches(spark, name):
+    """Operators on texts bound Arrow batches and go through them slice by slice: results of long texts, nulls and short rows are each row's own."""
+    from gravelsift.functions import batches, text
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    lex = spark.createDataFrame([("bad", "USER_BLACKLIST")], "word string, wtype string")
+    docs = spark.createDataFrame([(k, None if k == 3 else "bad " * (150_000 if k % 5 == 0 else k)) for k in range(12)], "doc_id long, text string").coalesce(1)
+    want = {k: 150_000 if k % 5 == 0 else k for k in range(12) if k != 3}
+    if name == "matcher":
+        got = {r[0]: r[1] for r in docs.select("doc_id", F.size(matching.matcher(lex)(F.col("text"))["s"])).where("doc_id <> 3").collect()}
+    elif name == "legacy_matcher":
+        got = {r[0]: r[1] for r in docs.where("doc_id % 5 <> 0").select("doc_id", F.size(matching.legacy_matcher(lex)(F.col("text"))["words"])).where("doc_id <> 3").collect()}
+        want = {k: n for k, n in want.items() if k % 5}
+    elif name == "span_mask":
+        spans = F.array(F.struct(F.lit(0).alias("s"), F.lit(1).alias("e")))
+        got = {r[0]: (len(r[1]) + 3) // 4 for r in docs.select("doc_id", text.span_mask(F.col("text"), spans)).where("doc_id <> 3").collect()}
+    else:
+        found = {"match_texts": lambda: matching.match_texts(docs, lex, ("form",)), "tokenize": lambda: tokens.tokenize(docs), "units_of_texts": lambda: tokens.units_of_texts(docs, lambda t: [("bad", "NNG", 4 * i) for i in range(len(t) // 4)])}[name]()
+        got = {r[0]: r[1] for r in found.groupBy("doc_id").count().collect()}
+        want = {k: n for k, n in want.items() if n}
+    assert got == want and int(spark.conf.get(key).rstrip("b")) <= batches.BATCH_BYTES
