@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravelsift.functions import batches
@@ -131,6 +132,67 @@ def evidence_spans(evidence: DataFrame, thresholds: dict[str, float], docs: Data
     return found.join(docs.select("doc_id", "text"), "doc_id").where(~is_laughter(inside)).drop("text")
 
 
+PIECES = "array<struct<module:string,token:string,s:int,e:int,evidence:double>>"
+
+
+def evidence_marks(pieces: Column, thresholds: dict[str, float]) -> Column:
+    """array<struct<s, e>> (e inclusive, sorted, each once) of what evidence_spans gives for one row's own pieces (PIECES).
+
+    Rows are side by side in Arrow batches: nothing is shuffled, whatever the number of pieces. No pieces, no spans; null: null.
+    """
+    batches.bounded()
+    names = pa.array(list(thresholds), pa.string())
+    least = np.array([*thresholds.values(), np.inf])
+
+    @F.arrow_udf("array<struct<s:int,e:int>>")
+    def run(lists: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        module, token, s, e, evidence = (flat.field(k) for k in range(5))
+        table = pa.table({"row": np.repeat(np.arange(len(lists)), counts), "m": pc.fill_null(pc.index_in(module, names), len(names)), "s": s, "e": e, "token": token, "x": evidence})
+        table = table.filter(pc.and_(pc.less(table["m"], len(names)), pc.greater(e, s)))
+        table = table.sort_by([(c, "ascending") for c in ("row", "m", "s", "e", "token")])
+        row, m, s, e, x = (table[c].to_numpy() for c in ("row", "m", "s", "e", "x"))
+        spans = []
+        if len(row):
+            group = row.astype(np.int64) * len(names) + m
+            reach = np.maximum.accumulate((group << 32) + e)  # the end reached so far in a group
+            fresh = np.ones(len(row), bool)
+            begins = pc.starts_with(table["token"], "##").to_numpy()
+            fresh[1:] = (group[1:] != group[:-1]) | ~(begins[1:] | ((group[1:] << 32) + s[1:] <= reach[:-1]))
+            at = np.flatnonzero(fresh)
+            run_ = np.cumsum(fresh) - 1
+            n, sums = np.bincount(run_), np.bincount(run_, weights=x)
+            keep = np.maximum(np.maximum.reduceat(x, at), sums / n**0.25) >= least[m[at]]
+            spans = np.unique(np.stack([row[at], s[at], np.maximum.reduceat(e, at) - 1], axis=1)[keep], axis=0)
+        spans = np.asarray(spans, np.int64).reshape(-1, 3)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(spans[:, 0], minlength=len(lists)))])
+        both = pa.StructArray.from_arrays([pa.array(spans[:, k], pa.int32()) for k in (1, 2)], ["s", "e"])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), both, mask=lists.is_null())
+
+    return run(pieces)
+
+
+def placed_forms(text: Column, pattern: str = r"\p{L}+") -> Column:
+    """array<struct<form, start>> of the runs of a text that match the pattern: tokenize within the row; null for null."""
+    batches.bounded()
+    kind = pa.struct([("form", pa.string()), ("start", pa.int32())])
+
+    def made(texts: pa.Array) -> pa.Array:
+        find = regex.compile(pattern).finditer
+        found = [list(find(t)) for t in texts.fill_null("").to_pylist()]
+        cuts = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
+        flat = [m for f in found for m in f]
+        both = pa.StructArray.from_arrays([pa.array([m.group() for m in flat], pa.string()), pa.array([m.start() for m in flat], pa.int32())], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), both, mask=texts.is_null())
+
+    @F.arrow_udf("array<struct<form:string,start:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return batches.by_slices(made, texts)
+
+    return run(text)
+
+
 def merge_word_pieces(tokens: DataFrame) -> DataFrame:
     """doc_id, module, pos, token, score (raw_attr, attention): pieces that begin with ## joined to the token before, values added.
 

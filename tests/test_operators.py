@@ -715,3 +715,27 @@ def test_workers_hold_bounded_batches(spark, name):
         got = {r[0]: r[1] for r in found.groupBy("doc_id").count().collect()}
         want = {k: n for k, n in want.items() if n}
     assert got == want and int(spark.conf.get(key).rstrip("b")) <= batches.BATCH_BYTES
+
+
+def test_evidence_of_a_rows_own_pieces(spark):
+    """The same spans as over rows of pieces, and the same analysis; the column's tokens aren't shuffled."""
+    rng, modules = random.Random(9), [*sorted(ai.MASK), "spam"]
+    pieces = [(d, rng.choice(modules), rng.choice(["a", "##b", "c"]), s := rng.randrange(60), s + rng.randrange(4), rng.randrange(50) / 100) for d in range(30) for _ in range(rng.randrange(25))]
+    ev = spark.createDataFrame(pieces, "doc_id long, module string, token string, s int, e int, evidence double")
+    docs = spark.createDataFrame([(d, "some words and more of them, to be masked in places. " * 2) for d in range(32)], "doc_id long, text string")
+    own = docs.join(ev.groupBy("doc_id").agg(F.collect_list(F.struct("module", "token", "s", "e", "evidence")).alias("p")), "doc_id", "left")
+    want = {r.doc_id: sorted({(x.s, x.e - 1) for x in r.x}) for r in tokens.evidence_spans(ev, ai.MASK).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("x")).collect()}
+    got = {r.doc_id: r.x for r in own.select("doc_id", tokens.evidence_marks(F.col("p").cast(tokens.PIECES), ai.MASK).alias("x")).collect()}
+    assert {d: [tuple(x) for x in v] for d, v in got.items() if v} == want and got[31] is None
+    scores = spark.createDataFrame([(d, {m: 0.9 if (d + k) % 3 == 0 else 0.1 for k, m in enumerate(modules)}) for d in range(28)], "doc_id long, scores map<string,double>")
+    lex = spark.createDataFrame([("word", "SYSTEM_KEYWORD")], "word string, wtype string")
+    forms = tokens.tokenize(docs).withColumn("m", F.explode(F.array(*map(F.lit, modules))))
+    rule = lambda d, s: (d * 7 + s * 3) % 40 / F.lit(100.0)
+    far = forms.select("doc_id", F.col("m").alias("module"), F.col("form").alias("token"), F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e"), rule(F.col("doc_id"), F.col("start")).alias("evidence"))
+    placed = tokens.placed_forms(F.col("text"))
+    made = lambda m: F.transform(placed, lambda t: F.struct(F.lit(m).alias("module"), t["form"].alias("token"), t["start"].alias("s"), (t["start"] + F.length(t["form"])).alias("e"), rule(F.col("doc_id"), t["start"]).alias("evidence")))
+    near = F.concat(*(F.when(F.array_contains("modules", m), made(m)).otherwise(F.array().cast(tokens.PIECES)) for m in modules))
+    by_rows, by_column = (analyze(docs, lex, scores=scores, evidence=x) for x in (far, near))
+    assert rows(by_column, "doc_id", "level") == rows(by_rows, "doc_id", "level")
+    plan = by_column._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Window" not in plan
