@@ -176,6 +176,8 @@ def module_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", word.alias("word"), ai.sigmoid(logit).alias("score"), ai.token_evidence(attention, logit).alias("evidence"))
 
 
+#: The events of a part of a page lie within so many ids: a page has as many parts as it needs.
+PART = 100_000
 _PAGES = """e AS (SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS video_id, event_id // 40 % 9 + 1 AS page, 'c' || (event_id // 5 % 211) AS id, event_id % 4 AS n_replies FROM events),
 top AS (SELECT video_id, page, event_id AS item, 0 AS kind, 0 AS rp, 0 AS pos, id, CAST(NULL AS VARCHAR) AS parent_id, 't' || event_id AS text FROM e),
 near AS (SELECT video_id, page, event_id AS item, 1 AS kind, 0 AS rp, k AS pos, 'r' || (event_id * 7 + k) % 307 AS id, id AS parent_id, 'n' || event_id || '-' || k AS text FROM (SELECT *, unnest(range(least(n_replies, 2))) AS k FROM e)),
@@ -189,14 +191,14 @@ met AS (SELECT * FROM every WHERE page <= 8 QUALIFY row_number() OVER (PARTITION
 last AS (SELECT video_id, min(page) AS last FROM (SELECT DISTINCT video_id, page FROM e WHERE page <= 8) p WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.video_id = p.video_id AND met.page = p.page AND kind < 2) GROUP BY video_id)
 SELECT video_id, id AS comment_id, parent_id, text FROM met LEFT JOIN last USING (video_id) WHERE last IS NULL OR page <= last""")
 def paged_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of comments and of replies, landed as JSON; ids come again on other pages, and some pages add nothing."""
+    """Pages of comments and of replies, landed as JSON, pages in parts of a range of events; ids come again on other pages, and some pages add nothing."""
     video = (F.col("user_id") % 40).cast("string")
     e = table(spark, sf_dir, "events").select(
-        "event_id", video.alias("video_id"), F.expr("event_id div 40 % 9 + 1").alias("page"), F.expr("concat('c', event_id div 5 % 211)").alias("id"), (F.col("event_id") % 4).alias("n")
+        "event_id", video.alias("video_id"), F.expr("event_id div 40 % 9 + 1").alias("page"), F.expr("concat('c', event_id div 5 % 211)").alias("id"), (F.col("event_id") % 4).alias("n"), F.expr(f"event_id div {PART}").alias("part")
     )
     near = F.expr("transform(if(n = 0, array(), sequence(0L, least(n, 2L) - 1)), k -> named_struct('id', concat('r', (event_id * 7 + k) % 307), 'text', concat('n', event_id, '-', k)))")
     item = F.struct(F.col("event_id").alias("item"), "id", F.concat(F.lit("t"), F.col("event_id")).alias("text"), F.col("n").alias("total_replies"), near.alias("replies"))
-    pages = e.groupBy("video_id", "page").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("body"))
+    pages = e.groupBy("video_id", "page", "part").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("body"))
     reply = F.expr("transform(array(0, 1), k -> named_struct('id', concat('r', (length(parent_id) * 31 + page * 13 + k + int(video_id)) % 307), 'text', concat('m', parent_id, '-', page, '-', k)))")
     replies = e.select("video_id", F.col("id").alias("parent_id")).distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(12))))
     replies = replies.select("video_id", "parent_id", "page", F.to_json(F.struct(reply.alias("items"))).alias("body"))

@@ -104,13 +104,16 @@ def read_comments(spark: SparkSession, fetch: str, videos: list[str], max_pages:
 def threads(pages: DataFrame, reply_pages: DataFrame, max_pages: int = PAGES) -> DataFrame:
     """ROW of landed pages (video_id, page from 1, body JSON) and reply pages (video_id, parent_id, page from 1, body JSON).
 
+    A page's items may be landed in parts, a row for each (part: a number that orders them), so that no row need hold a long page.
     Where a comment is met first is a minimum by video and id, and a page's new ones are a count by video and page: no
     window, so a video of a third of all comments is spread by its ids. A missing page ends nothing. Pages beyond the caps,
     and those after the first page that adds nothing, don't count.
     """
     most = min(max_pages, PAGES)
-    read = pages.where(F.col("page") <= most).select("video_id", "page", F.from_json("body", PAGE)["items"].alias("items"))
-    tops = read.select("video_id", "page", F.posexplode("items").alias("item", "c"))
+    part = F.col("part").cast("long") if "part" in pages.columns else F.lit(0).cast("long")
+    read = pages.where(F.col("page") <= most).select("video_id", "page", part.alias("part"), F.from_json("body", PAGE)["items"].alias("items"))
+    tops = read.select("video_id", "page", "part", F.posexplode("items").alias("pos", "c"))
+    tops = tops.select("video_id", "page", F.struct("part", "pos").alias("item"), "c")
     row = lambda c, parent: [F.col(f"{c}.id").alias("comment_id"), parent.alias("parent_id"), *(F.col(f"{c}.{x}").alias(x) for x in ("text", "author", "published_at"))]
     at = lambda kind, page, pos: F.struct("page", "item", F.lit(kind).alias("kind"), page.alias("reply_page"), pos.alias("pos")).alias("at")
     zero = F.lit(0)
@@ -124,6 +127,6 @@ def threads(pages: DataFrame, reply_pages: DataFrame, max_pages: int = PAGES) ->
     every = first.unionByName(near).unionByName(more).where("comment_id is not null")
     met = every.groupBy("video_id", "comment_id").agg(F.min_by(F.struct("at", "parent_id", "text", "author", "published_at"), "at").alias("x")).select("video_id", "comment_id", "x.*")
     new = met.where("at.kind < 2").groupBy("video_id", F.col("at.page").alias("page")).agg(F.lit(1).alias("new"))
-    last = read.select("video_id", "page").join(new, ["video_id", "page"], "left_anti").groupBy("video_id").agg(F.min("page").alias("last"))
+    last = read.select("video_id", "page").distinct().join(new, ["video_id", "page"], "left_anti").groupBy("video_id").agg(F.min("page").alias("last"))
     kept = met.join(last, "video_id", "left").where("last is null or at.page <= last")
     return kept.select("video_id", "comment_id", "parent_id", "text", "author", "published_at")

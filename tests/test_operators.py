@@ -739,3 +739,24 @@ def test_evidence_of_a_rows_own_pieces(spark):
     assert rows(by_column, "doc_id", "level") == rows(by_rows, "doc_id", "level")
     plan = by_column._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and "Window" not in plan
+
+
+def test_pages_landed_in_parts(spark):
+    """Parts of a page, in any order of the rows, give the rows of the whole page, the first comment of an id the one of the first part; the query's bodies don't grow with the events."""
+    from gravelsift.plans import analytics_queries
+    from gravelsift.sources import paged
+
+    rng = random.Random(2)
+    items = {(v, p): [{"id": f"c{rng.randrange(30)}", "text": f"t{p}-{k}", "total_replies": 2, "replies": [{"id": f"r{rng.randrange(40)}", "text": f"n{p}-{k}"}]} for k in range(12)] for v in "ab" for p in (1, 2, 3)}
+    whole = spark.createDataFrame([(*k, json.dumps({"items": x})) for k, x in items.items()], "video_id string, page int, body string")
+    cut = [(*k, j, json.dumps({"items": x[j * 5 : j * 5 + 5]})) for k, x in items.items() for j in range(3)]
+    parts = spark.createDataFrame(cut[::-1], "video_id string, page int, part int, body string")
+    more = spark.createDataFrame([("a", "c1", 1, json.dumps({"items": [{"id": "r99", "text": "m"}]}))], "video_id string, parent_id string, page int, body string")
+    assert rows(paged.threads(parts, more), "video_id", "comment_id") == rows(paged.threads(whole, more), "video_id", "comment_id")
+    sizes, threads = [], paged.threads
+    try:
+        paged.threads = lambda pages, replies, max_pages: sizes.append(pages.agg(F.max(F.length("body"))).first()[0]) or threads(pages, replies, max_pages)
+        analytics_queries.paged_threads(spark, "/root/testdata/sf0.1")
+    finally:
+        paged.threads = threads
+    assert sizes[0] < 150_000
