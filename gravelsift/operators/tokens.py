@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,8 @@ def tokenize(docs: DataFrame, pattern: str = r"\p{L}+", tag: str = "NNG") -> Dat
 
 def joined_units(found: list[tuple[str, str, int]]) -> Iterator[tuple[str, int, bool]]:
     """(form, start, is_compound) of one text's tokens (form, tag, start), as meaningful_units has them."""
-    held: list[str] = []
-    first = end = 0
+    held = ""
+    first = end = count = 0
     joins = False
     kinds: dict[str, tuple[bool, bool]] = {}
     for form, tag, start in found:
@@ -62,15 +63,16 @@ def joined_units(found: list[tuple[str, str, int]]) -> Iterator[tuple[str, int,
         meant, noun = kind
         if not meant:
             continue
-        if held and not (start == end and noun and joins and tag != "NNP" and len(held) < LONGEST):
-            yield "".join(held), first, len(held) > 1
-            held = []
-        if not held:
-            first = start
-        held.append(form)
+        if count and start == end and noun and joins and count < LONGEST and tag != "NNP":
+            held += form
+            count += 1
+        else:
+            if count:
+                yield held, first, count > 1
+            held, first, count = form, start, 1
         end, joins = start + len(form), noun
-    if held:
-        yield "".join(held), first, len(held) > 1
+    if count:
+        yield held, first, count > 1
 
 
 def units_of_texts(docs: DataFrame, tokenizer: Callable[[str], list[tuple[str, str, int]]]) -> DataFrame:
@@ -82,7 +84,7 @@ def units_of_texts(docs: DataFrame, tokenizer: Callable[[str], list[tuple[str, s
                 part = batch.slice(k, n)
                 made = [list(joined_units(tokenizer(text))) for text in part.column(1).to_pylist()]
                 doc_id = part.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made])))
-                form, start, compound = ([x[i] for m in made for x in m] for i in range(3))
+                form, start, compound = zip(*chain.from_iterable(made), strict=True) if any(made) else ((), (), ())
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(form, pa.string()), pa.array(start, pa.int32()), pa.array(compound, pa.bool_())], ["doc_id", "form", "s", "is_compound"])
 
     batches.bounded(docs.sparkSession)

@@ -760,3 +760,15 @@ def test_pages_landed_in_parts(spark):
     finally:
         paged.threads = threads
     assert sizes[0] < 150_000
+
+
+def test_pairs_of_letters_as_tokens():
+    """The query's tokenizer gives what the pattern of pairs gives, by a match for each word."""
+    import regex
+
+    from gravelsift.plans import match_queries
+
+    find = regex.compile(r"\p{L}{1,2}").finditer
+    for t in ("", "a", "abc de, fghi", "é가x12y²zⅧ-ab😀c\nd_e"):
+        assert match_queries.pairs(t) == [(m.group(), "NNG", m.start()) for m in find(t)]
+    assert list(tokens.joined_units(match_queries.pairs("abcdefghijklmno p"))) == [("abcdefghijkl", 0, True), ("mno", 12, True), ("p", 16, False)]
