@@ -1,6 +1,6 @@
 """A trained gate: which modules a text is worth asking. TF-IDF of words and a logistic regression for each module.
 
-Fits and counts run in Spark over all labelled rows; a model is `features` weights and inverse document frequencies a module.
+Fits and counts run in Spark over all labelled rows; a model is `features` weights and inverse document frequencies a module, all of one number of features.
 Words are runs of letters in lower case, hashed to `features` places. Null texts are empty ones: the probability of no words.
 Labels other than 0 and 1, null ids and ids whose labels conflict aren't learnt from; an id with several texts is learnt
 with its smallest. A module with labels of one class only has that class's share as its probability, as one without
@@ -9,6 +9,9 @@ labels has none and isn't in the model.
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -17,12 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 15
+#: Labelled rows are dealt into parts of about so many, at least 8.
+PART_ROWS = 20_000
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"))
 
 
+def hashed(rows: DataFrame, features: int, words_col: str = "words") -> DataFrame:
+    return HashingTF(inputCol=words_col, outputCol="tf", numFeatures=features).transform(rows).drop(words_col)
+
+
 def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, strength: float = 1e-4, iterations: int = 40) -> dict[str, PipelineModel | float]:
     """module -> model, of docs (doc_id, text) and labels (doc_id, module, y).
 
@@ -34,31 +43,36 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, strength:
     rows = rows.select("module", "doc_id", F.col("y").cast("double").alias("label"), words(F.col("text")).alias("words"))
     found: dict[str, PipelineModel | float] = {}
     for module in [r.module for r in agreed.select("module").distinct().orderBy("module").collect()]:  # a handful
-        own = rows.where(F.col("module") == module).repartition(8, "doc_id").sortWithinPartitions("doc_id")
-        share = own.agg(F.avg("label")).first()[0]
+        own = rows.where(F.col("module") == module)
+        share, n = own.agg(F.avg("label"), F.count("*")).first()
         if share is None:
             continue
         if share in (0.0, 1.0):
             found[module] = share
             continue
+        parts = own.repartition(max(8, math.ceil(n / PART_ROWS)), "doc_id").sortWithinPartitions("doc_id")
+        counted = hashed(parts.select("label", "words"), features).persist(StorageLevel.MEMORY_AND_DISK)  # read for frequencies, then for the regression
         stages = [
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2),
-            Normalizer(inputCol="tfidf", outputCol="features"), LogisticRegression(regParam=strength, maxIter=iterations, aggregationDepth=2),
+            IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), Normalizer(inputCol="tfidf", outputCol="features"),
+            LogisticRegression(regParam=strength, maxIter=iterations, aggregationDepth=2),
         ]
-        found[module] = Pipeline(stages=stages).fit(own)
+        found[module] = Pipeline(stages=stages).fit(counted)
+        counted.unpersist()
     return found
 
 
 def scores(docs: DataFrame, model: dict[str, PipelineModel | float]) -> DataFrame:
     """docs' columns, module and score (six places), a row for each module: what operators.ai.gate takes."""
-    kept = docs.columns
-    rows = docs.withColumn("words", words(F.col("text")))
-    out = None
-    for module, one in model.items():
+    kept, made = docs.columns, docs
+    sizes = [one.stages[0].idf.size for one in model.values() if not isinstance(one, float)]
+    if sizes:  # texts are read and their words counted once for all modules
+        made = hashed(docs.withColumn("_words", words(F.col("text"))), sizes[0], "_words")
+    for k, one in enumerate(model.values()):
         if isinstance(one, float):
-            part = rows.withColumn("score", F.lit(one))
+            made = made.withColumn(f"_p{k}", F.lit(one))
         else:
-            part = one.transform(rows).withColumn("score", vector_to_array("probability")[1])
-        part = part.select(*kept, F.lit(module).alias("module"), (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return rows.select(*kept, F.lit("").alias("module"), F.lit(0.0).alias("score")).where("false") if out is None else out
+            made = one.transform(made).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("tfidf", "features", "rawPrediction", "probability", "prediction")
+    each = [F.struct(F.lit(module).alias("module"), (F.floor(F.col(f"_p{k}") * 1e6 + 0.5) / 1e6).alias("score")) for k, module in enumerate(model)]
+    if not each:
+        return docs.select(*kept, F.lit("").alias("module"), F.lit(0.0).alias("score")).where("false")
+    return made.select(*kept, F.explode(F.array(*each)).alias("_m")).select(*kept, "_m.module", "_m.score")

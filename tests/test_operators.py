@@ -772,3 +772,22 @@ def test_pairs_of_letters_as_tokens():
     for t in ("", "a", "abc de, fghi", "é가x12y²zⅧ-ab😀c\nd_e"):
         assert match_queries.pairs(t) == [(m.group(), "NNG", m.start()) for m in find(t)]
     assert list(tokens.joined_units(match_queries.pairs("abcdefghijklmno p"))) == [("abcdefghijkl", 0, True), ("mno", 12, True), ("p", 16, False)]
+
+
+def test_gate_reads_texts_once(spark, monkeypatch):
+    """One scan and one count of words for all modules; the parts that a model is fitted on grow with the rows."""
+    from gravelsift.operators import gate
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} " + ("awful" if i % 2 else "fine")) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, m, (i + k) % 2) for i in range(120) for k, m in enumerate("ab")], "doc_id long, module string, y int")
+    dealt = []
+    monkeypatch.setattr(gate, "PART_ROWS", 10)
+    count = gate.hashed
+    monkeypatch.setattr(gate, "hashed", lambda rows_, *a: dealt.append(rows_.rdd.getNumPartitions()) or count(rows_, *a))
+    model = gate.fit(docs, labels)
+    assert dealt == [12, 12]
+    found = gate.scores(docs, model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    got = {(r.doc_id, r.module): r.score for r in found.collect()}
+    assert len(got) == 240 and all((got[i, m] >= 0.5) == bool((i + k) % 2) for i in range(120) for k, m in enumerate("ab"))
