@@ -14,6 +14,7 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from importlib.util import find_spec
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -58,11 +59,13 @@ class Search:
 
     def __init__(self, words: dict[str, str] | None, beginnings: dict[str, list[int]], prefix: int = PREFIX):
         self.words, self.beginnings, self.prefix, self.automaton = words, beginnings, prefix, None
-        if words:
-            try:
-                import ahocorasick
-            except ImportError:  # the beginnings find the same
-                return
+        if words and find_spec("ahocorasick") is None:  # not installed: the beginnings of the words find the same, more slowly
+            self.beginnings = {}
+            for n, begin in sorted({(len(word), word[:prefix]) for word in words}):
+                self.beginnings.setdefault(begin, []).append(n)
+        elif words:
+            import ahocorasick  # installed but broken: the error stops the task
+
             self.automaton = ahocorasick.Automaton()
             for word in words:
                 self.automaton.add_word(word, (len(word), word))

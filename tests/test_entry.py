@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.errors import PythonException
 
 from gravelsift.plans import registry
 
@@ -37,6 +38,22 @@ def test_query(spark, duck, name):
     assert sets[0] == sets[1]
 
 
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables")
+@pytest.mark.parametrize("name", ["substring_match"])
+def test_query_where_workers_lack_a_library(spark, name, tmp_path, monkeypatch):
+    """The rows are the same where the automaton's library isn't installed; a broken one is an error."""
+    want = sorted(map(tuple, QUERIES[name](spark, DATA).collect()), key=repr)
+    files = {"missing": ("sitecustomize", "import sys\nsys.modules['ahocorasick'] = None"), "broken": ("ahocorasick", "raise ImportError('undefined symbol')")}
+    for folder, (module, code) in files.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"{module}.py").write_text(code)
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", str(tmp_path / "missing"))
+    assert sorted(map(tuple, QUERIES[name](spark, DATA).collect()), key=repr) == want != []
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", str(tmp_path / "broken"))
+    with pytest.raises(PythonException, match="undefined symbol"):
+        QUERIES[name](spark, DATA).collect()
+
+
 def test_queries_without_sql(spark):
     """Tested against held-out rows elsewhere; here over the smallest tables, alike at each run."""
     assert set(QUERIES) - set(SQL) == {"trained_gate"}

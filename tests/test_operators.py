@@ -2,6 +2,7 @@
 
 import json
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -66,6 +67,25 @@ def test_matches_are_the_same_for_lexicons_of_any_size(spark, monkeypatch, chann
     assert ways[0] == ways[1] and len(ways[0]) >= (3 if channel == "form" else 300) and (channel == "form" or any(len(r[3]) > 256 for r in ways[0]))
 
 
+def test_search_without_its_library(monkeypatch, tmp_path):
+    """Not installed: the same matches. Installed but broken: an error, not a search that finds nothing."""
+    words = dict.fromkeys(("a", "ab", "abc", "bc", "abcd", "zz", "\u3131\u314f", "x" + "ab" * 300), "A")
+    text = "abcabcd \u3131\u314fb " + "x" + "ab" * 300 + " zzz"
+    there = matching.Search(words, {})
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    for prefix in (1, 2, 3):
+        missing = matching.Search(words, {}, prefix)
+        assert there.automaton and not missing.automaton
+        assert sorted(missing.find(text, 7)) == sorted(there.find(text, 7)) and len({m[2] for m in missing.find(text)}) == len(words)
+    assert matching.hits_of(text, matching.Search(words, {})) == matching.hits_of(text, there) != []
+    assert [*matching.Search({}, {}).find(text)] == []
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('undefined symbol')")
+    monkeypatch.syspath_prepend(tmp_path)
+    monkeypatch.delitem(sys.modules, "ahocorasick")
+    with pytest.raises(ImportError, match="undefined symbol"):
+        matching.Search(words, {})
+
+
 def test_nouns_and_given_tokens(spark):
     """A particle inside a longer token isn't a word of its own: substrings count on nouns only, forms everywhere."""
     docs = spark.createDataFrame([(1, "badge is bad"), (2, "abad")], "doc_id long, text string")
