@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables")
-@pytest.mark.parametrize("name", ["jamo_match", "substring_match"])
+@pytest.mark.parametrize("name", ["analyze_service", "jamo_match", "substring_match"])
 def test_query_where_workers_lack_a_library(spark, name, tmp_path, monkeypatch):
     """The rows are the same where the automaton's library isn't installed; a broken one is an error."""
     want = sorted(map(tuple, QUERIES[name](spark, DATA).collect()), key=repr)
